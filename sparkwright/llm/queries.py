@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm.bpe import bpe_round_trip
+from sparkwright.llm import quality
 from sparkwright.llm.common import table
+from sparkwright.llm.simhash import simhash_groups
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -17,6 +19,18 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_groups(table(spark, sf_dir, "documents"), words=4, most=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
     return out.select(
@@ -27,5 +41,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+QUERIES = {"op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {}
