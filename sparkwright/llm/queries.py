@@ -9,6 +9,7 @@ from sparkwright.llm.bpe import bpe_round_trip
 from sparkwright.llm import quality
 from sparkwright.llm.common import table
 from sparkwright.llm.simhash import simhash_groups
+from sparkwright.llm.suffix import remove_repeats
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -41,5 +42,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op10_suffix": op10_suffix, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {}
