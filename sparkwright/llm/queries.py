@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm.bpe import bpe_round_trip
-from sparkwright.llm import quality
+from sparkwright.llm import linededup, mixing, quality
 from sparkwright.llm.common import table
 from sparkwright.llm.simhash import simhash_groups
 from sparkwright.llm.suffix import remove_repeats
@@ -27,25 +27,40 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed_lines").alias("n_removed_lines"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.expr(mixing.TOKENS).cast("long").alias("tokens"), F.col("_epoch").alias("epoch"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"), words=4, most=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
+def token_digests(docs: DataFrame) -> DataFrame:
+    """docs, encoded and decoded, with digests in place of the texts."""
+    out = bpe_round_trip(docs, vocabulary_path())
     return out.select(
-        "doc_id",
+        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
         F.size("input_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded_text"), 256).alias("decoded_sha256"),
     )
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op10_suffix": op10_suffix, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op7_mixing": op7_mixing, "op10_suffix": op10_suffix, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
+ORACLES: dict[str, str] = {"op3_line_dedup": linededup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
