@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwright.llm.ann import nearest
 from sparkwright.llm.bpe import bpe_round_trip
 from sparkwright.llm import linededup, mixing, quality
 from sparkwright.llm.common import table
+from sparkwright.llm.embdedup import embedding_groups
 from sparkwright.llm.simhash import simhash_groups
 from sparkwright.llm.suffix import remove_repeats
 
@@ -20,6 +22,15 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.with_score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -62,5 +73,5 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op7_mixing": op7_mixing, "op10_suffix": op10_suffix, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
+QUERIES = {"op1_ann": op1_ann, "op5_embedding_dedup": op5_embedding_dedup, "op3_line_dedup": op3_line_dedup, "op7_mixing": op7_mixing, "op10_suffix": op10_suffix, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {"op3_line_dedup": linededup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
