@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm.ann import nearest
 from sparkwright.llm.bpe import bpe_round_trip
-from sparkwright.llm import linededup, mixing, quality
+from sparkwright.llm import linededup, mixing, quality, toxicity
 from sparkwright.llm.common import table
 from sparkwright.llm.embdedup import embedding_groups
+from sparkwright.llm.html import main_text
 from sparkwright.llm.simhash import simhash_groups
 from sparkwright.llm.suffix import remove_repeats
 
@@ -43,6 +44,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed_lines").alias("n_removed_lines"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.col("severity").alias("expected_severity"), predicted)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.expr(mixing.TOKENS).cast("long").alias("tokens"), F.col("_epoch").alias("epoch"))
@@ -64,6 +72,10 @@ def token_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -73,5 +85,5 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_ann": op1_ann, "op5_embedding_dedup": op5_embedding_dedup, "op3_line_dedup": op3_line_dedup, "op7_mixing": op7_mixing, "op10_suffix": op10_suffix, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
+QUERIES = {"op8_html": op8_html, "op6_toxicity": op6_toxicity, "op1_ann": op1_ann, "op5_embedding_dedup": op5_embedding_dedup, "op3_line_dedup": op3_line_dedup, "op7_mixing": op7_mixing, "op10_suffix": op10_suffix, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {"op3_line_dedup": linededup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
