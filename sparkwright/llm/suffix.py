@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import int_column, runs, text_bytes, whole_runs
+from sparkwright.llm.common import cut, int_column, runs, text_bytes, whole_runs
 
 ANCHOR = 104
 BLOCK = 1 << 19
@@ -388,11 +388,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     own = own.select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("null"), "text")).alias("doc"), F.expr("xxhash64(text) & 2147483647").alias("tag"), "text")
     found = own.where(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_anchored(length), "k long, c long, doc long, at long")
     again = found.repartition("k").sortWithinPartitions("k", "c").mapInArrow(_repeated, "k long, doc long, at long, full boolean, more boolean")
+    again = cut(again)
     tag, place = F.expr("shiftright(at, 32)").alias("tag"), F.expr("at & 4294967295")
     whole = again.where("full").select("doc", tag, (place - (length - ANCHOR)).alias("s"), (place + length).alias("e"))
     lists = again.where("more").groupBy("doc", tag).agg(F.collect_list(F.struct("k", place.alias("p"))).alias("l"))
     lists = lists.select("doc", "tag", F.col("l.k").alias("k"), F.col("l.p").alias("p"))
-    around = own.select("doc", "tag", "text").join(lists, ["doc", "tag"]).mapInArrow(_surroundings(length), AROUND)
+    # doc_id is read here too, so that this exchange of texts is the one of the last join
+    around = own.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "k", "p", "doc_id").mapInArrow(_surroundings(length), AROUND)
     sizes = again.where("more").groupBy("k").count().where(F.col("count") > hot).select("k")
     # at most one row for each `hot` anchors that recur, but not bounded by itself: the planner chooses the join
     cold = around.join(sizes, "k", "left_anti").repartition("k").sortWithinPartitions("k").mapInArrow(_last_pass(length), SPANS)
