@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["metrics"]
+TOPICS = ["metrics", "sequences", "neighbours", "records"]
 
 
 def catalogue() -> tuple[dict, dict]:
