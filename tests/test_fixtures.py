@@ -65,13 +65,13 @@ def test_statements(spark):
 
 
 def test_premature_as_coded_and_with_next(spark):
-    rr = [1000.0, 700, 1300, 1000, 1000, 700, 1300]
+    rr = [1000.0, 700.0, 1300.0, 1000.0, 1000.0, 700.0, 1300.0]
     r = Q.premature(spark.createDataFrame([(1, i, x) for i, x in enumerate(rr)], "key int, i long, rr double")).first()
     assert (r["pvcs"], r["pacs"]) == (0, 0) and r["pvcs_next"] == 2
 
 
 def test_short_long_short(spark):
-    rr = [1000.0] * 5 + [700, 1300, 700] + [1000.0] * 5
+    rr = [1000.0] * 5 + [700.0, 1300.0, 700.0] + [1000.0] * 5
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(rr)], "key int, i long, rr double")
     assert [tuple(r) for r in Q.short_long_short(df).collect()] == [(1, 5)]
 
