@@ -23,12 +23,12 @@ def components(spark, d: str) -> DataFrame:
 
 
 def deviations(spark, d: str) -> DataFrame:
-    return components(spark, d).groupBy("rec", "lead").agg(F.avg(F.col("amp") * 3).alias("dev"))
+    return components(spark, d).groupBy("rec", "lead").agg(F.round(F.avg(F.col("amp") * 3), 6).alias("dev"))
 
 
 C = f"""c AS (SELECT l_orderkey AS rec, {LEADS!r}[l_partkey % 12 + 1] AS lead, l_linenumber::BIGINT AS beat, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'N' THEN 'QRS' ELSE 'T' END AS wave,
  l_quantity / 25 - 1 AS amp, ((l_suppkey * 37 + l_partkey) % 400 - 200)::DOUBLE AS center, l_discount * 500 + l_tax * 100 + 3 AS sigma, (l_partkey * 16 + l_linenumber)::BIGINT AS i FROM lineitem),
- dv AS (SELECT rec, lead, avg(amp * 3) AS dev FROM c GROUP BY rec, lead)"""
+ dv AS (SELECT rec, lead, round(avg(amp * 3), 6) AS dev FROM c GROUP BY rec, lead)"""
 
 
 def _plain(c):
