@@ -40,22 +40,13 @@ SMALL = 12
 
 def fingerprint(text: bytes, words: int, step: int = 1 << 16) -> int:
     """The fingerprint of one text as a signed 64-bit number."""
-    parts = text.lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D split
-    if not parts:
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
         return 0
-    joined = memoryview(b" ".join(parts))
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = ends - sizes + 1
-    shift = min(words, len(parts)) - 1
-    starts, ends = starts[: len(parts) - shift].tolist(), ends[shift:].tolist()
     counts = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), step):  # very long texts in steps
-        pairs = zip(starts[at : at + step], ends[at : at + step], strict=True)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in pairs], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(starts), bitorder="little")
+    for at in range(0, len(hashes), step):  # very long texts in steps
+        counts += np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
     return int(bits.view("<i8")[0])
 
 
@@ -187,9 +178,125 @@ def simhash_groups(docs: DataFrame, words: int = 5, most: int = 4, doc_id: str =
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+WIDE, ORDERS, SIMILAR = 4, 10, 48
+
+
+def mixed(hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes from 64-bit hashes, by salt."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15) * (salt.astype(np.uint64) + np.uint64(1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each shingle, in order; of the whole sequence if it has fewer words."""
+    parts = text.lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D split
+    if not parts:
+        return np.empty(0, np.uint64)
+    joined = memoryview(b" ".join(parts))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    ends = np.cumsum(sizes) - 1
+    starts, shift = ends - sizes + 1, min(words, len(parts)) - 1
+    pairs = zip(starts[: len(parts) - shift].tolist(), ends[shift:].tolist(), strict=True)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in pairs), np.uint64, len(parts) - shift)
+
+
+def sketch(text: bytes, words: int, step: int = 1 << 16) -> tuple[list[int], list[int]]:
+    """WIDE fingerprints of 64 bits from different hashes, and ORDERS keys: the two shingles that come first in each of
+    several random orders of the text's different shingles."""
+    hashes = np.unique(shingle_hashes(text, words))
+    if not len(hashes):
+        return [0] * WIDE, [0] * ORDERS
+    salts = np.arange(WIDE + ORDERS)[:, None]
+    counts = np.zeros((WIDE, 64), np.int64)
+    first = np.empty((ORDERS, 0), np.uint64)
+    for at in range(0, len(hashes), step):
+        all_orders = mixed(hashes[None, at : at + step], salts)
+        bits = np.unpackbits(all_orders[:WIDE].view(np.uint8).reshape(WIDE, -1, 8), axis=2, bitorder="little")
+        counts += bits.sum(axis=1, dtype=np.uint32)
+        first = np.concatenate([first, all_orders[WIDE:]], axis=1)
+        first = np.partition(first, 1, axis=1)[:, :2] if first.shape[1] > 2 else first
+    first.sort(axis=1)
+    prints = np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<i8")[:, 0]
+    keys = first[:, 0] if first.shape[1] == 1 else first[:, 0] ^ mixed(first[:, 1], salts[WIDE:, 0])
+    return prints.tolist(), keys.view(np.int64).tolist()
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t, words) for t in text_bytes(batch.column(1))]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["doc_id", "w", "keys"])
+
+    return run
+
+
+def spanning(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """A spanning forest of the rows (several words each) that differ in at most `most` bits, as pairs of positions."""
+    out, unseen = [], np.arange(len(prints))
+    while len(unseen):
+        queue, unseen = [int(unseen[0])], unseen[1:]
+        while queue and len(unseen):
+            at = queue.pop()
+            hit = np.bitwise_count(prints[unseen] ^ prints[at]).sum(axis=1) <= most
+            reached, unseen = unseen[hit].tolist(), unseen[~hit]
+            queue += reached
+            out += [(at, r) for r in reached]
+    return out
+
+
+def _similar(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, "key", 1 << 16):
+            columns = [int_column(rows[c].combine_chunks()) for c in rows.column_names]
+            keys, ids, prints = columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64)
+            edges = runs(keys)
+            pairs: set[tuple[int, int]] = set()
+            for k in np.flatnonzero(np.diff(edges) > 1):
+                a, b = edges[k], edges[k + 1]
+                pairs.update((int(ids[a + i]), int(ids[a + j])) for i, j in spanning(prints[a:b], most))
+            if pairs:
+                left, right = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, words: int = 5, most: int = SIMILAR) -> DataFrame:
+    """Links (a, b) of doc_ids whose sets of shingles have a similarity of about 0.8 or more.
+
+    Four bits of 64 reach pairs above 0.95 only. Here fingerprints have WIDE * 64 bits, and `most` of them is the share of
+    bits in which sets of Jaccard similarity 0.75 differ on average. Texts of similarity s share one of the ORDERS keys with
+    probability 1 - (1 - s * s) ** ORDERS, 0.9999 at 0.8. Texts with equal sketches collapse first.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    made = cut(source.mapInArrow(_sketches(words), "doc_id long, w array<long>, keys array<long>"))
+    own = [F.col("w")[i].alias(f"w{i}") for i in range(WIDE)]
+    flat = made.select("doc_id", *own, "keys", F.xxhash64("keys").alias("all"))
+    same = ["all", *[f"w{i}" for i in range(WIDE)]]
+    classes = cut(flat.groupBy(*same).agg(F.min_by(F.struct("doc_id", "keys"), "doc_id").alias("r")))
+    copies = flat.join(classes.select(*same, F.col("r.doc_id").alias("b")), same).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    spread = classes.select(F.posexplode("r.keys").alias("r_", "key"), F.col("r.doc_id").alias("doc_id"), *same[1:])
+    spread = spread.select(F.xxhash64("r_", "key").alias("key"), "doc_id", *same[1:])
+    found = spread.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_similar(most), "a long, b long")
+    return copies.unionByName(found).distinct()
+
+
+def near_groups(docs: DataFrame, words: int = 5, most: int = 4, similar: int = SIMILAR) -> DataFrame:
+    """(doc_id, component_id): groups by both the Golay keys' links and similar_links; the id is the group's smallest."""
+    golay_groups = simhash_groups(docs, words, most).where("doc_id is not null")
+    links = golay_groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(similar_links(docs, words, similar))
+    roots = cut(components(links))
+    named = roots.join(roots.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+    ids = golay_groups.select("doc_id").distinct()
+    return ids.join(named, ids["doc_id"] == named["id"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, most: int = 4) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, whole and once; rows whose
     doc_id is null stay."""
-    groups = simhash_groups(docs, words, most).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    groups = near_groups(docs, words, most).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     named = docs.where(F.col("doc_id").isNotNull()).join(groups, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

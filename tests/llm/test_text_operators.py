@@ -222,3 +222,22 @@ def test_empty_tables(spark, odd_docs):
 def test_scores_by_name(spark, odd_docs):
     scored = quality.with_score(odd_docs, {"share": 0.25})  # odd_docs has a column of that name
     assert scored.columns.count("score") == 1 and scored.select(F.sum("score")).first()[0] == 0.25 * odd_docs.count()
+
+
+def test_similar_texts_are_one_group(spark, words):
+    import random
+
+    rng = random.Random(12)
+    base = [rng.choice(words) for _ in range(200)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, 8):  # four words of 200 replaced: about 0.8 of the shingles are left
+        other = list(base)
+        for at in rng.sample(range(200), 4):
+            other[at] = f"new{rng.random()}"
+        rows.append((i, " ".join(other)))
+    rows += [(20 + i, " ".join(rng.choice(words) for _ in range(200))) for i in range(5)]
+    rows += [(30, " ".join(base[:60] + [rng.choice(words) for _ in range(140)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+    assert {groups[i] for i in range(1, 8)} == {1}
+    assert all(groups[i] == i for i in (20, 21, 22, 23, 24, 30))
