@@ -3,7 +3,9 @@
 A vector is padded to a power of two and rotated by three rounds of random signs and a fast Hadamard transform; its hash is
 the axis (with sign) nearest to the rotated vector. AXES such hashes make the bucket of one table, and TABLES tables are
 kept. Multiprobe: a vector also stands in the buckets where its least certain axis gives way to the second best (PROBES
-buckets in each table). Vectors that share a bucket are compared by their cosine in double precision.
+buckets in each table). What is dealt to buckets first is an id and SIGNS signs of random projections, not the vector: only
+vectors with a bucket mate within SIGN_BITS of these signs (cosine 0.9 differs in 18 on average, with a deviation of 4) go
+on. Those that share a bucket are then compared by their cosine in double precision.
 
 Copies collapse first: only distinct vectors are hashed, each with its number of rows. A pair that meets in several buckets
 is counted in the first of them only, which both sides' hashes tell, so links are counted exactly without a table of pairs:
@@ -21,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.ann import usable
 from sparkwright.llm.common import components, cut, int_column, runs, whole_runs
 
-TABLES, AXES, PROBES, ROUNDS, TILE, SEED = 12, 3, 3, 3, 4096, 5
+TABLES, AXES, PROBES, ROUNDS, TILE, SEED = 14, 3, 2, 3, 4096, 5
+SIGNS, SIGN_BITS = 128, 38
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -88,18 +90,54 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
 
+def signs(vectors: np.ndarray) -> np.ndarray:
+    """[row, word]: signs of SIGNS random projections, packed into 64-bit words."""
+    planes = np.random.default_rng(SEED + vectors.shape[1]).normal(size=(vectors.shape[1], SIGNS))
+    return np.packbits(vectors @ planes > 0, axis=1).view(np.uint64)
+
+
 def _keyed(tables: int, axes: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                for dim in {len(x) for x in part.column(2).to_pylist()}:
-                    own = part.filter(pa.array([len(x) == dim for x in part.column(2).to_pylist()]))
-                    keys = buckets(matrix(own.column(2)), tables, axes, probes).reshape(own.num_rows, -1)
+                sizes = [len(x) for x in part.column(1).to_pylist()]
+                for size in set(sizes):
+                    own = part.filter(pa.array([x == size for x in sizes]))
+                    vectors = matrix(own.column(1))
+                    keys = buckets(vectors, tables, axes, probes).reshape(own.num_rows, -1)
                     rows = np.repeat(np.arange(own.num_rows), keys.shape[1])
-                    tile = pa.array([xxhash.xxh32_intdigest(x) for x in own.column(2).to_pylist()], pa.int64())
-                    arrays = [pa.array(keys.ravel()), *(c.take(pa.array(rows)) for c in (tile, *own.columns))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "h", "rep", "n", "v"])
+                    words = signs(vectors).view(np.int64)[rows]
+                    arrays = [pa.array(keys.ravel()), own.column(0).take(pa.array(rows)), *(pa.array(words[:, k]) for k in range(words.shape[1]))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "rep", "s0", "s1"])
+
+    return run
+
+
+def _with_mates(most: int):
+    """(key, rep) of the rows with another row of their key within SIGN_BITS signs; of keys with more than `most` rows, all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, "key", 1 << 17):
+            key, rep, s0, s1 = (int_column(rows[c].combine_chunks()) for c in ("key", "rep", "s0", "s1"))
+            words = np.stack([s0, s1], axis=1).view(np.uint64)
+            edges = runs(key)
+            sizes = np.diff(edges)
+            keep = np.repeat(sizes > most, sizes)
+            rest = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 32), sizes))
+            for offset in range(1, 32):
+                if offset >= len(rest):
+                    break
+                a, b = rest[:-offset], rest[offset:]
+                hit = (key[a] == key[b]) & (np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= SIGN_BITS)
+                keep[a[hit]] = keep[b[hit]] = True
+            for k in np.flatnonzero((sizes > 32) & (sizes <= most)):
+                own = words[edges[k] : edges[k + 1]]
+                for low in range(0, len(own), 256):
+                    near = np.bitwise_count(own[low : low + 256, None] ^ own[None]).sum(axis=2) <= SIGN_BITS
+                    keep[edges[k] + low : edges[k] + low + len(near)] |= near.sum(axis=1) > 1  # one is the row itself
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rep[keep])], names=["key", "rep"])
 
     return run
 
@@ -198,10 +236,10 @@ def embedding_groups(
     vectors = cut(own.mapInArrow(_usable, "vec_id long, v binary"))
     good = vectors.where("vec_id is not null and v is not null")
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    keyed = classes.select("rep", "n", "v").mapInArrow(_keyed(tables, axes, probes), "key long, h long, rep long, n long, v binary")
-    held = keyed.groupBy("key").count().where(F.col("count") > 1)
-    held = held.withColumn("tiles", F.expr(f"cast(ceil(count / {tile}) as long)")).select("key", "tiles")
-    rows2 = keyed.join(held, "key").withColumn("tile", F.col("h") % F.col("tiles"))
+    keyed = classes.select("rep", "v").mapInArrow(_keyed(tables, axes, probes), "key long, rep long, s0 long, s1 long")
+    mates = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_with_mates(tile), "key long, rep long"))
+    held = mates.groupBy("key").count().withColumn("tiles", F.expr(f"cast(ceil(count / {tile}) as long)")).select("key", "tiles")
+    rows2 = mates.join(held, "key").join(classes, "rep").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     pairs = rows2.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
     pairs = pairs.select(
         F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))).alias("key"),
