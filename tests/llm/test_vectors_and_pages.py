@@ -83,6 +83,7 @@ PAGES = [
     ("<html><head><title>t</title><body><nav>menu</nav><div class='ad'>buy</div><article><h1>A &amp; b</h1><p>one<br>two <b>three<p>four\n five</article><footer>f</footer>", "A & b\n\none two three\n\nfour five"),
     ("<article><header><h1>Head</h1></header><script>if (a < b) '</p>'</script><p>x&nbsp;y<!-- <p>no</p> --></p><div class='comments'><p>me</p></div><form>f</form></article>", "Head\n\nx y"),
     ("<main><article class='comment'>no</article><p>yes</p><aside>no</aside></main>", "yes"),
+    ("<div class='page has-sidebar'><article><div class='entry-header'><h1>T</h1></div><p>b</p></article><div id='leftSidebar'>s</div></div>", "T\n\nb"),
     ("plain text", "plain text"), ("", ""), (None, ""), ("<p>a</p></p></div><p>b", "a\n\nb"), ("<article></article>", ""), ("<p hidden>x</p><p>y</p>", "y"),
 ]
 
