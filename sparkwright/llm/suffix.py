@@ -6,6 +6,8 @@ exactly the repeated windows. The passes run from the most significant digit to
 1. First digit, over all of the corpus. Of the `length - ANCHOR + 1` strings of ANCHOR bytes in a window the one with the
    smallest hash is its anchor, so equal windows have equal anchors at equal offsets (winnowing). A window is filed under
    its anchor; only anchors, about one in 50 bytes, are shuffled and sorted. Windows whose anchor occurs once are done.
+   An anchor that recurs in one text with the same surroundings, as in periodic text, is a repeat already: its chain of
+   places is two rows with its length, not a row for each place.
 2. Second digit, on the hash of all bytes that the anchor's windows can see. Where it is equal to a neighbour's, all
    windows of the anchor are repeated and need no further pass; one of each such group goes on, for the others to meet.
 3. Last digits, on the bytes themselves, for what is left. Under one anchor a window is fixed by how many of the bytes left
@@ -125,6 +127,14 @@ def anchors_of(texts: list[bytes], length: int) -> Iterator[tuple[int, list[int]
         yield from flush(group)
 
 
+def chains(places: list[int], gap: int) -> list[tuple[int, int]]:
+    """(first, last) of the chains of ascending places that are at most `gap` apart."""
+    out = [(places[0], places[0])]
+    for p in places[1:]:
+        out[-1:] = [(out[-1][0], p)] if p - out[-1][1] <= gap else [out[-1], (p, p)]
+    return out
+
+
 def _anchored(length: int):
     reach = length - ANCHOR
 
@@ -133,18 +143,23 @@ def _anchored(length: int):
         for batch in batches:
             doc, tag = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = text_bytes(batch.column(2))
-            rows: list[tuple[int, int, int, int]] = []
+            rows: list[tuple[int, int, int, int, int]] = []
 
             def out():
                 columns = [np.array([r[c] for r in rows], np.uint64).view(np.int64) for c in range(2)]  # noqa: B023
-                columns += [np.array([r[c] for r in rows], np.int64) for c in (2, 3)]  # noqa: B023
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "c", "doc", "at"])
+                columns += [np.array([r[c] for r in rows], np.int64) for c in (2, 3, 4)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "c", "doc", "at", "run"])
 
             for i, places in anchors_of(texts, length):
                 text, own, high = memoryview(texts[i]), doc[i], tag[i] << 32
+                found: dict[tuple[int, int], list[int]] = {}
                 for p in places:
                     low, top = max(0, p - reach), min(len(text), p + length)
-                    rows.append((digest(text[p : p + ANCHOR]), digest(text[low:top], (p - low) << 16 | (top - p)), own, high | p))
+                    key = digest(text[p : p + ANCHOR]), digest(text[low:top], (p - low) << 16 | (top - p))
+                    found.setdefault(key, []).append(p)
+                for (k, c), at in found.items():
+                    for first, last in chains(at, length + reach):
+                        rows += [(k, c, own, high | first, last - first)] * (1 if first == last else 2)
                 if len(rows) > 1 << 17:
                     yield out()
                     rows = []
@@ -183,7 +198,7 @@ def neighbours(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of anchors sorted by (k, c), those that recur. full: all windows are repeated; more: goes on to the last pass."""
-    for rows, bits in neighbours(batches, ["k", "c", "doc", "at"]):
+    for rows, bits in neighbours(batches, ["k", "c", "doc", "at", "run"]):
         recurs, full, first = (bits & 3) > 0, (bits & 12) > 0, (bits & 4) == 0
         # a run of equal surroundings that is all of its anchor has nothing to meet
         edges = runs(rows["k"], rows["c"])[:-1]
@@ -192,8 +207,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = recurs & first & ~np.repeat(alone, ends - edges + 1)
         some = recurs & (full | more)
         if some.any():
-            arrays = [pa.array(rows[c][some]) for c in ("k", "doc", "at")] + [pa.array(full[some]), pa.array(more[some])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["k", "doc", "at", "full", "more"])
+            arrays = [pa.array(rows[c][some]) for c in ("k", "doc", "at", "run")] + [pa.array(full[some]), pa.array(more[some])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k", "doc", "at", "run", "full", "more"])
 
 
 def _surroundings(length: int):
@@ -386,11 +401,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     # a row is known by its id and 31 bits of its text's hash; a null id gives way to a hash
     own = own.select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("null"), "text")).alias("doc"), F.expr("xxhash64(text) & 2147483647").alias("tag"), "text")
-    found = own.where(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_anchored(length), "k long, c long, doc long, at long")
-    again = found.repartition("k").sortWithinPartitions("k", "c").mapInArrow(_repeated, "k long, doc long, at long, full boolean, more boolean")
+    found = own.where(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_anchored(length), "k long, c long, doc long, at long, run long")
+    again = found.repartition("k").sortWithinPartitions("k", "c").mapInArrow(_repeated, "k long, doc long, at long, run long, full boolean, more boolean")
     again = cut(again)
     tag, place = F.expr("shiftright(at, 32)").alias("tag"), F.expr("at & 4294967295")
-    whole = again.where("full").select("doc", tag, (place - (length - ANCHOR)).alias("s"), (place + length).alias("e"))
+    whole = again.where("full").select("doc", tag, (place - (length - ANCHOR)).alias("s"), (place + F.col("run") + length).alias("e"))
     lists = again.where("more").groupBy("doc", tag).agg(F.collect_list(F.struct("k", place.alias("p"))).alias("l"))
     lists = lists.select("doc", "tag", F.col("l.k").alias("k"), F.col("l.p").alias("p"))
     # doc_id is read here too, so that this exchange of texts is the one of the last join
