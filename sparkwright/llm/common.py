@@ -84,7 +84,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round maps every node to the neighbour (or itself) with the smallest random priority and contracts the edges;
     the expected number of nodes shrinks by a constant factor, so the rounds grow with the logarithm of the nodes,
-    chains included. Edges and assignments stay distributed, and each round ends in a checkpoint. Null ends are ignored.
+    chains included. Edges and assignments stay distributed: joins are sort-merge joins, so that no round passes through the
+    driver as a broadcast, and each round ends in a checkpoint. Null ends are ignored.
     """
     first = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     first = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -99,10 +100,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             assigned = step.select(F.col("u").alias("id"), F.col("p").alias("root"))
         else:
             assigned = cut(
-                assigned.join(step, assigned["root"] == step["u"], "left").select("id", F.coalesce("p", "root").alias("root"))
+                assigned.join(step.hint("merge"), assigned["root"] == step["u"], "left").select("id", F.coalesce("p", "root").alias("root"))
             )
         pu, pv = step.select("u", F.col("p").alias("pu")), step.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        live = live.join(pu, "u").join(pv, "v").where("pu <> pv")
+        live = live.join(pu.hint("merge"), "u").join(pv.hint("merge"), "v").where("pu <> pv")
         live = cut(live.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
         turn += 1
     if assigned is None:

@@ -161,9 +161,8 @@ def _linked(most: int):
     return run
 
 
-def simhash_groups(docs: DataFrame, words: int = 5, most: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of each row: the fingerprint of its `words`-word shingles as a signed long, and the
-    smallest doc_id that links of at most `most` (4 or fewer) differing bits reach."""
+def golay_links(docs: DataFrame, words: int, most: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, (fp, first) of each fingerprint, and links (a, b) of fingerprints."""
     if not 0 <= most <= 4:
         raise ValueError("the keys find up to 4 differing bits")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -171,6 +170,13 @@ def simhash_groups(docs: DataFrame, words: int = 5, most: int = 4, doc_id: str =
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     keyed = classes.select("fp").mapInArrow(_keyed, "key long, fp long")
     links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(most), "a long, b long").distinct()
+    return prints, classes, links
+
+
+def simhash_groups(docs: DataFrame, words: int = 5, most: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) of each row: the fingerprint of its `words`-word shingles as a signed long, and the
+    smallest doc_id that links of at most `most` (4 or fewer) differing bits reach."""
+    prints, classes, links = golay_links(docs, words, most, doc_id, text)
     roots = components(links)
     member = classes.join(roots, classes["fp"] == roots["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -286,11 +292,14 @@ def similar_links(docs: DataFrame, words: int = 5, most: int = SIMILAR) -> DataF
 
 def near_groups(docs: DataFrame, words: int = 5, most: int = 4, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, component_id): groups by both the Golay keys' links and similar_links; the id is the group's smallest."""
-    golay_groups = simhash_groups(docs, words, most).where("doc_id is not null")
-    links = golay_groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(similar_links(docs, words, similar))
-    roots = cut(components(links))
+    prints, classes, links = golay_links(docs, words, most)
+    prints, classes = prints.where("doc_id is not null"), classes.where("first is not null")
+    copies = prints.join(classes, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    ends = [classes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "ab"]
+    linked = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    roots = components(copies.unionByName(linked).unionByName(similar_links(docs, words, similar)))
     named = roots.join(roots.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
-    ids = golay_groups.select("doc_id").distinct()
+    ids = prints.select("doc_id").distinct()
     return ids.join(named, ids["doc_id"] == named["id"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
