@@ -239,17 +239,19 @@ def _sketches(words: int):
     return run
 
 
-def spanning(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the rows (several words each) that differ in at most `most` bits, as pairs of positions."""
+def local_groups(prints: np.ndarray, most: int) -> list[list[int]]:
+    """Positions of each group of two rows or more (several words each) that links of at most `most` bits join."""
     out, unseen = [], np.arange(len(prints))
     while len(unseen):
-        queue, unseen = [int(unseen[0])], unseen[1:]
+        queue, group, unseen = [int(unseen[0])], [int(unseen[0])], unseen[1:]
         while queue and len(unseen):
             at = queue.pop()
             hit = np.bitwise_count(prints[unseen] ^ prints[at]).sum(axis=1) <= most
             reached, unseen = unseen[hit].tolist(), unseen[~hit]
             queue += reached
-            out += [(at, r) for r in reached]
+            group += reached
+        if len(group) > 1:
+            out.append(group)
     return out
 
 
@@ -262,7 +264,9 @@ def _similar(most: int):
             pairs: set[tuple[int, int]] = set()
             for k in np.flatnonzero(np.diff(edges) > 1):
                 a, b = edges[k], edges[k + 1]
-                pairs.update((int(ids[a + i]), int(ids[a + j])) for i, j in spanning(prints[a:b], most))
+                for group in local_groups(prints[a:b], most):  # rows are in order of id: a star around the smallest
+                    first, *others = sorted(int(ids[a + i]) for i in group)
+                    pairs.update((x, first) for x in others)
             if pairs:
                 left, right = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
