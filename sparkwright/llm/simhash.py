@@ -40,7 +40,10 @@ SMALL = 12
 
 def fingerprint(text: bytes, words: int, step: int = 1 << 16) -> int:
     """The fingerprint of one text as a signed 64-bit number."""
-    hashes = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words), step)
+
+
+def fingerprint_of(hashes: np.ndarray, step: int = 1 << 16) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
@@ -163,14 +166,18 @@ def _linked(most: int):
 
 def golay_links(docs: DataFrame, words: int, most: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, fp) of each row, (fp, first) of each fingerprint, and links (a, b) of fingerprints."""
-    if not 0 <= most <= 4:
-        raise ValueError("the keys find up to 4 differing bits")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     prints = cut(source.mapInArrow(_fingerprints(words), "doc_id long, fp long"))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    keyed = classes.select("fp").mapInArrow(_keyed, "key long, fp long")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(most), "a long, b long").distinct()
-    return prints, classes, links
+    return prints, classes, print_links(classes.select("fp"), most)
+
+
+def print_links(prints: DataFrame, most: int) -> DataFrame:
+    """Links (a, b) of distinct fingerprints (fp) that differ in at most `most` bits."""
+    if not 0 <= most <= 4:
+        raise ValueError("the keys find up to 4 differing bits")
+    keyed = prints.mapInArrow(_keyed, "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(most), "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, words: int = 5, most: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,6 +192,10 @@ def simhash_groups(docs: DataFrame, words: int = 5, most: int = 4, doc_id: str =
 
 
 WIDE, ORDERS, SIMILAR = 4, 10, 48
+#: Bits of 256 up to which texts are compared; texts of similarity 0.8 differ in 39 on average, in 48 with 4 and 5 shingles.
+PREFILTER = 80
+#: Similarity is at least SHARE[0] / SHARE[1]; groups of more than two blocks of BLOCK texts are compared block by block.
+SHARE, BLOCK = (4, 5), 1024
 
 
 def mixed(hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -211,7 +222,10 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 def sketch(text: bytes, words: int, step: int = 1 << 16) -> tuple[list[int], list[int]]:
     """WIDE fingerprints of 64 bits from different hashes, and ORDERS keys: the two shingles that come first in each of
     several random orders of the text's different shingles."""
-    hashes = np.unique(shingle_hashes(text, words))
+    return sketch_of(np.unique(shingle_hashes(text, words)), step)
+
+
+def sketch_of(hashes: np.ndarray, step: int = 1 << 16) -> tuple[list[int], list[int]]:
     if not len(hashes):
         return [0] * WIDE, [0] * ORDERS
     salts = np.arange(WIDE + ORDERS)[:, None]
@@ -229,12 +243,34 @@ def sketch(text: bytes, words: int, step: int = 1 << 16) -> tuple[list[int], lis
     return prints.tolist(), keys.view(np.int64).tolist()
 
 
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t, words) for t in text_bytes(batch.column(1))]
+            prints, sets, wide, keys = [], [], [], []
+            for text in text_bytes(batch.column(2)):
+                hashes = shingle_hashes(text, words)
+                prints.append(fingerprint_of(hashes))
+                hashes = np.unique(hashes)
+                sets.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
+                w, k = sketch_of(hashes)
+                wide.append(w)
+                keys.append(k)
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)], names=["doc_id", "w", "keys"])
+            arrays = [batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(sets, pa.int64()), pa.array(wide, kind), pa.array(keys, kind)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "t", "fp", "c", "w", "keys"])
+
+    return run
+
+
+def _shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["c", "h"])
 
     return run
 
@@ -255,61 +291,112 @@ def local_groups(prints: np.ndarray, most: int) -> list[list[int]]:
     return out
 
 
-def _similar(most: int):
+def _candidates(most: int, block: int):
+    """Groups (g, c) of shingle sets that a key and at most `most` bits bring together; g is a hash of the members, so a
+    group found by several keys is one. Each pair of a group's members is in some g of at most two blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_runs(batches, "key", 1 << 16):
             columns = [int_column(rows[c].combine_chunks()) for c in rows.column_names]
             keys, ids, prints = columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64)
             edges = runs(keys)
-            pairs: set[tuple[int, int]] = set()
             for k in np.flatnonzero(np.diff(edges) > 1):
                 a, b = edges[k], edges[k + 1]
-                for group in local_groups(prints[a:b], most):  # rows are in order of id: a star around the smallest
-                    first, *others = sorted(int(ids[a + i]) for i in group)
-                    pairs.update((x, first) for x in others)
-            if pairs:
-                left, right = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                for group in local_groups(prints[a:b], most):
+                    members = np.sort(ids[a:b][group])
+                    blocks = np.array_split(members, -(-len(members) // block))
+                    for i, one in enumerate(blocks):
+                        for other in blocks[i + 1 :] if len(blocks) > 1 else [one[:0]]:
+                            both = np.concatenate([one, other])
+                            g = _signed(xxhash.xxh64_intdigest(both.tobytes(), SEED))
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), g)), pa.array(both)], names=["g", "c"])
 
     return run
 
 
-def similar_links(docs: DataFrame, words: int = 5, most: int = SIMILAR) -> DataFrame:
-    """Links (a, b) of doc_ids whose sets of shingles have a similarity of about 0.8 or more.
+def similar_sets(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Positions (left, right) of a spanning forest of the links among sets whose Jaccard similarity is SHARE or more."""
+    left, right = [], []
+    sizes = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.append(0, np.cumsum(sizes))
+    marked = np.zeros(len(flat) + 1, bool)
+    unseen = np.arange(len(sets))
+    while len(unseen):
+        queue, unseen = [int(unseen[0])], unseen[1:]
+        while queue and len(unseen):
+            at = queue.pop()
+            own = flat[starts[at] : starts[at + 1]]
+            marked[own] = True
+            if 4 * len(unseen) < len(sets):
+                common = np.array([np.count_nonzero(marked[flat[starts[i] : starts[i + 1]]]) for i in unseen])
+            else:
+                common = np.diff(np.append(0, np.cumsum(marked[flat]))[starts])[unseen]
+            marked[own] = False
+            hit = SHARE[1] * common >= SHARE[0] * (sizes[unseen] + sizes[at] - common)
+            reached, unseen = unseen[hit].tolist(), unseen[~hit]
+            queue += reached
+            left += [at] * len(reached)
+            right += reached
+    return left, right
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in whole_runs(batches, "g", 1 << 12):
+        groups, ids = (int_column(rows[c].combine_chunks()) for c in ("g", "c"))
+        edges = runs(groups)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            left, right = similar_sets([np.frombuffer(x, np.uint64) for x in rows["h"].slice(a, b - a).to_pylist()])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][left]), pa.array(ids[a:b][right])], names=["a", "b"])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, text) of the rows with a doc_id; t is a hash of the text, so that rows that share an id are told apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).where("doc_id is not null")
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, words: int = 5, most: int = PREFILTER, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of the shingle sets of `classes` (c, first, w, keys) whose Jaccard similarity is 0.8 or more; they
+    join what all such links join.
 
-    Four bits of 64 reach pairs above 0.95 only. Here fingerprints have WIDE * 64 bits, and `most` of them is the share of
-    bits in which sets of Jaccard similarity 0.75 differ on average. Texts of similarity s share one of the ORDERS keys with
-    probability 1 - (1 - s * s) ** ORDERS, 0.9999 at 0.8. Texts with equal sketches collapse first.
+    Four bits of 64 reach pairs above 0.95 only. Here sets of similarity s share one of the ORDERS keys with probability
+    1 - (1 - s * s) ** ORDERS, 0.9999 at 0.8. WIDE * 64 bits only choose which of them are compared; the similarity itself is
+    that of the whole sets of shingle hashes, which are made again for those texts alone.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    made = cut(source.mapInArrow(_sketches(words), "doc_id long, w array<long>, keys array<long>"))
     own = [F.col("w")[i].alias(f"w{i}") for i in range(WIDE)]
-    flat = made.select("doc_id", *own, "keys", F.xxhash64("keys").alias("all"))
-    same = ["all", *[f"w{i}" for i in range(WIDE)]]
-    classes = cut(flat.groupBy(*same).agg(F.min_by(F.struct("doc_id", "keys"), "doc_id").alias("r")))
-    copies = flat.join(classes.select(*same, F.col("r.doc_id").alias("b")), same).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    spread = classes.select(F.posexplode("r.keys").alias("r_", "key"), F.col("r.doc_id").alias("doc_id"), *same[1:])
-    spread = spread.select(F.xxhash64("r_", "key").alias("key"), "doc_id", *same[1:])
-    found = spread.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_similar(most), "a long, b long")
-    return copies.unionByName(found).distinct()
-
-
-def near_groups(docs: DataFrame, words: int = 5, most: int = 4, similar: int = SIMILAR) -> DataFrame:
-    """(doc_id, component_id): groups by both the Golay keys' links and similar_links; the id is the group's smallest."""
-    prints, classes, links = golay_links(docs, words, most)
-    prints, classes = prints.where("doc_id is not null"), classes.where("first is not null")
-    copies = prints.join(classes, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    ends = [classes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "ab"]
-    linked = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
-    roots = components(copies.unionByName(linked).unionByName(similar_links(docs, words, similar)))
-    named = roots.join(roots.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
-    ids = prints.select("doc_id").distinct()
-    return ids.join(named, ids["doc_id"] == named["id"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    spread = classes.select(F.posexplode("keys").alias("r_", "key"), "c", *own)
+    spread = spread.select(F.xxhash64("r_", "key").alias("key"), "c", *[f"w{i}" for i in range(WIDE)])
+    found = spread.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_candidates(most, block), "g long, c long")
+    groups = cut(found.distinct())
+    asked = classes.join(groups.select("c").distinct(), "c").select("c", F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t"))
+    sets = _rows(docs).join(asked, ["doc_id", "t"]).select("c", "text").mapInArrow(_shingles(words), "c long, h binary")
+    compared = groups.join(sets.dropDuplicates(["c"]), "c").select("g", "c", "h")
+    return compared.repartition("g").sortWithinPartitions("g", "c").mapInArrow(_verified, "a long, b long").distinct()
+
+
+def near_groups(docs: DataFrame, words: int = 5, most: int = 4, similar: int = PREFILTER) -> DataFrame:
+    """(doc_id, t, component_id, kept) of each distinct doc_id and text (t is its hash): groups by both the Golay keys' links
+    and similar_links. component_id is the group's smallest doc_id, and one row of the group is kept."""
+    schema = "doc_id long, t long, fp long, c long, w array<long>, keys array<long>"
+    made = cut(_rows(docs).mapInArrow(_sketches(words), schema))
+    classes = cut(made.groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.first("w").alias("w"), F.first("keys").alias("keys")))
+    prints = cut(made.groupBy("fp").agg(F.min("c").alias("head")))
+    same = made.select("fp", "c").distinct().join(prints, "fp").where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))
+    ends = [prints.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab"]
+    linked = print_links(prints.select("fp"), most).join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    roots = components(same.unionByName(linked).unionByName(similar_links(docs, classes, words, similar)))
+    member = classes.join(roots, classes["c"] == roots["id"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
+    named = member.join(member.groupBy("root").agg(F.min("first").alias("kept")), "root").select("c", "kept")
+    rows = made.select("doc_id", "t", "c").distinct().join(named, "c")
+    return rows.select("doc_id", "t", F.col("kept.doc_id").alias("component_id"), (F.struct("doc_id", "t") == F.col("kept")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, most: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest doc_id stays, whole and once; rows whose
-    doc_id is null stay."""
-    groups = near_groups(docs, words, most).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(groups, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs without near-duplicates: of each group the row with the smallest doc_id stays, whole and once; rows that share a
+    doc_id are told apart by their texts; rows whose doc_id is null stay."""
+    kept = near_groups(docs, words, most).where("kept").select(F.col("doc_id").alias("_kept"), F.col("t").alias("_kept_t"))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    named = named.join(kept, (F.col("doc_id").cast("long") == F.col("_kept")) & (F.col("_t") == F.col("_kept_t")), "left_semi")
+    return named.dropDuplicates(["doc_id", "_t"]).drop("_t").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -81,6 +81,30 @@ def test_pipeline(spark, sf):
     assert isinstance(got, pd.DataFrame) and {"doc_id", "lang", "source", "n_tokens", "decoded_sha256"} <= set(got.columns)
 
 
+def exact_groups(texts):
+    """The smallest id of each near-duplicate group by Golay links and the exact similarity of all pairs."""
+    prints = {i: simhash.fingerprint(t.encode(), 5) % (1 << 64) for i, t in texts.items()}
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}
+    label = {i: i for i in texts}
+
+    def near(a, b):
+        common = len(sets[a] & sets[b])
+        return (prints[a] ^ prints[b]).bit_count() <= 4 or 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common)
+
+    links = [(a, b) for a in texts for b in texts if a < b and near(a, b)]
+    for _ in texts:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+
+
+def test_pipeline_by_exact_similarity(spark, sf, monkeypatch):
+    monkeypatch.setitem(globals(), "plain_groups", exact_groups)
+    test_pipeline(spark, sf)
+
+
 def test_stages_keep_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

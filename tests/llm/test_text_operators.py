@@ -101,6 +101,48 @@ def test_keep_one(spark, odd_docs):
     assert 1 in ids and 2 not in ids and ids.count(None) == 2 and 9 in ids and sum(i in (5, 6, 8) for i in ids) == 1
 
 
+def jaccard(a, b, words=5):
+    a, b = (set(simhash.shingle_hashes(t.encode(), words).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def near_pairs(words):
+    """Pairs of texts with a similarity from 0.5 to 0.95, short ones among them."""
+    import random
+
+    rng = random.Random(11)
+    pairs = []
+    for i in range(240):
+        own = [rng.choice(words) for _ in range(rng.choice((9, 40, 150)))]
+        other = list(own)
+        for at in rng.sample(range(len(own)), 1 + len(own) // rng.choice((25, 35, 45, 60, 90))):
+            other[at] = f"new{i}x{at}"
+        if i % 4 == 0:
+            other = own[: int(len(own) * rng.uniform(0.75, 0.97))]
+        pairs.append((" ".join(own), " ".join(other)))
+    return pairs
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 4])
+def test_near_groups_are_by_exact_similarity(spark, words, block, monkeypatch):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (5, simhash.PREFILTER, block))
+    pairs = near_pairs(words)
+    base = [f"w{i}" for i in range(120)]
+    dense = [" ".join(base[:i] + [f"d{i}"] + base[i + 1 :]) for i in range(5, 115, 10)]
+    texts = {i: t for i, t in enumerate([t for p in pairs for t in p] + dense)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {i: simhash.fingerprint(t.encode(), 5) % (1 << 64) for i, t in texts.items()}
+    label = {i: i for i in texts}
+    links = [(a, b) for a, b in combinations(texts, 2) if (prints[a] ^ prints[b]).bit_count() <= 4 or jaccard(texts[a], texts[b]) >= 0.8]
+    for _ in range(12):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+    assert got == label
+    below = [i for i, p in enumerate(pairs) if 0.7 <= jaccard(*p) < 0.8]
+    assert len(below) > 20 and sum(got[2 * i] != got[2 * i + 1] for i in below) > 0.9 * len(below)
+
+
 def brute_removed(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:
