@@ -48,7 +48,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = usable(batch.column(1))
         keep = pa.array([v is not None for v in vectors])
         good = [v for v in vectors if v is not None]
-        arrays = [batch.column(0).filter(keep), pa.array([len(v) for v in good], pa.int32()), pa.array([v.tobytes() for v in good], pa.binary())]
+        arrays = [batch.column(0).filter(keep), pa.array([len(v) for v in good], pa.int32()), pa.array([(v + 0.0).tobytes() for v in good], pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=["id", "dim", "v"])
 
 
@@ -69,6 +69,9 @@ class Slab:
     """The candidates of one key."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        if (ids[1:] < ids[:-1]).any():
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], vectors[order]
         self.ids, self.vectors = ids, vectors
         self.codes, self.scale, _, self.size = quantised(vectors)
 
@@ -85,6 +88,9 @@ class Slab:
             slack += 1e-9 * (slack + np.abs(near))
             near[ids[:, None] == self.ids[None, part]] = -np.inf
             low, high = near - slack, near + slack
+            edges = runs(self.ids[part])[:-1]
+            if len(edges) < low.shape[1]:  # an id counts once for the bound, as equal scores of one id are one result
+                low = np.maximum.reduceat(low, edges, axis=1)
             if low.shape[1] > k:
                 least = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
             else:
@@ -161,7 +167,8 @@ def nearest(
     slab_least: int = SLAB_LEAST, slab_most: int = SLAB_MOST,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the largest inner product with each query."""
-    candidates, asked = cut(packed(rows, vec_id, embedding)), cut(packed(queries, vec_id, embedding))
+    # repeated rows are one candidate and one query
+    candidates, asked = (cut(packed(x, vec_id, embedding).distinct()) for x in (rows, queries))
     n, m = candidates.count(), asked.count()
     slab = min(slab_most, max(slab_least, math.ceil(n / SLABS)))
     slabs, groups = max(1, math.ceil(n / slab)), max(1, math.ceil(m / slab))

@@ -48,6 +48,34 @@ def test_bounds_hold():
         assert [-c - 1000 for _, c in found[i]] == np.argsort(-(y @ x[i]))[:5].tolist()
 
 
+@pytest.mark.parametrize("times", [2, 20])
+def test_nearest_with_repeated_rows(spark, times):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(300, 64)).astype(np.float32).astype(np.float64)
+    m[7], m[8, 0], m[9, 0] = m[0] * 2, 0.0, -0.0
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] * times
+    rows += [(9, [0.0, *m[9, 1:].tolist()])] * times + [(7, m[7].tolist())] * 400  # a zero of the other sign; a hot id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 300, 20))
+    for q, mine in got.items():
+        score = m @ m[q]
+        order = [i for i in np.argsort(-score) if i != q][:20]
+        assert [(r, v) for r, v, _ in sorted(mine)] == list(enumerate(order, 1))
+        assert np.allclose([s for _, _, s in sorted(mine)], score[order])
+
+
+@pytest.mark.parametrize("times", [2, 20])
+def test_bounds_hold_with_repeated_rows(times):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(30, 64)), rng.normal(size=(400, 64))
+    found = dict(ann.Slab(np.tile(np.arange(400), times) + 1000, np.tile(y, (times, 1))).search(np.arange(30), x, 20))
+    for i in range(30):
+        assert [-c - 1000 for _, c in found[i]] == np.argsort(-(y @ x[i]))[:20].tolist()
+
+
 @pytest.mark.parametrize("tile", [embdedup.TILE, 16])
 def test_embedding_groups(spark, vectors, tile):
     good, df = vectors
