@@ -6,17 +6,18 @@ them. Of the chunks of two lines or more that occur at several places of the cor
 smallest place) stays and the others are removed, once their bytes have been compared with the first's.
 
 Scale. Chunk keys, not texts, are aggregated (with map-side combine) and joined; a key that holds a large part of all rows
-is left to the skew handling of sort-merge joins. Texts are shuffled once, by doc_id, for both the comparison and the
+is left to the skew handling of sort-merge joins. Texts are shuffled by row identity, for the comparison and for the
 removal; only the bytes of chunks that occur more than once are shuffled again.
 
-Defined cases: a null text stays null and an empty one empty; rows that share a doc_id count as one document (rows equal in
-it and in place are the same occurrence); a null doc_id comes after all others and its rows count as one document; lines
-that are removed take their line end with them; a text of which all is removed becomes empty, and its row stays.
+Defined cases: a null text stays null and an empty one empty; a row is known by its doc_id and a hash of its text, so rows
+that share a doc_id (or have none) are documents of their own, in the order of that hash; of rows equal in both the first
+keeps first occurrences and the others are later ones; a null doc_id comes after all others; lines that are removed take
+their line end with them; a text of which all is removed becomes empty, and its row stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROLL, FACTOR, MODULUS, MEAN_LINES = 3, 31, 1_000_003, 4
@@ -38,28 +39,40 @@ def chunk_column(mean_lines: int = MEAN_LINES):
     return F.expr(f"flatten(transform(array({hashed}), h -> {bound_ends}))")
 
 
+def numbered(rows: DataFrame, row: list[str]) -> DataFrame:
+    """rows with nth, from 1 for each of the rows that are equal in `row`."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*row).orderBy(*row)))
+
+
 def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     """docs with text stripped of repeated chunks, and two more columns: _lines and _removed_lines, as longs."""
     columns = docs.columns
     some = F.col("text").contains("\n")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    found = own.where(some).select("doc", F.inline(chunk_column(mean_lines)))
-    place = F.struct(F.col("doc").isNull().alias("null"), F.col("doc").alias("doc"), F.col("start").alias("start"))
-    firsts = found.groupBy("key").agg(F.min(F.struct(place.alias("place"), "n")).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.where("first.place <> last").select("key", "first")
-    later = found.join(firsts, "key").where(~place.eqNullSafe(F.col("first.place"))).select("key", "doc", "start", "n", F.lit(False).alias("is_first"))
-    heads = firsts.select("key", F.col("first.place.doc").alias("doc"), F.col("first.place.start").alias("start"), F.col("first.n").alias("n"), F.lit(True).alias("is_first"))
-    wanted = later.unionByName(heads).groupBy("doc").agg(F.collect_set(F.struct("key", "start", "n", "is_first")).alias("w"))
-    dealt = own.where(some)
-    texts = dealt.join(wanted, dealt["doc"].eqNullSafe(wanted["doc"])).select(dealt["doc"], "text", F.explode("w").alias("c"))
-    texts = texts.select("doc", F.col("c.key").alias("key"), F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.col("c.is_first").alias("is_first"), F.expr(f"array_join(slice({_lines('text')}, c.start, c.n), '\n')").alias("bytes"))
-    texts = texts.where(F.size(F.split("bytes", "\n")) == F.col("n"))  # another row of the id may be shorter
+    text = F.col("text").cast("string")
+    doc = F.col("doc_id").cast("long")
+    # a row is known by none (whether its id is null), doc and tag (a hash of its text)
+    row = ["none", "doc", "tag"]
+    known = [doc.isNull().alias("none"), F.coalesce(doc, F.lit(0).cast("long")).alias("doc"), F.xxhash64(text).alias("tag")]
+    own = docs.select(*known, text.alias("text"))
+    found = own.where(some).select(*row, F.inline(chunk_column(mean_lines)))
+    place = F.struct(*row, "start")
+    firsts = found.groupBy("key").agg(F.min(F.struct(place.alias("place"), "n")).alias("first"), F.count("*").alias("times"))
+    firsts = firsts.where("times > 1").select("key", "first")
+    later = found.join(firsts, "key").where(place != F.col("first.place")).select("key", *row, "start", "n", F.lit(False).alias("is_first"))
+    heads = firsts.select("key", "first.place.*", F.col("first.n").alias("n"), F.lit(True).alias("is_first"))
+    marked = later.unionByName(heads)
+    wanted = marked.groupBy(*row).agg(F.collect_set(F.struct("key", "start", "n", "is_first")).alias("w"))
+    # of equal rows one is read for the comparison
+    texts = numbered(own.where(some), row).where("nth = 1").join(wanted, row).select(*row, "text", F.explode("w").alias("c"))
+    texts = texts.select(*row, F.col("c.key").alias("key"), F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.col("c.is_first").alias("is_first"), F.expr(f"array_join(slice({_lines('text')}, c.start, c.n), '\n')").alias("bytes"))
     head = texts.where("is_first").select("key", F.col("bytes").alias("head"))
-    same = texts.where("not is_first").join(head, "key").where("bytes = head").select("doc", "start", "n")
-    gone = same.groupBy("doc").agg(F.collect_set(F.struct("start", "n", )).alias("gone")).withColumnRenamed("doc", "gone_doc")
+    same = texts.where("not is_first").join(head, "key").where("bytes = head").select(*row, "start", "n", "is_first")
+    # a first occurrence goes from the second and later ones of equal rows
+    gone = same.unionByName(heads.select(*same.columns)).groupBy(*row).agg(F.collect_set(F.struct("start", "n", "is_first")).alias("all_gone"))
     new = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
-    full = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), *new)
-    full = full.join(gone, full["doc"].eqNullSafe(gone["gone_doc"]), "left")
+    full = numbered(docs.select(*known, text.alias("text"), *new), row).join(gone, row, "left")
+    full = full.withColumn("gone", F.expr("filter(all_gone, g -> nth > 1 or not g.is_first)"))
+    full = full.withColumn("gone", F.when(F.size("gone") > 0, F.col("gone")))
     left = f"filter({_lines('text')}, (l, i) -> not exists(gone, g -> i + 1 >= g.start and i + 1 < g.start + g.n))"
     full = full.withColumn("left", F.when(F.col("gone").isNotNull(), F.expr(left)))
     whole = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))

@@ -179,6 +179,24 @@ def test_line_dedup(spark, odd_docs):
     assert len(left[None]) < len(block)
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    block = "\n".join(f"shared line {i} of the block" for i in range(12))
+    other = "\n".join(f"unique line {i} of a row of its own" for i in range(14))
+    more = "\n".join(f"one more line {i} of another row" for i in range(14))
+    rows = [(1, f"own\n{block}"), (5, f"b\n{block}"), (5, f"b\n{other}"), (None, f"c\n{block}"), (None, f"c\n{more}")]
+    left = [(r["doc_id"], r["text"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {(1, f"own\n{block}"), (5, f"b\n{other}"), (None, f"c\n{more}")} <= set(left) and len(left) == 5
+    assert sorted(d is None for d, t in left if "shared" in t and len(t) < len(block)) == [False, True]
+
+
+def test_line_dedup_of_exact_repeats(spark):
+    block = "\n".join(f"shared line {i} of the block" for i in range(12))
+    for key in (3, None):
+        df = spark.createDataFrame([(key, block)] * 3, "doc_id long, text string")
+        left = sorted((r["text"] for r in linededup.dedup_lines(df).collect()), key=len)
+        assert left[2] == block and left[0] == left[1] and len(left[0]) < len(block) / 2
+
+
 def test_mixing(spark, odd_docs):
     out = mixing.mix(odd_docs, share=2.0, max_epochs=2)
     rows = out.collect()
