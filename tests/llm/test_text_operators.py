@@ -143,6 +143,13 @@ def test_near_groups_are_by_exact_similarity(spark, words, block, monkeypatch):
     assert len(below) > 20 and sum(got[2 * i] != got[2 * i + 1] for i in below) > 0.9 * len(below)
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark, words):
+    a, b = " ".join(words[:60]), " ".join(words[100:170])
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b + " end"), (3, " ".join(words[200:260]))], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+    assert got == Counter({(1, a): 1, (1, b): 1, (3, " ".join(words[200:260])): 1})
+
+
 def brute_removed(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:
