@@ -1,5 +1,8 @@
 """Vector operators against brute force, and main text of pages."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 
@@ -134,3 +137,78 @@ def test_repeated_articles_stay(spark):
     rows = [(i, "http://a.org/1", "<article><p>the same long article text stands on many pages of this host</p></article>") for i in range(6)]
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in got} == {"the same long article text stands on many pages of this host"}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><div style="overflow:hidden"><p>whole body</p></div></article>', "whole body"),
+        ('<article><p>a <a href="/the-hidden-valley">link text</a> b</p></article>', "a link text b"),
+        ('<article><p title="hidden gems">x</p></article>', "x"),
+        ('<article><p data-id="nav">x</p></article>', "x"),
+        ('<article><h2 id="search-algorithms">x</h2></article>', "x"),
+        ('<article><h2 id="legal-history" class="menu">x</h2></article>', "x"),
+        ('<article><section id="comments"><p>x</p></section><div id="comments">y</div><div class="comment-list">z</div></article>', "x"),
+        ("<article><pre><code><span class='comment'># x</span></code></pre></article>", "# x"),
+        ("<article><p>1 < 2 > 0</p><p>y <abc never ends</article", "1 < 2 > 0\n\ny <abc never ends</article"),
+        ('<article><a title="x>y</a> z</article>', "y z"),
+    ],
+)
+def test_structure(page, text):
+    assert "\n\n".join(html.blocks_of(page)[0]) == text
+
+
+@pytest.mark.parametrize("unit", ["<" + "a" * 1_000_000, "<a " * 300_000, '<a b=" > " c=' * 80_000, "<b>" * 150_000 + "</i>" * 200_000, "<a b='" * 100_000 + ">", "<!-- " * 200_000])
+def test_broken_pages_take_linear_time(unit):
+    began = time.time()
+    html.blocks_of(unit)
+    assert time.time() - began < 20
+
+
+def plain_uniques(pages, run, least_pages, least_share):
+    """Unique runs of open pages, each place compared with each other one's tokens; pages are (host, blocks)."""
+    out = []
+    for host, blocks in pages:
+        others = {tuple(b) for h, b in pages if h == host}
+        need = max(least_pages, -(-len(others) * least_share // 1))
+        cover, at, marked = set(), 0, []
+        for i, block in enumerate(blocks):
+            words = block.split(" ")
+            marked += [(w, i) for w in words]
+            for k in range(len(words) - run + 1):
+                if sum(any(b.split(" ")[j : j + run] == words[k : k + run] for b in o for j in range(len(b.split(" ")))) for o in others) >= need:
+                    cover |= set(range(at + k, at + k + run))
+            if len(words) < run and sum(block in o for o in others) >= need:
+                cover |= set(range(at, at + len(words)))
+            at += len(words)
+        left = [" ".join(w for k, (w, own) in enumerate(marked) if own == i and k not in cover) for i in range(len(blocks))]
+        out.append("\n\n".join(x for x in left if x))
+    return out
+
+
+def test_open_pages_against_brute_force(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice("abcdefg") * rng.randint(1, 2) for _ in range(n))
+    shared = [prose(rng.randint(1, 14)) for _ in range(8)]
+    pages = []
+    for _ in range(60):
+        blocks = [rng.choice(shared) if rng.random() < 0.5 else prose(rng.randint(1, 20)) for _ in range(rng.randint(1, 6))]
+        if rng.random() < 0.4:
+            blocks[0] = f"{prose(3)} {rng.choice(shared)} {prose(2)}"
+        pages.append((rng.choice(["h", "h", "k"]), blocks))
+    pages += [pages[0]] * 4  # copies count once
+    rows = [(i, f"http://{h}/{i}", "".join(f"<div>{b}</div>" for b in bs)) for i, (h, bs) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for run, least, share in ((5, 3, 0.02), (3, 2, 0.1)):
+        got = {r["page_id"]: r["text"] for r in html.main_text(df, run, least, share).collect()}
+        want = plain_uniques(pages, run, least, share)
+        assert [got[i] for i in range(len(rows))] == want and any(len(w) < len("\n\n".join(p[1])) for w, p in zip(want, pages, strict=True))
+
+
+def test_copied_open_pages_stay_and_odd_tables(spark):
+    text = "an article of many words that was copied to several open pages of its host"
+    rows = [(i, f"http://a.org/{i}", f"<p>{text}</p>", "x") for i in range(6)] + [(6, None, None, None), (6, None, "<p>z</p>", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = [(r["page_id"], r["text"]) for r in html.main_text(df).collect()]
+    assert sorted(got) == [*((i, text) for i in range(6)), (6, ""), (6, "z")]
+    assert html.main_text(df.limit(0)).collect() == []
