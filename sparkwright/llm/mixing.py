@@ -85,7 +85,18 @@ def mix(
     docs: DataFrame, domains: dict[str, float] | None = None, languages: dict[str, float] | None = None, share: float = SHARE,
     max_epochs: int = MAX_EPOCHS, seed: int = SEED, broadcast_leaves: int = BROADCAST_LEAVES,
 ) -> DataFrame:
-    """The documents of the mixture, one row for each time one is taken, with two more columns: _domain and _epoch."""
+    """The documents of the mixture, one row for each time one is taken, with two more columns, _domain and _epoch; columns of
+    docs with these names are replaced."""
+    out = taken(docs, domains, languages, share, max_epochs, seed, broadcast_leaves)
+    own = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("_domain", "_epoch")]
+    return out.select(*own, F.col("domain").alias("_domain"), F.col("epoch").alias("_epoch"))
+
+
+def taken(
+    docs: DataFrame, domains: dict[str, float] | None = None, languages: dict[str, float] | None = None, share: float = SHARE,
+    max_epochs: int = MAX_EPOCHS, seed: int = SEED, broadcast_leaves: int = BROADCAST_LEAVES,
+) -> DataFrame:
+    """(row, domain, epoch): each taking of a document, its columns as row.c0, row.c1, ..."""
     slim = cut(_leaf(docs))
     leaves = cut(slim.groupBy("domain", "l", "s").agg(F.sum("tokens").alias("tokens")))
     few = leaves.count() <= broadcast_leaves
@@ -103,17 +114,16 @@ def mix(
     limit = F.greatest(F.col("bucket"), F.coalesce("last", F.lit("")))  # every hash of an earlier bucket sorts before it
     ends = ends.join(last, keys, "left").select(*keys, limit.alias("limit"))
     plan = cut(plan.drop("tokens").join(ends, keys, "left"))
-    named = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.expr(DOMAIN).alias("domain"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"), F.col("text").alias("text")).where("text <> ''").drop("text")
+    named = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.expr(DOMAIN).alias("domain"), F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"), F.col("text").alias("text")).where("text <> ''").drop("text")
     named = named.join(small(plan), keys).withColumn("h", _order(seed))
-    taken = F.when((F.col("rest") > 0) & (F.col("h") <= F.coalesce("limit", F.lit("g"))), 1).otherwise(0)
-    times = named.withColumn("times", F.col("full").cast("int") + taken).where("times > 0")
-    out = times.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    return out.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("domain").alias("_domain"), "_epoch")
+    last_too = F.when((F.col("rest") > 0) & (F.col("h") <= F.coalesce("limit", F.lit("g"))), 1).otherwise(0)
+    times = named.withColumn("times", F.col("full").cast("int") + last_too).where("times > 0")
+    return times.select("row", "domain", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixture with the columns of docs; a document taken in several epochs stands several times."""
-    return mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken(docs).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _sql_weights(column: str, weights: dict[str, float]) -> str:

@@ -62,10 +62,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    """docs, encoded and decoded, with digests in place of the texts."""
+    """docs, encoded and decoded, with digests in place of the texts; columns of docs with the digests' names are replaced."""
     out = bpe_round_trip(docs, vocabulary_path())
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")],
         F.size("input_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded_text"), 256).alias("decoded_sha256"),

@@ -308,3 +308,39 @@ def test_similar_texts_are_one_group(spark, words):
     groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
     assert {groups[i] for i in range(1, 8)} == {1}
     assert all(groups[i] == i for i in (20, 21, 22, 23, 24, 30))
+
+
+def test_line_dedup_is_linear_in_lines(spark):
+    import time
+
+    text = "\n".join(f"line {i} of a long list" for i in range(64_000))
+    began = time.time()
+    rows = linededup.remove_repeated_chunks(spark.createDataFrame([(1, text), (2, text), (3, text + "\nmore")], "doc_id long, text string")).collect()
+    assert time.time() - began < 60
+    got = {r["doc_id"]: (r["_lines"], r["_removed_lines"]) for r in rows}
+    assert got[1] == (64_000, 0) and got[2][0] == 64_000 and got[2][1] > 50_000 and got[3][1] > 50_000
+
+
+def test_hot_chunks(spark):
+    rows = [(i, "a\nb\nc\nd\ne\nf") for i in range(300)] + [(1000 + i, f"x{i}\ny{i}\nz{i}") for i in range(300)] + [(2000 + i, f"x{i}\ny{i}\nz{i}") for i in range(300)]
+    rows += [(None, "a\nb\nc\nd\ne\nf")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 2, 1000):  # no key is hot, some are, all are
+        linededup.HOT, kept = hot, linededup.HOT
+        try:
+            got = Counter((r["doc_id"], r["text"]) for r in linededup.dedup_lines(docs, 1_000_003).collect())
+        finally:
+            linededup.HOT = kept
+        want = Counter([(0, rows[0][1]), *((i, "") for i in range(1, 300)), *((1000 + i, f"x{i}\ny{i}\nz{i}") for i in range(300)), *((2000 + i, "") for i in range(300)), (None, ""), (None, "")])
+        assert got == want
+
+
+def test_clashing_names(spark, odd_docs):
+    docs = odd_docs
+    for name in ("_lines", "_removed_lines", "_domain", "_epoch", "n_tokens", "ids_sha256", "decoded_sha256", "key", "tag", "h", "row"):
+        docs = docs.withColumn(name, F.lit("own"))
+    for out in (linededup.dedup_lines(docs), mixing.mix_documents(docs), simhash.keep_one(docs)):
+        assert out.columns == docs.columns and {r["_lines"] for r in out.collect()} <= {"own"}
+    assert linededup.remove_repeated_chunks(docs).columns.count("_lines") == 1
+    assert mixing.mix(docs).columns.count("_epoch") == 1
+    assert queries.token_digests(docs).columns.count("n_tokens") == 1 and queries.token_digests(docs).count() == odd_docs.count()
