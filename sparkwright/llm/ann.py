@@ -7,8 +7,8 @@ quantisation error. Pairs whose upper bound is below the k-th largest lower boun
 query has so far, are out; those that survive are computed again in double precision from the original vectors and go into a
 heap of k for each query. The heaps of all slabs are merged by query. Nothing is approximate in the result.
 
-Scale. Slabs grow with the input up to SLAB_MOST rows, which bounds a task's memory; queries stream by in tiles. A query
-leaves k rows for each slab.
+Scale. Slabs grow with the input up to SLAB_MOST rows, which bounds a task's memory; queries stream by in tiles, so a group of
+queries is GROUP slabs large and candidates are copied that much less often. A query leaves k rows for each slab.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; candidates of
 another length than the query take no part in its result; a null id takes no part; ties go to the smaller id; a query's own
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm.common import cut, int_column, runs, whole_runs
 
-SLAB_LEAST, SLAB_MOST, SLABS, TILE = 4096, 131_072, 64, 128
+SLAB_LEAST, SLAB_MOST, SLABS, GROUP, TILE = 4096, 131_072, 64, 16, 128
 
 
 def usable(column: pa.Array) -> list[np.ndarray | None]:
@@ -171,7 +171,7 @@ def nearest(
     candidates, asked = (cut(packed(x, vec_id, embedding).distinct()) for x in (rows, queries))
     n, m = candidates.count(), asked.count()
     slab = min(slab_most, max(slab_least, math.ceil(n / SLABS)))
-    slabs, groups = max(1, math.ceil(n / slab)), max(1, math.ceil(m / slab))
+    slabs, groups = max(1, math.ceil(n / slab)), max(1, math.ceil(m / (GROUP * slab)))
     deal = lambda parts, seed: F.expr(f"cast(pmod(xxhash64(id, {seed}), {parts}) as long)")
     side = candidates.select(F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("g"), deal(slabs, 1).alias("s"), F.lit(0).alias("kind"), "dim", "id", "v")
     asks = asked.select(deal(groups, 2).alias("g"), F.explode(F.expr(f"sequence(0L, {slabs - 1}L)")).alias("s"), F.lit(1).alias("kind"), "dim", "id", "v")
