@@ -4,9 +4,9 @@ Bytes of the whole text (UTF-8) are embedded and cut into overlapping chunks tha
 bytes run over every chunk, two bytes on at each step, and are max-pooled in it. The mean and the maximum of the chunks' pools feed one logistic unit,
 whose output is the probability of label 1. Nothing but the text is an input.
 
-Fitting takes a bounded sample of labelled rows (`sample_rows`, those with the smallest hash of their id) and, of a long
-text, at most `sample_chunks` chunks spread evenly over it; these go to the driver, at most sample_rows * sample_chunks *
-CHUNK bytes. Scoring is a map over all rows and all bytes, without a shuffle.
+Fitting takes a bounded sample of labelled rows (`sample_rows`, those with the smallest hash of their id), each with its whole
+text; these go to the driver. Filters run over a batch of them in pieces. Scoring is a map over all rows and all bytes, without
+a shuffle.
 
 Defined cases: null and empty texts are scored as one chunk of padding; labels that are null are not learned from; with
 fewer than two classes among the labelled rows the score is the share of label 1 (1.0 without any); a null id is not held
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import text_bytes
 
 CHUNK, OVERLAP, WIDTH, STRIDE, DIM, FILTERS = 512, 32, 6, 2, 6, 16
-SAMPLE_ROWS, SAMPLE_CHUNKS, EPOCHS, BATCH, SEED = 3000, 24, 20, 64, 7
+SAMPLE_ROWS, EPOCHS, BATCH, SEED = 3000, 20, 64, 7
 
 
 def chunk_starts(size: int) -> np.ndarray:
@@ -98,12 +98,17 @@ def score(model: dict, adds: list[np.ndarray], text: bytes, at_once: int = 4096)
     return float(combine(model, (total / len(starts)).astype(np.float32)[None], peak[None])[0])
 
 
-def gradients(model: dict, chunks: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+def gradients(model: dict, chunks: np.ndarray, sizes: np.ndarray, labels: np.ndarray, at_once: int = 256) -> dict[str, np.ndarray]:
     """Gradients of the mean log loss over documents; chunks of one document stand together, `sizes` of them each."""
     seen = windows(model, chunks)
-    outs = (np.ascontiguousarray(seen).reshape(-1, WIDTH * DIM) @ model["filters"]).reshape(len(chunks), -1, FILTERS)
-    where = outs.argmax(axis=1)
-    pooled = np.maximum(np.take_along_axis(outs, where[:, None], axis=1)[:, 0] + model["bias"], 0)
+    where, top = [], []
+    for at in range(0, len(chunks), at_once):
+        part = np.ascontiguousarray(seen[at : at + at_once])
+        outs = (part.reshape(-1, WIDTH * DIM) @ model["filters"]).reshape(len(part), -1, FILTERS)
+        where.append(outs.argmax(axis=1))
+        top.append(np.take_along_axis(outs, where[-1][:, None], axis=1)[:, 0])
+    where = np.concatenate(where)
+    pooled = np.maximum(np.concatenate(top) + model["bias"], 0)
     begin = np.append(0, np.cumsum(sizes)[:-1])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     mean, peak = np.add.reduceat(pooled, begin) / sizes[:, None], np.maximum.reduceat(pooled, begin)
@@ -126,8 +131,12 @@ def gradients(model: dict, chunks: np.ndarray, sizes: np.ndarray, labels: np.nda
     }
 
 
-def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int = SEED) -> dict:
-    """Adam over (chunks, label) rows."""
+def all_chunks(text: bytes) -> np.ndarray:
+    return chunks_of(text, chunk_starts(len(text)))
+
+
+def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED) -> dict:
+    """Adam over (text, label) rows."""
     rng = np.random.default_rng(seed)
     model = first_model(rng)
     share = float(np.mean([label for _, label in rows])) if rows else 1.0
@@ -140,7 +149,7 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int =
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
-            some = [rows[i] for i in order[at : at + BATCH]]
+            some = [(all_chunks(rows[i][0]), rows[i][1]) for i in order[at : at + BATCH]]
             sizes = np.array([len(c) for c, _ in some])
             found = gradients(model, np.concatenate([c for c, _ in some]), sizes, np.array([y for _, y in some], float))
             step += 1
@@ -157,31 +166,22 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _sample_chunks(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in text_bytes(batch.column("text")):
-                starts = chunk_starts(len(text))
-                if len(starts) > most:
-                    starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
-                found.append(chunks_of(text, starts).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "chunks"])
-
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_chunks: int = SAMPLE_CHUNKS) -> dict:
-    """A model from labelled rows that are not held out."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, sample_rows: int) -> DataFrame:
+    """(doc_id, label, text) of at most `sample_rows` labelled rows that are not held out; labels run from 0 to `most`."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    named = named.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    named = named.where(F.col("doc_id").isNotNull() & F.col("label").between(0, most) & ~held_out(F.col("doc_id")))
     some = named.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the broadcast side has sample_rows rows of 12 bytes
+    # the broadcast side has sample_rows rows of 12 bytes; ids that repeat in docs can add rows, so the sample is cut again
     pairs = texts.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
-    found = pairs.mapInArrow(_sample_chunks(sample_chunks), "doc_id long, label int, chunks binary").toPandas()
-    found = found.sort_values(["doc_id", "label"], kind="stable").head(sample_rows)
-    return train([(np.frombuffer(c, np.uint8).reshape(-1, CHUNK), y) for c, y in zip(found["chunks"], found["label"], strict=True)])
+    return pairs.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text")).limit(sample_rows)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict:
+    """A model from labelled rows that are not held out."""
+    found = sampled(docs, labels, label, 1, sample_rows).select("doc_id", "label", F.col("text").cast("binary").alias("text")).collect()
+    rows = sorted(((r["doc_id"], r["label"], bytes(r["text"] or b"")) for r in found))
+    return train([(text, y) for _, y, text in rows])
 
 
 def _scores(model: dict):

@@ -1,17 +1,17 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features of a text are its words (lower case, marks stripped) and their prefixes of PREFIXES letters, each counted as
-log(1 + occurrences); only features that the training rows associate with toxic texts or their absence have a weight. Grades
-run from 0 (none) to GRADES - 1; one weight vector serves all thresholds: P(grade > j) = sigmoid(w.x - t_j) with
-t_0 < t_1 < ..., and the expected severity is the sum of these probabilities. The score of toxicity is P(grade > 0).
+log(1 + occurrences); only features that the training rows associate with toxic rows have a weight. Grades run from 0 (none)
+to GRADES - 1; one weight vector serves all thresholds: P(grade > j) = sigmoid(w.x - t_j) with t_0 < t_1 < ..., and the expected
+severity is the sum of these probabilities. The score of toxicity is P(grade > 0).
 
-The labels are 0 or 1, so the grades of toxic training rows come from the data: first the binary model is fitted, then each
-toxic row is graded by the number of words in it whose own evidence goes half the way to the threshold (CUTS), and then the ordinal model is
-fitted to the grades. Non-toxic rows are grade 0.
+Labels may be grades; then the model is fitted to them. Labels of 0 and 1 are grades of which the toxic ones are censored: all
+that is known of a toxic row is that its grade is above 0. Its likelihood is P(grade > 0), which fits the weights and t_0 and
+leaves the higher thresholds free. They are set so that of the toxic training rows the same expected share is in each grade
+above 0: severity then tells how a text compares with toxic ones, in steps of SHARES, and no grade is made up for a row.
 
-Fitting takes a bounded sample of labelled rows (`sample_rows`, smallest hash of the id first), of which executors send word
-counts, not texts: of a text at most `sample_words` different words, those with the smallest hash. Scoring is a map over all
-rows and all words; the table of weights has at most `most_features` entries.
+Fitting takes a bounded sample of labelled rows (`sample_rows`, smallest hash of the id first), of which executors send the word
+counts of the whole texts. Scoring is a map over all rows and all words; the table of weights has at most `MOST_FEATURES` entries.
 
 Defined cases: null and empty texts have no features and get the base severity; null labels are not learned from; with one
 class only among the labelled rows the score is their share of toxic rows (0 without any); rows and repeats are kept.
@@ -25,14 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.quality import held_out
+from sparkwright.llm.quality import sampled
 
-PREFIXES, GRADES, CUTS = (4, 5, 6, 7, 8), 4, (1, 2, 4)
-SAMPLE_ROWS, SAMPLE_WORDS, MOST_FEATURES, LEAST_ROWS, LEAST_EVIDENCE = 4000, 4000, 4096, 4, 3.0
+PREFIXES, GRADES, SHARES = (4, 5, 6, 7, 8), 4, (2 / 3, 1 / 3)
+SAMPLE_ROWS, MOST_FEATURES, LEAST_ROWS, LEAST_EVIDENCE = 4000, 4096, 4, 3.0
 MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 SEEN = 400_000
 
@@ -62,8 +61,8 @@ def choose(rows: list[tuple[dict[str, int], int]], most: int = MOST_FEATURES) ->
     found: tuple[Counter, Counter] = (Counter(), Counter())
     totals = [0, 0]
     for counts, label in rows:
-        found[label].update({f for w in counts for f in features_of(w)})
-        totals[label] += 1
+        found[label > 0].update({f for w in counts for f in features_of(w)})
+        totals[label > 0] += 1
     ranked = []
     for f, n in found[1].items():
         m = found[0][f]
@@ -83,7 +82,6 @@ def fit_ordinal(x: list[dict[int, float]], grades: np.ndarray, size: int, thresh
     value = np.array([a for v in x for a in v.values()])
     w, cuts = np.zeros(size), np.concatenate([[2.0], np.zeros(thresholds - 1)])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(cuts)]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, rounds + 1):
         theta = cuts[0] + np.append(0, np.cumsum(np.exp(cuts[1:])))
         score = np.bincount(row, value * w[column], len(x))
@@ -111,21 +109,34 @@ def grades_next(at: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return at[0], at[1] + 1
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def shared_out(levels: np.ndarray, first: float) -> list[float]:
+    """Thresholds above `first` that leave the SHARES of the expected rows above it, for toxic rows of these levels."""
+    out = [first]
+    for share in SHARES:
+        want, low, high = share * sigmoid(levels - first).mean(), out[-1], float(max(levels.max(), first)) + 40
+        for _ in range(100):  # the share falls as the threshold rises
+            at = (low + high) / 2
+            low, high = (at, high) if sigmoid(levels - at).mean() > want else (low, at)
+        out.append(high)
+    return out
+
+
 def train(rows: list[tuple[dict[str, int], int]]) -> dict:
     labels = np.array([label for _, label in rows])
-    if not len(labels) or labels.min() == labels.max():
-        return {"share": float(labels.mean()) if len(labels) else 0.0}
+    if not len(labels) or (labels > 0).all() or not labels.any():
+        return {"share": float((labels > 0).mean()) if len(labels) else 0.0}
     index = choose(rows)
     x = [vector(counts, index) for counts, _ in rows]
-    w, theta = fit_ordinal(x, labels, len(index), 1)
-    evidence = lambda word: sum(w[i] for f in features_of(word) if (i := index.get(f)) is not None) * math.log(2)
-    grades = np.zeros(len(rows), np.int64)
-    for i, (counts, label) in enumerate(rows):
-        if label:
-            hits = sum(n for word, n in counts.items() if evidence(word) > theta[0] / 2)
-            grades[i] = max(1, sum(hits >= cut for cut in CUTS))
-    w, theta = fit_ordinal(x, grades, len(index), GRADES - 1)
-    return {"index": {f: i for f, i in index.items() if w[i]}, "weights": w.tolist(), "thresholds": theta.tolist()}
+    w, theta = fit_ordinal(x, labels, len(index), int(labels.max()))
+    thresholds = theta.tolist()
+    if labels.max() == 1:
+        levels = np.array([sum(w[i] * v for i, v in row.items()) for row in x])
+        thresholds = shared_out(levels[labels > 0], thresholds[0])
+    return {"index": {f: i for f, i in index.items() if w[i]}, "weights": w.tolist(), "thresholds": thresholds}
 
 
 class Scorer:
@@ -160,31 +171,16 @@ class Scorer:
         return above[0], sum(above)
 
 
-def _words(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                counts = counted(text)
-                if len(counts) > most:
-                    counts = {w: counts[w] for w in sorted(counts, key=lambda w: (xxhash.xxh64_intdigest(w), w))[:most]}
-                found.append(list(counts.items()))
-            kinds = pa.map_(pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, kinds)], names=["doc_id", "label", "words"])
-
-    return run
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [list(counted(text).items()) for text in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.map_(pa.string(), pa.int32()))], names=["doc_id", "label", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> dict:
-    """A model from labelled rows that are not held out."""
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    named = named.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    some = named.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the broadcast side has sample_rows rows of 12 bytes
-    pairs = texts.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
-    rows = pairs.mapInArrow(_words(sample_words), "doc_id long, label int, words map<string,int>").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["label"]))[:sample_rows]
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> dict:
+    """A model from labelled rows that are not held out; labels are 0 and 1, or grades up to GRADES - 1."""
+    rows = sampled(docs, labels, label, GRADES - 1, sample_rows).mapInArrow(_words, "doc_id long, label int, words map<string,int>").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["label"], len(r["words"])))
     return train([(r["words"], r["label"]) for r in rows])
 
 

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and on odd rows."""
 
 import hashlib
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -344,3 +345,122 @@ def test_clashing_names(spark, odd_docs):
     assert linededup.remove_repeated_chunks(docs).columns.count("_lines") == 1
     assert mixing.mix(docs).columns.count("_epoch") == 1
     assert queries.token_digests(docs).columns.count("n_tokens") == 1 and queries.token_digests(docs).count() == odd_docs.count()
+
+
+def plain_quality(model, text):
+    """The network without tables: each filter at every other place of each chunk."""
+    pools = []
+    for at in range(0, max(1, len(text) - quality.OVERLAP), quality.CHUNK - quality.OVERLAP):
+        chunk = text[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        outs = []
+        for i in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            seen = np.concatenate([model["embedding"][b] for b in chunk[i : i + quality.WIDTH]]).astype(float)
+            outs.append(seen @ model["filters"] + model["bias"])
+        pools.append(np.maximum(np.max(outs, axis=0), 0))
+    logit = np.mean(pools, axis=0) @ model["mean"] + np.max(pools, axis=0) @ model["peak"] + model["base"][0]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_quality_scores_by_brute_force(words):
+    rng = np.random.default_rng(2)
+    model = quality.first_model(rng)
+    model["bias"] = rng.normal(size=quality.FILTERS).astype(np.float32)
+    adds = quality.tables(model)
+    for text in (b"", b"one", "é漢 ".encode() * 70, " ".join(words).encode(), " ".join(words * 3).encode()):
+        assert abs(quality.score(model, adds, text) - plain_quality(model, text)) < 1e-4
+    long = " ".join(words * 200).encode()  # many pieces of few chunks agree with one piece
+    assert abs(quality.score(model, adds, long, at_once=7) - quality.score(model, adds, long)) < 1e-6
+
+
+def test_gradients_in_pieces():
+    rng = np.random.default_rng(3)
+    model = quality.first_model(rng)
+    chunks, sizes, labels = rng.integers(0, 255, (9, quality.CHUNK)).astype(np.uint8), np.array([2, 4, 3]), np.array([1.0, 0.0, 1.0])
+    whole, pieces = (quality.gradients(model, chunks, sizes, labels, n) for n in (256, 2))
+    assert all(np.allclose(whole[k], pieces[k], atol=1e-6) for k in whole)
+
+
+def toxic_rows(words, grades):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        grade = rng.choice(range(grades))
+        text = [rng.choice(words) for _ in range(30)] + [rng.choice(["vile", "vilest", "foul"]) for _ in range(grade * 2 + (rng.random() < 0.3 and grade > 0))]
+        rows.append((" ".join(rng.sample(text, len(text))), grade))
+    return rows
+
+
+def test_toxicity_by_brute_force(spark, words):
+    rows = toxic_rows(words, 2)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(1000, None), (1001, ""), (1002, " ".join(words * 80) + " vile" * 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, g) for i, (_, g) in enumerate(rows)], LABELS)
+    model = toxicity.fit(docs, labels)
+    assert model["thresholds"] == sorted(model["thresholds"]) and len(model["thresholds"]) == toxicity.GRADES - 1
+    for r in toxicity.with_severity(docs, model).collect():
+        level = 0.0
+        for f, i in model["index"].items():
+            n = sum(f in toxicity.features_of(w) for w in (r["text"] or "").lower().split())
+            level += model["weights"][i] * np.log1p(n)
+        above = [1 / (1 + np.exp(-(level - t))) for t in model["thresholds"]]
+        assert abs(r["score"] - above[0]) < 1e-9 and abs(r["severity"] - sum(above)) < 1e-9
+    # of the toxic rows that the model learned from, each grade above 0 holds the same expected share
+    held = {r["doc_id"] for r in docs.where(quality.held_out(F.col("doc_id"))).collect()}
+    levels = np.array([sum(model["weights"][i] * v for i, v in toxicity.vector(toxicity.counted(t), model["index"]).items()) for k, (t, g) in enumerate(rows) if g and k not in held])
+    means = [toxicity.sigmoid(levels - t).mean() for t in model["thresholds"]]
+    assert abs(means[1] / means[0] - 2 / 3) < 1e-6 and abs(means[2] / means[0] - 1 / 3) < 1e-6
+
+
+def test_toxicity_of_graded_labels(words):
+    rows = [(toxicity.counted(t), g) for t, g in toxic_rows(words, 4)]
+    scorer = toxicity.Scorer(toxicity.train(rows))
+    severity = [[scorer(" ".join(w for w, n in c.items() for _ in range(n)))[1] for c, g in rows if g == grade] for grade in range(4)]
+    means = [np.mean(s) for s in severity]
+    assert means == sorted(means) and all(abs(m - g) < 0.5 for g, m in enumerate(means))
+
+
+def test_fitted_models_score_odd_rows(spark, odd_docs, words):
+    rows = toxic_rows(words, 2)
+    docs = spark.createDataFrame([(100 + i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(100 + i, g, g) for i, (_, g) in enumerate(rows)], LABELS)
+    tox, good = toxicity.fit(docs, labels), quality.fit(docs, labels)
+    assert "share" not in tox and "share" not in good
+    a = [(r["doc_id"], r["score"]) for r in toxicity.with_severity(odd_docs, tox).collect()]
+    b = [(r["doc_id"], r["score"]) for r in quality.with_score(odd_docs, good).collect()]
+    assert len(a) == len(b) == odd_docs.count() and all(0 <= s <= 1 for _, s in a + b)
+    for found in (a, b):
+        assert len({s for i, s in found if i in (5, 6)}) == 1  # null and empty texts score alike
+
+
+def test_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 3, f"t{i}") for i in range(60)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)] * 2 + [(2, None, None), (None, 1, 1)], LABELS)
+    one, two = (sorted(map(tuple, quality.sampled(docs, labels, "quality", 1, 5).collect())) for _ in range(2))
+    assert len(one) == 5 and one == two
+
+
+def test_suffix_spans(spark, words):
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcdef") for _ in range(rng.choice([200, 230, 500]))) for _ in range(4)]
+    texts = [" ".join(f"{rng.random()}{rng.choice(passages)}{rng.random()}" for _ in range(rng.randint(1, 3))) for _ in range(12)] + ["x" * 450, None, ""]
+    where = Counter(b[i : i + 200] for t in texts if t for b in [t.encode()] for i in range(len(b) - 199))
+    want = {}
+    for doc, text in enumerate(texts):
+        raw = (text or "").encode()
+        covered = {i + k for i in range(len(raw) - 199) if where[raw[i : i + 200]] > 1 for k in range(200)}
+        want[doc] = (len(raw), len(covered), sum(i in covered and i - 1 not in covered for i in range(len(raw))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(docs, 200).collect()} == want
+    assert want[12] == (450, 450, 1)
+
+
+def test_simhash_query_on_the_whole_table(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = {i: brute_fingerprint(t, 4) for i, t in texts.items()}
+    rows = queries.op4_simhash(spark, sf).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in rows} == {i: f"{p:016x}" for i, p in prints.items()}
+    label = {i: i for i in prints}
+    links = [(a, b) for a, b in combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["doc_id"]: r["component_id"] for r in rows} == label
