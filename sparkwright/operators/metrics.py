@@ -5,7 +5,7 @@ Input rows have a score, a label `y` of 0 or 1 and, for what depends on file ord
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.operators.ordering import running_totals
@@ -25,19 +25,20 @@ def auroc_rank(rows: DataFrame) -> DataFrame:
 
 def auroc_rank_by(rows: DataFrame, *keys: str) -> DataFrame:
     """auroc_rank within each group."""
-    before = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score(rows, *keys).withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    ranked = running_totals(by_score(rows, *keys), "score", ["neg"], by=list(keys))
+    won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return ranked.groupBy(*keys).agg(F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def auroc_staircase(rows: DataFrame) -> DataFrame:
     """AUROC of the stepwise curve in order of score (descending) and idx, ties not grouped; 0.5 if a side is empty."""
     ranked = running_totals(by_score(rows), "score", ["pos"], descending=True).select("score", "pos_before")
-    inside = Window.partitionBy("score").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("own", F.coalesce(F.sum("y").over(inside), F.lit(0))).join(ranked, "score")
-    won = F.sum(F.when(F.col("y") == 0, F.col("pos_before") + F.col("own")))
-    return placed.agg(F.coalesce(F.try_divide(won, (F.sum("y") * F.sum(1 - F.col("y"))).cast("double")), F.lit(0.5)).alias("auroc"))
+    # positives before each row among those of its score: ranges of idx split a score that most rows share
+    inside = running_totals(rows.select("score", "idx", F.col("y").cast("long").alias("own")), "idx", ["own"], by=["score"])
+    # rows of one score meet its total as sums, one row for each score
+    sums = inside.groupBy("score").agg(F.sum("own").alias("pos"), F.sum(1 - F.col("own")).alias("neg"), F.sum(F.when(F.col("own") == 0, F.col("own_before"))).alias("inner"))
+    won = F.sum(F.col("neg") * F.col("pos_before") + F.coalesce("inner", F.lit(0)))
+    return sums.join(ranked, "score").agg(F.coalesce(F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")), F.lit(0.5)).alias("auroc"))
 
 
 def roc_curve(rows: DataFrame) -> DataFrame:
@@ -98,10 +99,10 @@ def out_of_fold_thresholds(rows: DataFrame, folds: int) -> DataFrame:
     others = F.array(*[F.lit(f).cast("long") for f in range(folds)])
     spread = rows.withColumn("target", F.explode(others)).where(F.col("target") != F.col("fold"))
     grouped = by_score(spread, "target")
-    upto = Window.partitionBy("target").orderBy(F.col("score").desc())
-    whole = Window.partitionBy("target")
-    tp, fp = F.sum("pos").over(upto), F.sum("neg").over(upto)
-    f1 = grouped.withColumn("f1", F.round(F.try_divide(2 * tp, tp + fp + F.sum("pos").over(whole)), 9))
+    ranked = running_totals(grouped, "score", ["pos", "neg"], descending=True, by=["target"])
+    total = F.broadcast(grouped.groupBy("target").agg(F.sum("pos").alias("all_pos")))  # one row for each fold
+    tp = F.col("pos_before") + F.col("pos")
+    f1 = ranked.join(total, "target").withColumn("f1", F.round(F.try_divide(2 * tp, tp + F.col("neg_before") + F.col("neg") + F.col("all_pos")), 9))
     best = f1.groupBy("target").agg(F.min_by("score", F.struct(-F.col("f1"), F.col("score"))).alias("threshold"))
     hit = F.col("score") >= F.col("threshold")
     own = rows.join(F.broadcast(best), rows["fold"] == best["target"])  # one row for each fold
@@ -112,15 +113,14 @@ def out_of_fold_thresholds(rows: DataFrame, folds: int) -> DataFrame:
 
 
 def auroc_by_negatives(rows: DataFrame, group: str) -> DataFrame:
-    """All positives against the negatives of each group: (group, auroc, n_neg, weight); sum(weight * auroc) is the AUROC."""
-    groups = [r[0] for r in rows.where("y = 0").select(group).distinct().limit(10_001).collect()]
-    if len(groups) > 10_000:
-        raise ValueError("groups of negatives are meant to be few")
-    mark = F.when(F.col("y") == 1, F.array(*[F.lit(g) for g in groups])).otherwise(F.array(F.col(group)))
-    spread = by_score(rows.withColumn("g", F.explode(mark)), "g")
-    before = Window.partitionBy("g").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    spread = spread.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    each = spread.groupBy("g").agg((won / (F.sum("pos") * F.sum("neg"))).alias("auroc"), F.sum("neg").alias("n_neg"))
-    total = F.sum("n_neg").over(Window.partitionBy(F.lit(0)))  # few rows
-    return each.select(F.col("g").alias(group), "auroc", "n_neg", (F.col("n_neg") / total).alias("weight"))
+    """All positives against the negatives of each group: (group, auroc, n_neg, weight); sum(weight * auroc) is the AUROC.
+
+    A negative loses to the positives above it, wherever they come from, so one order of all scores serves every group.
+    """
+    ranked = running_totals(by_score(rows), "score", ["pos"], descending=True)
+    total = F.broadcast(ranked.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")))  # one row
+    lost = ranked.select("score", (F.col("pos_before") + F.col("pos") / 2).alias("lost"))
+    negatives = rows.where("y = 0").groupBy(group, "score").agg(F.count("*").alias("n"))
+    each = negatives.join(lost, "score").groupBy(group).agg(F.sum(F.col("n") * F.col("lost")).alias("won"), F.sum("n").alias("n_neg"))
+    each = each.join(total)
+    return each.select(group, F.try_divide("won", (F.col("all_pos") * F.col("n_neg")).cast("double")).alias("auroc"), "n_neg", (F.col("n_neg") / F.col("all_neg")).alias("weight"))

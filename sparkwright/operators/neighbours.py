@@ -9,14 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 8192
+BLOCK, TILE = 8192, 256
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, include_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, id, distance): the k rows nearest to each query by Euclidean distance, ties to the smaller id.
 
-    Rows (id, v) and queries (id, v) are dealt to blocks of about `block` by a hash; each pair of blocks is one group, in
-    which distances are one matrix and only k rows for each query leave. Blocks bound a group's size, not its number.
+    Rows (id, v) and queries (id, v) are dealt to blocks of about `block` by a hash; each pair of blocks is one group. In it a
+    matrix product gives all distances roughly; those that can be among the k smallest are computed again from the differences,
+    and only k rows for each query leave. Blocks bound a group's size, not its number.
     """
     a, b = max(1, math.ceil(rows.count() / block)), max(1, math.ceil(queries.count() / block))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
@@ -28,17 +29,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, include_self: bool = Fa
             return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64"})
         x = np.stack(rows["v"].to_numpy())
         ids = rows["id"].to_numpy()
-        out = []
-        for query, v in zip(queries["id"], queries["v"], strict=True):
-            d = np.sqrt(((x - v) ** 2).sum(axis=1))
+        found = []
+        for at in range(0, len(queries), TILE):
+            part = queries.iloc[at : at + TILE]
+            y, asked = np.stack(part["v"].to_numpy()), part["id"].to_numpy()
+            xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            rough = yy[:, None] + xx[None] - 2 * (y @ x.T)
             if not include_self:
-                d = np.where(ids == query, np.inf, d)
-            near = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
-            near = np.flatnonzero(d <= d[near].max()) if len(d) > k + 1 else near
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            near = near[np.isfinite(d[near])]
-            out.append(pd.DataFrame({"query_id": query, "id": ids[near], "distance": d[near]}))
-        return pd.concat(out)
+                rough[asked[:, None] == ids[None]] = np.inf
+            slack = 1e-9 * (yy[:, None] + xx.max() + 1)
+            edge = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.full((len(y), 1), np.finfo(float).max)
+            q, c = np.nonzero(rough <= edge + slack)
+            d = np.sqrt(((x[c] - y[q]) ** 2).sum(axis=1))
+            order = np.lexsort((ids[c], d, q))
+            q, c, d = q[order], c[order], d[order]
+            first = np.searchsorted(q, np.arange(len(y)))
+            top = np.arange(len(q)) - first[q] < k
+            found.append(pd.DataFrame({"query_id": asked[q[top]], "id": ids[c[top]], "distance": d[top]}))
+        return pd.concat(found)
 
     found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(search, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
@@ -64,15 +72,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def template_distances(rows: DataFrame, templates: DataFrame, most_templates: int = 10_000) -> DataFrame:
+def template_distances(rows: DataFrame, templates: DataFrame, most_templates: int = 10_000, salts: int = 64) -> DataFrame:
     """(id, label, euclidean, cosine, max_z, mean_z, over2, mahalanobis) of each row and template (label, mean, sd, n).
 
-    Templates are classes, few and short; they are broadcast behind a check of their number. Cosine is 0 if a norm is
-    tiny; dimensions with hardly any spread are left out of z; the diagonal Mahalanobis distance needs three members.
+    Every record meets every class, by definition. Up to `most_templates` templates are broadcast; more are dealt to blocks of
+    about that many, and rows are copied to each block, salted so that a block is not one task. Cosine is 0 if a norm is tiny;
+    dimensions with hardly any spread are left out of z; the diagonal Mahalanobis distance needs three members.
     """
-    if templates.count() > most_templates:
-        raise ValueError("too many templates to broadcast")
-    both = rows.join(F.broadcast(templates))  # every record meets every class: the operator's definition
+    blocks = math.ceil(templates.count() / most_templates)
+    if blocks <= 1:
+        both = rows.join(F.broadcast(templates))
+    else:
+        salt = F.pmod(F.xxhash64("id"), F.lit(salts).cast("long")).alias("_salt")
+        copied = rows.select("*", salt, F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("_block"))
+        dealt = templates.select("*", F.pmod(F.xxhash64("label"), F.lit(blocks).cast("long")).alias("_block"), F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("_salt"))
+        both = copied.join(dealt, ["_block", "_salt"])
     diff = F.zip_with("v", "mean", lambda x, m: x - m)
     z = F.zip_with(diff, "sd", lambda d, s: F.when(s > 1e-9, F.abs(d) / s))
     some = F.filter(z, lambda x: x.isNotNull())

@@ -1,31 +1,41 @@
-"""Running totals over a global order without one task that sees all rows."""
+"""Running totals over an order, global or within groups, without one task that sees all rows of a group."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+LEAST_PARTS = 64
 
-def running_totals(rows: DataFrame, key: str, sums: list[str], parts: int = 64, descending: bool = False) -> DataFrame:
-    """rows, one for each value of the number `key`, with `<sum>_before`: the total of each of `sums` over smaller keys
-    (larger ones if descending).
 
-    Quantiles of the key cut the order into `parts` ranges; ranges are summed, their few totals accumulate, and only rows
-    within a range are put in order, so the work spreads over the ranges.
+def running_totals(rows: DataFrame, key: str, sums: list[str], descending: bool = False, by: list[str] | None = None, ties: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """rows with `<sum>_before`: the total of each of `sums` over rows of smaller `key`, a number (larger ones if descending),
+    within the groups that the columns `by` make. Rows of equal key are put in order by `ties`.
+
+    Quantiles of the key cut the order into ranges; ranges are summed, their totals accumulate, and only rows within a range of
+    a group are put in order, so a group that holds most rows is spread over the ranges. There are as many ranges as shuffle
+    partitions, and LEAST_PARTS at least, unless `parts` says otherwise.
     """
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    by = by or []
+    parts = parts or max(LEAST_PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
-    part = F.lit(0)
-    for cut in reversed(cuts):
-        part = part + F.when(F.col(key) > F.lit(cut), 1).otherwise(0)
+    # how many cuts are below the key
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
     placed = rows.withColumn("_part", -part if descending else part)
-    totals = placed.groupBy("_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    # at most `parts` rows: a window without a partition and a broadcast are bounded
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_part", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    order = F.col(key).desc() if descending else F.col(key).asc()
-    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(F.broadcast(totals), "_part")
+    totals = placed.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    # at most `parts` rows of a group: the window is bounded
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    order = [F.col(key).desc() if descending else F.col(key).asc(), *(ties or [])]
+    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.select(*placed.columns, *[F.coalesce(F.sum(s).over(within), F.lit(0)).alias(f"_w_{s}") for s in sums])
+    if by:
+        named = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_by_part"), *[f"_o_{s}" for s in sums])
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_part") == F.col("_by_part")]
+        out = out.join(named, same).drop("_by_part", *[f"_by_{c}" for c in by])
+    else:
+        out = out.join(F.broadcast(totals), "_part")  # at most `parts` rows
     for s in sums:
-        out = out.withColumn(f"{s}_before", F.coalesce(F.sum(s).over(within), F.lit(0)) + F.col(f"_o_{s}"))
-    return out.drop("_part", *[f"_o_{s}" for s in sums])
+        out = out.withColumn(f"{s}_before", F.col(f"_w_{s}") + F.col(f"_o_{s}"))
+    return out.drop("_part", *[f"_o_{s}" for s in sums], *[f"_w_{s}" for s in sums])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.operators import metrics as M
+from sparkwright.operators.ordering import running_totals
 from sparkwright.session import table
 
 
@@ -31,7 +32,7 @@ def roc_curve(spark, d):
 
 def roc_curve_thinned(spark, d):
     rows = scored(spark, d)
-    ordered = M.running_totals(M.by_score(rows).withColumn("one", F.lit(1)), "score", ["pos", "neg", "one"], descending=True)
+    ordered = running_totals(M.by_score(rows).withColumn("one", F.lit(1)), "score", ["pos", "neg", "one"], descending=True)
     n = ordered.count()
     out = ordered.select(F.col("one_before").cast("long").alias("i"), "score", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"))
     return M.thin_curve(out, n, 100)
@@ -108,13 +109,19 @@ def enrichment_ratio(spark, d):
     return out.select("lang", "n_base", "n_flagged", F.round(F.col("n_flagged") / F.col("f") / F.col("base"), 6).alias("ratio"))
 
 
-def permutation_control(spark, d):
-    """Labels shuffled within a language by a seeded hash, paired by position; invariant to file order."""
-    rows = scored(spark, d)
-    own = Window.partitionBy("lang")
-    a = rows.withColumn("r", F.row_number().over(own.orderBy("idx"))).select("lang", "r", F.col("y").alias("truth"))
-    b = rows.withColumn("r", F.row_number().over(own.orderBy(F.md5(F.concat(F.lit("7:"), F.col("idx").cast("string"))), "idx"))).select("lang", "r", F.col("y").alias("shuffled"))
-    return a.join(b, ["lang", "r"]).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("shuffled")).alias("agree"))
+def permutation_control(spark, d, trials: int = 5):
+    """Labels shuffled within a language by seeded hashes, paired by position, for each trial: how many rows keep their label,
+    how many the shuffled labels' positives share with the true ones, and the share of agreement that is specific to the rows
+    (1 - mean agreement of the shuffles). File order has no part."""
+    rows = scored(spark, d).select("lang", "idx", "y").withColumn("one", F.lit(1))
+    place = ["lang", "r"]
+    truth = running_totals(rows, "idx", ["one"], by=["lang"]).select("lang", F.col("one_before").alias("r"), F.col("y").alias("truth"))
+    each = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    mark = F.md5(F.concat(F.col("trial").cast("string"), F.lit(":"), F.col("idx").cast("string")).cast("binary"))
+    each = each.withColumn("mark", F.conv(F.substring(mark, 1, 15), 16, 10).cast("long"))
+    drawn = running_totals(each, "mark", ["one"], by=["lang", "trial"], ties=["idx"]).select("lang", "trial", F.col("one_before").alias("r"), F.col("y").alias("shuffled"))
+    both = truth.join(drawn, place).groupBy("lang", "trial").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("shuffled")).alias("agree"), F.count_if((F.col("truth") == 1) & (F.col("shuffled") == 1)).alias("kept"))
+    return both.withColumn("specific", F.round(1 - F.col("agree") / F.col("n"), 6))
 
 
 def bootstrap_ci(spark, d, replicates: int = 40):
@@ -126,9 +133,8 @@ def bootstrap_ci(spark, d, replicates: int = 40):
         weight = weight + F.when(u >= edge, 1).otherwise(0)
     drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).where("w > 0")
     grouped = drawn.groupBy("rep", "score").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
-    before = Window.partitionBy("rep").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = grouped.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    each = ranked.groupBy("rep").agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
+    ranked = running_totals(grouped, "score", ["neg"], by=["rep"])
+    each = ranked.groupBy("rep").agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
     return each.agg(F.percentile("auroc", F.lit(0.025)).alias("low"), F.avg("auroc").alias("mean"), F.percentile("auroc", F.lit(0.975)).alias("high"))
 
 
@@ -187,7 +193,7 @@ ORACLES = {
     "stratified_auroc_mean": _STRATA + " SELECT round(sum(auroc * (n_pos + n_neg)) / sum(n_pos + n_neg), 5) AS weighted_auroc, count(*) AS n_strata FROM st WHERE auroc IS NOT NULL",
     "flag_rate_by_group": f"WITH {S} SELECT source, count(*) AS n, sum((score >= 1000)::INT)::BIGINT AS flagged, round(avg((score >= 1000)::INT), 6) AS rate FROM scored GROUP BY source",
     "enrichment_ratio": f"WITH {S}, w AS (SELECT count(*) AS n, count(*) FILTER (score >= 1000) AS f FROM scored), e AS (SELECT lang, count(*) AS n_base, count(*) FILTER (score >= 1000) AS n_flagged FROM scored GROUP BY lang) SELECT lang, n_base, n_flagged, round((n_flagged::DOUBLE / f) / (n_base::DOUBLE / n), 6) AS ratio FROM e, w WHERE n_base >= 10 AND n_base::DOUBLE / n > 0.002",
-    "permutation_control": f"WITH {S}, a AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY idx) AS r, y FROM scored), b AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || idx), idx) AS r, y FROM scored) SELECT a.lang, count(*) AS n, count(*) FILTER (a.y = b.y) AS agree FROM a JOIN b ON a.lang = b.lang AND a.r = b.r GROUP BY a.lang",
+    "permutation_control": f"WITH {S}, a AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY idx) AS r, y FROM scored), b AS (SELECT lang, trial, row_number() OVER (PARTITION BY lang, trial ORDER BY md5(trial || ':' || idx), idx) AS r, y FROM scored, (SELECT unnest(range(1, 6))::INT AS trial)) SELECT a.lang, trial, count(*) AS n, count(*) FILTER (a.y = b.y) AS agree, count(*) FILTER (a.y = 1 AND b.y = 1) AS kept, round(1 - count(*) FILTER (a.y = b.y) / count(*), 6) AS specific FROM a JOIN b ON a.lang = b.lang AND a.r = b.r GROUP BY a.lang, trial",
     "multi_label_gain": f"WITH {S}, x AS (SELECT y, toxic, (score >= 1000)::INT AS b, (score < 400)::INT AS f FROM scored), t AS (SELECT sum(y * b)::BIGINT AS tp_before, (sum(y * b) + sum(toxic * f))::BIGINT AS tp_after, sum(y + toxic)::BIGINT AS n_gold, sum(b)::BIGINT AS n_before, sum(b + f)::BIGINT AS n_after FROM x) SELECT *, round(tp_before::DOUBLE / n_before, 6) AS precision_before, round(tp_after::DOUBLE / n_after, 6) AS precision_after, round(tp_before::DOUBLE / n_gold, 6) AS recall_before, round(tp_after::DOUBLE / n_gold, 6) AS recall_after FROM t",
     "per_class_agreement": f"WITH {S} SELECT 'quality' AS class, count(*) AS fired, count(*) FILTER (y = 1) AS tp FROM scored WHERE score >= 1000 UNION ALL SELECT 'toxic', count(*), count(*) FILTER (toxic = 1) FROM scored WHERE score < 400",
 }

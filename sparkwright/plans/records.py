@@ -181,18 +181,17 @@ def statement_normalise(spark, d):
 
 
 def rule_mapping(spark, d):
-    s = statements(spark, d).withColumn("l", L.statement_labels(F.col("s")))
-    return s.select("id", F.array_join("l", ";").alias("labels"), L.disposition(F.col("s"), F.col("l")).alias("disposition"))
+    return L.map_statements(statements(spark, d)).select("id", F.array_join("labels", ";").alias("labels"), "disposition")
 
 
 def coverage_rollup(spark, d):
-    s = statements(spark, d).withColumn("l", L.statement_labels(F.col("s"))).withColumn("disposition", L.disposition(F.col("s"), F.col("l")))
+    s = L.map_statements(statements(spark, d))
     return s.rollup("disposition", "cohort").agg(F.count("*").alias("n")).where("disposition is not null").select("disposition", F.coalesce("cohort", F.lit("all")).alias("cohort"), "n")
 
 
 def hedge_sensitivity(spark, d):
-    s = statements(spark, d).withColumn("l", L.statement_labels(F.col("s"))).withColumn("hedged", F.col("s").rlike(L.HEDGE))
-    out = s.agg(F.count("*").alias("n"), F.count_if("hedged").alias("hedged"), F.sum(F.size("l")).alias("labels"), F.sum(F.when(~F.col("hedged"), F.size("l"))).alias("kept"))
+    s = L.map_statements(statements(spark, d)).withColumn("hedged", F.col("s").rlike(L.HEDGE))
+    out = s.agg(F.count("*").alias("n"), F.count_if("hedged").alias("hedged"), F.sum(F.size("labels")).alias("labels"), F.sum(F.when(~F.col("hedged"), F.size("labels"))).alias("kept"))
     return out.select("n", "hedged", "labels", "kept", F.round(F.col("kept") / F.col("labels"), 6).alias("share"))
 
 
@@ -202,7 +201,7 @@ def canonical_label(spark, d):
 
 def severity_primary(spark, d):
     """Labels of ten consecutive orders as one record: canonical names and the most severe."""
-    r = raw_labels(spark, d).where("id % 3 <> 0").groupBy(F.floor(F.col("id") / 10).alias("g")).agg(F.collect_list("raw").alias("raws"))
+    r = raw_labels(spark, d).groupBy(F.floor(F.col("id") / 10).alias("g")).agg(F.collect_list("raw").alias("raws"))
     named = r.withColumn("names", L.canonical_all(F.col("raws")))
     return named.select("g", F.array_join("names", ";").alias("names"), L.primary_label(F.col("names")).alias("primary"))
 
@@ -249,12 +248,13 @@ def history_truncation(spark, d):
 
 
 def role_filter(spark, d):
-    out = G.chat_guard(table(spark, d, "conversations"), ["user", "assistant"], 100)
+    out = G.chat_guard(table(spark, d, "conversations"), ["user", "assistant"])
     return out.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
 
 
 def think_split(spark, d):
-    marked = F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.lit("</think>"), F.substring("text", 21, 30))
+    """The first twenty characters of each text as thought, all the others as answer."""
+    marked = F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.lit("</think>"), F.expr("substring(text, 21)"))
     answer, inside = G.split_think(marked)
     return table(spark, d, "conversations").select("conv_id", "turn", answer.alias("answer"), inside.alias("thought"))
 
@@ -270,9 +270,9 @@ def export_points(spark, d):
 
 
 def top_counts(spark, d):
-    """The ten most frequent first words, ties by word (a report's limit)."""
-    word = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)", 1))
-    return table(spark, d, "documents").groupBy(word.alias("word")).agg(F.count("*").alias("n")).where("word <> ''").orderBy(F.desc("n"), "word").limit(10)
+    """The ten most frequent words of all texts, ties by word (a report's limit)."""
+    words = table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''")
+    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(10)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -355,7 +355,7 @@ ORACLES = {
     "coverage_rollup": _MAP + " SELECT disposition, coalesce(cohort, 'all') AS cohort, count(*) AS n FROM x GROUP BY GROUPING SETS ((disposition, cohort), (disposition))",
     "hedge_sensitivity": _MAP + f", h AS (SELECT regexp_matches(s, {_re(L.HEDGE)}) AS hedged, len(l) AS k FROM x) SELECT count(*) AS n, count(*) FILTER (hedged) AS hedged, sum(k)::BIGINT AS labels, sum(k) FILTER (NOT hedged)::BIGINT AS kept, round(sum(k) FILTER (NOT hedged)::DOUBLE / sum(k), 6) AS share FROM h",
     "canonical_label": _CANON + " SELECT raw, name, count(*) AS n FROM cn GROUP BY ALL",
-    "severity_primary": _CANON + f", g AS (SELECT id // 10 AS g, list_sort(coalesce(list(DISTINCT name) FILTER (name IS NOT NULL), [])) AS names FROM cn WHERE id % 3 <> 0 GROUP BY 1), u AS (SELECT g, unnest(names) AS x FROM g), b AS (SELECT g, x FROM u WHERE lower(x) NOT IN ({', '.join(repr(m) if chr(39) not in m else chr(39) + m.replace(chr(39), chr(39) * 2) + chr(39) for m in L.MARKERS)}) QUALIFY row_number() OVER (PARTITION BY g ORDER BY coalesce(list_position({_SEV}, lower(x)), 999), lower(x)) = 1) SELECT g.g, {_JS('names')} AS names, coalesce(x, 'unknown') AS \"primary\" FROM g LEFT JOIN b ON g.g = b.g",
+    "severity_primary": _CANON + f", g AS (SELECT id // 10 AS g, list_sort(coalesce(list(DISTINCT name) FILTER (name IS NOT NULL), [])) AS names FROM cn GROUP BY 1), u AS (SELECT g, unnest(names) AS x FROM g), b AS (SELECT g, x FROM u WHERE lower(x) NOT IN ({', '.join(repr(m) if chr(39) not in m else chr(39) + m.replace(chr(39), chr(39) * 2) + chr(39) for m in L.MARKERS)}) QUALIFY row_number() OVER (PARTITION BY g ORDER BY coalesce(list_position({_SEV}, lower(x)), 999), lower(x)) = 1) SELECT g.g, {_JS('names')} AS names, coalesce(x, 'unknown') AS \"primary\" FROM g LEFT JOIN b ON g.g = b.g",
     "string_hashes": "WITH h AS (SELECT n_name, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: ((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hash FROM nation) SELECT n_name, hash, abs(hash) % 12 AS colour, trim(regexp_replace(lower(trim(n_name)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM h",
     "scrub_rows": f"WITH {R}, s AS (SELECT CASE WHEN source IN ('src0', 'src1') THEN source ELSE 'private' END AS source, CASE WHEN source IN ('src0', 'src1') THEN id END AS id, len(labels) AS k FROM r) SELECT source, count(*) AS n, count(id) AS ids, sum(k)::BIGINT AS labels FROM s GROUP BY source",
     "audit_violations": f"WITH {R}, v AS (SELECT 'no labels' AS rule, id::VARCHAR AS key FROM r WHERE len(labels) = 0 AND n_chars > 12000 UNION ALL SELECT 'too short', id::VARCHAR FROM r WHERE n_chars < 20) SELECT * FROM v ORDER BY rule, key LIMIT 21",
@@ -364,9 +364,9 @@ ORACLES = {
     "identifier_scan": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines FROM l WHERE regexp_matches(line, {_re(G.IDENTIFIER)}) GROUP BY doc_id",
     "source_classes": "SELECT CASE lower(source) WHEN 'src0' THEN 'open' WHEN 'src1' THEN 'mimic' WHEN 'src2' THEN 'private' ELSE 'unknown' END AS kind, count(*) AS n FROM documents GROUP BY 1",
     "history_truncation": "WITH u AS (SELECT conv_id, turn, sum(length(text) // 3) OVER (PARTITION BY conv_id ORDER BY turn DESC)::BIGINT AS used FROM conversations) SELECT * FROM u WHERE used <= 200",
-    "role_filter": "WITH c AS (SELECT conv_id, turn, role, left(trim(text), 100) AS t FROM conversations WHERE role IN ('user', 'assistant')) SELECT conv_id, turn, role, length(t) AS n FROM c WHERE t <> ''",
-    "think_split": "SELECT conv_id, turn, substr(text, 21, 30) AS answer, substr(text, 1, 20) AS thought FROM conversations",
+    "role_filter": "WITH c AS (SELECT conv_id, turn, role, left(trim(text), 8000) AS t FROM conversations WHERE role IN ('user', 'assistant')) SELECT conv_id, turn, role, length(t) AS n FROM c WHERE t <> ''",
+    "think_split": "SELECT conv_id, turn, substr(text, 21) AS answer, substr(text, 1, 20) AS thought FROM conversations",
     "signal_validation": "WITH p AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 3 ELSE 12 END AS leads, p_size * 50 AS rate, p_retailprice / 10 AS seconds FROM part) SELECT leads = 12 AND rate BETWEEN 50 AND 2000 AND seconds BETWEEN 2 AND 120 AS ok, rate = 500 AS standard, count(*) AS n FROM p GROUP BY ALL",
     "export_points": f"WITH {R} SELECT id, {_JS('labels')} AS labels, \"primary\" AS cohort FROM r WHERE len(labels) > 0",
-    "top_counts": "SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS word, count(*) AS n FROM documents GROUP BY 1 HAVING word <> '' ORDER BY n DESC, word LIMIT 10",
+    "top_counts": "WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents) SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 ORDER BY n DESC, word LIMIT 10",
 }
