@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import text_bytes
 
 CHUNK, OVERLAP, WIDTH, STRIDE, DIM, FILTERS = 512, 32, 6, 2, 6, 16
-SAMPLE_ROWS, EPOCHS, BATCH, SEED = 3000, 20, 64, 7
+SAMPLE_ROWS, EPOCHS, BATCH, SEED = 3000, 12, 64, 7
 
 
 def chunk_starts(size: int) -> np.ndarray:
@@ -104,9 +104,10 @@ def gradients(model: dict, chunks: np.ndarray, sizes: np.ndarray, labels: np.nda
     where, top = [], []
     for at in range(0, len(chunks), at_once):
         part = np.ascontiguousarray(seen[at : at + at_once])
-        outs = (part.reshape(-1, WIDTH * DIM) @ model["filters"]).reshape(len(part), -1, FILTERS)
-        where.append(outs.argmax(axis=1))
-        top.append(np.take_along_axis(outs, where[-1][:, None], axis=1)[:, 0])
+        # one row for each filter, so that maxima run over adjacent numbers
+        outs = (model["filters"].T @ part.reshape(-1, WIDTH * DIM).T).reshape(FILTERS, len(part), -1)
+        where.append(outs.argmax(axis=2).T)
+        top.append(np.take_along_axis(outs, where[-1].T[:, :, None], axis=2)[:, :, 0].T)
     where = np.concatenate(where)
     pooled = np.maximum(np.concatenate(top) + model["bias"], 0)
     begin = np.append(0, np.cumsum(sizes)[:-1])
