@@ -9,7 +9,8 @@ on. Those that share a bucket are then compared by their cosine in double precis
 
 Copies collapse first: only distinct vectors are hashed, each with its number of rows. A pair that meets in several buckets
 is counted in the first of them only, which both sides' hashes tell, so links are counted exactly without a table of pairs:
-each bucket leaves, for a vector that has links there, their number and the smallest vector of its local group. Buckets of
+each bucket leaves, for a vector that has links there, their number and the smallest vector of its local group. A vector is
+hashed once, and its hashes go along with it. Buckets of
 more than `tile` vectors are cut into tiles by a hash, and pairs of tiles are keys of their own, so no task holds such a
 bucket. Components of the local links are found by distributed contraction.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.ann import usable
-from sparkwright.llm.common import components, cut, int_column, runs, whole_runs
+from sparkwright.llm.common import components, cut, int_column, join_lookup, runs, whole_runs
 
 TABLES, AXES, PROBES, ROUNDS, TILE, SEED = 14, 3, 2, 3, 4096, 5
 SIGNS, SIGN_BITS = 128, 38
@@ -44,14 +45,14 @@ def hadamard(rows: np.ndarray) -> np.ndarray:
     return rows
 
 
-def buckets(vectors: np.ndarray, tables: int = TABLES, axes: int = AXES, probes: int = PROBES) -> np.ndarray:
-    """[row, table, probe]: bucket keys, the first probe being the vector's own bucket."""
+def codes(vectors: np.ndarray, tables: int = TABLES, axes: int = AXES, probes: int = PROBES) -> np.ndarray:
+    """[row, table, probe]: the axes of each bucket as one number, the first probe being the vector's own bucket."""
     n, dim = vectors.shape
     wide = max(2, 1 << (dim - 1).bit_length())
     padded = np.zeros((n, wide), np.float32)
     padded[:, :dim] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     rng = np.random.default_rng(SEED)
-    out = np.empty((n, tables, probes), np.int64)
+    out = np.empty((n, tables, probes), np.int64 if (2 * wide) ** axes >= 1 << 31 else np.int32)
     for t in range(tables):
         best, second, gap = (np.empty((n, axes), np.int64), np.empty((n, axes), np.int64), np.empty((n, axes)))
         for a in range(axes):
@@ -72,13 +73,25 @@ def buckets(vectors: np.ndarray, tables: int = TABLES, axes: int = AXES, probes:
             if p:
                 at = order[:, p - 1 : p]
                 np.put_along_axis(code, at, np.take_along_axis(second, at, axis=1), axis=1)
-            key = np.full(n, t * 4096 + dim % 4096, np.int64)
+            key = np.zeros(n, np.int64)
             for a in range(axes):
                 key = key * (2 * wide) + code[:, a]
             out[:, t, p] = key
     return out
 
 
+def bucket_keys(found: np.ndarray, dim: int, axes: int) -> np.ndarray:
+    """Keys of codes [row, table, probe]: table, length of the vectors and code."""
+    wide = max(2, 1 << (dim - 1).bit_length())
+    table = np.arange(found.shape[1])[None, :, None] * 4096 + dim % 4096
+    return table * (2 * wide) ** axes + found
+
+
+def buckets(vectors: np.ndarray, tables: int = TABLES, axes: int = AXES, probes: int = PROBES) -> np.ndarray:
+    """[row, table, probe]: bucket keys, the first probe being the vector's own bucket."""
+    return bucket_keys(codes(vectors, tables, axes, probes), vectors.shape[1], axes)
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [None if v is None else v.tobytes() for v in usable(batch.column(1))]
@@ -96,20 +109,41 @@ def signs(vectors: np.ndarray) -> np.ndarray:
     return np.packbits(vectors @ planes > 0, axis=1).view(np.uint64)
 
 
-def _keyed(tables: int, axes: int, probes: int):
+def _hashed(tables: int, axes: int, probes: int):
+    """(rep, n, v, codes, s0, s1): each vector with the codes of its buckets and its signs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sizes = [len(x) for x in part.column(1).to_pylist()]
-                for size in set(sizes):
-                    own = part.filter(pa.array([x == size for x in sizes]))
-                    vectors = matrix(own.column(1))
-                    keys = buckets(vectors, tables, axes, probes).reshape(own.num_rows, -1)
-                    rows = np.repeat(np.arange(own.num_rows), keys.shape[1])
-                    words = signs(vectors).view(np.int64)[rows]
-                    arrays = [pa.array(keys.ravel()), own.column(0).take(pa.array(rows)), *(pa.array(words[:, k]) for k in range(words.shape[1]))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "rep", "s0", "s1"])
+                sizes = np.array([len(x) for x in part.column(2).to_pylist()])
+                for size in np.unique(sizes):
+                    own = part.filter(pa.array(sizes == size))
+                    vectors = matrix(own.column(2))
+                    found = [c.tobytes() for c in codes(vectors, tables, axes, probes)]
+                    words = signs(vectors).view(np.int64)
+                    arrays = [*own.columns, pa.array(found, pa.binary()), *(pa.array(words[:, k]) for k in range(words.shape[1]))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["rep", "n", "v", "codes", "s0", "s1"])
+
+    return run
+
+
+def code_matrix(column, dim: int, tables: int, axes: int, probes: int) -> np.ndarray:
+    wide = max(2, 1 << (dim - 1).bit_length())
+    kind = np.int64 if (2 * wide) ** axes >= 1 << 31 else np.int32
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), tables, probes)
+
+
+def _keyed(tables: int, axes: int, probes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = int_column(batch.column(1)) // 8
+            for dim in np.unique(dims):
+                own = batch.filter(pa.array(dims == dim))
+                keys = bucket_keys(code_matrix(own.column(2), int(dim), tables, axes, probes), int(dim), axes).reshape(own.num_rows, -1)
+                rows = pa.array(np.repeat(np.arange(own.num_rows), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(own.column(c).take(rows) for c in (0, 3, 4))], names=["key", "rep", "s0", "s1"])
 
     return run
 
@@ -143,7 +177,7 @@ def _with_mates(most: int):
 
 
 def first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest key of the first table in which rows of two [row, table, probe] arrays share a bucket."""
+    """The smallest key of the first table in which rows of two [row, table, probe] arrays of keys share a bucket."""
     out = np.full(len(left), -1, np.int64)
     for t in range(left.shape[1]):
         same = left[:, t, :, None] == right[:, t, None, :]
@@ -188,7 +222,7 @@ def _compared(least: float, tables: int, axes: int, probes: int):
                 sizes = np.diff(edges)
                 count, label = np.zeros(len(key), np.int64), np.arange(len(key))
                 found_any = np.zeros(len(key), bool)
-                cache: dict[int, np.ndarray] = {}
+                hashes = bucket_keys(code_matrix(part["codes"], int(size) // 8, tables, axes, probes), int(size) // 8, axes)
                 for i, j in pairs_of(unit, tile, sizes, edges):
                     for at in range(0, len(i), 1 << 18):
                         a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
@@ -199,14 +233,9 @@ def _compared(least: float, tables: int, axes: int, probes: int):
                         if not len(a):
                             continue
                         both = np.unique(np.concatenate([a, b]))
-                        new = both[[x not in cache for x in both.tolist()]]
-                        if len(new):
-                            cache.update(zip(new.tolist(), buckets(vectors[new], tables, axes, probes), strict=True))
-                        place = np.searchsorted(both, a), np.searchsorted(both, b)
-                        hashes = np.stack([cache[x] for x in both.tolist()])
                         for p in range(0, len(a), 1 << 15):
                             s = slice(p, p + (1 << 15))
-                            mine = first_shared(hashes[place[0][s]], hashes[place[1][s]]) == base[a[s]]
+                            mine = first_shared(hashes[a[s]], hashes[b[s]]) == base[a[s]]
                             np.add.at(count, a[s][mine], n[b[s][mine]])
                             np.add.at(count, b[s][mine], n[a[s][mine]])
                         found_any[both] = True
@@ -236,23 +265,26 @@ def embedding_groups(
     vectors = cut(own.mapInArrow(_usable, "vec_id long, v binary"))
     good = vectors.where("vec_id is not null and v is not null")
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    keyed = classes.select("rep", "v").mapInArrow(_keyed(tables, axes, probes), "key long, rep long, s0 long, s1 long")
+    hashed = classes.select("rep", "n", "v").mapInArrow(_hashed(tables, axes, probes), "rep long, n long, v binary, codes binary, s0 long, s1 long")
+    hashed = cut(hashed)
+    slim = hashed.select("rep", F.length("v").cast("long").alias("bytes"), "codes", "s0", "s1")
+    keyed = slim.mapInArrow(_keyed(tables, axes, probes), "key long, rep long, s0 long, s1 long")
     mates = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_with_mates(tile), "key long, rep long"))
     held = mates.groupBy("key").count().withColumn("tiles", F.expr(f"cast(ceil(count / {tile}) as long)")).select("key", "tiles")
-    rows2 = mates.join(held, "key").join(classes, "rep").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    rows2 = mates.join(held, "key").join(hashed.drop("s0", "s1"), "rep").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     pairs = rows2.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
     pairs = pairs.select(
         F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))).alias("key"),
-        F.col("key").alias("bucket"), "tile", (F.col("tile") != F.col("other")).alias("cross_row"), "other", "tiles", "rep", "n", "v",
+        F.col("key").alias("bucket"), "tile", (F.col("tile") != F.col("other")).alias("cross_row"), "other", "tiles", "rep", "n", "v", "codes",
     ).withColumn("cross", F.when(F.col("cross_row"), 1).otherwise(0))
-    pairs = pairs.select("key", "bucket", "tile", "cross", "rep", "n", "v")
+    pairs = pairs.select("key", "bucket", "tile", "cross", "rep", "n", "v", "codes")
     local = cut(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(least, tables, axes, probes), "rep long, links long, leader long"))
     links = local.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(local.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
     named = classes.join(links, "rep", "left").join(roots, classes["rep"] == roots["id"], "left")
-    named = named.select("v", "n", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(smallest, "root").select(F.col("v").alias("cv"), (F.col("links") + F.col("n") - 1).alias("links"), "component")
-    out = vectors.join(named, (vectors["v"] == named["cv"]) & vectors["vec_id"].isNotNull(), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    named = cut(named.select("v", F.col("n").alias("rows"), "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root")))
+    smallest = cut(named.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("n")))
+    named = join_lookup(named, smallest, "root").select("v", F.col("rows").alias("n"), (F.col("links") + F.col("rows") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    out = join_lookup(good, cut(named), "v").select("vec_id", "n_links", "component_id")
+    alone = vectors.where("vec_id is null or v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
