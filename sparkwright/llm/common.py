@@ -19,22 +19,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df and drop its lineage, in the shared folder that spark.checkpoint.dir names.
 
-    Only where that setting is unset (a local test session) is a temporary folder used.
+    Spark removes checkpoints that nothing refers to where spark.cleaner.referenceTracking.cleanCheckpoints is true.
     """
-    spark = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for what is materialised. A temporary one is made for a local session only; a cluster whose
+    setting is missing is an error, as its executors could not read each other's disks."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkwright"))
-    return df.checkpoint(eager=True)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkwright"))
+    return context.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again; for what is wide or read by columns."""
-    spark = df.sparkSession
-    cut(spark.range(1))  # sets the folder where none is named
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `written` made and nothing will read again."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/tables/"
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition(":")[2].lstrip("/") in path:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Keys with over one HOT-th of all rows are fewer than HOT.
+HOT = 1000
+
+
+def join_lookup(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of lookup, a materialised table of one row for each key; its column `n` says how many rows have
+    the key, and goes. Hot keys, fewer than HOT, are joined by a broadcast, so that none is one task."""
+    total = lookup.agg(F.sum("n")).first()[0] or 0  # one number
+    marked = lookup.withColumn("_hot", F.col("n") > total / HOT).drop("n")
+    hot = F.broadcast(marked.where("_hot").drop("_hot"))
+    cold = marked.where("not _hot").drop("_hot")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

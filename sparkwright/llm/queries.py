@@ -24,15 +24,21 @@ def vocabulary_path() -> str:
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of largest inner product for every twentieth vector. Unusable vectors (null, empty, zero, not finite) and null ids
+    take no part; ties go to the smaller id; repeated rows are one; an empty table gives no rows."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more and their components. Unusable vectors and null ids link with nothing; each repeated row is a
+    vector that links."""
     return embedding_groups(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text. Null and empty texts are scored as padding; repeated rows are scored alike; labels that are null
+    are not learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.with_score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -40,11 +46,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left of every document. A null text stays null (no lines, null digest), an empty one empty; of repeated rows the first
+    keeps its lines; a null id comes last."""
     out = linededup.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed_lines").alias("n_removed_lines"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every whole text. Null and empty texts have no features; repeated rows are scored alike; null labels are not
+    learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.with_severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -52,11 +62,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights. Null and empty texts are never drawn; rows that share an id are drawn together; null
+    languages and sources are leaves."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.expr(mixing.TOKENS).cast("long").alias("tokens"), F.col("_epoch").alias("epoch"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components. Null and empty texts have fingerprint 0 and link like others; repeated rows stay; a null id is
+    no representative."""
     out = simhash_groups(table(spark, sf_dir, "documents"), words=4, most=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -73,14 +87,18 @@ def token_digests(docs: DataFrame) -> DataFrame:
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null pages are empty; null urls are one host; repeated rows stay."""
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text and the text they decode to. A null text counts as empty; repeated rows stay."""
     return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left without repeated strings of 200 bytes. A null text counts as empty; repeated rows repeat each other, so both lose
+    what they share."""
     out = remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

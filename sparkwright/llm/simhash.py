@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import components, cut, int_column, runs, text_bytes, whole_runs
+from sparkwright.llm.common import components, cut, int_column, join_lookup, runs, text_bytes, whole_runs
 
 SEED = 42
 #: Fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the (23, 12) Golay code.
@@ -165,10 +165,10 @@ def _linked(most: int):
 
 
 def golay_links(docs: DataFrame, words: int, most: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, (fp, first) of each fingerprint, and links (a, b) of fingerprints."""
+    """(doc_id, fp) of each row, (fp, first, n) of each fingerprint, and links (a, b) of fingerprints."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     prints = cut(source.mapInArrow(_fingerprints(words), "doc_id long, fp long"))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     return prints, classes, print_links(classes.select("fp"), most)
 
 
@@ -185,10 +185,10 @@ def simhash_groups(docs: DataFrame, words: int = 5, most: int = 4, doc_id: str =
     smallest doc_id that links of at most `most` (4 or fewer) differing bits reach."""
     prints, classes, links = golay_links(docs, words, most, doc_id, text)
     roots = components(links)
-    member = classes.join(roots, classes["fp"] == roots["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    member = cut(classes.join(roots, classes["fp"] == roots["id"], "left").select("fp", "first", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
+    smallest = cut(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    named = cut(join_lookup(member, smallest, "root").select("fp", "component_id", F.col("rows").alias("n")))
+    return join_lookup(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
 WIDE, ORDERS, SIMILAR = 4, 10, 48
@@ -381,15 +381,18 @@ def near_groups(docs: DataFrame, words: int = 5, most: int = 4, similar: int = P
     and similar_links. component_id is the group's smallest doc_id, and one row of the group is kept."""
     schema = "doc_id long, t long, fp long, c long, w array<long>, keys array<long>"
     made = cut(_rows(docs).mapInArrow(_sketches(words), schema))
-    classes = cut(made.groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.first("w").alias("w"), F.first("keys").alias("keys")))
-    prints = cut(made.groupBy("fp").agg(F.min("c").alias("head")))
-    same = made.select("fp", "c").distinct().join(prints, "fp").where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))
+    classes = cut(made.groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.first("w").alias("w"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    kinds = cut(made.select("fp", "c").distinct())
+    heads = cut(kinds.groupBy("fp").agg(F.min("c").alias("head"), F.count("*").alias("n")))
+    prints = heads.select("fp", "head")
+    same = join_lookup(kinds, heads, "fp").where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))
     ends = [prints.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab"]
     linked = print_links(prints.select("fp"), most).join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     roots = components(same.unionByName(linked).unionByName(similar_links(docs, classes, words, similar)))
-    member = classes.join(roots, classes["c"] == roots["id"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
-    named = member.join(member.groupBy("root").agg(F.min("first").alias("kept")), "root").select("c", "kept")
-    rows = made.select("doc_id", "t", "c").distinct().join(named, "c")
+    member = cut(classes.join(roots, classes["c"] == roots["id"], "left").select("c", "first", F.col("n").alias("rows"), F.coalesce("root", "c").alias("root")))
+    firsts = cut(member.groupBy("root").agg(F.min("first").alias("kept"), F.count("*").alias("n")))
+    named = cut(join_lookup(member, firsts, "root").select("c", "kept", F.col("rows").alias("n")))
+    rows = join_lookup(made.select("doc_id", "t", "c").distinct(), named, "c")
     return rows.select("doc_id", "t", F.col("kept.doc_id").alias("component_id"), (F.struct("doc_id", "t") == F.col("kept")).alias("kept"))
 
 

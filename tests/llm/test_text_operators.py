@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm import linededup, mixing, quality, queries, simhash, suffix, toxicity
 from sparkwright.llm.bpe import Codec, bpe_round_trip, read_vocabulary
+from sparkwright.llm import common
 from sparkwright.llm.common import components
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -464,3 +465,28 @@ def test_simhash_query_on_the_whole_table(spark, sf):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
     assert {r["doc_id"]: r["component_id"] for r in rows} == label
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_hot_keys_of_lookups(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(90)] + [(200, None)], "id long, key long")
+    lookup = rows.groupBy("key").agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    got = sorted((r["id"], r["key"], r["top"]) for r in common.join_lookup(rows, common.cut(lookup), "key").collect())
+    assert got == [(i, 0 if i % 3 else i, 89 if i % 3 or i == 0 else i) for i in range(90)]
+
+
+def test_folders(spark, monkeypatch):
+    df = common.written(spark.range(5))
+    assert df.count() == 5
+    common.discard(df)
+    with pytest.raises(Exception):
+        df.sparkSession.read.parquet(df.inputFiles()[0]).count()
+
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    monkeypatch.setattr(common.SparkSession, "sparkContext", Context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.checkpoint_folder(spark)
