@@ -346,6 +346,60 @@ def interval_mixture(rr: np.ndarray, most: int = 3, rounds: int = 200) -> dict[s
     return {"k": float(k), "low": float(means[0]), "high": float(means[-1])}
 
 
+def line_groups(x: np.ndarray, k: int) -> np.ndarray:
+    """Labels, in order of value, of the k groups of numbers with the least sum of squares; on a line groups are intervals, so
+    all cuts of the sorted numbers can be tried."""
+    order = np.argsort(x, kind="stable")
+    v = x[order]
+    one, two = np.append(0, np.cumsum(v)), np.append(0, np.cumsum(v * v))
+    n = len(v)
+    cost = lambda a, b: two[b] - two[a] - (one[b] - one[a]) ** 2 / (b - a)
+    cuts = np.arange(1, n)
+    if k == 2:
+        best = [int(cuts[np.argmin(cost(0, cuts) + cost(cuts, n))])]
+    else:
+        best, least = [1, 2], np.inf
+        for first in range(1, n - 1):
+            later = np.arange(first + 1, n)
+            total = cost(0, first) + cost(first, later) + cost(later, n)
+            if total.min() < least:
+                best, least = [first, int(later[total.argmin()])], total.min()
+    label = np.empty(n, int)
+    label[order] = np.searchsorted(best, np.arange(n), side="right")
+    return label
+
+
+def interval_modes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Labels, centers and separation (smallest gap of centers over the largest deviation within) of two or three groups,
+    whichever are further apart; one group with fewer than six numbers or without any gap."""
+    label, centers, apart = np.zeros(len(x), int), np.array([x.mean()]), 0.0
+    for k in (2, 3) if len(x) >= 6 else ():
+        found = line_groups(x, k)
+        groups = [x[found == j] for j in range(k)]
+        middle = np.array([g.mean() for g in groups])
+        widest = max(g.std() if len(g) > 1 else 1e-6 for g in groups)
+        now = float(np.diff(middle).min() / (widest + 1e-9))
+        if now > apart:
+            label, centers, apart = found, middle, now
+    return label, centers, apart
+
+
+def center_ratio(centers: np.ndarray, tolerance: float = 0.15) -> str | None:
+    """FLT2 for two centers that stand as 2:1, FLT3 for three whose ends stand as 3:1."""
+    k = len(centers)
+    return f"FLT{k}" if k in (2, 3) and abs(centers.max() / centers.min() - k) <= tolerance * k else None
+
+
+def label_cycle(label: np.ndarray) -> str | None:
+    """BIGEM for two labels of which over 80 % of neighbours differ, TRIGEM for three that begin 0, 1, 2, 0, 1, 2."""
+    kinds = len(np.unique(label))
+    if len(label) < 6:
+        return None
+    if kinds == 2 and np.mean(label[1:] != label[:-1]) > 0.8:
+        return "BIGEM"
+    return "TRIGEM" if kinds == 3 and label[:6].tolist() == [0, 1, 2, 0, 1, 2] else None
+
+
 def periodic_indices(at: np.ndarray) -> str:
     """every_nth if the places are equally far apart, grouped if any are neighbours, else random."""
     gap = np.diff(np.sort(at))

@@ -46,6 +46,17 @@ def beat_clusters(rows: DataFrame) -> DataFrame:
     return per_key(rows, "k int, share double, alternation double", kernel)
 
 
+def interval_clusters(rows: DataFrame) -> DataFrame:
+    """(key, k, separation, ratio, cycle) of each key's intervals: the two or three modes that are best apart (one with fewer
+    than six intervals), FLT2 or FLT3 where their centers stand as 2:1 or 3:1, BIGEM or TRIGEM where they take turns."""
+
+    def kernel(g: pd.DataFrame) -> dict:
+        label, centers, apart = K.interval_modes(g["rr"].to_numpy(float))
+        return {"k": len(centers), "separation": apart, "ratio": K.center_ratio(centers), "cycle": K.label_cycle(label)}
+
+    return per_key(rows, "k int, separation double, ratio string, cycle string", kernel)
+
+
 def interval_mixtures(rows: DataFrame) -> DataFrame:
     def kernel(g: pd.DataFrame) -> dict:
         return K.interval_mixture(g["rr"].to_numpy(float)) if len(g) >= 12 else {"k": 1.0, "low": float(g["rr"].mean()), "high": float(g["rr"].mean())}

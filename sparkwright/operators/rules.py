@@ -182,11 +182,98 @@ def best_candidate(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", score).groupBy("rec").agg(F.min_by("i", F.struct(-F.col("score"), F.col("i"))).alias("i"), F.max("score").alias("score"))
 
 
-def regression_alternation(rows: DataFrame, size: int = 8) -> DataFrame:
-    """For each key the largest ratio of the +-1 regression's slope to the deviation over windows of `size` values."""
-    sign = F.when(F.col("i") % 2 == 0, 1.0).otherwise(-1.0)
-    frame = Window.partitionBy("key").orderBy("i").rowsBetween(-(size - 1), 0)
-    slope = F.regr_slope(F.col("rr"), sign).over(frame)
-    ratio = F.abs(slope) / (F.stddev_pop("rr").over(frame) + 1e-9)
-    out = rows.withColumn("ratio", F.when(F.count("*").over(frame) == size, ratio))
-    return out.groupBy("key").agg(F.max("ratio").alias("ratio"))
+def regression_alternation(rows: DataFrame, sizes: tuple[int, ...] = (12, 10, 8), ratio: float = 0.9, delta: float = 12.0, spread: float = 0.02) -> DataFrame:
+    """(key, ratio, delta, size, present) from (key, i, rr), i counting on from 0: alternation of a series of at least eight values.
+
+    The series is divided by its median (which must be above 0) and loses its running mean of five (places outside count as 0) and
+    its mean. In each window a +-1 regression gives the ratio of its slope to the deviation of what it leaves, and delta is the
+    difference of the means of even and odd places in per cent of the window's median, of the series before it lost its mean.
+    The window with the largest ratio counts (of equals the one with the largest delta); series of little spread have none.
+    """
+    own, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("i")
+    x = rows.withColumn("n", F.count("*").over(own)).where(F.col("n") >= 8).withColumn("med", F.percentile("rr", F.lit(0.5)).over(own)).where("med > 0")
+    x = x.withColumn("norm", F.col("rr") / F.col("med")).withColumn("run", F.sum("norm").over(order.rowsBetween(-2, 2)) / 5)
+    x = x.where(F.lit(True)).withColumn("sd", F.stddev_pop("norm").over(own)).where(F.col("sd") >= spread).withColumn("rest", F.col("norm") - F.col("run"))
+    x = x.withColumn("hp", F.col("rest") - F.avg("rest").over(own))
+    found = None
+    for size in sizes:
+        frame = order.rowsBetween(-(size - 1), 0)
+        even = lambda c, k, w=frame: F.avg(F.when(F.col("i") % 2 == k, F.col(c))).over(w)
+        slope = F.abs(even("hp", 0) - even("hp", 1)) / 2
+        left = F.sqrt(F.greatest(F.lit(0.0), F.var_pop("hp").over(frame) - slope * slope))
+        part = 100 * F.abs(even("norm", 0) - even("norm", 1)) / (F.abs(F.percentile("norm", F.lit(0.5)).over(frame)) + 1e-9)
+        here = x.withColumn("held", F.count("*").over(frame)).withColumn("r", slope / (left + 1e-9)).withColumn("d", part).where(F.col("held") == size)
+        here = here.select("key", F.round("r", 6).alias("r"), F.round("d", 6).alias("d"), F.lit(size).alias("size"))
+        found = here if found is None else found.unionByName(here)
+    best = found.groupBy("key").agg(F.max(F.struct("r", "d", "size")).alias("b"))
+    return best.select("key", F.col("b.r").alias("ratio"), F.col("b.d").alias("delta"), F.col("b.size").alias("size"), ((F.col("b.r") >= ratio) & (F.col("b.d") >= delta)).alias("present"))
+
+
+def atrial_energy(components: DataFrame) -> DataFrame:
+    """(rec, kept, area, top, state) of the P components (rec, wave, amp, sigma) that are no artefacts: at most a quarter of the
+    largest QRS amplitude (1 without any), not both wider than 25 ms and below a twentieth of it, 3 ms wide at least, and above
+    0.008 and 1.2 times the tenth percentile of the P amplitudes. AF_LIKELY unless their area exceeds 0.5 and a peak passes."""
+    own = components.groupBy("rec").agg(
+        F.coalesce(F.max(F.when(F.col("wave") == "QRS", F.abs("amp"))), F.lit(1.0)).alias("qrs"),
+        F.coalesce(F.percentile(F.when(F.col("wave") == "P", F.abs("amp")), F.lit(0.1)), F.lit(0.0)).alias("floor"),
+    )
+    own = own.withColumn("least", F.greatest(F.lit(0.008), 1.2 * F.col("floor")))
+    p = components.where("wave = 'P'").join(own.select("rec", "qrs", "least"), "rec")
+    size = F.abs("amp")
+    kept = p.where((F.col("amp") <= 0.25 * F.col("qrs")) & ~((F.col("sigma") > 25) & (F.col("amp") < 0.05 * F.col("qrs"))) & (F.col("sigma") >= 3) & (size >= F.col("least")))
+    sums = kept.groupBy("rec").agg(F.count("*").alias("kept"), F.sum(size * F.col("sigma") * 2.5066).alias("area"), F.max(size).alias("top"))
+    out = own.join(sums, "rec", "left").select("rec", "least", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("top", F.lit(0.0)).alias("top"))
+    state = F.when((F.col("area") > 0.5) & (F.col("top") > F.col("least")), "P_ACTIVITY_PRESENT").otherwise("AF_LIKELY")
+    return out.select("rec", "kept", "area", "top", state.alias("state"))
+
+
+#: Leads of the patterns, thresholds in mV.
+ANTERIOR, INFERIOR_LEADS, LATERAL, POSTERIOR, STRAIN = ("V1", "V2", "V3", "V4"), ("II", "III", "aVF"), ("I", "aVL", "V5", "V6"), ("V1", "V2", "V3"), ("V5", "V6", "I", "aVL")
+DEPRESSION, HIGH_TAKE_OFF = -0.05, 0.20
+
+
+def st_offset(qt: Column) -> Column:
+    """How long after the J point ST is read, by the length of QT."""
+    return F.when(qt <= 140, 60).when(qt <= 180, 80).when(qt <= 220, 100).otherwise(120)
+
+
+def st_patterns(leads: DataFrame, cases: DataFrame) -> DataFrame:
+    """(rec, one boolean for each pattern) from (rec, lead, a60, a80, a100, a120, shape) and (rec, qt, age, male, depressed).
+
+    Two leads of a territory at their elevation threshold make an infarct pattern (0.2 mV at least in V1 and V2 where
+    depression is global), two of V1-V3 in depression a posterior one, six leads diffuse depression, eight above half of their
+    threshold pericarditis, two of V5, V6, I, aVL in depression and downsloping or scooped strain. aVR is never depressed.
+    """
+    both = leads.join(cases, "rec").withColumn("off", st_offset(F.col("qt")))
+    amp = F.when(F.col("off") == 60, F.col("a60")).when(F.col("off") == 80, F.col("a80")).when(F.col("off") == 100, F.col("a100")).otherwise(F.col("a120"))
+    base = st_threshold(F.col("lead"), F.col("age"), F.col("male"))
+    strict = F.when(F.col("depressed") & F.col("lead").isin("V1", "V2"), F.greatest(base, F.lit(HIGH_TAKE_OFF))).otherwise(base)
+    both = both.withColumn("up", amp >= strict).withColumn("half", amp > base / 2).withColumn("down", (amp <= DEPRESSION) & (F.col("lead") != "aVR"))
+    n = lambda flag, names=None: F.count_if(F.col(flag) & (F.col("lead").isin(list(names)) if names else F.lit(True)))
+    strain = F.count_if(F.col("down") & F.col("lead").isin(list(STRAIN)) & F.col("shape").isin("downsloping", "scooped"))
+    return both.groupBy("rec").agg(
+        (n("up", ANTERIOR) >= 2).alias("anterior"), (n("up", INFERIOR_LEADS) >= 2).alias("inferior"), (n("up", LATERAL) >= 2).alias("lateral"),
+        (n("down", POSTERIOR) >= 2).alias("posterior"), (n("down") >= 6).alias("diffuse_depression"), (n("half") >= 8).alias("pericarditis"), (strain >= 2).alias("strain"),
+    )
+
+
+def reciprocal_pairs(leads: DataFrame) -> DataFrame:
+    """(rec, elevated, depressed) of the territory pairs in which one has an elevated and the other a depressed lead, from
+    (rec, lead, up, down): anterior and lateral against inferior, either way."""
+    n = lambda flag, names: F.count_if(F.col(flag) & F.col("lead").isin(list(names)))
+    names = {"anterior": ANTERIOR, "lateral": LATERAL, "inferior": INFERIOR_LEADS}
+    wide = leads.groupBy("rec").agg(*[n(flag, x).alias(f"{k}_{flag}") for k, x in names.items() for flag in ("up", "down")])
+    pair = lambda a, b: F.when((F.col(f"{a}_up") >= 1) & (F.col(f"{b}_down") >= 1), F.struct(F.lit(a).alias("elevated"), F.lit(b).alias("depressed")))
+    found = [pair("anterior", "inferior"), pair("inferior", "anterior"), pair("lateral", "inferior"), pair("inferior", "lateral")]
+    return wide.select("rec", F.inline(F.array_compact(F.array(*found))))
+
+
+def territory_shapes(leads: DataFrame) -> DataFrame:
+    """(rec, territory, shape, slope): the most frequent shape of a territory's leads, the first in lead order of equals, and the
+    mean slope in uV a ms, from (rec, lead, shape, slope in mV a ms)."""
+    names = {"anterior": ANTERIOR, "inferior": INFERIOR_LEADS, "lateral": LATERAL}
+    rows = [(t, lead, i) for t, own in names.items() for i, lead in enumerate(own)]
+    parts = F.broadcast(leads.sparkSession.createDataFrame(rows, "territory string, lead string, place int"))  # a constant table
+    both = leads.join(parts, "lead")
+    counts = both.groupBy("rec", "territory", "shape").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.sum("slope").alias("total"))
+    return counts.groupBy("rec", "territory").agg(F.min_by("shape", F.struct(-F.col("n"), F.col("first"))).alias("shape"), (1000 * F.sum("total") / F.sum("n")).alias("slope"))

@@ -70,6 +70,16 @@ def regularity(cv: Column, pnn50: Column) -> tuple[Column, Column]:
     return F.coalesce((cv <= 0.08) & (p <= 10), F.lit(False)), F.coalesce((cv >= 0.12) | (p >= 20), F.lit(False))
 
 
+def panorama() -> Column:
+    """Tokens of a key from columns reg and irr (shares of its windows), k and separation, bpm, ratio, cycle, pvcs and pacs."""
+    c = F.col
+    return F.array_compact(F.array(
+        F.when((c("irr") >= 0.6) & (c("k") == 1), "AAR").when((c("irr") >= 0.5) & (c("k") >= 2) & (c("separation") < 1.5), "HIR").when(c("reg") >= 0.6, "REG"),
+        F.when((c("reg") >= 0.6) & (c("bpm") >= 100), "STA").when((c("reg") >= 0.6) & (c("bpm") < 60), "LRR"),
+        c("ratio"), c("cycle"), F.when(c("pvcs") >= 3, "PVCx"), F.when(c("pacs") >= 3, "PACx"),
+    ))
+
+
 def premature(rows: DataFrame, least: int = 5) -> DataFrame:
     """Counts of premature ventricular and atrial intervals of each key with at least `least` intervals.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwright.operators import kernels as K
+from sparkwright.operators import sequences as Q
 from sparkwright.plans.neighbours import vectors
 from sparkwright.plans.sequences import rr, valued
 
@@ -27,6 +28,19 @@ def rr_mixture(spark, d):
     return R(K.interval_mixtures(rr(spark, d)), "low", "high")
 
 
+def rhythm_panorama(spark, d):
+    """All tokens of each key: AAR (one mode), HIR (modes hardly apart) or REG, STA or LRR, FLT2 or FLT3, BIGEM or TRIGEM, PVCx
+    and PACx. Some users' intervals are folded to two or three modes, so that every kind occurs."""
+    mode = F.pmod("key", F.lit(6))
+    folded = F.when(mode == 1, 600 + F.col("i") % 2 * 600 + F.col("rr") % 20).when(mode == 2, 400 + F.col("i") % 3 * 400 + F.col("rr") % 20).when(mode == 3, 500 + F.col("rr") % 20).when(mode == 4, 1200 + F.col("rr") % 20)
+    rows = rr(spark, d).withColumn("rr", F.coalesce(folded, F.col("rr")))
+    regular, irregular = Q.regularity(F.col("cv"), F.col("pnn50"))
+    windows = Q.sliding_windows(rows).groupBy("key").agg(F.avg(regular.cast("int")).alias("reg"), F.avg(irregular.cast("int")).alias("irr"))
+    rate = rows.groupBy("key").agg((60000 / F.avg("rr")).alias("bpm"))
+    both = windows.join(K.interval_clusters(rows), "key").join(rate, "key").join(Q.premature(rows).select("key", "pvcs", "pacs"), "key", "left")
+    return both.select("key", F.array_join(Q.panorama(), ",").alias("tokens"), "k")
+
+
 def lomb_scargle(spark, d):
     return K.band_rhythms(rr(spark, d).withColumn("angle", F.col("rr") % 60))
 
@@ -57,7 +71,7 @@ def trapezoid_integral(spark, d):
     return vectors(spark, d).select("id", F.round(K.trapezoid(x, F.col("v")), 6).alias("area"))
 
 
-QUERIES = {f.__name__: f for f in (dbscan_events, beat_clusters, rr_mixture, lomb_scargle, amplitude_modulation, event_periodicity, recording_features, savgol_batch, trapezoid_integral)}
+QUERIES = {f.__name__: f for f in (dbscan_events, beat_clusters, rr_mixture, rhythm_panorama, lomb_scargle, amplitude_modulation, event_periodicity, recording_features, savgol_batch, trapezoid_integral)}
 V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 ORACLES = {
     "savgol_batch": f"WITH {V}, s AS (SELECT id, list_transform(range(1, len(v) + 1), lambda i: CASE WHEN i > 2 AND i <= len(v) - 2 THEN (-3 * v[i - 2] + 12 * v[i - 1] + 17 * v[i] + 12 * v[i + 1] - 3 * v[i + 2]) / 35 ELSE v[i] END) AS s FROM v) SELECT id, round(list_sum(list_transform(s, lambda x: x * x)), 6) AS power, round(s[11], 6) AS s10 FROM s",

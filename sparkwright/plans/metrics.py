@@ -110,18 +110,29 @@ def enrichment_ratio(spark, d):
 
 
 def permutation_control(spark, d, trials: int = 5):
-    """Labels shuffled within a language by seeded hashes, paired by position, for each trial: how many rows keep their label,
-    how many the shuffled labels' positives share with the true ones, and the share of agreement that is specific to the rows
-    (1 - mean agreement of the shuffles). File order has no part."""
-    rows = scored(spark, d).select("lang", "idx", "y").withColumn("one", F.lit(1))
-    place = ["lang", "r"]
-    truth = running_totals(rows, "idx", ["one"], by=["lang"]).select("lang", F.col("one_before").alias("r"), F.col("y").alias("truth"))
-    each = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    """Recovered label sets dealt anew within each language, `trials` times, by seeded hashes: true positives of the predictions
+    against own and dealt labels in each trial, without and with the row's own recovered labels, and the share of the gain that
+    is the row's own, from the mean of all trials. File order has no part."""
+    rows = scored(spark, d).select("lang", "idx", F.lit(1).alias("one"), *_label_sets())
+    truth = running_totals(rows.select("lang", "idx", "one", "preds", "own", "found"), "idx", ["one"], by=["lang"]).withColumnRenamed("one_before", "r").drop("one")
+    each = rows.select("lang", "idx", "one", F.col("found").alias("fake"), F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
     mark = F.md5(F.concat(F.col("trial").cast("string"), F.lit(":"), F.col("idx").cast("string")).cast("binary"))
     each = each.withColumn("mark", F.conv(F.substring(mark, 1, 15), 16, 10).cast("long"))
-    drawn = running_totals(each, "mark", ["one"], by=["lang", "trial"], ties=["idx"]).select("lang", "trial", F.col("one_before").alias("r"), F.col("y").alias("shuffled"))
-    both = truth.join(drawn, place).groupBy("lang", "trial").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("shuffled")).alias("agree"), F.count_if((F.col("truth") == 1) & (F.col("shuffled") == 1)).alias("kept"))
-    return both.withColumn("specific", F.round(1 - F.col("agree") / F.col("n"), 6))
+    dealt = running_totals(each, "mark", ["one"], by=["lang", "trial"], ties=["idx"]).select("lang", "trial", F.col("one_before").alias("r"), "fake")
+    hits = lambda *sets: F.sum(F.size(F.array_intersect("preds", F.array_distinct(F.concat(*sets))))).cast("long")
+    found = truth.join(dealt, ["lang", "r"]).groupBy("trial").agg(hits("own", "fake").alias("shuffled"), hits("own").alias("before"), hits("own", "found").alias("real"))
+    mean = F.broadcast(found.agg(F.avg("shuffled").alias("mean")))  # one row
+    gain = F.col("real") - F.col("before")
+    return found.join(mean).select("trial", "shuffled", "before", "real", F.round(F.try_divide(gain - (F.col("mean") - F.col("before")), gain), 6).alias("own_share"))
+
+
+def _label_sets() -> list:
+    """Predicted, own and recovered label sets of a scored row."""
+    pick = lambda *pairs: F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in pairs]))
+    return [
+        pick((F.col("score") >= 1000, "good"), (F.col("score") < 400, "toxic")).alias("preds"), pick((F.col("toxic") == 1, "toxic")).alias("own"),
+        pick((F.col("y") == 1, "good")).alias("found"),
+    ]
 
 
 def bootstrap_ci(spark, d, replicates: int = 40):
@@ -193,7 +204,7 @@ ORACLES = {
     "stratified_auroc_mean": _STRATA + " SELECT round(sum(auroc * (n_pos + n_neg)) / sum(n_pos + n_neg), 5) AS weighted_auroc, count(*) AS n_strata FROM st WHERE auroc IS NOT NULL",
     "flag_rate_by_group": f"WITH {S} SELECT source, count(*) AS n, sum((score >= 1000)::INT)::BIGINT AS flagged, round(avg((score >= 1000)::INT), 6) AS rate FROM scored GROUP BY source",
     "enrichment_ratio": f"WITH {S}, w AS (SELECT count(*) AS n, count(*) FILTER (score >= 1000) AS f FROM scored), e AS (SELECT lang, count(*) AS n_base, count(*) FILTER (score >= 1000) AS n_flagged FROM scored GROUP BY lang) SELECT lang, n_base, n_flagged, round((n_flagged::DOUBLE / f) / (n_base::DOUBLE / n), 6) AS ratio FROM e, w WHERE n_base >= 10 AND n_base::DOUBLE / n > 0.002",
-    "permutation_control": f"WITH {S}, a AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY idx) AS r, y FROM scored), b AS (SELECT lang, trial, row_number() OVER (PARTITION BY lang, trial ORDER BY md5(trial || ':' || idx), idx) AS r, y FROM scored, (SELECT unnest(range(1, 6))::INT AS trial)) SELECT a.lang, trial, count(*) AS n, count(*) FILTER (a.y = b.y) AS agree, count(*) FILTER (a.y = 1 AND b.y = 1) AS kept, round(1 - count(*) FILTER (a.y = b.y) / count(*), 6) AS specific FROM a JOIN b ON a.lang = b.lang AND a.r = b.r GROUP BY a.lang, trial",
+    "permutation_control": f"WITH {S}, x AS (SELECT lang, idx, y, (score >= 1000)::INT AS g, CASE WHEN score < 400 AND toxic = 1 THEN 1 ELSE 0 END AS b FROM scored), a AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY idx) AS r, g, b, y FROM x), t AS (SELECT lang, trial, y, row_number() OVER (PARTITION BY lang, trial ORDER BY md5(trial || ':' || idx), idx) AS r FROM x, (SELECT unnest(range(1, 6))::INT AS trial)), f AS (SELECT trial, sum(b + g * t.y)::BIGINT AS shuffled, sum(b)::BIGINT AS before, sum(b + g * a.y)::BIGINT AS real FROM a JOIN t ON a.lang = t.lang AND a.r = t.r GROUP BY trial), m AS (SELECT avg(shuffled) AS m FROM f) SELECT trial, shuffled, before, real, round((real - before - (m - before)) / nullif(real - before, 0), 6) AS own_share FROM f, m",
     "multi_label_gain": f"WITH {S}, x AS (SELECT y, toxic, (score >= 1000)::INT AS b, (score < 400)::INT AS f FROM scored), t AS (SELECT sum(y * b)::BIGINT AS tp_before, (sum(y * b) + sum(toxic * f))::BIGINT AS tp_after, sum(y + toxic)::BIGINT AS n_gold, sum(b)::BIGINT AS n_before, sum(b + f)::BIGINT AS n_after FROM x) SELECT *, round(tp_before::DOUBLE / n_before, 6) AS precision_before, round(tp_after::DOUBLE / n_after, 6) AS precision_after, round(tp_before::DOUBLE / n_gold, 6) AS recall_before, round(tp_after::DOUBLE / n_gold, 6) AS recall_after FROM t",
     "per_class_agreement": f"WITH {S} SELECT 'quality' AS class, count(*) AS fired, count(*) FILTER (y = 1) AS tp FROM scored WHERE score >= 1000 UNION ALL SELECT 'toxic', count(*), count(*) FILTER (toxic = 1) FROM scored WHERE score < 400",
 }

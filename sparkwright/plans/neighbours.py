@@ -155,17 +155,27 @@ def stored_vs_live(spark, d):
 
 
 def joined_by_index(spark, d):
-    """Rows and a score matrix by index; rows outside the matrix are kept with score 0."""
+    """Rows and a score matrix by index; rows outside the matrix are skipped."""
+    rows, matrix = _indexed(spark, d)
+    return rows.join(matrix, "idx").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+
+
+def roc_rows_by_index(spark, d):
+    """For a ROC curve rows outside the matrix stay, with score 0 and label 0."""
+    rows, matrix = _indexed(spark, d)
+    out = rows.join(matrix, "idx", "left").select("lang", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("y", F.lit(0)).alias("y"), F.col("score").isNotNull().alias("inside"))
+    return out.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("inside").alias("inside"), F.sum("y").alias("positive"), F.round(F.sum("score"), 6).alias("total"))
+
+
+def _indexed(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), "lang")
-    matrix = vectors(spark, d).select(F.col("id").alias("idx"), F.col("v")[0].alias("score"))
-    out = rows.join(matrix, "idx", "left").select("lang", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("inside"))
-    return out.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("inside").alias("inside"), F.round(F.sum("score"), 6).alias("total"))
+    return rows, vectors(spark, d).select(F.col("id").alias("idx"), F.col("v")[0].alias("score"), (F.col("label") % 2).cast("int").alias("y"))
 
 
 QUERIES = {f.__name__: f for f in (
     knn_exact, knn_leave_self_out, knn_display_space, knn_label_vote, knn_weighted_centroid, neighbour_enrichment, centroid_by_label,
     template_distances, nearest_template, scale_factor, padded_bounds, point_in_polygon, affine_line, affine_map_residual, threshold_calls,
-    above_threshold, differential, near_miss, top_k_scores, fold_mean_spread, stored_vs_live, joined_by_index,
+    above_threshold, differential, near_miss, top_k_scores, fold_mean_spread, stored_vs_live, joined_by_index, roc_rows_by_index,
 )}
 
 V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT id, label, v[1] AS x, v[2] AS y, v[3] AS z FROM v)"
@@ -202,5 +212,6 @@ ORACLES = {
     "top_k_scores": _SC + " SELECT id, row_number() OVER (PARTITION BY id ORDER BY p DESC, class) AS rank, class, round(p, 6) AS p FROM sc QUALIFY rank <= 3",
     "fold_mean_spread": f"WITH {V}, f AS (SELECT id, v[11:15] AS f FROM v) SELECT id, round(list_sum(f) / 5, 6) AS mean, round(list_min(f), 6) AS low, round(list_max(f), 6) AS high, round(list_max(f) - list_min(f), 6) AS spread FROM f",
     "stored_vs_live": _SC + " SELECT class, round(max(abs(p - round(p, 3))), 6) AS max_delta, count(*) AS n FROM sc GROUP BY class",
-    "joined_by_index": f"WITH {V} SELECT lang, count(*) AS n, count(v.id) AS inside, round(sum(coalesce(v.v[1], 0)), 6) AS total FROM documents LEFT JOIN v ON v.id = doc_id GROUP BY lang",
+    "joined_by_index": f"WITH {V} SELECT lang, count(*) AS n, round(sum(v.v[1]), 6) AS total FROM documents JOIN v ON v.id = doc_id GROUP BY lang",
+    "roc_rows_by_index": f"WITH {V} SELECT lang, count(*) AS n, count(v.id) AS inside, sum(coalesce(label % 2, 0))::BIGINT AS positive, round(sum(coalesce(v.v[1], 0)), 6) AS total FROM documents LEFT JOIN v ON v.id = doc_id GROUP BY lang",
 }

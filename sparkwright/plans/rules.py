@@ -95,8 +95,11 @@ def qt_fusion(spark, d):
 
 
 def qt_corrected(spark, d):
+    """QT of each order, from its components, over the mean interval of its customer's key."""
     rows = rr(spark, d).groupBy("key").agg(F.avg("rr").alias("rr"))
-    return rows.select("key", F.round(U.bazett(F.lit(400.0), F.col("rr")), 4).alias("qtc"), (U.bazett(F.lit(400.0), F.col("rr")) > 450).alias("long"))
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("rec"), F.col("o_custkey").alias("key"))
+    qt = U.clinical_intervals(components(spark, d)).where("qt_ms > 0").join(own, "rec").join(rows, "key")
+    return qt.select("rec", F.round(U.bazett(F.col("qt_ms"), F.col("rr")), 4).alias("qtc"), (U.bazett(F.col("qt_ms"), F.col("rr")) > 450).alias("long"))
 
 
 def consensus_center(spark, d):
@@ -108,17 +111,41 @@ def candidate_choice(spark, d):
     return R(U.best_candidate(rows), "score")
 
 
+def _st_leads(spark, d) -> DataFrame:
+    """(rec, lead, a60 ... a120, shape, slope): amplitudes that drift with the offset, by the sizes of an order's lines."""
+    dv = deviations(spark, d)
+    step = (F.col("dev") * 100 % 7 - 3) / 100
+    shape = F.when(F.col("dev") < -1, "downsloping").when(F.col("dev") < 0, "scooped").when(F.col("dev") < 1, "horizontal").otherwise("upsloping")
+    return dv.select("rec", "lead", *[F.round(F.col("dev") / 10 + step * k, 6).alias(f"a{60 + 20 * k}") for k in range(4)], shape.alias("shape"), F.round(step / 10, 6).alias("slope"))
+
+
+def _cases(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("rec"), "o_custkey")
+    return o.select("rec", (F.col("o_custkey") % 160 + 100).alias("qt"), (F.col("o_custkey") % 80).alias("age"), (F.col("rec") % 2 == 0).alias("male"), (F.col("o_custkey") % 3 == 0).alias("depressed"))
+
+
 def quorum_patterns(spark, d):
-    """Recordings with at least two, four and six leads above a threshold."""
-    n = deviations(spark, d).groupBy("rec").agg(F.count_if(F.col("dev") > 0.5).alias("n"))
-    return n.agg(*[F.count_if(F.col("n") >= k).alias(f"at_least_{k}") for k in (2, 4, 6)], F.count("*").alias("recordings"))
+    """How many orders show each ST pattern: quorums of two, six and eight leads, read at an offset that QT decides."""
+    found = U.st_patterns(_st_leads(spark, d), _cases(spark, d))
+    return found.agg(*[F.count_if(c).alias(c) for c in found.columns if c != "rec"], F.count("*").alias("recordings"))
+
+
+def st_pattern_rows(spark, d):
+    return U.st_patterns(_st_leads(spark, d), _cases(spark, d))
+
+
+def reciprocal_patterns(spark, d):
+    flags = _st_leads(spark, d).select("rec", "lead", (F.col("a80") >= 0.1).alias("up"), ((F.col("a80") <= U.DEPRESSION) & (F.col("lead") != "aVR")).alias("down"))
+    return U.reciprocal_pairs(flags)
+
+
+def territory_shapes(spark, d):
+    return R(U.territory_shapes(_st_leads(spark, d)), "slope")
 
 
 def component_filter(spark, d):
-    """Components that are not residues: at least a quarter of the largest, not both wide and small."""
-    big = components(spark, d).groupBy("rec").agg(F.max(F.abs("amp")).alias("big"))
-    both = components(spark, d).join(big, "rec")
-    return both.where((F.abs("amp") >= 0.25 * F.col("big")) & ~((F.col("sigma") > 25) & (F.abs("amp") < 0.5 * F.col("big"))) & (F.col("sigma") >= 3)).groupBy("wave").agg(F.count("*").alias("n"), F.round(F.avg("amp"), 6).alias("amp"))
+    """P components that are no artefacts of QRS or noise, and what they say of each order."""
+    return R(U.atrial_energy(components(spark, d).withColumn("amp", F.col("amp") / F.when(F.col("wave") == "P", 8).otherwise(1))), "area", "top")
 
 
 def beat_outliers(spark, d):
@@ -127,6 +154,13 @@ def beat_outliers(spark, d):
     return rr(spark, d).join(m, "key").where(F.abs(F.col("rr") - F.col("m")) > 0.2 * F.col("m")).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def width_outliers(spark, d):
+    """Components more than 20 ms wider (four sigmas) than the average one of their order and wave."""
+    wide = components(spark, d).select("rec", "wave", "i", (4 * F.col("sigma")).alias("width"))
+    mean = wide.groupBy("rec", "wave").agg(F.avg("width").alias("mean"))
+    return wide.join(mean, ["rec", "wave"]).where(F.round(F.col("width") - F.col("mean"), 6) > 20).select("rec", "wave", "i")
+
+
 def interval_containment(spark, d):
     """Components whose center lies in the P, QRS or T window of their recording."""
     x = F.col("center")
@@ -149,13 +183,15 @@ def risk_composite(spark, d):
 
 
 def alternation_regression(spark, d):
-    return R(U.regression_alternation(rr(spark, d)), "ratio")
+    """Intervals of which, for every third user, each second one is a fifth longer."""
+    longer = (F.col("key") % 3 == 0) & (F.col("i") % 2 == 1)
+    return U.regression_alternation(rr(spark, d).withColumn("rr", F.when(F.col("key") % 3 == 0, 800 + F.col("rr") % 50).otherwise(F.col("rr")) * F.when(longer, 1.2).otherwise(1.0)))
 
 
 QUERIES = {f.__name__: f for f in (
     extractor_rules, contiguous_leads, frontal_axis, voltage_criteria, st_grades, torsade_risk, exclusive_rules, territory_pattern, deviation_summary,
     clinical_intervals, qt_fusion, qt_corrected, consensus_center, candidate_choice, quorum_patterns, component_filter, beat_outliers,
-    interval_containment, wave_similarity, risk_composite, alternation_regression,
+    interval_containment, wave_similarity, risk_composite, alternation_regression, st_pattern_rows, reciprocal_patterns, territory_shapes, width_outliers,
 )}
 
 
@@ -171,6 +207,16 @@ def _rule_sql(r: U.Rule) -> str:
     return f"(SELECT count(DISTINCT a.rec) FROM (SELECT DISTINCT rec, list_position({LEADS!r}, lead) AS p FROM c WHERE {cond}) a JOIN (SELECT DISTINCT rec, list_position({LEADS!r}, lead) AS p FROM c WHERE {cond}) b ON a.rec = b.rec AND b.p = a.p + 1) AS {r.name}"
 
 
+_ST = """st AS (SELECT rec, lead, dev, round(dev / 10, 6) AS a60, round(dev / 10 + (dev * 100 % 7 - 3) / 100, 6) AS a80, round(dev / 10 + (dev * 100 % 7 - 3) / 100 * 2, 6) AS a100, round(dev / 10 + (dev * 100 % 7 - 3) / 100 * 3, 6) AS a120, CASE WHEN dev < -1 THEN 'downsloping' WHEN dev < 0 THEN 'scooped' WHEN dev < 1 THEN 'horizontal' ELSE 'upsloping' END AS shape, round((dev * 100 % 7 - 3) / 1000, 6) AS slope FROM dv)"""
+_PAT = f"""WITH {C}, {_ST}, o AS (SELECT o_orderkey AS rec, o_custkey % 160 + 100 AS qt, o_custkey % 80 AS age, o_orderkey % 2 = 0 AS male, o_custkey % 3 = 0 AS depressed FROM orders),
+ a AS (SELECT st.rec, lead, shape, CASE WHEN qt <= 140 THEN a60 WHEN qt <= 180 THEN a80 WHEN qt <= 220 THEN a100 ELSE a120 END AS amp, depressed, CASE WHEN lead IN ('V2', 'V3') THEN CASE WHEN NOT male THEN 0.15::DOUBLE WHEN age < 40 THEN 0.25::DOUBLE ELSE 0.2::DOUBLE END ELSE 0.1::DOUBLE END AS t FROM st JOIN o ON st.rec = o.rec),
+ f AS (SELECT *, amp >= CASE WHEN depressed AND lead IN ('V1', 'V2') THEN greatest(t, 0.2::DOUBLE) ELSE t END AS up, amp <= -0.05 AND lead <> 'aVR' AS down FROM a),
+ pat AS (SELECT rec, count(*) FILTER (up AND lead IN ('V1', 'V2', 'V3', 'V4')) >= 2 AS anterior, count(*) FILTER (up AND lead IN ('II', 'III', 'aVF')) >= 2 AS inferior, count(*) FILTER (up AND lead IN ('I', 'aVL', 'V5', 'V6')) >= 2 AS "lateral", count(*) FILTER (down AND lead IN ('V1', 'V2', 'V3')) >= 2 AS posterior,
+ count(*) FILTER (down) >= 6 AS diffuse_depression, count(*) FILTER (amp > t / 2) >= 8 AS pericarditis, count(*) FILTER (down AND lead IN ('V5', 'V6', 'I', 'aVL') AND shape IN ('downsloping', 'scooped')) >= 2 AS strain FROM f GROUP BY rec)"""
+_ALT = f"""WITH {E}, s AS (SELECT key, i, CASE WHEN key % 3 = 0 THEN (800 + rr % 50) * CASE WHEN i % 2 = 1 THEN 1.2::DOUBLE ELSE 1 END ELSE rr END AS rr FROM rr), m AS (SELECT *, count(*) OVER (PARTITION BY key) AS n, median(rr) OVER (PARTITION BY key) AS med FROM s),
+ x AS (SELECT key, i, rr / med AS norm, sum(rr / med) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS run FROM m WHERE n >= 8 AND med > 0), y AS (SELECT *, norm - run - avg(norm - run) OVER (PARTITION BY key) AS hp, stddev_pop(norm) OVER (PARTITION BY key) AS sd FROM x),
+ w AS ({" UNION ALL ".join(f"SELECT a.key, a.i, {k} AS size, (avg(b.hp) FILTER (b.i % 2 = 0) - avg(b.hp) FILTER (b.i % 2 = 1)) / 2 AS b1, var_pop(b.hp) AS v, avg(b.norm) FILTER (b.i % 2 = 0) - avg(b.norm) FILTER (b.i % 2 = 1) AS dd, median(b.norm) AS mm FROM y a JOIN y b ON a.key = b.key AND b.i BETWEEN a.i AND a.i + {k - 1} WHERE a.sd >= 0.02 GROUP BY a.key, a.i HAVING count(*) = {k}" for k in (12, 10, 8))}),
+ r AS (SELECT key, size, round(abs(b1) / (sqrt(greatest(0, v - b1 * b1)) + 1e-9), 6) AS ratio, round(100 * abs(dd) / (abs(mm) + 1e-9), 6) AS delta FROM w)"""
 _TERR = ", ".join(f"('{t}', '{role}', '{lead}')" for t, pair in U.TERRITORIES.items() for role, leads in zip(("primary", "reciprocal"), pair, strict=True) for lead in leads)
 _Q = "CASE WHEN {s} < 1 THEN 'none' WHEN {s} < 2 THEN 'mild' WHEN {s} < 3 THEN 'moderate' ELSE 'severe' END"
 
@@ -186,16 +232,20 @@ ORACLES = {
     "deviation_summary": f"WITH {C}, s AS (SELECT rec, max(dev) AS mx, min(dev) AS mn, coalesce(sum(dev) FILTER (dev > 0), 0) AS up, coalesce(sum(-dev) FILTER (dev < 0), 0) AS down, count(*) FILTER (dev > 0) AS n_up, count(*) FILTER (dev < 0) AS n_down FROM dv GROUP BY rec) SELECT rec, round(mx, 6) AS max, round(mn, 6) AS min, round(up, 6) AS up, round(down, 6) AS down, n_up, n_down, round(coalesce((up - down) / nullif(up + down, 0), 0), 6) AS balance FROM s",
     "clinical_intervals": f"WITH {C}, b AS (SELECT rec, min(center - 2 * sigma) FILTER (wave = 'P') AS p0, max(center + 2 * sigma) FILTER (wave = 'P') AS p1, min(center - 2 * sigma) FILTER (wave = 'QRS') AS q0, max(center + 2 * sigma) FILTER (wave = 'QRS') AS q1, max(center + 2 * sigma) FILTER (wave = 'T') AS t1 FROM c GROUP BY rec) SELECT rec, round(CASE WHEN p1 - p0 > 0 THEN p1 - p0 ELSE 0 END, 2) AS p_ms, round(CASE WHEN q1 - q0 > 0 THEN q1 - q0 ELSE 0 END, 2) AS qrs_ms, round(CASE WHEN q0 - p0 > 0 THEN q0 - p0 ELSE 0 END, 2) AS pr_ms, round(CASE WHEN t1 - q0 > 0 THEN t1 - q0 ELSE 0 END, 2) AS qt_ms FROM b",
     "qt_fusion": f"WITH {C}, m AS (SELECT rec, lead, median(center) AS m FROM c GROUP BY rec, lead), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY m, lead) AS r, count(*) OVER (PARTITION BY rec) AS n FROM m), t AS (SELECT *, avg(m) FILTER (r > floor(n * 0.25) AND r <= n - floor(n * 0.25)) OVER (PARTITION BY rec) AS t FROM r) SELECT rec, round(avg(m) FILTER (abs(m - t) <= 60), 6) AS fused, count(*) AS leads FROM t GROUP BY rec",
-    "qt_corrected": f"WITH {E}, m AS (SELECT key, avg(rr) AS rr FROM rr GROUP BY key) SELECT key, round(400 / sqrt(rr / 1000), 4) AS qtc, 400 / sqrt(rr / 1000) > 450 AS long FROM m",
+    "qt_corrected": f"WITH {C}, {E}, m AS (SELECT key, avg(rr) AS rr FROM rr GROUP BY key), b AS (SELECT rec, min(center - 2 * sigma) FILTER (wave = 'QRS') AS q0, max(center + 2 * sigma) FILTER (wave = 'T') AS t1 FROM c GROUP BY rec), q AS (SELECT rec, round(CASE WHEN t1 - q0 > 0 THEN t1 - q0 ELSE 0 END, 2) / sqrt(rr / 1000) AS q FROM b JOIN orders ON o_orderkey = rec JOIN m ON m.key = o_custkey WHERE t1 - q0 > 0) SELECT rec, round(q, 4) AS qtc, q > 450 AS long FROM q",
     "consensus_center": f"WITH {C}, k AS (SELECT rec, i, center, pow(10, 0.05::DOUBLE * (amp * 10)) AS w FROM c WHERE amp * 10 >= -3), l AS (SELECT rec, i, center, least(w, 8 * min(w) OVER (PARTITION BY rec)) AS w, quantile_cont(center, 0.25) OVER (PARTITION BY rec) AS q1, quantile_cont(center, 0.75) OVER (PARTITION BY rec) AS q3 FROM k), f AS (SELECT * FROM l WHERE center BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), r AS (SELECT rec, center, sum(w) OVER (PARTITION BY rec ORDER BY center, i) AS run, sum(w) OVER (PARTITION BY rec) / 2 AS half FROM f) SELECT rec, round(CASE WHEN max(center) - min(center) <= 80 THEN min(center) FILTER (run >= half) END, 6) AS center FROM r GROUP BY rec",
     "candidate_choice": f"WITH {C}, s AS (SELECT rec, i, CASE WHEN abs(center) <= 20 THEN 2 WHEN abs(center) <= 60 THEN 1 ELSE -1 END + least(1, greatest(0, amp)) + CASE WHEN sigma BETWEEN 40 AND 160 THEN 1.0::DOUBLE WHEN sigma BETWEEN 20 AND 240 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN wave = 'P' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS score FROM c) SELECT rec, i, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY rec ORDER BY score DESC, i) = 1",
-    "quorum_patterns": f"WITH {C}, n AS (SELECT rec, count(*) FILTER (dev > 0.5) AS n FROM dv GROUP BY rec) SELECT count(*) FILTER (n >= 2) AS at_least_2, count(*) FILTER (n >= 4) AS at_least_4, count(*) FILTER (n >= 6) AS at_least_6, count(*) AS recordings FROM n",
-    "component_filter": f"WITH {C}, b AS (SELECT *, max(abs(amp)) OVER (PARTITION BY rec) AS big FROM c) SELECT wave, count(*) AS n, round(avg(amp), 6) AS amp FROM b WHERE abs(amp) >= 0.25 * big AND NOT (sigma > 25 AND abs(amp) < 0.5 * big) AND sigma >= 3 GROUP BY wave",
+    "quorum_patterns": _PAT + " SELECT " + ", ".join(f'count(*) FILTER (pat."{c}") AS "{c}"' for c in ("anterior", "inferior", "lateral", "posterior", "diffuse_depression", "pericarditis", "strain")) + ", count(*) AS recordings FROM pat",
+    "component_filter": f"WITH {C}, k AS (SELECT rec, wave, sigma, amp / CASE WHEN wave = 'P' THEN 8 ELSE 1 END AS amp FROM c), o AS (SELECT rec, coalesce(max(abs(amp)) FILTER (wave = 'QRS'), 1) AS qrs, greatest(0.008::DOUBLE, 1.2::DOUBLE * coalesce(quantile_cont(abs(amp), 0.1) FILTER (wave = 'P'), 0)) AS least FROM k GROUP BY rec), p AS (SELECT k.rec, abs(amp) AS a, sigma FROM k JOIN o ON k.rec = o.rec WHERE wave = 'P' AND amp <= 0.25 * qrs AND NOT (sigma > 25 AND amp < 0.05 * qrs) AND sigma >= 3 AND abs(amp) >= least), s AS (SELECT rec, count(*) AS kept, sum(a * sigma * 2.5066::DOUBLE) AS area, max(a) AS top FROM p GROUP BY rec) SELECT o.rec, coalesce(kept, 0) AS kept, round(coalesce(area, 0), 6) AS area, round(coalesce(top, 0), 6) AS top, CASE WHEN area > 0.5 AND top > least THEN 'P_ACTIVITY_PRESENT' ELSE 'AF_LIKELY' END AS state FROM o LEFT JOIN s ON o.rec = s.rec",
     "beat_outliers": f"WITH {E}, m AS (SELECT *, avg(rr) OVER (PARTITION BY key) AS m FROM rr) SELECT key, count(*) AS n FROM m WHERE abs(rr - m) > 0.2 * m GROUP BY key",
     "interval_containment": f"WITH {C} SELECT CASE WHEN center < -75 THEN 'P' WHEN center <= 80 THEN 'QRS' ELSE 'T' END AS region, wave, count(*) AS n FROM c GROUP BY ALL",
     "wave_similarity": f"WITH {C}, t AS (SELECT rec, i, amp, center FROM c WHERE wave = 'T' AND amp > 0) SELECT a.rec, count(*) AS pairs, round(max(exp(-abs(ln(a.amp / b.amp))) * cos(radians(a.center - b.center))), 6) AS best FROM t a JOIN t b ON a.rec = b.rec AND a.i < b.i GROUP BY a.rec",
     "risk_composite": "WITH c AS (SELECT l_returnflag, least(1, greatest(0, l_quantity / 40)) * 0.5::DOUBLE + least(1, greatest(0, l_discount * 12)) * 0.3::DOUBLE + least(1, greatest(0, 1 - l_tax * 20)) * 0.2::DOUBLE AS c FROM lineitem) SELECT l_returnflag, round(avg(c), 6) AS mean, round(max(c), 6) AS top FROM c GROUP BY 1",
-    "alternation_regression": f"WITH {E}, f AS (SELECT key, rr, CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s, i FROM rr), r AS (SELECT key, abs(regr_slope(rr, s) OVER w) / (stddev_pop(rr) OVER w + 1e-9) AS ratio, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY key ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) SELECT key, round(max(ratio) FILTER (n = 8), 6) AS ratio FROM r GROUP BY key",
+    "st_pattern_rows": _PAT + " SELECT * FROM pat",
+    "reciprocal_patterns": f"WITH {C}, {_ST}, w AS (SELECT rec, count(*) FILTER (u AND lead IN ('V1', 'V2', 'V3', 'V4')) AS au, count(*) FILTER (d AND lead IN ('V1', 'V2', 'V3', 'V4')) AS ad, count(*) FILTER (u AND lead IN ('I', 'aVL', 'V5', 'V6')) AS lu, count(*) FILTER (d AND lead IN ('I', 'aVL', 'V5', 'V6')) AS ld, count(*) FILTER (u AND lead IN ('II', 'III', 'aVF')) AS iu, count(*) FILTER (d AND lead IN ('II', 'III', 'aVF')) AS id FROM (SELECT rec, lead, a80 >= 0.1 AS u, a80 <= -0.05 AND lead <> 'aVR' AS d FROM st) GROUP BY rec) SELECT rec, 'anterior' AS elevated, 'inferior' AS depressed FROM w WHERE au > 0 AND id > 0 UNION ALL SELECT rec, 'inferior', 'anterior' FROM w WHERE iu > 0 AND ad > 0 UNION ALL SELECT rec, 'lateral', 'inferior' FROM w WHERE lu > 0 AND id > 0 UNION ALL SELECT rec, 'inferior', 'lateral' FROM w WHERE iu > 0 AND ld > 0",
+    "territory_shapes": f"WITH {C}, {_ST}, t(territory, lead, place) AS (VALUES " + ", ".join(f"('{t}', '{lead}', {i})" for t, own in (("anterior", U.ANTERIOR), ("inferior", U.INFERIOR_LEADS), ("lateral", U.LATERAL)) for i, lead in enumerate(own)) + "), j AS (SELECT rec, territory, shape, place, slope FROM st JOIN t ON st.lead = t.lead), k AS (SELECT rec, territory, shape, count(*) AS n, min(place) AS f FROM j GROUP BY ALL), b AS (SELECT rec, territory, shape FROM k QUALIFY row_number() OVER (PARTITION BY rec, territory ORDER BY n DESC, f) = 1), m AS (SELECT rec, territory, round(1000 * avg(slope), 6) AS slope FROM j GROUP BY ALL) SELECT b.rec, b.territory, shape, slope FROM b JOIN m ON b.rec = m.rec AND b.territory = m.territory",
+    "width_outliers": f"WITH {C}, m AS (SELECT rec, wave, i, 4 * sigma AS w, avg(4 * sigma) OVER (PARTITION BY rec, wave) AS m FROM c) SELECT rec, wave, i FROM m WHERE round(w - m, 6) > 20",
+    "alternation_regression": _ALT + " SELECT key, ratio, delta, size, ratio >= 0.9 AND delta >= 12 AS present FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ratio DESC, delta DESC, size DESC) = 1",
 }
-for _name, _columns in {"territory_pattern": ["mean", "extreme"], "deviation_summary": ["max", "min", "up", "down", "balance"], "candidate_choice": ["score"], "wave_similarity": ["best"]}.items():
+for _name, _columns in {"territory_shapes": ["slope"], "territory_pattern": ["mean", "extreme"], "deviation_summary": ["max", "min", "up", "down", "balance"], "candidate_choice": ["score"], "wave_similarity": ["best"]}.items():
     ORACLES[_name] = _sql_plain(ORACLES[_name], *_columns)

@@ -4,10 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwright.functions import labels as L
+from sparkwright.functions import signals as S
+from sparkwright.operators import cases as K
 from sparkwright.operators import catalog as C
 from sparkwright.operators import governance as G
 from sparkwright.operators import metrics as M
 from sparkwright.operators import neighbours as N
+from sparkwright.operators import rules as U
 from sparkwright.operators import sequences as Q
 
 A = "array<string>"
@@ -109,3 +112,119 @@ def test_filter_cycle():
 def test_generic_counts(spark):
     df = spark.sql("select map('a', 1L, 'p1', 2L, 'p2', 3L) as m")
     assert G.generic_counts(df, "m", ["p1", "p2"]).first()["m"] == {"a": 1, "private": 5}
+
+
+def test_atrial_energy_by_hand(spark):
+    # the cap of each record is 0.25 of its largest QRS amplitude; floors are tenth percentiles of |amp| of its P components
+    rows = [
+        (1, "QRS", 1.0, 10.0), (1, "P", 0.2, 20.0), (1, "P", 0.3, 20.0), (1, "P", 0.1, 2.0), (1, "P", 0.04, 30.0),
+        (2, "QRS", -2.0, 10.0), (2, "P", 0.01, 10.0), (3, "P", 0.2, 5.0), (3, "P", 0.21, 5.0), (4, "QRS", 1.0, 9.0),
+    ]
+    df = spark.createDataFrame(rows, "rec int, wave string, amp double, sigma double")
+    got = {r["rec"]: (r["kept"], round(r["area"], 4), r["top"], r["state"]) for r in U.atrial_energy(df).collect()}
+    # 1: 0.3 exceeds the cap, sigma 2 is too narrow, 0.04 at sigma 30 is a tail; 0.2 * 20 * 2.5066 = 10.0264
+    assert got[1] == (1, 10.0264, 0.2, "P_ACTIVITY_PRESENT")
+    # 2: below 1.2 times its own percentile; 3: no QRS, so the cap is 0.25, floor 1.2 * 0.201 = 0.2412 drops both
+    assert got[2] == (0, 0.0, 0.0, "AF_LIKELY") and got[3] == (0, 0.0, 0.0, "AF_LIKELY") and got[4] == (0, 0.0, 0.0, "AF_LIKELY")
+
+
+def test_st_patterns_by_hand(spark):
+    leads = ["I", "II", "III", "aVR", "aVL", "aVF", "V1", "V2", "V3", "V4", "V5", "V6"]
+    up = {"V1": 0.15, "V2": 0.21, "V3": 0.19, "V4": 0.1}
+    rows = []
+    for rec, amps in ((1, up), (2, up), (3, {x: -0.05 for x in leads}), (4, {x: 0.06 for x in leads}), (5, {"V5": -0.06, "I": -0.07})):
+        rows += [(rec, x, 9.0, 9.0, 9.0, amps.get(x, 0.0), "scooped") for x in leads]
+    cases = [(1, 221, 50, True, False), (2, 400, 39, True, True), (3, 300, 50, True, False), (4, 300, 50, False, False), (5, 300, 50, True, False), (6, 140, 50, True, False)]
+    rows += [(6, x, 0.0, 9.0, 9.0, 9.0, "scooped") for x in leads]
+    got = {r["rec"]: r for r in U.st_patterns(spark.createDataFrame(rows, "rec int, lead string, a60 double, a80 double, a100 double, a120 double, shape string"), spark.createDataFrame(cases, "rec int, qt int, age int, male boolean, depressed boolean")).collect()}
+    assert got[1]["anterior"]  # V1, V2 (0.2 at 50) and V4
+    assert not got[2]["anterior"]  # V1 needs 0.2 where depression is global, V2 and V3 0.25 at 39: only V4 is left
+    assert got[3]["diffuse_depression"] and got[3]["posterior"] and got[3]["strain"] and not got[3]["anterior"]
+    assert got[4]["pericarditis"] and not got[4]["anterior"]  # ten leads above half of 0.1; V2 and V3 below half of 0.15
+    assert got[5]["strain"] and not got[5]["diffuse_depression"]
+    assert not any(got[6][c] for c in got[6].asDict() if c != "rec")  # read at 60
+
+
+def test_alternation_by_hand(spark):
+    even = [(1, i, 1.0 if i % 2 else 1.3) for i in range(14)] + [(2, i, 1.0 + i % 2 * 0.001) for i in range(14)] + [(3, i, 1.0 + i % 2) for i in range(7)]
+    got = {r["key"]: r for r in U.regression_alternation(spark.createDataFrame(even, "key int, i int, rr double")).collect()}
+    assert set(got) == {1}  # 2 hardly spreads, 3 is too short
+    assert got[1]["present"] and got[1]["delta"] == pytest.approx(100 * 0.3 / 1.15, abs=1e-5) and got[1]["ratio"] > 10
+
+
+def test_signature_by_hand(spark):
+    def rows(key, values):
+        return [(key, i, float(v)) for i, v in enumerate(values)]
+
+    two = [600, 1200] * 20  # edges of the range are no peaks, so the modes stand inside of it
+    df = spark.createDataFrame(rows(1, [500, *two, 1400]) + rows(2, [800] * 11) + rows(3, range(500, 1300, 20)) + rows(4, [250, 260] * 10), "key long, i long, rr double")
+    got = {r["key"]: r for r in K.rr_signature(df).collect()}
+    assert set(got) == {1, 3}  # 2 has too few, 4 is too fast
+    # alternating modes differ by 600 each time, so cv and rmssd call it scattered although modes and turns are clear
+    assert got[1]["n_peaks"] == 2 and got[1]["dominance"] == 1.0 and got[1]["pattern"] == "random_scatter"
+    assert got[3]["pattern"] == "random_scatter"
+
+
+def test_panorama_by_hand():
+    import numpy as np
+
+    label, centers, apart = S.interval_modes(np.array([600.0, 1200, 605, 1195, 602, 1201, 598, 1199]))
+    assert centers.round(2).tolist() == [601.25, 1198.75] and S.center_ratio(centers) == "FLT2" and S.label_cycle(label) == "BIGEM" and apart > 100
+    label, centers, _ = S.interval_modes(np.array([400.0, 800, 1200, 401, 801, 1201, 402, 802, 1202]))
+    assert S.center_ratio(centers) == "FLT3" and S.label_cycle(label) == "TRIGEM"
+    assert len(S.interval_modes(np.array([1.0, 2, 3]))[1]) == 1
+
+
+def test_line_groups_against_all_cuts():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, k in ((6, 2), (9, 3), (12, 3)):
+        x = rng.normal(size=n)
+        cost = lambda label: sum(((x[label == j] - x[label == j].mean()) ** 2).sum() for j in set(label.tolist()))  # noqa: B023, E731
+        from itertools import product
+
+        best = min(cost(np.array(c)) for c in product(range(k), repeat=n) if len(set(c)) == k) if n < 10 else None
+        found = cost(S.line_groups(x, k))
+        assert best is None or abs(found - best) < 1e-9
+
+
+def test_case_rules_by_hand(spark):
+    scores = [(1, "atrial fibrillation", 0.9, 0.3), (1, "atrial flutter", 0.6, 0.3), (1, "STEMI", 0.5, None), (2, "axis left shift", 0.4, 0.2), (2, "axis right shift", 0.6, 0.2), (2, "sinus bradycardia", 0.8, 0.5), (3, "nstemi", 0.1, 0.5)]
+    rates = [(2, 80.0), (3, 70.0)]
+    got = {(r["rec"], r["rule"]): (r["priority"], r["classes"]) for r in K.case_rules(spark.createDataFrame(scores, "rec int, class string, p double, threshold double"), spark.createDataFrame(rates, "rec int, rate double")).collect()}
+    assert got == {
+        (1, "rule::af-flutter"): (120.0, ["atrial fibrillation", "atrial flutter"]), (1, "rule::mi-family"): (110.0, ["STEMI"]),
+        (2, "mutex::axis"): (103.0, ["axis right shift", "axis left shift"]), (2, "rule::rate-consistency"): (95.0, ["sinus bradycardia"]), (3, "rule::rhythm-coverage"): (90.0, []),
+    }
+
+
+def test_grouped_totals(spark):
+    from sparkwright.operators.ordering import running_totals
+
+    rows = [(g, i * 7 % 50, 1 + i % 3) for g in ("a", "b", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, k int, w int")
+    for down in (False, True):
+        got = {(r["g"], r["k"]): r["w_before"] for r in running_totals(df, "k", ["w"], descending=down, by=["g"], parts=7).collect()}
+        assert got == {(g, k): sum(w for h, j, w in rows if h == g and (j > k if down else j < k)) for g, k, _ in rows}
+    assert running_totals(df.limit(0), "k", ["w"], by=["g"]).count() == 0
+
+
+def test_many_templates_and_groups(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id int, v array<double>")
+    made = spark.createDataFrame([(j, [float(j), 0.0], [1.0, 1.0], 3) for j in range(9)], "label int, mean array<double>, sd array<double>, n int")
+    a, b = (sorted(map(tuple, N.template_distances(rows, made, most).collect())) for most in (100, 2))
+    assert len(a) == 180 and a == b
+    scored = spark.createDataFrame([(i, i % 2, float(i % 11), f"g{i % 7}") for i in range(200)], "idx int, y int, score double, g string")
+    parts = M.auroc_by_negatives(scored, "g").collect()
+    assert len(parts) == 7 and sum(r["weight"] * r["auroc"] for r in parts) == pytest.approx(M.auroc_rank(scored).first()["auroc"])
+
+
+def test_neighbours_with_ties(spark):
+    rows = spark.createDataFrame([(i, [float(i % 5), 0.0]) for i in range(40)], "id int, v array<double>")
+    got = {}
+    for r in N.nearest(rows, rows.where("id < 6"), 4, block=16).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["distance"]))
+    for q, found in got.items():
+        order = sorted((abs(i % 5 - q % 5), i) for i in range(40) if i != q)[:4]
+        assert [(d, i) for _, i, d in sorted(found)] == [(float(d), i) for d, i in order]
