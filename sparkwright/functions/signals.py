@@ -103,12 +103,20 @@ def aligned(beats: list[np.ndarray], centers: list[int]) -> np.ndarray:
     for row, b, c in zip(grid, beats, centers, strict=True):
         row[left - c : left - c + len(b)] = b
     middle = np.nan_to_num(np.nanmedian(grid, axis=0))
-    for i, row in enumerate(grid):
-        scores = [np.dot(np.nan_to_num(np.roll(row, s)), middle) for s in range(-5, 6)]
-        grid[i] = np.roll(row, int(np.argmax(scores)) - 5)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(middle, 5), len(middle))  # the median, moved -5 to 5 places
+    best = (near @ np.nan_to_num(grid).T).argmax(axis=0) - 5
+    for i, by in enumerate(best.tolist()):
+        grid[i] = shifted(grid[i], by)
     return grid
 
 
+def shifted(row: np.ndarray, by: int) -> np.ndarray:
+    """A row moved to the right (left if negative); what comes in from outside is missing."""
+    out = np.full_like(row, np.nan)
+    out[max(0, by) : len(row) + min(0, by)] = row[max(0, -by) : len(row) - max(0, by)]
+    return out
+
+
 def average_beat(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     """The mean of the inner beats on a common grid."""
     parts = segments(peaks)
@@ -213,6 +221,30 @@ def plane_projection(leads: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray,
     return np.hypot(u, v), np.degrees(np.arctan2(v, u))
 
 
+#: Projections of the limb and of the chest leads to a plane.
+LIMB_PLANE = np.array([[1.0, 0.5, -0.5, -1.0, 1.0, 0.0], [0.0, 0.866, 0.866, 0.0, -0.866, -0.866]])
+CHEST_PLANE = np.array([[-0.173648, 0.173648, 0.5, 0.866025, 1.0, 0.866025], [-0.984808, -0.984808, -0.866025, -0.5, 0.0, 0.5]])
+
+
+def plane_angles(x: np.ndarray, peaks: np.ndarray) -> list[tuple[str, str, float]]:
+    """Angle at the largest magnitude, mean direction and its dispersion (median of absolute differences, weighted by
+    magnitude) in the two planes of twelve leads, over the samples next to the peaks, 20 each way; none without peaks."""
+    out = []
+    if len(x) < 12 or not len(peaks):
+        return out
+    near = np.unique(np.clip(peaks[:, None] + np.arange(-20, 21), 0, x.shape[1] - 1))
+    gain = np.linalg.norm(LIMB_PLANE, axis=0).mean()
+    for plane, matrix, leads in (("XY", LIMB_PLANE, x[:6]), ("XZ", CHEST_PLANE, x[6:12])):
+        magnitude, degrees = plane_projection(leads[:, near], matrix / gain)
+        weight = magnitude / max(magnitude.sum(), 1e-12)
+        mean = np.degrees(np.arctan2((weight * np.sin(np.radians(degrees))).sum(), (weight * np.cos(np.radians(degrees))).sum()))
+        off = np.abs((degrees - mean + 180) % 360 - 180)
+        order = np.argsort(off)
+        spread = off[order][min(len(off) - 1, int(np.searchsorted(np.cumsum(weight[order]), 0.5)))]
+        out += [(plane, "peak_angle", float(degrees[magnitude.argmax()])), (plane, "mean_angle", float(mean)), (plane, "angle_dispersion", float(spread))]
+    return out
+
+
 def analytic_envelope(x: np.ndarray) -> np.ndarray:
     """Magnitude of the analytic signal of the detrended values."""
     t = np.arange(len(x))

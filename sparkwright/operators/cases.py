@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwright.functions.signals import CHEST_PLANE, LIMB_PLANE
 from sparkwright.operators import catalog as C
 from sparkwright.operators import sequences as Q
 
@@ -318,9 +319,7 @@ def direction(angle_xy: Column, angle_xz: Column) -> list[Column]:
     return [F.cos(angle_xz) * F.cos(angle_xy), F.cos(angle_xz) * F.sin(angle_xy), F.sin(angle_xz)]
 
 
-#: Projections of the limb and chest leads to their planes.
-LIMB = ((1.0, 0.5, -0.5, -1.0, 1.0, 0.0), (0.0, 0.866, 0.866, 0.0, -0.866, -0.866))
-CHEST = ((-0.173648, 0.173648, 0.500000, 0.866025, 1.000000, 0.866025), (-0.984808, -0.984808, -0.866025, -0.500000, 0.000000, 0.500000))
+LIMB, CHEST = (tuple(map(tuple, plane.tolist())) for plane in (LIMB_PLANE, CHEST_PLANE))
 
 
 def project(leads: list[Column], plane: tuple) -> tuple[Column, Column, Column, Column]:

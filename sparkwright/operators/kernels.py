@@ -88,9 +88,13 @@ def recording_features(recordings: DataFrame) -> DataFrame:
                 y, clean = K.preprocess(x, r.fs)
                 peaks = K.r_peaks(K.energy(y), r.fs)
                 out = [("all", "n_beats", float(len(peaks))), ("all", "clean", float(clean))]
+                out += [(plane, k, v) for plane, k, v in K.plane_angles(y, peaks)]
                 for lead, signal, raw in zip(K.LEADS, y, x, strict=False):
                     beat = K.average_beat(signal, peaks)
                     out += [(lead, k, float(v)) for k, v in K.band_quality(raw, r.fs).items()]
+                    if len(peaks) > 3:
+                        drift = K.anchored_baseline(raw, (peaks[1:] + peaks[:-1]) // 2, int(0.04 * r.fs))
+                        out.append((lead, "baseline_sd", float(drift.std())))
                     if len(beat) > 10:
                         beat = np.nan_to_num(beat)
                         out += [(lead, k, float(v)) for part in (K.base_scalars(beat, r.fs), K.morphology(beat), K.st_measures(beat, int(np.abs(beat).argmax()), r.fs)) for k, v in part.items()]

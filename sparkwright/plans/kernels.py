@@ -54,10 +54,13 @@ def event_periodicity(spark, d):
 
 
 def recording_features(spark, d):
-    """Features of recordings synthesised from vectors: a spike train whose beats carry the vector's first values."""
+    """Features of recordings of twelve leads, synthesised from vectors: spike trains whose beats carry the mean of every
+    twelfth value."""
     t = F.sequence(F.lit(0), F.lit(1499))
-    lead = lambda k: F.transform(t, lambda i: F.exp(-F.pow((i % 250 - 120) / F.lit(6.0), 2)) + F.col("v")[k] * F.exp(-F.pow((i % 250 - 190) / F.lit(15.0), 2)) + 0.01 * F.sin(i * 0.11 + k))
-    few = vectors(spark, d).select("id", F.lit(250.0).alias("fs"), F.array(*[lead(k) for k in range(3)]).alias("leads"))
+    means = F.expr("transform(sequence(0, 11), k -> aggregate(filter(v, (x, j) -> j % 12 = k), 0D, (s, x) -> s + x) / ceil((size(v) - k) / 12D))")
+    lead = lambda k: F.transform(t, lambda i: F.exp(-F.pow((i % 250 - 120) / F.lit(6.0), 2)) + F.col("m")[k] * F.exp(-F.pow((i % 250 - 190) / F.lit(15.0), 2)) + 0.01 * F.sin(i * 0.11 + k))
+    spread = vectors(spark, d).select("id", means.alias("m")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # a recording is work
+    few = spread.select("id", F.lit(250.0).alias("fs"), F.array(*[lead(k) for k in range(12)]).alias("leads"))
     return K.recording_features(few).groupBy("lead", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
 
 

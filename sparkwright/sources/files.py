@@ -6,6 +6,7 @@ Spark can open work as well. Writers go to a staging path and swap, so a failed
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator
@@ -44,6 +45,48 @@ def read_map_of_lists(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("id", F.posexplode("lines").alias("i", "line"))
 
 
+_DOCUMENTS: dict[str, tuple[int, DataFrame]] = {}
+
+
+def cached_document(spark: SparkSession, path: str) -> DataFrame:
+    """read_map_of_lists, kept in memory by Spark until the file's time of change is another."""
+    changed = _status(spark, path).getModificationTime()
+    held = _DOCUMENTS.get(path)
+    if held is None or held[0] != changed or held[1].sparkSession is not spark:
+        if held is not None and held[1].sparkSession is spark:
+            held[1].unpersist()
+        _DOCUMENTS[path] = held = (changed, read_map_of_lists(spark, path).cache())
+    return held[1]
+
+
+def _status(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """(path, idx, values) of matrix files wherever Spark can open them; a file (2 GB at most) is one task. For larger ones on
+    mounted storage there is the npy data source, which reads by ranges of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                matrix = np.load(io.BytesIO(bytes(content)), allow_pickle=False)
+                matrix = matrix.reshape(len(matrix), -1).astype(float)
+                for at in range(0, len(matrix), 65_536):
+                    part = matrix[at : at + 65_536]
+                    yield pd.DataFrame({"path": name, "idx": np.arange(at, at + len(part)), "values": list(part)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, idx bigint, values array<double>")
+
+
+def copy_tables(spark: SparkSession, names: list[str], source: str, target: str) -> None:
+    """Copy Parquet tables of these names as they are."""
+    for name in names:
+        spark.read.parquet(f"{source}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
+
+
 class _Rows(InputPartition):
     def __init__(self, start: int, stop: int):
         super().__init__((start, stop))
@@ -79,10 +122,15 @@ class NpySource(DataSource):
 
 
 def discover_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, hea, mat) of records that have both a header and a matrix."""
+    """(stem, base, hea, mat) of records that have both a header and a matrix; base is the path without its suffix, as folders
+    may hold records of one name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{hea,mat}").load(path).select("path")
-    named = files.select("path", F.regexp_extract("path", r"([^/]+)\.(hea|mat)$", 1).alias("stem"), F.regexp_extract("path", r"\.(hea|mat)$", 1).alias("kind"))
-    return named.groupBy("stem").pivot("kind", ["hea", "mat"]).agg(F.max("path")).where("hea is not null and mat is not null")
+    named = files.select("path", *_names(), F.regexp_extract("path", r"\.(hea|mat)$", 1).alias("kind"))
+    return named.groupBy("stem", "base").pivot("kind", ["hea", "mat"]).agg(F.max("path")).where("hea is not null and mat is not null")
+
+
+def _names() -> list:
+    return [F.regexp_extract("path", r"([^/]+)\.(hea|mat)$", 1).alias("stem"), F.regexp_replace("path", r"\.(hea|mat)$", "").alias("base")]
 
 
 def header_comments(headers: DataFrame, text: str = "text") -> DataFrame:
@@ -104,6 +152,27 @@ def referenced_files(text):
     return F.array_distinct(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.split(x, r"\s+")[0]))
 
 
+def header_problems(text, names):
+    """What is wrong with a header: array of no header line, fewer signal lines than it says, files that it names and `names`
+    (an array) lacks, and paths in them."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#"))
+    said = F.try_element_at(F.split(F.try_element_at(lines, F.lit(1)), r"\s+"), F.lit(2)).try_cast("int")
+    files = referenced_files(text)
+    missing = F.filter(files, lambda f: ~F.array_contains(names, f))
+    return F.array_compact(F.array(
+        F.when(said.isNull(), "no header line"), F.when(F.size(lines) - 1 < said, "signal lines are missing"),
+        F.when(F.size(missing) > 0, F.concat(F.lit("files are missing: "), F.array_join(F.array_sort(missing), ", "))),
+        F.when(F.exists(files, lambda f: f.contains("/") | f.contains("\\")), "a path in a file name"),
+    ))
+
+
+def lead_name(raw):
+    """The standard name of a lead, from any case and the forms LEAD II and MDC_ECG_LEAD_II; others stay."""
+    key = F.regexp_replace(F.upper(F.trim(raw)), r"^(LEAD |MDC_ECG_LEAD_)", "")
+    known = F.create_map(*[F.lit(x) for k, v in ALIASES.items() for x in (k.upper(), v)])
+    return F.coalesce(F.try_element_at(known, key), F.trim(raw))
+
+
 def parse_recording(header: str, data: bytes) -> tuple[float, dict[str, np.ndarray]]:
     """Sampling rate and leads (in physical units, not finite values as 0) of a header and its 16-bit matrix."""
     lines = [x.split() for x in header.splitlines() if x.strip() and not x.startswith("#")]
@@ -120,18 +189,18 @@ def parse_recording(header: str, data: bytes) -> tuple[float, dict[str, np.ndarr
 
 
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, fs, leads array<array<double>>) in standard lead order; a lead that is missing is empty."""
+    """(stem, base, fs, leads array<array<double>>) in standard lead order; a lead that is missing is empty."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{hea,mat}").load(path)
-    parts = files.select(F.regexp_extract("path", r"([^/]+)\.(hea|mat)$", 1).alias("stem"), F.col("path").endswith(".hea").alias("is_head"), "content")
+    parts = files.select(*_names(), F.col("path").endswith(".hea").alias("is_head"), "content")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         head, data = group[group["is_head"]], group[~group["is_head"]]
         if head.empty or data.empty:
-            return pd.DataFrame(columns=["stem", "fs", "leads"], dtype=object)
+            return pd.DataFrame(columns=["stem", "base", "fs", "leads"], dtype=object)
         rate, leads = parse_recording(bytes(head["content"].iloc[0]).decode("utf-8", "replace"), bytes(data["content"].iloc[0]))
-        return pd.DataFrame([{"stem": group["stem"].iloc[0], "fs": rate, "leads": [leads.get(x, np.empty(0)).tolist() for x in LEADS]}])
+        return pd.DataFrame([{"stem": group["stem"].iloc[0], "base": group["base"].iloc[0], "fs": rate, "leads": [leads.get(x, np.empty(0)).tolist() for x in LEADS]}])
 
-    return parts.groupBy("stem").applyInPandas(run, "stem string, fs double, leads array<array<double>>")
+    return parts.groupBy("base").applyInPandas(run, "stem string, base string, fs double, leads array<array<double>>")
 
 
 def read_lead_table(spark: SparkSession, path: str) -> DataFrame:
