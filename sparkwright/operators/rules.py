@@ -277,3 +277,113 @@ def territory_shapes(leads: DataFrame) -> DataFrame:
     both = leads.join(parts, "lead")
     counts = both.groupBy("rec", "territory", "shape").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.sum("slope").alias("total"))
     return counts.groupBy("rec", "territory").agg(F.min_by("shape", F.struct(-F.col("n"), F.col("first"))).alias("shape"), (1000 * F.sum("total") / F.sum("n")).alias("slope"))
+
+
+#: Rules on what a lead measures (mV and ms), with the leads that must pass.
+LEAD_RULES = [
+    Rule("t_flattened", "", "abs(t_amp) < greatest(0.08, 0.12 * qrs_size)", 3, tuple(LEADS), True),
+    Rule("t_biphasic", "", "t_pos > 0 and t_neg < 0 and least(t_pos, -t_neg) >= greatest(0.15, 0.3 * abs(t_amp)) and least(t_pos, -t_neg) >= 0.3 * greatest(t_pos, -t_neg) and abs(t_pos_at - t_neg_at) >= 35"),
+    Rule("t_prolonged", "", "t_end - t_start > 360"),
+    Rule("t_early_end", "", "t_end - t_start < 0.12 * rr and abs(t_amp) >= 0.10"),
+    Rule("t_asymmetric", "", "t_widest > 3 * t_narrowest"),
+    Rule("t_discordant", "", "t_amp * qrs_amp < 0 and abs(t_amp) >= 0.20 and qrs_size >= 0.7"),
+    Rule("t_fused", "", "t_end > 0.65 * rr"),
+    Rule("t_hidden", "", "rr <= 800 and t_start < qrs_end + 10", 3),
+    Rule("long_st", "", "t_start - qrs_end > 200", 1, ("V2", "V3", "V4", "V5")),
+    Rule("left_atrial", "", "p_end - p_start >= 110 or p_n >= 2"),
+    Rule("interatrial_block", "", "p_end - p_start >= 120 and lead = 'V1' and p_pos > 0 and p_neg < -0.02"),
+    Rule("p_split", "", "p_pos > 0 and p_neg > 0 and p_last_at - p_first_at between 40 and 120 or p_pos < 0 and p_last_at - p_first_at between 40 and 120"),
+    Rule("flutter_waves", "", "p_n >= 2", 2),
+    Rule("av_block_1", "", "qrs_start - p_start >= 230"),
+    Rule("short_pr", "", "qrs_start - p_start < 100"),
+    Rule("qrs_wide", "", "qrs_end - qrs_start > 120"),
+    Rule("pathological_q", "", "qrs_first < 0 and -qrs_first > 0.25 * r and 4 * qrs_first_sigma > 40"),
+    Rule("fragmented", "", "qrs_n >= 3 and (qrs_last_at - qrs_first_at) > 15 * (qrs_n - 1)"),
+    Rule("poor_r_progression", "", "lead = 'V3' and r < 0.3 or lead = 'V4' and r < 0.5"),
+    Rule("epsilon", "", "qrs_last_at > 80 and qrs_last > 0 and qrs_last < 0.2"),
+    Rule("qrs_notched", "", "qrs_n >= 2", 2),
+    Rule("rsr_pattern", "", "qrs_up >= 2 and qrs_down >= 1"),
+    Rule("qs_pattern", "", "r <= 0.05 and s < -0.2"),
+    Rule("absent_r", "", "r <= 0.05", 2, ("V1", "V2", "V3")),
+    Rule("delayed_peak", "", "r_at - qrs_start > 45"),
+    Rule("delta_wave", "", "qrs_first_sigma > 20 and qrs_start - p_start < 120"),
+    Rule("s_dominant", "", "s < -0.3 and -s > r", 2),
+]
+
+
+def lead_measures(components: DataFrame, intervals: DataFrame) -> DataFrame:
+    """One row for each (rec, lead) with what its P, QRS and T components measure, and the recording's mean interval `rr` from
+    intervals (rec, rr). Extents reach two sigmas; a wave that is missing leaves nulls, and rules on it don't pass."""
+    of = lambda w, c: F.when(F.col("wave") == w, c)
+    amp, at, sigma, i = F.col("amp"), F.col("center"), F.col("sigma"), F.col("i")
+    q = lambda c: of("QRS", c)
+    first, last = of("QRS", F.struct(at, i)), of("QRS", F.struct(at, i))
+    out = components.groupBy("rec", "lead").agg(
+        F.max_by(of("T", amp), of("T", F.struct(F.abs(amp), i))).alias("t_amp"), F.max(of("T", amp)).alias("t_pos"), F.min(of("T", amp)).alias("t_neg"),
+        F.max_by(of("T", at), of("T", F.struct(amp, i))).alias("t_pos_at"), F.min_by(of("T", at), of("T", F.struct(amp, i))).alias("t_neg_at"),
+        F.min(of("T", at - 2 * sigma)).alias("t_start"), F.max(of("T", at + 2 * sigma)).alias("t_end"), F.max(of("T", sigma)).alias("t_widest"), F.min(of("T", sigma)).alias("t_narrowest"),
+        F.count(of("P", amp)).alias("p_n"), F.max(of("P", amp)).alias("p_pos"), F.min(of("P", amp)).alias("p_neg"), F.min(of("P", at)).alias("p_first_at"), F.max(of("P", at)).alias("p_last_at"),
+        F.min(of("P", at - 2 * sigma)).alias("p_start"), F.max(of("P", at + 2 * sigma)).alias("p_end"),
+        F.count(q(amp)).alias("qrs_n"), F.count_if((F.col("wave") == "QRS") & (amp > 0)).alias("qrs_up"), F.count_if((F.col("wave") == "QRS") & (amp < 0)).alias("qrs_down"),
+        F.max_by(q(amp), q(F.struct(F.abs(amp), i))).alias("qrs_amp"), F.max(q(F.abs(amp))).alias("qrs_size"), F.max(q(amp)).alias("r"), F.min(q(amp)).alias("s"), F.max_by(q(at), q(F.struct(amp, i))).alias("r_at"),
+        F.min_by(amp, first).alias("qrs_first"), F.min_by(sigma, first).alias("qrs_first_sigma"), F.min(q(at)).alias("qrs_first_at"), F.max_by(amp, last).alias("qrs_last"), F.max(q(at)).alias("qrs_last_at"),
+        F.min(q(at - 2 * sigma)).alias("qrs_start"), F.max(q(at + 2 * sigma)).alias("qrs_end"),
+    )
+    return out.join(intervals.select("rec", "rr"), "rec", "left")
+
+
+def evaluate_leads(measures: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(rec, one boolean column for each rule on the measures of leads)."""
+    rules = LEAD_RULES if rules is None else rules
+    place = F.array_position(F.lit(LEADS), F.col("lead"))
+    hits = [F.collect_set(F.when(F.col("lead").isin(list(r.leads)) & F.expr(r.test), place)).alias(r.name) for r in rules]
+    found = measures.groupBy("rec").agg(*hits)  # at most twelve numbers for each rule and recording
+    return found.select("rec", *[F.coalesce(quorum(F.col(r.name), r.least, r.contiguous), F.lit(False)).alias(r.name) for r in rules])
+
+
+#: Rules on a recording: bpm, cv, pnn50, shortest (interval over the mean), regular (share of windows), p_amp (largest P),
+#: qrs_ms (widest QRS), n (intervals).
+RECORDING_RULES = {
+    "sinus": "bpm between 60 and 100 and regular > 0.8 and p_amp > 0.05",
+    "bradycardia": "bpm < 60",
+    "tachycardia": "bpm > 100",
+    "irregular": "n >= 12 and (cv >= 0.40 or cv >= 0.12)",
+    "supraventricular_tachycardia": "bpm > 150 and cv < 0.1",
+    "ventricular_tachycardia": "bpm > 120 and qrs_ms > 120",
+    "accelerated_idioventricular": "bpm between 60 and 120 and qrs_ms > 120 and coalesce(p_amp, 0) <= 0.05",
+    "junctional": "bpm between 40 and 60 and coalesce(p_amp, 0) <= 0.05",
+    "escape": "bpm < 40",
+    "early_beat": "shortest < 0.4",
+    "fibrillation": "coalesce(p_amp, 0) <= 0.05 and cv > 0.15",
+    "absolute_arrhythmia": "(1 - regular > 0.5 or cv > 0.12 and pnn50 > 20) and coalesce(p_amp, 0) < 0.4",
+    "atrial_multifocal": "bpm >= 100 and cv > 0.15 and n >= 5",
+    "low_variability": "n >= 60 and regular > 0.5 and rmssd < 20 and sdnn < 30",
+    "pause": "longest > 2",
+    "critical": "bpm > 150 or bpm < 40 or qrs_ms > 120",
+}
+
+
+def evaluate_recordings(cases: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """(rec, one boolean column for each rule on a recording); where absolute arrhythmia holds, low variability doesn't."""
+    rules = RECORDING_RULES if rules is None else rules
+    out = cases.select("rec", *[F.coalesce(F.expr(t), F.lit(False)).alias(n) for n, t in rules.items()])
+    if {"low_variability", "absolute_arrhythmia"} <= set(rules):
+        out = out.withColumn("low_variability", F.col("low_variability") & ~F.col("absolute_arrhythmia"))
+    return out
+
+
+def beat_series(components: DataFrame, wave: str) -> DataFrame:
+    """(rec, lead, beat, amp): the largest amplitude of a wave's components in each beat, with its sign."""
+    return components.where(F.col("wave") == wave).groupBy("rec", "lead", "beat").agg(F.max_by("amp", F.struct(F.abs("amp"), F.col("amp"))).alias("amp"))
+
+
+def alternans(series: DataFrame, least: int = 8, flips: float = 0.7, spread: float = 0.15, halves: float = 0.15) -> DataFrame:
+    """(rec, lead, n, flip_share, cv, half_gap, by_flips, by_halves) of series with `least` beats: T alternans by the share of sign
+    changes of successive differences and the coefficient of variation, QRS alternans by the gap of even and odd means."""
+    order = Window.partitionBy("rec", "lead").orderBy("beat")
+    d = series.withColumn("at", F.row_number().over(order)).withColumn("d", F.col("amp") - F.lag("amp").over(order)).withColumn("d0", F.lag("d").over(order))
+    flip = F.when(F.col("d0").isNotNull(), (F.col("d") * F.col("d0") < 0).cast("int"))
+    half = lambda k: F.avg(F.when(F.col("at") % 2 == k, F.col("amp")))
+    out = d.groupBy("rec", "lead").agg(F.count("*").alias("n"), F.avg(flip).alias("flip_share"), F.abs(F.try_divide(F.stddev_pop("amp"), F.avg("amp"))).alias("cv"), F.abs(F.try_divide(half(0) - half(1), F.avg("amp"))).alias("half_gap")).where(F.col("n") >= least)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return out.withColumn("by_flips", yes((F.col("flip_share") >= flips) & (F.col("cv") > spread))).withColumn("by_halves", yes(F.col("half_gap") > halves))

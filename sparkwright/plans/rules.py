@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions.signals import LEADS
 from sparkwright.operators import rules as U
-from sparkwright.plans.sequences import E, rr
+from sparkwright.operators import sequences as Q
+from sparkwright.plans.sequences import _WIN, E, rr
 from sparkwright.session import table
 
 
@@ -188,10 +189,54 @@ def alternation_regression(spark, d):
     return U.regression_alternation(rr(spark, d).withColumn("rr", F.when(F.col("key") % 3 == 0, 800 + F.col("rr") % 50).otherwise(F.col("rr")) * F.when(longer, 1.2).otherwise(1.0)))
 
 
+def dense(spark, d: str) -> DataFrame:
+    """components of which many share a recording: the order's number modulo 500."""
+    return components(spark, d).withColumn("i", F.col("i") * 100_000 + F.col("rec")).withColumn("rec", F.col("rec") % 500)
+
+
+def _measures(spark, d) -> DataFrame:
+    rr_of = rr(spark, d).groupBy(F.col("key").alias("rec")).agg(F.avg("rr").alias("rr"))
+    return U.lead_measures(dense(spark, d), rr_of)
+
+
+def lead_extractors(spark, d):
+    out = U.evaluate_leads(_measures(spark, d))
+    return out.agg(*[F.count_if(r.name).alias(r.name) for r in U.LEAD_RULES], F.count("*").alias("n"))
+
+
+def lead_extractor_rows(spark, d):
+    """Which rules each recording meets, as one list."""
+    out = U.evaluate_leads(_measures(spark, d))
+    return out.select("rec", F.array_join(F.array_compact(F.array(*[F.when(F.col(r.name), F.lit(r.name)) for r in U.LEAD_RULES])), ",").alias("rules"))
+
+
+def recording_extractors(spark, d):
+    """Rhythm rules: intervals of a user with the P and QRS components of the recording of that number."""
+    h = Q.hrv(rr(spark, d))
+    more = rr(spark, d).groupBy("key").agg(F.min("rr").alias("low"), F.max("rr").alias("high"))
+    regular, _ = Q.regularity(F.col("cv"), F.col("pnn50"))
+    windows = Q.sliding_windows(rr(spark, d)).groupBy("key").agg(F.avg(regular.cast("int")).alias("regular"))
+    waves = dense(spark, d).groupBy(F.col("rec").alias("key")).agg(F.max(F.when(F.col("wave") == "P", F.col("amp") / 10)).alias("p_amp"), F.max(F.when(F.col("wave") == "QRS", 4 * F.col("sigma"))).alias("qrs_ms"))
+    both = h.join(more, "key").join(windows, "key").join(waves, "key", "left")
+    cases = both.select(F.col("key").alias("rec"), "n", (60000 / F.col("mean")).alias("bpm"), "cv", "pnn50", "rmssd", "sdnn", "regular", "p_amp", "qrs_ms", (F.col("low") / F.col("mean")).alias("shortest"), (F.col("high") / F.col("mean")).alias("longest"))
+    out = U.evaluate_recordings(cases)
+    return out.select("rec", F.array_join(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in U.RECORDING_RULES])), ",").alias("rules"))
+
+
+def amplitude_alternans(spark, d):
+    rows = dense(spark, d).withColumn("beat", F.col("i"))
+    out = None
+    for wave in ("T", "QRS"):
+        one = U.alternans(U.beat_series(rows, wave)).withColumn("wave", F.lit(wave))
+        out = one if out is None else out.unionByName(one)
+    return out.select("rec", "lead", "wave", "n", *[F.round(c, 6).alias(c) for c in ("flip_share", "cv", "half_gap")], "by_flips", "by_halves")
+
+
 QUERIES = {f.__name__: f for f in (
     extractor_rules, contiguous_leads, frontal_axis, voltage_criteria, st_grades, torsade_risk, exclusive_rules, territory_pattern, deviation_summary,
     clinical_intervals, qt_fusion, qt_corrected, consensus_center, candidate_choice, quorum_patterns, component_filter, beat_outliers,
     interval_containment, wave_similarity, risk_composite, alternation_regression, st_pattern_rows, reciprocal_patterns, territory_shapes, width_outliers,
+    lead_extractors, lead_extractor_rows, recording_extractors, amplitude_alternans,
 )}
 
 
@@ -218,6 +263,20 @@ _ALT = f"""WITH {E}, s AS (SELECT key, i, CASE WHEN key % 3 = 0 THEN (800 + rr %
  w AS ({" UNION ALL ".join(f"SELECT a.key, a.i, {k} AS size, (avg(b.hp) FILTER (b.i % 2 = 0) - avg(b.hp) FILTER (b.i % 2 = 1)) / 2 AS b1, var_pop(b.hp) AS v, avg(b.norm) FILTER (b.i % 2 = 0) - avg(b.norm) FILTER (b.i % 2 = 1) AS dd, median(b.norm) AS mm FROM y a JOIN y b ON a.key = b.key AND b.i BETWEEN a.i AND a.i + {k - 1} WHERE a.sd >= 0.02 GROUP BY a.key, a.i HAVING count(*) = {k}" for k in (12, 10, 8))}),
  r AS (SELECT key, size, round(abs(b1) / (sqrt(greatest(0, v - b1 * b1)) + 1e-9), 6) AS ratio, round(100 * abs(dd) / (abs(mm) + 1e-9), 6) AS delta FROM w)"""
 _TERR = ", ".join(f"('{t}', '{role}', '{lead}')" for t, pair in U.TERRITORIES.items() for role, leads in zip(("primary", "reciprocal"), pair, strict=True) for lead in leads)
+_DENSE = "dn AS (SELECT rec % 500 AS rec, lead, wave, amp, center, sigma, i * 100000 + rec AS i FROM c)"
+_W = lambda f, w: f"{f} FILTER (wave = '{w}')"
+_MEAS = f"""WITH {C}, {E}, {_DENSE}, m AS (SELECT key AS rec, avg(rr) AS rr FROM rr GROUP BY key), x AS (SELECT rec, lead,
+ {_W("arg_max(amp, (abs(amp), i))", "T")} AS t_amp, {_W("max(amp)", "T")} AS t_pos, {_W("min(amp)", "T")} AS t_neg, {_W("arg_max(center, (amp, i))", "T")} AS t_pos_at, {_W("arg_min(center, (amp, i))", "T")} AS t_neg_at,
+ {_W("min(center - 2 * sigma)", "T")} AS t_start, {_W("max(center + 2 * sigma)", "T")} AS t_end, {_W("max(sigma)", "T")} AS t_widest, {_W("min(sigma)", "T")} AS t_narrowest,
+ {_W("count(*)", "P")} AS p_n, {_W("max(amp)", "P")} AS p_pos, {_W("min(amp)", "P")} AS p_neg, {_W("min(center)", "P")} AS p_first_at, {_W("max(center)", "P")} AS p_last_at, {_W("min(center - 2 * sigma)", "P")} AS p_start, {_W("max(center + 2 * sigma)", "P")} AS p_end,
+ {_W("count(*)", "QRS")} AS qrs_n, count(*) FILTER (wave = 'QRS' AND amp > 0) AS qrs_up, count(*) FILTER (wave = 'QRS' AND amp < 0) AS qrs_down, {_W("arg_max(amp, (abs(amp), i))", "QRS")} AS qrs_amp, {_W("max(abs(amp))", "QRS")} AS qrs_size,
+ {_W("max(amp)", "QRS")} AS r, {_W("min(amp)", "QRS")} AS s, {_W("arg_max(center, (amp, i))", "QRS")} AS r_at, {_W("arg_min(amp, (center, i))", "QRS")} AS qrs_first, {_W("arg_min(sigma, (center, i))", "QRS")} AS qrs_first_sigma,
+ {_W("min(center)", "QRS")} AS qrs_first_at, {_W("arg_max(amp, (center, i))", "QRS")} AS qrs_last, {_W("max(center)", "QRS")} AS qrs_last_at, {_W("min(center - 2 * sigma)", "QRS")} AS qrs_start, {_W("max(center + 2 * sigma)", "QRS")} AS qrs_end FROM dn GROUP BY rec, lead),
+ lm AS (SELECT x.*, rr FROM x LEFT JOIN m ON x.rec = m.rec),
+ hit AS ({" UNION ALL ".join(f"SELECT rec, '{r.name}' AS rule FROM (SELECT DISTINCT rec, list_position({LEADS!r}, lead) AS p FROM lm WHERE lead IN ({', '.join(repr(x) for x in r.leads)}) AND ({r.test})) " + (f"GROUP BY rec HAVING count(*) >= {r.least}" if not r.contiguous else f"QUALIFY p = lag(p, {r.least - 1}) OVER (PARTITION BY rec ORDER BY p) + {r.least - 1}") for r in U.LEAD_RULES)}),
+ h AS (SELECT DISTINCT rec, rule FROM hit)"""
+_ORDER = [r.name for r in U.LEAD_RULES]
+_OTHER = f"{C}, {_DENSE}".replace("c AS (SELECT l_orderkey", "cc AS (SELECT l_orderkey").replace("FROM c GROUP", "FROM cc GROUP").replace("FROM c)", "FROM cc)")
 _Q = "CASE WHEN {s} < 1 THEN 'none' WHEN {s} < 2 THEN 'mild' WHEN {s} < 3 THEN 'moderate' ELSE 'severe' END"
 
 ORACLES = {
@@ -241,6 +300,10 @@ ORACLES = {
     "interval_containment": f"WITH {C} SELECT CASE WHEN center < -75 THEN 'P' WHEN center <= 80 THEN 'QRS' ELSE 'T' END AS region, wave, count(*) AS n FROM c GROUP BY ALL",
     "wave_similarity": f"WITH {C}, t AS (SELECT rec, i, amp, center FROM c WHERE wave = 'T' AND amp > 0) SELECT a.rec, count(*) AS pairs, round(max(exp(-abs(ln(a.amp / b.amp))) * cos(radians(a.center - b.center))), 6) AS best FROM t a JOIN t b ON a.rec = b.rec AND a.i < b.i GROUP BY a.rec",
     "risk_composite": "WITH c AS (SELECT l_returnflag, least(1, greatest(0, l_quantity / 40)) * 0.5::DOUBLE + least(1, greatest(0, l_discount * 12)) * 0.3::DOUBLE + least(1, greatest(0, 1 - l_tax * 20)) * 0.2::DOUBLE AS c FROM lineitem) SELECT l_returnflag, round(avg(c), 6) AS mean, round(max(c), 6) AS top FROM c GROUP BY 1",
+    "lead_extractors": _MEAS + " SELECT " + ", ".join(f"(SELECT count(*) FROM h WHERE rule = '{n}') AS {n}" for n in _ORDER) + ", (SELECT count(DISTINCT rec) FROM lm) AS n",
+    "lead_extractor_rows": _MEAS + f" SELECT a.rec, coalesce(string_agg(rule, ',' ORDER BY list_position({_ORDER!r}, rule)), '') AS rules FROM (SELECT DISTINCT rec FROM lm) a LEFT JOIN h ON a.rec = h.rec GROUP BY a.rec",
+    "recording_extractors": _WIN + f", {_OTHER}, d AS (SELECT key, rr, rr - lag(rr) OVER (PARTITION BY key ORDER BY i) AS d FROM rr), hv AS (SELECT key, count(*) AS n, avg(rr) AS mean, stddev_pop(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, 100 * avg(CASE WHEN d IS NOT NULL THEN (abs(d) >= 50)::INT END) AS pnn50, stddev_pop(rr) / avg(rr) AS cv, min(rr) / avg(rr) AS shortest, max(rr) / avg(rr) AS longest FROM d GROUP BY key), wv AS (SELECT rec AS key, max(amp / 10) FILTER (wave = 'P') AS p_amp, max(4 * sigma) FILTER (wave = 'QRS') AS qrs_ms FROM dn GROUP BY rec), ca AS (SELECT hv.key AS rec, n, 60000 / mean AS bpm, cv, pnn50, rmssd, sdnn, shortest, longest, regular::DOUBLE / windows AS regular, p_amp, qrs_ms FROM hv JOIN reg ON hv.key = reg.key LEFT JOIN wv ON wv.key = hv.key) SELECT rec, concat_ws(',', " + ", ".join(f"CASE WHEN ({t})" + (f" AND NOT coalesce(({U.RECORDING_RULES['absolute_arrhythmia']}), false)" if n == "low_variability" else "") + f" THEN '{n}' END" for n, t in U.RECORDING_RULES.items()) + ") AS rules FROM ca",
+    "amplitude_alternans": f"WITH {C}, {_DENSE}, s AS (SELECT rec, lead, wave, i AS beat, amp FROM dn WHERE wave IN ('T', 'QRS')), o AS (SELECT *, row_number() OVER w AS pos, amp - lag(amp) OVER w AS d FROM s WINDOW w AS (PARTITION BY rec, lead, wave ORDER BY beat)), p AS (SELECT *, lag(d) OVER (PARTITION BY rec, lead, wave ORDER BY beat) AS d0 FROM o), a AS (SELECT rec, lead, wave, count(*) AS n, avg(CASE WHEN d0 IS NOT NULL THEN (d * d0 < 0)::INT END) AS f, abs(stddev_pop(amp) / nullif(avg(amp), 0)) AS v, abs((avg(amp) FILTER (pos % 2 = 0) - avg(amp) FILTER (pos % 2 = 1)) / nullif(avg(amp), 0)) AS g FROM p GROUP BY rec, lead, wave HAVING count(*) >= 8) SELECT rec, lead, wave, n, round(f, 6) AS flip_share, round(v, 6) AS cv, round(g, 6) AS half_gap, coalesce(f >= 0.7 AND v > 0.15, false) AS by_flips, coalesce(g > 0.15, false) AS by_halves FROM a",
     "st_pattern_rows": _PAT + " SELECT * FROM pat",
     "reciprocal_patterns": f"WITH {C}, {_ST}, w AS (SELECT rec, count(*) FILTER (u AND lead IN ('V1', 'V2', 'V3', 'V4')) AS au, count(*) FILTER (d AND lead IN ('V1', 'V2', 'V3', 'V4')) AS ad, count(*) FILTER (u AND lead IN ('I', 'aVL', 'V5', 'V6')) AS lu, count(*) FILTER (d AND lead IN ('I', 'aVL', 'V5', 'V6')) AS ld, count(*) FILTER (u AND lead IN ('II', 'III', 'aVF')) AS iu, count(*) FILTER (d AND lead IN ('II', 'III', 'aVF')) AS id FROM (SELECT rec, lead, a80 >= 0.1 AS u, a80 <= -0.05 AND lead <> 'aVR' AS d FROM st) GROUP BY rec) SELECT rec, 'anterior' AS elevated, 'inferior' AS depressed FROM w WHERE au > 0 AND id > 0 UNION ALL SELECT rec, 'inferior', 'anterior' FROM w WHERE iu > 0 AND ad > 0 UNION ALL SELECT rec, 'lateral', 'inferior' FROM w WHERE lu > 0 AND id > 0 UNION ALL SELECT rec, 'inferior', 'lateral' FROM w WHERE iu > 0 AND ld > 0",
     "territory_shapes": f"WITH {C}, {_ST}, t(territory, lead, place) AS (VALUES " + ", ".join(f"('{t}', '{lead}', {i})" for t, own in (("anterior", U.ANTERIOR), ("inferior", U.INFERIOR_LEADS), ("lateral", U.LATERAL)) for i, lead in enumerate(own)) + "), j AS (SELECT rec, territory, shape, place, slope FROM st JOIN t ON st.lead = t.lead), k AS (SELECT rec, territory, shape, count(*) AS n, min(place) AS f FROM j GROUP BY ALL), b AS (SELECT rec, territory, shape FROM k QUALIFY row_number() OVER (PARTITION BY rec, territory ORDER BY n DESC, f) = 1), m AS (SELECT rec, territory, round(1000 * avg(slope), 6) AS slope FROM j GROUP BY ALL) SELECT b.rec, b.territory, shape, slope FROM b JOIN m ON b.rec = m.rec AND b.territory = m.territory",

@@ -228,3 +228,44 @@ def test_neighbours_with_ties(spark):
     for q, found in got.items():
         order = sorted((abs(i % 5 - q % 5), i) for i in range(40) if i != q)[:4]
         assert [(d, i) for _, i, d in sorted(found)] == [(float(d), i) for d, i in order]
+
+
+def test_lead_rules_by_hand(spark):
+    def wave(rec, lead, kind, amp, center, sigma, i=0):
+        return (rec, lead, kind, amp, center, sigma, i)
+
+    rows = [
+        # 1: a T wave of 0.05 beside a QRS of 1.0 in three neighbouring leads, V1 to V3
+        *[wave(1, x, "T", 0.05, 300.0, 40.0) for x in ("V1", "V2", "V3")], *[wave(1, x, "QRS", 1.0, 0.0, 10.0) for x in ("V1", "V2", "V3")],
+        # 2: the same in three leads that are not neighbours
+        *[wave(2, x, "T", 0.05, 300.0, 40.0) for x in ("I", "V1", "V6")], *[wave(2, x, "QRS", 1.0, 0.0, 10.0) for x in ("I", "V1", "V6")],
+        # 3: lobes of 0.4 and -0.3, 50 ms apart; a QRS 160 ms wide; PR of 250
+        wave(3, "II", "T", 0.4, 300.0, 20.0), wave(3, "II", "T", -0.3, 350.0, 20.0, 1), wave(3, "II", "QRS", 0.9, 0.0, 40.0), wave(3, "II", "P", 0.1, -290.0, 20.0),
+        # 4: Q wave of -0.4 before an R of 1.0, 4 * 11 ms wide; PR of 90
+        wave(4, "II", "QRS", -0.4, -30.0, 11.0), wave(4, "II", "QRS", 1.0, 0.0, 8.0, 1), wave(4, "II", "P", 0.1, -122.0, 10.0),
+        # 5: Q wave exactly a quarter of R does not count
+        wave(5, "II", "QRS", -0.25, -30.0, 11.0), wave(5, "II", "QRS", 1.0, 0.0, 8.0, 1),
+    ]
+    df = spark.createDataFrame(rows, "rec int, lead string, wave string, amp double, center double, sigma double, i int")
+    rr = spark.createDataFrame([(i, 900.0) for i in range(1, 6)], "rec int, rr double")
+    got = {r["rec"]: {k for k, v in r.asDict().items() if v is True} for r in U.evaluate_leads(U.lead_measures(df, rr)).collect()}
+    assert "t_flattened" in got[1] and "t_flattened" not in got[2]
+    assert {"t_biphasic", "qrs_wide", "av_block_1"} <= got[3] and "short_pr" not in got[3]
+    assert {"pathological_q", "short_pr"} <= got[4] and "pathological_q" not in got[5] and "av_block_1" not in got[4]
+
+
+def test_alternans_by_hand(spark):
+    rows = [(1, "II", b, 0.2 if b % 2 else 0.4) for b in range(8)] + [(2, "II", b, 0.3) for b in range(8)] + [(3, "II", b, 0.2 if b % 2 else 0.4) for b in range(7)]
+    got = {r["rec"]: r for r in U.alternans(spark.createDataFrame(rows, "rec int, lead string, beat int, amp double")).collect()}
+    assert set(got) == {1, 2} and got[1]["flip_share"] == 1.0 and got[1]["by_flips"] and got[1]["by_halves"] and got[1]["half_gap"] == pytest.approx(0.2 / 0.3)
+    assert not got[2]["by_flips"] and not got[2]["by_halves"]
+
+
+def test_viewer_by_hand(spark):
+    rows = [(1, "a", ["t"], ["x"], False), (2, "a", [], ["x", "y"], False), (3, "b", ["t"], ["x", "y"], True), (4, "a", ["u"], ["y"], False), (5, "a", ["t"], [], False)]
+    df = spark.createDataFrame(rows, f"id int, cohort string, tribes {A}, labels {A}, supplement boolean")
+    ids = lambda **kw: sorted(r["id"] for r in K.viewer_points(df, **kw).collect())
+    assert ids() == [1, 2, 3, 4, 5] and ids(cohorts=["b"]) == [3] and ids(cohorts=["b"], cross_validated=True) == [1, 2, 3, 4, 5]
+    assert ids(tribes=["t"]) == [1, 2, 3, 5] and ids(tribes=["t"], show_no_tribes=False) == [1, 3, 5] and ids(show_supplements=False) == [1, 2, 4, 5]
+    assert ids(highlighted=["x"]) == [1, 2, 3] and ids(filled=["x"]) == [1, 5]
+    assert ids(filled=["x", "y"], operators={("x", "y"): "and", ("y", "x"): "and"}) == [2, 3] and ids(filled=["x", "y"]) == [1, 4]
