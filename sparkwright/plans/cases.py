@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwright.functions.codes import TEXTS
 from sparkwright.operators import cases as K
 from sparkwright.operators import governance as G
 from sparkwright.operators.sequences import by_key
@@ -13,6 +14,7 @@ from sparkwright.plans.records import records
 from sparkwright.plans.sequences import E, V, rr, valued
 from sparkwright.session import table
 
+CODES = dict(TEXTS)
 CLASSES = ["sinus tachycardia", "atrial fibrillation", "atrial flutter", "STEMI", "axis left shift", "axis right shift", "tachycardia", "left bundle branch block"]
 
 
@@ -130,6 +132,14 @@ def code_names(spark, d):
     return K.code_texts(codes, words).select("c_custkey", "text")
 
 
+def diagnosis_codes(spark, d):
+    """Codes of a header list, the known ones as texts."""
+    known = F.array(*[F.lit(k) for k in list(CODES)[::9]], F.lit("999"))
+    codes = table(spark, d, "customer").select("c_custkey", F.element_at(known, (F.col("c_custkey") % F.size(known) + 1).cast("int")).alias("code"))
+    dictionary = spark.createDataFrame(list(CODES.items()), "code string, text string")  # under 200 rows
+    return K.code_texts(codes, dictionary).groupBy("code", "text").agg(F.count("*").alias("n"))
+
+
 def final_record(spark, d):
     p = table(spark, d, "part")
     json = K.final_record({"price": F.col("p_retailprice") / 7, "size": F.when(F.col("p_size") > 3, F.col("p_size")).otherwise(F.lit(float("nan")))}, {"big": F.col("p_size") > 25}, F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, F.array("p_type")).otherwise(F.array().cast("array<string>")))
@@ -229,7 +239,7 @@ def path_index(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     viewer_pipeline, viewer_exclusive, tribe_filter, filter_cycle, rate_fallback, case_rules, affected_join, wave_variability, energy_bimodality,
-    rr_signature, histogram_modes, ectopic_patterns, feature_gloss, file_names, code_names, final_record, colours, notch_rule, region_labels,
+    rr_signature, histogram_modes, ectopic_patterns, feature_gloss, file_names, code_names, diagnosis_codes, final_record, colours, notch_rule, region_labels,
     window_containment, model_choice, plane_projection, direction_vectors, spacing_prune, generic_counts, rounded_payload, unexpected_columns,
     ordered_counts, double_index, path_index,
 )}
@@ -298,6 +308,7 @@ ORACLES = {
  SELECT p_partkey, name, CASE WHEN len(x) < 4 THEN name ELSE concat_ws(', ', CASE WHEN x[1] = 'ml_direct' THEN 'lead ' || x[2] ELSE x[2] || ' plane' END, CASE x[3] WHEN 'P' THEN 'P wave' WHEN 'QRS' THEN 'QRS complex' ELSE x[3] END, x[4], CASE x[5] WHEN 'acf_lag_8' THEN 'autocorrelation lag 8' WHEN 'alternation_index_p3' THEN 'alternation index (period 3)' ELSE x[5] END) END AS gloss FROM s""",
     "file_names": "WITH r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '../up/' || p_name || '.hea' WHEN 1 THEN 'C:\\x\\.nul.dat..' || p_name WHEN 2 THEN 'nul.hea' ELSE p_name END AS raw FROM part), b AS (SELECT p_partkey, regexp_replace(regexp_replace(trim(regexp_extract(replace(raw, '\\', '/'), '[^/]*$')), '[^A-Za-z0-9._-]', '_', 'g'), '^\\.+', '') AS b FROM r), s AS (SELECT p_partkey, b, regexp_extract(b, '^(.*)\\.([^.]*)$', 1) AS stem, regexp_extract(b, '^(.*)\\.([^.]*)$', 2) AS suffix FROM b) SELECT p_partkey, CASE WHEN b = '' THEN NULL WHEN NOT contains(b, '.') THEN left(b, 100) ELSE left(CASE WHEN lower(stem) = 'nul' THEN '_' || stem ELSE stem END, 100) || '.' || left(suffix, 16) END AS name FROM s",
     "code_names": "SELECT c_custkey, coalesce(lower(n_name), c_nationkey::VARCHAR) AS text FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 3 <> 0",
+    "diagnosis_codes": f"WITH t(code, text) AS (VALUES " + ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in CODES.items()) + f"), k AS (SELECT {[*list(CODES)[::9], '999']!r} AS k), c AS (SELECT k[c_custkey % len(k) + 1] AS code FROM customer, k) SELECT c.code, coalesce(text, c.code) AS text, count(*) AS n FROM c LEFT JOIN t ON c.code = t.code GROUP BY ALL",
     "final_record": "SELECT p_partkey, round(p_retailprice / 7, 2) AS price, CASE WHEN p_size > 3 THEN p_size::DOUBLE END AS size, p_brand AS label, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS big, CASE WHEN p_size % 2 = 0 THEN 'Poor quality may degrade feature accuracy. Issues: ' || p_type || '.' END AS warning FROM part",
     "colours": f"WITH t AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS t, (p_partkey % 360) / 360.0::DOUBLE AS h, (p_size % 2) * 60 / 100.0::DOUBLE AS s, p_size / 100.0::DOUBLE AS l FROM part), q AS (SELECT *, CASE WHEN l < 0.5 THEN l * (1 + s) ELSE l + s - l * s END AS q, h + 1.0::DOUBLE / 3 - floor(h + 1.0::DOUBLE / 3) AS t0, h - 1.0::DOUBLE / 3 - floor(h - 1.0::DOUBLE / 3) AS t2 FROM t), c AS (SELECT *, 2 * l - q AS p FROM q) SELECT p_partkey, {_HEX(_MIX('a', 'c', 't'))} AS lerp, CASE WHEN t <= 0.5 THEN {_HEX(_MIX('a', 'b', 't * 2'))} ELSE {_HEX(_MIX('b', 'c', '(t - 0.5) * 2'))} END AS gradient, {_HEX([f'({x} + {y} + floor({z} + 0.5)) / 3' for x, y, z in zip(_RGB['a'], _RGB['b'], _MIX('b', 'c', 't'))])} AS blend, {_HEX([f'({_HUE.format(t=t)}) * 255' for t in ('t0', 'h', 't2')])} AS hsl FROM c",
     "notch_rule": "WITH l AS (SELECT l_quantity / 25 - 1 AS a, (l_partkey % 80)::DOUBLE AS gap, l_discount * 200 + 5 AS s FROM lineitem), v AS (SELECT a, gap, list_min(list_transform(range(0, 200), lambda k: abs(a * exp(-0.5 * pow(gap * k / 199.0::DOUBLE / (s + 1e-9), 2)) + a * 0.8::DOUBLE * exp(-0.5 * pow((gap * k / 199.0::DOUBLE - gap) / (s + 1e-9), 2))))) AS valley FROM l) SELECT a <> 0 AND (greatest(1e-9, abs(a * 0.8::DOUBLE)) - valley) / greatest(1e-9, abs(a * 0.8::DOUBLE)) >= 0.2 AND gap >= 20 AS notched, count(*) AS n, round(sum(gap), 2) AS gap FROM v GROUP BY 1",
