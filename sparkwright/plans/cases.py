@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from sparkwright.functions.codes import TEXTS
 from sparkwright.operators import cases as K
 from sparkwright.operators import governance as G
+from sparkwright.operators import models as M
 from sparkwright.operators.sequences import by_key
 from sparkwright.plans.records import R as RECORDS
 from sparkwright.plans.records import records
 from sparkwright.plans.sequences import E, V, rr, valued
-from sparkwright.session import table
+from sparkwright.session import scratch_folder, table
 
 CODES = dict(TEXTS)
 CLASSES = ["sinus tachycardia", "atrial fibrillation", "atrial flutter", "STEMI", "axis left shift", "axis right shift", "tachycardia", "left bundle branch block"]
@@ -237,8 +238,23 @@ def path_index(spark, d):
     return out.select("doc_id", F.coalesce("url", F.lit("")).alias("path"), F.col("url").isNull().alias("missing"))
 
 
+def model_explanations(spark, d):
+    """Two folds of boosted trees, saved as a package and loaded again: mean probability and the features that add or take most."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), "p_retailprice", F.length("p_name").cast("double").alias("name"))
+    p = p.withColumnRenamed("p_retailprice", "price").withColumn("label", (F.col("size") * 20 + F.col("price") > 1900).cast("double"))
+    features, path = ["size", "price", "name"], scratch_folder(spark)
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(p)
+    for fold in range(2):
+        GBTClassifier(maxIter=2, maxDepth=3, seed=1).fit(rows.where(f"id % 2 <> {fold}")).write().save(f"{path}/dear/{fold}")
+    explained = M.explain(p, M.load_package(spark, path, ["dear"], 2), features)
+    return M.top_features(explained, features, 2).join(explained.select("id", "class", "p"), ["id", "class"]).select("id", "class", "rank", "feature", F.round("value", 6).alias("value"), F.round("p", 6).alias("p"))
+
+
 QUERIES = {f.__name__: f for f in (
-    viewer_pipeline, viewer_exclusive, tribe_filter, filter_cycle, rate_fallback, case_rules, affected_join, wave_variability, energy_bimodality,
+    model_explanations, viewer_pipeline, viewer_exclusive, tribe_filter, filter_cycle, rate_fallback, case_rules, affected_join, wave_variability, energy_bimodality,
     rr_signature, histogram_modes, ectopic_patterns, feature_gloss, file_names, code_names, diagnosis_codes, final_record, colours, notch_rule, region_labels,
     window_containment, model_choice, plane_projection, direction_vectors, spacing_prune, generic_counts, rounded_payload, unexpected_columns,
     ordered_counts, double_index, path_index,

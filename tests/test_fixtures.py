@@ -269,3 +269,21 @@ def test_viewer_by_hand(spark):
     assert ids(tribes=["t"]) == [1, 2, 3, 5] and ids(tribes=["t"], show_no_tribes=False) == [1, 3, 5] and ids(show_supplements=False) == [1, 2, 4, 5]
     assert ids(highlighted=["x"]) == [1, 2, 3] and ids(filled=["x"]) == [1, 5]
     assert ids(filled=["x", "y"], operators={("x", "y"): "and", ("y", "x"): "and"}) == [2, 3] and ids(filled=["x", "y"]) == [1, 4]
+
+
+def test_contributions_sum_to_the_model(spark, tmp_path):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from sparkwright.operators import models as T
+
+    rows = [(i, float(i % 17), float(i * 7 % 13), float(i % 17 + i * 7 % 13 > 14)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label double")
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    model = GBTClassifier(maxIter=2, maxDepth=3, seed=1).fit(data)
+    model.write().save(str(tmp_path / "c" / "0"))
+    explained = T.explain(df, T.load_package(spark, str(tmp_path), ["c"], 1), ["a", "b"])
+    for r in explained.join(model.transform(data).select("id", "probability", "rawPrediction"), "id").collect():
+        assert r["p"] == pytest.approx(r["probability"][1]) and r["base"] + sum(r["values"]) == pytest.approx(r["rawPrediction"][1])
+    top = T.top_features(explained, ["a", "b"], 1).collect()
+    assert len(top) == 200 and all(r["rank"] == 1 and r["value"] != 0 for r in top)
