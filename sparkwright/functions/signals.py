@@ -356,6 +356,16 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     return float(np.mean(s))
 
 
+def best_clusters(x: np.ndarray, most: int = 3, seed: int = 7) -> np.ndarray:
+    """Labels of the number of clusters, 2 to `most`, with the best silhouette; one cluster with fewer than three rows."""
+    best, score = np.zeros(len(x), int), -1.0
+    for k in range(2, min(most, len(x) - 1) + 1) if len(x) >= 3 else ():
+        label = kmeans(x, k, seed)[0]
+        if 2 <= len(np.unique(label)) < len(x) and (now := silhouette(x, label)) > score:
+            best, score = label, now
+    return best
+
+
 def interval_mixture(rr: np.ndarray, most: int = 3, rounds: int = 200) -> dict[str, float]:
     """Gaussian components of intervals by EM, their number by BIC; one if the smallest share is under .2, the means are
     closer than 60 ms, or the silhouette is under .12."""

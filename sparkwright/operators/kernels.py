@@ -46,6 +46,22 @@ def beat_clusters(rows: DataFrame) -> DataFrame:
     return per_key(rows, "k int, share double, alternation double", kernel)
 
 
+def morphology_clusters(rows: DataFrame, features: list[str], most: int = 3) -> DataFrame:
+    """(key, k, dominant, minority, premature) of the beats (key, i, rr, features) of each key: the number of clusters with the best
+    silhouette, the share of the largest one, the places of the others' beats, and those of them after a short (0.85 of the
+    median) and before a long interval (1.1)."""
+
+    def kernel(g: pd.DataFrame) -> dict:
+        label = K.best_clusters(g[features].to_numpy(float), most)
+        others = np.flatnonzero(label != np.bincount(label).argmax())
+        rr = g["rr"].to_numpy(float)
+        median = np.median(rr)
+        early = [i for i in others.tolist() if i > 0 and 0 < rr[i - 1] < 0.85 * median and rr[i] > 1.1 * median]
+        return {"k": len(np.unique(label)), "dominant": float(np.bincount(label).max() / len(label)), "minority": others.tolist(), "premature": early}
+
+    return per_key(rows, "k int, dominant double, minority array<int>, premature array<int>", kernel)
+
+
 def interval_clusters(rows: DataFrame) -> DataFrame:
     """(key, k, separation, ratio, cycle) of each key's intervals: the two or three modes that are best apart (one with fewer
     than six intervals), FLT2 or FLT3 where their centers stand as 2:1 or 3:1, BIGEM or TRIGEM where they take turns."""

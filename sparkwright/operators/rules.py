@@ -387,3 +387,62 @@ def alternans(series: DataFrame, least: int = 8, flips: float = 0.7, spread: flo
     out = d.groupBy("rec", "lead").agg(F.count("*").alias("n"), F.avg(flip).alias("flip_share"), F.abs(F.try_divide(F.stddev_pop("amp"), F.avg("amp"))).alias("cv"), F.abs(F.try_divide(half(0) - half(1), F.avg("amp"))).alias("half_gap")).where(F.col("n") >= least)
     yes = lambda c: F.coalesce(c, F.lit(False))
     return out.withColumn("by_flips", yes((F.col("flip_share") >= flips) & (F.col("cv") > spread))).withColumn("by_halves", yes(F.col("half_gap") > halves))
+
+
+#: Leads of each artery's territory, and those opposite to it.
+ARTERIES = {
+    "LAD": (("V1", "V2", "V3", "V4"), ("II", "III", "aVF")),
+    "LCx": (("I", "aVL", "V5", "V6"), ("V1", "V2", "V3")),
+    "RCA": (("II", "III", "aVF"), ("I", "aVL")),
+    "Posterior": ((), ("V1", "V2", "V3")),
+    "RV": (("V1",), ()),
+}
+
+
+def artery_fractions(leads: DataFrame) -> DataFrame:
+    """(rec, artery, up, down, up_share, opposite_down, opposite_share, reciprocal, involved, concordance) from (rec, lead, up, down).
+
+    Reciprocal: an elevated lead of the territory and a depressed one opposite (Posterior: the latter alone; RV: V1 with two of
+    RCA). Involved: two elevated leads (Posterior: two depressed ones opposite; RV: where it is reciprocal). Concordance: the share
+    of the territory's leads that go its main way.
+    """
+    n = lambda flag, names: F.count_if(F.col(flag) & F.col("lead").isin(list(names))) if names else F.count_if(F.lit(False))
+    wide = leads.groupBy("rec").agg(*[n(flag, side).alias(f"{a}_{role}_{flag}") for a, sides in ARTERIES.items() for role, side in zip(("own", "other"), sides, strict=True) for flag in ("up", "down")])
+    found = []
+    for a, (own, other) in ARTERIES.items():
+        c = lambda role, flag, a=a: F.col(f"{a}_{role}_{flag}")
+        share = lambda x, names: x / len(names) if names else F.lit(0.0)
+        reciprocal = (c("own", "up") >= 1) & (c("other", "down") >= 1)
+        involved = c("own", "up") >= 2
+        if a == "Posterior":
+            reciprocal, involved = c("other", "down") >= 1, c("other", "down") >= 2
+        elif a == "RV":
+            reciprocal = involved = (c("own", "up") >= 1) & (F.col("RCA_own_up") >= 2)
+        found.append(F.struct(
+            F.lit(a).alias("artery"), c("own", "up").alias("up"), c("own", "down").alias("down"), share(c("own", "up"), own).alias("up_share"), c("other", "down").alias("opposite_down"),
+            share(c("other", "down"), other).alias("opposite_share"), reciprocal.alias("reciprocal"), involved.alias("involved"), share(F.greatest(c("own", "up"), c("own", "down")), own).alias("concordance"),
+        ))
+    return wide.select("rec", F.inline(F.array(*found)))
+
+
+def diffuseness(leads: DataFrame) -> DataFrame:
+    """(rec, reciprocal_index, abnormal_leads, abnormal_territories, diffuseness, contrast) from (rec, lead, dev, abnormal): a third
+    for each pair of territories whose mean deviations have opposite signs, the share of abnormal leads, and the inferior
+    mean less the anterior one (a territory without leads counts 0 there)."""
+    names = {"inferior": INFERIOR_LEADS, "anterior": ANTERIOR, "lateral": LATERAL}
+    mean = lambda x: F.avg(F.when(F.col("lead").isin(list(x)), F.col("dev")))
+    some = lambda x: F.count_if(F.col("abnormal") & F.col("lead").isin(list(x)))
+    wide = leads.groupBy("rec").agg(*[mean(x).alias(k) for k, x in names.items()], *[some(x).alias(f"{k}_n") for k, x in names.items()], F.count_if("abnormal").alias("abnormal_leads"), F.count("*").alias("leads"))
+    opposite = sum((F.coalesce((F.col(a) * F.col(b) < 0).cast("int"), F.lit(0)) for a, b in (("inferior", "lateral"), ("anterior", "lateral"))), F.coalesce((F.col("inferior") * F.col("anterior") < 0).cast("int"), F.lit(0)))
+    territories_hit = sum(((F.col(f"{k}_n") > 0).cast("int") for k in ("anterior", "lateral")), (F.col("inferior_n") > 0).cast("int"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return wide.select("rec", F.round(opposite / 3, 4).alias("reciprocal_index"), "abnormal_leads", territories_hit.alias("abnormal_territories"), F.round(F.col("abnormal_leads") / F.col("leads"), 4).alias("diffuseness"), F.round(zero("inferior") - zero("anterior"), 4).alias("contrast"))
+
+
+def variant_mechanism(amp: Column, ref_amp: Column, angle: Column, ref_angle: Column, phase: Column, rr: Column) -> tuple[Column, Column, Column, Column]:
+    """(similarity, residual, phase share, mechanism) of a P variant against the reference wave."""
+    similarity = wave_similarity(amp + 1e-6, ref_amp + 1e-6, F.abs(angle - ref_angle))
+    residual = F.abs(amp - ref_amp) / (ref_amp + 1e-6)
+    share = F.abs(phase) / F.greatest(rr, F.lit(1.0))
+    kind = F.when((similarity >= 0.85) & (residual >= 0.3) & (share > 0.4), "coexistent").when((similarity < 0.7) & (residual < 0.3) & (share < 0.3), "ectopic").otherwise("indeterminate")
+    return similarity, residual, share, kind

@@ -258,3 +258,26 @@ def newest_within(rows: DataFrame, cost: Column, budget: float, *keys: str) -> D
     """The newest rows of each key (largest i first) up to, not including, the first that would exceed the budget."""
     newest = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(cost).over(newest)).where(F.col("used") <= budget)
+
+
+def clipped_share(rows: DataFrame, least: int = 3, tolerance: float = 0.001) -> DataFrame:
+    """(key, clipped): the share of values in runs of at least `least` next to the key's minimum, and next to its maximum; 0 with
+    fewer than 16 values."""
+    lo, hi = F.min("rr").over(by_key()), F.max("rr").over(by_key())
+    b = rows.withColumn("lo", lo).withColumn("span", hi - lo + 1e-9).withColumn("n", F.count("*").over(by_key()))
+    near = F.when(F.col("rr") - F.col("lo") < tolerance * F.col("span"), 1).when(F.col("lo") + F.col("span") - F.col("rr") < tolerance * F.col("span"), 2).otherwise(0)
+    runs = value_runs(b.withColumn("side", near), "side", "key")
+    out = runs.groupBy("key").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when((F.col("side") > 0) & (F.col("n") >= least), F.col("n"))), F.lit(0)).alias("held"))
+    return out.select("key", F.when(F.col("n") < 16, 0.0).otherwise(F.col("held") / F.col("n")).alias("clipped"))
+
+
+def flat_share(rows: DataFrame, size: int) -> DataFrame:
+    """(key, flat): the share of windows of `size` values, half a window apart, whose deviation is below 0.005 of the key's span and
+    0.015 at least; 0 with fewer than two windows' values."""
+    step = size // 2
+    span = F.max("rr").over(by_key()) - F.min("rr").over(by_key()) + 1e-9
+    ahead = in_order().rowsBetween(0, size - 1)
+    own = rows.withColumn("least", F.greatest(0.005 * span, F.lit(0.015))).withColumn("n", F.count("*").over(by_key()))
+    each = own.withColumn("sd", F.stddev_pop("rr").over(ahead)).withColumn("held", F.count("*").over(ahead)).withColumn("starts", (F.col("held") == size) & (F.col("i") % step == 0) & (F.col("n") >= 2 * size))
+    flat = F.coalesce(F.avg(F.when(F.col("starts"), (F.col("sd") < F.col("least")).cast("int"))), F.lit(0.0))
+    return each.groupBy("key").agg(flat.alias("flat"))

@@ -24,6 +24,12 @@ def beat_clusters(spark, d):
     return R(K.beat_clusters(_triples(spark, d)), "share", "alternation")
 
 
+def morphology_clusters(spark, d):
+    rows = _triples(spark, d).join(rr(spark, d).select("key", "i", "rr"), ["key", "i"])
+    out = K.morphology_clusters(rows, ["a", "b", "c"])
+    return out.select("key", "k", F.round("dominant", 6).alias("dominant"), F.size("minority").alias("n_minority"), F.size("premature").alias("n_premature"))
+
+
 def rr_mixture(spark, d):
     return R(K.interval_mixtures(rr(spark, d)), "low", "high")
 
@@ -74,7 +80,7 @@ def trapezoid_integral(spark, d):
     return vectors(spark, d).select("id", F.round(K.trapezoid(x, F.col("v")), 6).alias("area"))
 
 
-QUERIES = {f.__name__: f for f in (dbscan_events, beat_clusters, rr_mixture, rhythm_panorama, lomb_scargle, amplitude_modulation, event_periodicity, recording_features, savgol_batch, trapezoid_integral)}
+QUERIES = {f.__name__: f for f in (dbscan_events, beat_clusters, morphology_clusters, rr_mixture, rhythm_panorama, lomb_scargle, amplitude_modulation, event_periodicity, recording_features, savgol_batch, trapezoid_integral)}
 V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 ORACLES = {
     "savgol_batch": f"WITH {V}, s AS (SELECT id, list_transform(range(1, len(v) + 1), lambda i: CASE WHEN i > 2 AND i <= len(v) - 2 THEN (-3 * v[i - 2] + 12 * v[i - 1] + 17 * v[i] + 12 * v[i + 1] - 3 * v[i + 2]) / 35 ELSE v[i] END) AS s FROM v) SELECT id, round(list_sum(list_transform(s, lambda x: x * x)), 6) AS power, round(s[11], 6) AS s10 FROM s",

@@ -180,6 +180,20 @@ def clipping_share(spark, d):
     return runs.groupBy("key").agg(F.round(F.coalesce(F.sum(F.when(F.col("edge") & (F.col("n") >= 2), F.col("n"))), F.lit(0)) / F.sum("n"), 6).alias("share"))
 
 
+def _steps(spark, d) -> DataFrame:
+    """Values held to a range and to steps, so that some clip and some are flat."""
+    held = F.least(F.greatest("rr", F.lit(20.0)), F.lit(60.0))
+    return valued(spark, d).withColumn("rr", F.when(F.floor(F.col("i") / 12) % 2 == 0, held).otherwise(F.lit(40.0)))
+
+
+def clipped_runs(spark, d):
+    return R(Q.clipped_share(_steps(spark, d)), "clipped")
+
+
+def flat_windows(spark, d):
+    return R(Q.flat_share(_steps(spark, d), 8), "flat")
+
+
 def json_props_stats(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, d, "events").groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"), F.min(k).alias("low"), F.max(k).alias("high"))
@@ -201,9 +215,10 @@ QUERIES = {f.__name__: f for f in (
     inter_event_intervals, hrv_summary, mad_trim, low_median_filter, sliding_windows, window_regularity, panorama_tokens, premature_pairs,
     sls_triplets, bigeminy_pairs, trigeminy_triples, label_runs, long_pause, true_runs, transition_dominance, histogram_peaks,
     nearest_center, integer_ratios, acf_lags, robust_stats, alternation_index, alternation_argmax, circular_mean, angle_steps,
-    weighted_median, weighted_quantile, rr_entropy, component_merge, clipping_share, json_props_stats, tumbling_counts, session_counts,
+    weighted_median, weighted_quantile, rr_entropy, component_merge, clipping_share, clipped_runs, flat_windows, json_props_stats, tumbling_counts, session_counts,
 )}
 
+_STEPS = "s AS (SELECT key, i, CASE WHEN i // 12 % 2 = 0 THEN least(greatest(rr, 20.0::DOUBLE), 60.0::DOUBLE) ELSE 40.0::DOUBLE END AS rr FROM v)"
 _WIN = f"""WITH {E}, c AS (SELECT key, i, rr, sum(rr) OVER (PARTITION BY key ORDER BY i) AS t1 FROM rr), k AS (SELECT key, max(t1) AS tot FROM c GROUP BY key),
  s AS (SELECT key, unnest(range(0, floor(greatest(tot - 10000, 0) / 2000)::BIGINT + 1)) AS w FROM k),
  x AS (SELECT s.key, s.w, c.i, c.rr, c.rr - lag(c.rr) OVER (PARTITION BY s.key, s.w ORDER BY c.i) AS d FROM s JOIN c ON s.key = c.key AND c.t1 - c.rr >= s.w * 2000 AND c.t1 <= s.w * 2000 + 10000),
@@ -249,6 +264,8 @@ ORACLES = {
     "rr_entropy": f"WITH {E}, b AS (SELECT key, rr, min(rr) OVER (PARTITION BY key) AS lo, max(rr) OVER (PARTITION BY key) AS hi FROM rr), c AS (SELECT key, CASE WHEN hi = lo THEN 0 ELSE least(floor((rr - lo) / ((hi - lo) / 10)), 9) END AS b, count(*) AS n FROM b GROUP BY ALL), p AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY key) AS p FROM c) SELECT key, round(-sum(p * ln(p)), 6) AS entropy, sum(n)::BIGINT AS n FROM p GROUP BY key",
     "component_merge": f"WITH {E}, b AS (SELECT *, lag(rr) OVER (PARTITION BY key ORDER BY i) AS p FROM rr), f AS (SELECT *, sum(CASE WHEN abs(rr - p) <= 300 AND greatest(rr, p) <= 2 * least(rr, p) AND p IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY i) AS g FROM b), s AS (SELECT key, g, count(*) AS n, sum(rr) AS t FROM f GROUP BY key, g) SELECT key, count(*) AS groups, max(n) AS largest, max(t) AS longest FROM s GROUP BY key",
     "clipping_share": f"WITH {V}, b AS (SELECT *, min(rr) OVER (PARTITION BY key) AS lo, max(rr) OVER (PARTITION BY key) AS hi FROM v), f AS (SELECT *, rr <= lo + 0.05 * (hi - lo) OR rr >= hi - 0.05 * (hi - lo) AS edge FROM b), r AS {_RUNS.format(v='edge', t='f')} SELECT key, round(coalesce(sum(n) FILTER (edge AND n >= 2), 0)::DOUBLE / sum(n), 6) AS share FROM r GROUP BY key",
+    "clipped_runs": f"WITH {V}, {_STEPS}, b AS (SELECT *, min(rr) OVER (PARTITION BY key) AS lo, max(rr) OVER (PARTITION BY key) - min(rr) OVER (PARTITION BY key) + 1e-9 AS span FROM s), f AS (SELECT *, CASE WHEN rr - lo < 0.001 * span THEN 1 WHEN lo + span - rr < 0.001 * span THEN 2 ELSE 0 END AS side FROM b), r AS {_RUNS.format(v='side', t='f')} SELECT key, round(CASE WHEN sum(n) < 16 THEN 0 ELSE coalesce(sum(n) FILTER (side > 0 AND n >= 3), 0)::DOUBLE / sum(n) END, 6) AS clipped FROM r GROUP BY key",
+    "flat_windows": f"WITH {V}, {_STEPS}, k AS (SELECT key, count(*) AS n, greatest(0.005::DOUBLE * (max(rr) - min(rr) + 1e-9), 0.015::DOUBLE) AS least FROM s GROUP BY key), w AS (SELECT a.key, a.i, stddev_pop(b.rr) AS sd FROM s a JOIN s b ON a.key = b.key AND b.i BETWEEN a.i AND a.i + 7 WHERE a.i % 4 = 0 GROUP BY a.key, a.i HAVING count(*) = 8) SELECT k.key, round(coalesce(avg((sd < least)::INT) FILTER (n >= 16), 0), 6) AS flat FROM k LEFT JOIN w ON k.key = w.key GROUP BY k.key",
     "json_props_stats": "WITH e AS (SELECT event_type, (props::JSON->>'k')::BIGINT AS k FROM events) SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, min(k) AS low, max(k) AS high FROM e GROUP BY event_type",
     "tumbling_counts": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "session_counts": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 minute THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS largest FROM c GROUP BY user_id",

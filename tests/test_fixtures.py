@@ -287,3 +287,25 @@ def test_contributions_sum_to_the_model(spark, tmp_path):
         assert r["p"] == pytest.approx(r["probability"][1]) and r["base"] + sum(r["values"]) == pytest.approx(r["rawPrediction"][1])
     top = T.top_features(explained, ["a", "b"], 1).collect()
     assert len(top) == 200 and all(r["rank"] == 1 and r["value"] != 0 for r in top)
+
+
+def test_best_clusters():
+    import numpy as np
+
+    x = np.array([[0.0, 0.0], [0.1, 0.0], [5.0, 5.0], [0.0, 0.1], [0.1, 0.1]])
+    assert S.best_clusters(x, 2).tolist() == [0, 0, 1, 0, 0] and S.best_clusters(x[:2]).tolist() == [0, 0]
+
+
+def test_artery_fractions_by_hand(spark):
+    rows = [(1, x, x in ("II", "III", "V1"), x in ("I", "V2")) for x in S.LEADS]
+    got = {r["artery"]: r for r in U.artery_fractions(spark.createDataFrame(rows, "rec int, lead string, up boolean, down boolean")).collect()}
+    assert (got["RCA"]["up"], got["RCA"]["opposite_share"], got["RCA"]["reciprocal"], got["RCA"]["involved"]) == (2, 0.5, True, True)
+    assert got["RV"]["involved"] and got["Posterior"]["reciprocal"] and not got["Posterior"]["involved"]
+    assert got["LAD"]["up_share"] == 0.25 and not got["LAD"]["involved"] and got["LAD"]["concordance"] == 0.25
+
+
+def test_clipped_and_flat_by_hand(spark):
+    rows = [(1, i, float(v)) for i, v in enumerate([0, 0, 0, 5, 9, 9, 5, 0, 9, 9, 9, 9, 3, 4, 6, 7])] + [(2, i, 1.0 if i < 8 else float(i)) for i in range(16)] + [(3, i, 1.0) for i in range(7)]
+    df = spark.createDataFrame(rows, "key int, i int, rr double")
+    assert {r["key"]: r["clipped"] for r in Q.clipped_share(df).collect()} == {1: 7 / 16, 2: 8 / 16, 3: 0.0}
+    assert {r["key"]: r["flat"] for r in Q.flat_share(df, 4).collect()} == {1: 0.0, 2: 3 / 7, 3: 0.0}
