@@ -110,6 +110,43 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, most: int = 1 << 18)
         yield pa.Table.from_batches(held)
 
 
+def runs_or_pieces(batches: Iterator[pa.RecordBatch], key: str, most: int, longest: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole runs of a sorted key as (rows, False), and runs of over `longest` rows in pieces as (rows, True)."""
+    held: list[pa.RecordBatch] = []
+    rows, inside = 0, None  # inside: the key of a long run whose first pieces are gone
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < most:
+            continue
+        whole = pa.Table.from_batches(held)
+        keys = int_column(whole[key].combine_chunks())
+        if inside is not None:
+            end = int(np.searchsorted(keys, inside, side="right"))
+            if end:
+                yield whole.slice(0, end), True
+            whole, keys = whole.slice(end), keys[end:]
+            inside = inside if not len(keys) else None
+        if len(keys):
+            end = int(np.searchsorted(keys, keys[-1]))
+            if end:
+                yield whole.slice(0, end), False
+            whole = whole.slice(end)
+            if whole.num_rows > longest:
+                inside = keys[-1]
+                yield whole, True
+                whole = whole.slice(0, 0)
+        held, rows = whole.combine_chunks().to_batches(), whole.num_rows
+    if held and rows:
+        whole = pa.Table.from_batches(held)
+        keys = int_column(whole[key].combine_chunks())
+        end = int(np.searchsorted(keys, inside, side="right")) if inside is not None else 0
+        if end:
+            yield whole.slice(0, end), True
+        if end < len(keys):
+            yield whole.slice(end), False
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) for every node of an undirected edge list; two nodes have one root iff a path joins them.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.ann import usable
-from sparkwright.llm.common import components, cut, int_column, join_lookup, runs, whole_runs
+from sparkwright.llm.common import components, cut, int_column, join_lookup, runs, runs_or_pieces, whole_runs
 
 TABLES, AXES, PROBES, ROUNDS, TILE, SEED = 14, 3, 2, 3, 4096, 5
 SIGNS, SIGN_BITS = 128, 38
@@ -149,29 +149,33 @@ def _keyed(tables: int, axes: int, probes: int):
 
 
 def _with_mates(most: int):
-    """(key, rep) of the rows with another row of their key within SIGN_BITS signs; of keys with more than `most` rows, all."""
+    """(key, rep) of the rows with another row of their key within SIGN_BITS signs; of keys with more than `most` rows, all. Such
+    a key goes through in pieces, so no more than about `most` of its rows are held."""
+
+    def kept(rows: pa.Table, longer: bool) -> pa.RecordBatch:
+        key, rep, s0, s1 = (int_column(rows[c].combine_chunks()) for c in ("key", "rep", "s0", "s1"))
+        words = np.stack([s0, s1], axis=1).view(np.uint64)
+        edges = runs(key)
+        sizes = np.diff(edges)
+        keep = np.repeat(sizes > most, sizes) | longer
+        rest = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 32), sizes))
+        for offset in range(1, 32):
+            if offset >= len(rest):
+                break
+            a, b = rest[:-offset], rest[offset:]
+            hit = (key[a] == key[b]) & (np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= SIGN_BITS)
+            keep[a[hit]] = keep[b[hit]] = True
+        for k in np.flatnonzero((sizes > 32) & (sizes <= most)) if not longer else ():
+            own = words[edges[k] : edges[k + 1]]
+            for low in range(0, len(own), 256):
+                near = np.bitwise_count(own[low : low + 256, None] ^ own[None]).sum(axis=2) <= SIGN_BITS
+                keep[edges[k] + low : edges[k] + low + len(near)] |= near.sum(axis=1) > 1  # one is the row itself
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rep[keep])], names=["key", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_runs(batches, "key", 1 << 17):
-            key, rep, s0, s1 = (int_column(rows[c].combine_chunks()) for c in ("key", "rep", "s0", "s1"))
-            words = np.stack([s0, s1], axis=1).view(np.uint64)
-            edges = runs(key)
-            sizes = np.diff(edges)
-            keep = np.repeat(sizes > most, sizes)
-            rest = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 32), sizes))
-            for offset in range(1, 32):
-                if offset >= len(rest):
-                    break
-                a, b = rest[:-offset], rest[offset:]
-                hit = (key[a] == key[b]) & (np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= SIGN_BITS)
-                keep[a[hit]] = keep[b[hit]] = True
-            for k in np.flatnonzero((sizes > 32) & (sizes <= most)):
-                own = words[edges[k] : edges[k + 1]]
-                for low in range(0, len(own), 256):
-                    near = np.bitwise_count(own[low : low + 256, None] ^ own[None]).sum(axis=2) <= SIGN_BITS
-                    keep[edges[k] + low : edges[k] + low + len(near)] |= near.sum(axis=1) > 1  # one is the row itself
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rep[keep])], names=["key", "rep"])
+        for rows, longer in runs_or_pieces(batches, "key", max(1 << 17, 2 * most), most):
+            if (found := kept(rows, longer)).num_rows:
+                yield found
 
     return run
 

@@ -490,3 +490,21 @@ def test_folders(spark, monkeypatch):
     monkeypatch.setattr(common.SparkSession, "sparkContext", Context)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.checkpoint_folder(spark)
+
+
+def test_runs_or_pieces():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        keys = np.sort(rng.choice([1, 2, 3, 4, 5], rng.integers(1, 60), p=[0.1, 0.6, 0.1, 0.1, 0.1]))
+        table = pa.table({"key": keys, "i": np.arange(len(keys))})
+        seen, parts = [], {}
+        for rows, longer in common.runs_or_pieces(iter(table.to_batches(max_chunksize=int(rng.integers(1, 9)))), "key", 10, 6):
+            seen += rows["i"].to_pylist()
+            for k in set(rows["key"].to_pylist()):
+                parts.setdefault(k, []).append((longer, rows["key"].to_pylist().count(k)))
+        assert seen == list(range(len(keys)))
+        for k, found in parts.items():
+            assert len({longer for longer, _ in found}) == 1 and (found[0][0] or len(found) == 1)
+            assert not found[0][0] or sum(n for _, n in found) > 6
