@@ -317,15 +317,16 @@ def lead_measures(components: DataFrame, intervals: DataFrame) -> DataFrame:
     of = lambda w, c: F.when(F.col("wave") == w, c)
     amp, at, sigma, i = F.col("amp"), F.col("center"), F.col("sigma"), F.col("i")
     q = lambda c: of("QRS", c)
-    first, last = of("QRS", F.struct(at, i)), of("QRS", F.struct(at, i))
+    tail = [i, amp, at, sigma]  # components that agree in these are equal
+    first = last = of("QRS", F.struct(at.alias("first"), *tail))
     out = components.groupBy("rec", "lead").agg(
-        F.max_by(of("T", amp), of("T", F.struct(F.abs(amp), i))).alias("t_amp"), F.max(of("T", amp)).alias("t_pos"), F.min(of("T", amp)).alias("t_neg"),
-        F.max_by(of("T", at), of("T", F.struct(amp, i))).alias("t_pos_at"), F.min_by(of("T", at), of("T", F.struct(amp, i))).alias("t_neg_at"),
+        F.max_by(of("T", amp), of("T", F.struct(F.abs(amp).alias("first"), *tail))).alias("t_amp"), F.max(of("T", amp)).alias("t_pos"), F.min(of("T", amp)).alias("t_neg"),
+        F.max_by(of("T", at), of("T", F.struct(amp.alias("first"), *tail))).alias("t_pos_at"), F.min_by(of("T", at), of("T", F.struct(amp.alias("first"), *tail))).alias("t_neg_at"),
         F.min(of("T", at - 2 * sigma)).alias("t_start"), F.max(of("T", at + 2 * sigma)).alias("t_end"), F.max(of("T", sigma)).alias("t_widest"), F.min(of("T", sigma)).alias("t_narrowest"),
         F.count(of("P", amp)).alias("p_n"), F.max(of("P", amp)).alias("p_pos"), F.min(of("P", amp)).alias("p_neg"), F.min(of("P", at)).alias("p_first_at"), F.max(of("P", at)).alias("p_last_at"),
         F.min(of("P", at - 2 * sigma)).alias("p_start"), F.max(of("P", at + 2 * sigma)).alias("p_end"),
         F.count(q(amp)).alias("qrs_n"), F.count_if((F.col("wave") == "QRS") & (amp > 0)).alias("qrs_up"), F.count_if((F.col("wave") == "QRS") & (amp < 0)).alias("qrs_down"),
-        F.max_by(q(amp), q(F.struct(F.abs(amp), i))).alias("qrs_amp"), F.max(q(F.abs(amp))).alias("qrs_size"), F.max(q(amp)).alias("r"), F.min(q(amp)).alias("s"), F.max_by(q(at), q(F.struct(amp, i))).alias("r_at"),
+        F.max_by(q(amp), q(F.struct(F.abs(amp).alias("first"), *tail))).alias("qrs_amp"), F.max(q(F.abs(amp))).alias("qrs_size"), F.max(q(amp)).alias("r"), F.min(q(amp)).alias("s"), F.max_by(q(at), q(F.struct(amp.alias("first"), *tail))).alias("r_at"),
         F.min_by(amp, first).alias("qrs_first"), F.min_by(sigma, first).alias("qrs_first_sigma"), F.min(q(at)).alias("qrs_first_at"), F.max_by(amp, last).alias("qrs_last"), F.max(q(at)).alias("qrs_last_at"),
         F.min(q(at - 2 * sigma)).alias("qrs_start"), F.max(q(at + 2 * sigma)).alias("qrs_end"),
     )

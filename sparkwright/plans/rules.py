@@ -287,12 +287,12 @@ _TERR = ", ".join(f"('{t}', '{role}', '{lead}')" for t, pair in U.TERRITORIES.it
 _DENSE = "dn AS (SELECT rec % 500 AS rec, lead, wave, amp, center, sigma, i * 100000 + rec AS i FROM c)"
 _W = lambda f, w: f"{f} FILTER (wave = '{w}')"
 _MEAS = f"""WITH {C}, {E}, {_DENSE}, m AS (SELECT key AS rec, avg(rr) AS rr FROM rr GROUP BY key), x AS (SELECT rec, lead,
- {_W("arg_max(amp, (abs(amp), i))", "T")} AS t_amp, {_W("max(amp)", "T")} AS t_pos, {_W("min(amp)", "T")} AS t_neg, {_W("arg_max(center, (amp, i))", "T")} AS t_pos_at, {_W("arg_min(center, (amp, i))", "T")} AS t_neg_at,
+ {_W("arg_max(amp, (abs(amp), i, amp, center, sigma))", "T")} AS t_amp, {_W("max(amp)", "T")} AS t_pos, {_W("min(amp)", "T")} AS t_neg, {_W("arg_max(center, (amp, i, center, sigma))", "T")} AS t_pos_at, {_W("arg_min(center, (amp, i, center, sigma))", "T")} AS t_neg_at,
  {_W("min(center - 2 * sigma)", "T")} AS t_start, {_W("max(center + 2 * sigma)", "T")} AS t_end, {_W("max(sigma)", "T")} AS t_widest, {_W("min(sigma)", "T")} AS t_narrowest,
  {_W("count(*)", "P")} AS p_n, {_W("max(amp)", "P")} AS p_pos, {_W("min(amp)", "P")} AS p_neg, {_W("min(center)", "P")} AS p_first_at, {_W("max(center)", "P")} AS p_last_at, {_W("min(center - 2 * sigma)", "P")} AS p_start, {_W("max(center + 2 * sigma)", "P")} AS p_end,
- {_W("count(*)", "QRS")} AS qrs_n, count(*) FILTER (wave = 'QRS' AND amp > 0) AS qrs_up, count(*) FILTER (wave = 'QRS' AND amp < 0) AS qrs_down, {_W("arg_max(amp, (abs(amp), i))", "QRS")} AS qrs_amp, {_W("max(abs(amp))", "QRS")} AS qrs_size,
- {_W("max(amp)", "QRS")} AS r, {_W("min(amp)", "QRS")} AS s, {_W("arg_max(center, (amp, i))", "QRS")} AS r_at, {_W("arg_min(amp, (center, i))", "QRS")} AS qrs_first, {_W("arg_min(sigma, (center, i))", "QRS")} AS qrs_first_sigma,
- {_W("min(center)", "QRS")} AS qrs_first_at, {_W("arg_max(amp, (center, i))", "QRS")} AS qrs_last, {_W("max(center)", "QRS")} AS qrs_last_at, {_W("min(center - 2 * sigma)", "QRS")} AS qrs_start, {_W("max(center + 2 * sigma)", "QRS")} AS qrs_end FROM dn GROUP BY rec, lead),
+ {_W("count(*)", "QRS")} AS qrs_n, count(*) FILTER (wave = 'QRS' AND amp > 0) AS qrs_up, count(*) FILTER (wave = 'QRS' AND amp < 0) AS qrs_down, {_W("arg_max(amp, (abs(amp), i, amp, center, sigma))", "QRS")} AS qrs_amp, {_W("max(abs(amp))", "QRS")} AS qrs_size,
+ {_W("max(amp)", "QRS")} AS r, {_W("min(amp)", "QRS")} AS s, {_W("arg_max(center, (amp, i, center, sigma))", "QRS")} AS r_at, {_W("arg_min(amp, (center, i, amp, sigma))", "QRS")} AS qrs_first, {_W("arg_min(sigma, (center, i, amp, sigma))", "QRS")} AS qrs_first_sigma,
+ {_W("min(center)", "QRS")} AS qrs_first_at, {_W("arg_max(amp, (center, i, amp, sigma))", "QRS")} AS qrs_last, {_W("max(center)", "QRS")} AS qrs_last_at, {_W("min(center - 2 * sigma)", "QRS")} AS qrs_start, {_W("max(center + 2 * sigma)", "QRS")} AS qrs_end FROM dn GROUP BY rec, lead),
  lm AS (SELECT x.*, rr FROM x LEFT JOIN m ON x.rec = m.rec),
  hit AS ({" UNION ALL ".join(f"SELECT rec, '{r.name}' AS rule FROM (SELECT DISTINCT rec, list_position({LEADS!r}, lead) AS p FROM lm WHERE lead IN ({', '.join(repr(x) for x in r.leads)}) AND ({r.test})) " + (f"GROUP BY rec HAVING count(*) >= {r.least}" if not r.contiguous else f"QUALIFY p = lag(p, {r.least - 1}) OVER (PARTITION BY rec ORDER BY p) + {r.least - 1}") for r in U.LEAD_RULES)}),
  h AS (SELECT DISTINCT rec, rule FROM hit)"""
@@ -325,7 +325,7 @@ ORACLES = {
     "lead_extractors": _MEAS + " SELECT " + ", ".join(f"(SELECT count(*) FROM h WHERE rule = '{n}') AS {n}" for n in _ORDER) + ", (SELECT count(DISTINCT rec) FROM lm) AS n",
     "lead_extractor_rows": _MEAS + f" SELECT a.rec, coalesce(string_agg(rule, ',' ORDER BY list_position({_ORDER!r}, rule)), '') AS rules FROM (SELECT DISTINCT rec FROM lm) a LEFT JOIN h ON a.rec = h.rec GROUP BY a.rec",
     "recording_extractors": _WIN + f", {_OTHER}, d AS (SELECT key, rr, rr - lag(rr) OVER (PARTITION BY key ORDER BY i) AS d FROM rr), hv AS (SELECT key, count(*) AS n, avg(rr) AS mean, stddev_pop(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, 100 * avg(CASE WHEN d IS NOT NULL THEN (abs(d) >= 50)::INT END) AS pnn50, stddev_pop(rr) / avg(rr) AS cv, min(rr) / avg(rr) AS shortest, max(rr) / avg(rr) AS longest FROM d GROUP BY key), wv AS (SELECT rec AS key, max(amp / 10) FILTER (wave = 'P') AS p_amp, max(4 * sigma) FILTER (wave = 'QRS') AS qrs_ms FROM dn GROUP BY rec), ca AS (SELECT hv.key AS rec, n, 60000 / mean AS bpm, cv, pnn50, rmssd, sdnn, shortest, longest, regular::DOUBLE / windows AS regular, p_amp, qrs_ms FROM hv JOIN reg ON hv.key = reg.key LEFT JOIN wv ON wv.key = hv.key) SELECT rec, concat_ws(',', " + ", ".join(f"CASE WHEN ({t})" + (f" AND NOT coalesce(({U.RECORDING_RULES['absolute_arrhythmia']}), false)" if n == "low_variability" else "") + f" THEN '{n}' END" for n, t in U.RECORDING_RULES.items()) + ") AS rules FROM ca",
-    "amplitude_alternans": f"WITH {C}, {_DENSE}, s AS (SELECT rec, lead, wave, i AS beat, amp FROM dn WHERE wave IN ('T', 'QRS')), o AS (SELECT *, row_number() OVER w AS pos, amp - lag(amp) OVER w AS d FROM s WINDOW w AS (PARTITION BY rec, lead, wave ORDER BY beat)), p AS (SELECT *, lag(d) OVER (PARTITION BY rec, lead, wave ORDER BY beat) AS d0 FROM o), a AS (SELECT rec, lead, wave, count(*) AS n, avg(CASE WHEN d0 IS NOT NULL THEN (d * d0 < 0)::INT END) AS f, abs(stddev_pop(amp) / nullif(avg(amp), 0)) AS v, abs((avg(amp) FILTER (pos % 2 = 0) - avg(amp) FILTER (pos % 2 = 1)) / nullif(avg(amp), 0)) AS g FROM p GROUP BY rec, lead, wave HAVING count(*) >= 8) SELECT rec, lead, wave, n, round(f, 6) AS flip_share, round(v, 6) AS cv, round(g, 6) AS half_gap, coalesce(f >= 0.7 AND v > 0.15, false) AS by_flips, coalesce(g > 0.15, false) AS by_halves FROM a",
+    "amplitude_alternans": f"WITH {C}, {_DENSE}, s AS (SELECT rec, lead, wave, i AS beat, arg_max(amp, (abs(amp), amp)) AS amp FROM dn WHERE wave IN ('T', 'QRS') GROUP BY rec, lead, wave, i), o AS (SELECT *, row_number() OVER w AS pos, amp - lag(amp) OVER w AS d FROM s WINDOW w AS (PARTITION BY rec, lead, wave ORDER BY beat)), p AS (SELECT *, lag(d) OVER (PARTITION BY rec, lead, wave ORDER BY beat) AS d0 FROM o), a AS (SELECT rec, lead, wave, count(*) AS n, avg(CASE WHEN d0 IS NOT NULL THEN (d * d0 < 0)::INT END) AS f, abs(stddev_pop(amp) / nullif(avg(amp), 0)) AS v, abs((avg(amp) FILTER (pos % 2 = 0) - avg(amp) FILTER (pos % 2 = 1)) / nullif(avg(amp), 0)) AS g FROM p GROUP BY rec, lead, wave HAVING count(*) >= 8) SELECT rec, lead, wave, n, round(f, 6) AS flip_share, round(v, 6) AS cv, round(g, 6) AS half_gap, coalesce(f >= 0.7 AND v > 0.15, false) AS by_flips, coalesce(g > 0.15, false) AS by_halves FROM a",
     "artery_fractions": f"WITH {C}, {_ST}, f AS (SELECT rec, lead, a80 >= 0.1 AS up, a80 <= -0.05 AND lead <> 'aVR' AS down FROM st), a AS (" + " UNION ALL ".join(f"SELECT rec, '{a}' AS artery, {_CNT('up', own)} AS up, {_CNT('down', own)} AS down, {_CNT('down', other)} AS opposite_down, {len(own)} AS n, {len(other)} AS m FROM f GROUP BY rec" for a, (own, other) in U.ARTERIES.items()) + "), r AS (SELECT rec, up AS rca FROM a WHERE artery = 'RCA'), x AS (SELECT a.*, CASE artery WHEN 'Posterior' THEN opposite_down >= 1 WHEN 'RV' THEN up >= 1 AND rca >= 2 ELSE up >= 1 AND opposite_down >= 1 END AS reciprocal, CASE artery WHEN 'Posterior' THEN opposite_down >= 2 WHEN 'RV' THEN up >= 1 AND rca >= 2 ELSE up >= 2 END AS involved FROM a JOIN r ON a.rec = r.rec) SELECT rec, artery, up, down, round(coalesce(up / nullif(n, 0), 0), 6) AS up_share, opposite_down, round(coalesce(opposite_down / nullif(m, 0), 0), 6) AS opposite_share, reciprocal, involved, round(coalesce(greatest(up, down) / nullif(n, 0), 0), 6) AS concordance FROM x",
     "st_diffuseness": f"WITH {C}, {_ST}, f AS (SELECT rec, lead, a80 AS dev, a80 >= 0.1 OR a80 <= -0.05 AND lead <> 'aVR' AS b FROM st), w AS (SELECT rec, avg(dev) FILTER (lead IN ('II', 'III', 'aVF')) AS i, avg(dev) FILTER (lead IN ('V1', 'V2', 'V3', 'V4')) AS a, avg(dev) FILTER (lead IN ('I', 'aVL', 'V5', 'V6')) AS l, count(*) FILTER (b) AS n, count(*) AS k, (count(*) FILTER (b AND lead IN ('II', 'III', 'aVF')) > 0)::INT + (count(*) FILTER (b AND lead IN ('V1', 'V2', 'V3', 'V4')) > 0)::INT + (count(*) FILTER (b AND lead IN ('I', 'aVL', 'V5', 'V6')) > 0)::INT AS t FROM f GROUP BY rec), o AS (SELECT rec, round((coalesce((i * a < 0)::INT, 0) + coalesce((i * l < 0)::INT, 0) + coalesce((a * l < 0)::INT, 0)) / 3.0::DOUBLE, 4) AS reciprocal_index, n AS abnormal_leads, t AS abnormal_territories, round(n::DOUBLE / k, 4) AS diffuseness, round(coalesce(i, 0) - coalesce(a, 0), 4) AS contrast FROM w) SELECT * REPLACE (CASE WHEN contrast = 0 THEN 0 ELSE contrast END AS contrast) FROM o",
     "p_variants": f"WITH {C}, p AS (SELECT center, (i % 360)::DOUBLE AS angle, abs(amp) + 0.05 AS size FROM c WHERE wave = 'P'), m AS (SELECT avg(size) AS rs, avg(angle) AS ra, avg(center) AS rc FROM p), v AS (SELECT exp(-abs(ln((size + 1e-6) / (rs + 1e-6)))) * cos(radians(abs(angle - ra))) AS s, abs(size - rs) / (rs + 1e-6) AS r, abs(center - rc) / 400 AS h FROM p, m) SELECT CASE WHEN s >= 0.85 AND r >= 0.3 AND h > 0.4 THEN 'coexistent' WHEN s < 0.7 AND r < 0.3 AND h < 0.3 THEN 'ectopic' ELSE 'indeterminate' END AS mechanism, count(*) AS n, round(avg(s), 6) AS similarity, round(avg(r), 6) AS residual, round(avg(h), 6) AS phase FROM v GROUP BY 1",
