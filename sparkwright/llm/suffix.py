@@ -15,8 +15,10 @@ exactly the repeated windows. The passes run from the most significant digit to
    side's classes at every depth, and windows with equal classes on both sides are equal. Anchors with more than `hot`
    different surroundings take this pass as shuffled keys of single windows instead, so no task holds such a group.
 
-Passes 1 and 2 hold one row of a sorted stream beside the batch in hand, whatever a group's size. Texts are shuffled once,
-by document, and that exchange serves both the cutting of surroundings and the removal.
+Passes 1 and 2 hold one row of a sorted stream beside the batch in hand, whatever a group's size. Anchors that are frequent in a
+sixty-fourth of the texts are dealt by document as well, so that none is one task: what an equal neighbour would have told in
+the first two passes the last one finds out, so only the way differs, not the result. Texts are shuffled once, by document, and
+that exchange serves both the cutting of surroundings and the removal.
 
 Defined cases: null text counts as empty; texts shorter than `length` lose nothing; rows that repeat with the same id and
 text are repeats of each other; null ids are allowed. Bytes are removed wherever they stand, so what is left may not be
@@ -39,6 +41,8 @@ from sparkwright.llm.common import cut, int_column, runs, text_bytes, whole_runs
 ANCHOR = 104
 BLOCK = 1 << 19
 HOT = 20_000
+#: Frequent anchors: one in FREQUENT of a sample of one in SAMPLE texts, so fewer than FREQUENT; each is dealt to SALTS tasks.
+FREQUENT, SAMPLE, SALTS = 1000, 64, 64
 NEVER = np.uint32(0xFFFFFFFF)
 
 
@@ -197,14 +201,16 @@ def neighbours(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors sorted by (k, c), those that recur. full: all windows are repeated; more: goes on to the last pass."""
-    for rows, bits in neighbours(batches, ["k", "c", "doc", "at", "run"]):
-        recurs, full, first = (bits & 3) > 0, (bits & 12) > 0, (bits & 4) == 0
+    """Of anchors sorted by (k, c), those that recur. full: all windows are repeated; more: goes on to the last pass.
+    Frequent ones recur for certain, though perhaps not here."""
+    for rows, bits in neighbours(batches, ["k", "c", "doc", "at", "run", "frequent"]):
+        frequent = rows["frequent"] > 0
+        recurs, full, first = ((bits & 3) > 0) | frequent, (bits & 12) > 0, (bits & 4) == 0
         # a run of equal surroundings that is all of its anchor has nothing to meet
         edges = runs(rows["k"], rows["c"])[:-1]
         ends = np.append(edges[1:], len(bits)) - 1
         alone = ((bits[edges] & 1) == 0) & ((bits[ends] & 2) == 0)
-        more = recurs & first & ~np.repeat(alone, ends - edges + 1)
+        more = recurs & first & (~np.repeat(alone, ends - edges + 1) | frequent)
         some = recurs & (full | more)
         if some.any():
             arrays = [pa.array(rows[c][some]) for c in ("k", "doc", "at", "run")] + [pa.array(full[some]), pa.array(more[some])]
@@ -390,6 +396,13 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def frequent_anchors(sample: DataFrame) -> DataFrame:
+    """(k, frequent = 1) of the anchors that hold more than one in FREQUENT rows of a sample, and 16 at least, to be broadcast."""
+    counts = cut(sample.groupBy("k").count())
+    total = counts.agg(F.sum("count")).first()[0] or 0  # one number
+    return F.broadcast(counts.where(F.col("count") > max(16, total / FREQUENT)).select("k", F.lit(1).alias("frequent")))
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row: every byte is removed that lies in a string of `length`
     bytes which also starts at another place of the same or another text."""
@@ -401,8 +414,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     # a row is known by its id and 31 bits of its text's hash; a null id gives way to a hash
     own = own.select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("null"), "text")).alias("doc"), F.expr("xxhash64(text) & 2147483647").alias("tag"), "text")
-    found = own.where(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_anchored(length), "k long, c long, doc long, at long, run long")
-    again = found.repartition("k").sortWithinPartitions("k", "c").mapInArrow(_repeated, "k long, doc long, at long, run long, full boolean, more boolean")
+    long_enough = own.where(F.octet_length("text") >= length).select("doc", "tag", "text")
+    anchors = lambda rows: rows.mapInArrow(_anchored(length), "k long, c long, doc long, at long, run long")
+    found = anchors(long_enough).join(frequent_anchors(anchors(long_enough.where(f"pmod(xxhash64(1, doc, tag), {SAMPLE}) = 0"))), "k", "left")
+    # both rows of a chain stand in one document
+    salt = F.when(F.col("frequent") == 1, F.pmod(F.xxhash64("doc", F.shiftright("at", 32)), F.lit(SALTS).cast("long"))).otherwise(0).alias("salt")
+    dealt = found.select("k", "c", "doc", "at", "run", F.coalesce("frequent", F.lit(0)).cast("long").alias("frequent"), salt)
+    again = dealt.repartition("k", "salt").sortWithinPartitions("k", "c").drop("salt").mapInArrow(_repeated, "k long, doc long, at long, run long, full boolean, more boolean")
     again = cut(again)
     tag, place = F.expr("shiftright(at, 32)").alias("tag"), F.expr("at & 4294967295")
     whole = again.where("full").select("doc", tag, (place - (length - ANCHOR)).alias("s"), (place + F.col("run") + length).alias("e"))

@@ -508,3 +508,21 @@ def test_runs_or_pieces():
         for k, found in parts.items():
             assert len({longer for longer, _ in found}) == 1 and (found[0][0] or len(found) == 1)
             assert not found[0][0] or sum(n for _, n in found) > 6
+
+
+def test_suffix_of_frequent_anchors(spark, words, monkeypatch):
+    """Anchors taken for frequent are dealt by document; the result is the same."""
+    rng = random.Random(10)
+    passage, other = (" ".join(rng.choice(words) for _ in range(120)) for _ in range(2))
+    texts = [f"{rng.random()} {passage} {rng.random()}" for _ in range(40)] + ["ab" * 400, "ab" * 300] + [f"{rng.random()} {other} x"] * 2 + [" ".join(rng.choice(words) for _ in range(90)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    digest = lambda: {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix.remove_repeats(docs, 200).collect()}
+    want = digest()
+    plain = {i: (n, k) for (i, _), (k, n) in zip(enumerate(texts), brute_removed([t.encode() for t in texts], 200), strict=True)}
+    assert {i: (n, k) for i, (n, _, k) in want.items()} == plain
+    every = lambda sample: F.broadcast(sample.select("k").distinct().withColumn("frequent", F.lit(1)))
+    monkeypatch.setattr(suffix, "SAMPLE", 1)
+    monkeypatch.setattr(suffix, "frequent_anchors", every)
+    for salts in (3, 64):
+        monkeypatch.setattr(suffix, "SALTS", salts)
+        assert digest() == want

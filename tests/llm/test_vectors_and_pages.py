@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwright.llm import ann, embdedup, html
 
@@ -212,3 +213,30 @@ def test_copied_open_pages_stay_and_odd_tables(spark):
     got = [(r["page_id"], r["text"]) for r in html.main_text(df).collect()]
     assert sorted(got) == [*((i, text) for i in range(6)), (6, ""), (6, "z")]
     assert html.main_text(df.limit(0)).collect() == []
+
+
+def test_recall_of_whole_operator(spark):
+    """Pairs at a cosine of just 0.9 among many others: signs, buckets and probes together find most of them, and nothing below."""
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(700, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(700, 64))
+    b -= a * (a * b).sum(axis=1, keepdims=True)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.9001 * a + np.sqrt(1 - 0.9001**2) * b
+    below = 0.89 * a[:300] + np.sqrt(1 - 0.89**2) * b[:300]
+    rows = [(i, v.tolist()) for i, v in enumerate(a)] + [(1000 + i, v.tolist()) for i, v in enumerate(near[300:])] + [(2000 + i, v.tolist()) for i, v in enumerate(below)]
+    got = {r["vec_id"]: r for r in embdedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert np.mean([got[1000 + i]["component_id"] == 300 + i for i in range(400)]) > 0.95
+    assert all(got[2000 + i]["n_links"] == 0 for i in range(300))
+
+
+def test_repeated_ids_and_empty_tables_of_vectors(spark):
+    rows = [(i, [1.0, i / 10]) for i in range(30)] + [(5, [1.0, 0.5])] * 40 + [(5, [2.0, 0.1])] * 3 + [(None, [9.0, 9.0]), (50, None), (51, [0.0, 0.0]), (52, [1.0, float("nan")])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("q", F.lit("own")).withColumn("score", F.lit("own"))
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert set(found) == {0, 20} and all([k for k, _ in sorted(x)] == list(range(1, 21)) for x in found.values())
+    assert not {50, 51, 52, None} & {v for x in found.values() for _, v in x}
+    assert ann.nearest(df.limit(0), df, 20).count() == 0 and ann.nearest(df, df.limit(0), 20).count() == 0
