@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm.ann import nearest
 from sparkwright.llm.bpe import bpe_round_trip
-from sparkwright.llm import linededup, mixing, quality, toxicity
+from sparkwright.llm import collocations, linededup, mixing, periodic, quality, toxicity, warc
 from sparkwright.llm.common import table
 from sparkwright.llm.embdedup import embedding_groups
 from sparkwright.llm.html import main_text
@@ -103,5 +103,25 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op8_html": op8_html, "op6_toxicity": op6_toxicity, "op1_ann": op1_ann, "op5_embedding_dedup": op5_embedding_dedup, "op3_line_dedup": op3_line_dedup, "op7_mixing": op7_mixing, "op10_suffix": op10_suffix, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
-ORACLES: dict[str, str] = {"op3_line_dedup": linededup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every whole text, some of which are given loops first. Null, empty and blank texts have no runs and an empty
+    collapsed text; a null id gives no loop; repeated rows stay."""
+    docs = table(spark, sf_dir, "documents")
+    return periodic.run_digests(periodic.periodic_runs(periodic.with_loops(docs), exponent=4, shortest=6))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in the archives of all pages, read back. A null html is an empty payload; rows that share the largest id of equal
+    payloads are all responses; a null id revisits the largest one; an empty table gives no rows."""
+    index = warc.write_archive(table(spark, sf_dir, "pages"), least=1000)
+    return warc.read_archive(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language. Null texts are empty, null languages are `und`; every repeated row counts; an
+    empty table gives no rows."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+QUERIES = {"op11_periodic": op11_periodic, "op12_warc": op12_warc, "op13_collocations": op13_collocations, "op8_html": op8_html, "op6_toxicity": op6_toxicity, "op1_ann": op1_ann, "op5_embedding_dedup": op5_embedding_dedup, "op3_line_dedup": op3_line_dedup, "op7_mixing": op7_mixing, "op10_suffix": op10_suffix, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op9_bpe": op9_bpe}
+ORACLES: dict[str, str] = {"op3_line_dedup": linededup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
