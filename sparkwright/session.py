@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any scale; sizes (partitions, memory) stay with the caller or the cluster.
 DEFAULTS = {
@@ -41,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one for a local session only."""
     base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):  # local-cluster is a cluster
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base or tempfile.mkdtemp(prefix='sparkwright')}/scratch/{uuid.uuid4().hex}"
+
+
+def scratch_table(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a scratch folder, read again: what is costly to make and read more than once."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
