@@ -3,9 +3,8 @@
 A vector is padded to a power of two and rotated by three rounds of random signs and a fast Hadamard transform; its hash is
 the axis (with sign) nearest to the rotated vector. AXES such hashes make the bucket of one table, and TABLES tables are
 kept. Multiprobe: a vector also stands in the buckets where its least certain axis gives way to the second best (PROBES
-buckets in each table). What is dealt to buckets first is an id and SIGNS signs of random projections, not the vector: only
-vectors with a bucket mate within SIGN_BITS of these signs (cosine 0.9 differs in 18 on average, with a deviation of 4) go
-on. Those that share a bucket are then compared by their cosine in double precision.
+buckets in each table). What is dealt to buckets first is an id, not the vector: only vectors that have a bucket mate go on. All
+pairs that share a bucket are then compared by their cosine in double precision; nothing else decides who is compared.
 
 Copies collapse first: only distinct vectors are hashed, each with its number of rows. A pair that meets in several buckets
 is counted in the first of them only, which both sides' hashes tell, so links are counted exactly without a table of pairs:
@@ -31,7 +30,6 @@ from sparkwright.llm.ann import usable
 from sparkwright.llm.common import components, cut, int_column, join_lookup, runs, runs_or_pieces, whole_runs
 
 TABLES, AXES, PROBES, ROUNDS, TILE, SEED = 14, 3, 2, 3, 4096, 5
-SIGNS, SIGN_BITS = 128, 38
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -103,14 +101,8 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
 
-def signs(vectors: np.ndarray) -> np.ndarray:
-    """[row, word]: signs of SIGNS random projections, packed into 64-bit words."""
-    planes = np.random.default_rng(SEED + vectors.shape[1]).normal(size=(vectors.shape[1], SIGNS))
-    return np.packbits(vectors @ planes > 0, axis=1).view(np.uint64)
-
-
 def _hashed(tables: int, axes: int, probes: int):
-    """(rep, n, v, codes, s0, s1): each vector with the codes of its buckets and its signs."""
+    """(rep, n, v, codes): each vector with the codes of its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +113,7 @@ def _hashed(tables: int, axes: int, probes: int):
                     own = part.filter(pa.array(sizes == size))
                     vectors = matrix(own.column(2))
                     found = [c.tobytes() for c in codes(vectors, tables, axes, probes)]
-                    words = signs(vectors).view(np.int64)
-                    arrays = [*own.columns, pa.array(found, pa.binary()), *(pa.array(words[:, k]) for k in range(words.shape[1]))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["rep", "n", "v", "codes", "s0", "s1"])
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, pa.binary())], names=["rep", "n", "v", "codes"])
 
     return run
 
@@ -143,39 +133,21 @@ def _keyed(tables: int, axes: int, probes: int):
                 own = batch.filter(pa.array(dims == dim))
                 keys = bucket_keys(code_matrix(own.column(2), int(dim), tables, axes, probes), int(dim), axes).reshape(own.num_rows, -1)
                 rows = pa.array(np.repeat(np.arange(own.num_rows), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(own.column(c).take(rows) for c in (0, 3, 4))], names=["key", "rep", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), own.column(0).take(rows)], names=["key", "rep"])
 
     return run
 
 
 def _with_mates(most: int):
-    """(key, rep) of the rows with another row of their key within SIGN_BITS signs; of keys with more than `most` rows, all. Such
-    a key goes through in pieces, so no more than about `most` of its rows are held."""
-
-    def kept(rows: pa.Table, longer: bool) -> pa.RecordBatch:
-        key, rep, s0, s1 = (int_column(rows[c].combine_chunks()) for c in ("key", "rep", "s0", "s1"))
-        words = np.stack([s0, s1], axis=1).view(np.uint64)
-        edges = runs(key)
-        sizes = np.diff(edges)
-        keep = np.repeat(sizes > most, sizes) | longer
-        rest = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 32), sizes))
-        for offset in range(1, 32):
-            if offset >= len(rest):
-                break
-            a, b = rest[:-offset], rest[offset:]
-            hit = (key[a] == key[b]) & (np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= SIGN_BITS)
-            keep[a[hit]] = keep[b[hit]] = True
-        for k in np.flatnonzero((sizes > 32) & (sizes <= most)) if not longer else ():
-            own = words[edges[k] : edges[k + 1]]
-            for low in range(0, len(own), 256):
-                near = np.bitwise_count(own[low : low + 256, None] ^ own[None]).sum(axis=2) <= SIGN_BITS
-                keep[edges[k] + low : edges[k] + low + len(near)] |= near.sum(axis=1) > 1  # one is the row itself
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rep[keep])], names=["key", "rep"])
+    """(key, rep) of the rows that are not alone in their key. A key of over `most` rows goes through in pieces, so no more than about
+    `most` of its rows are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, longer in runs_or_pieces(batches, "key", max(1 << 17, 2 * most), most):
-            if (found := kept(rows, longer)).num_rows:
-                yield found
+            sizes = np.diff(runs(int_column(rows["key"].combine_chunks())))
+            keep = pa.array(np.repeat((sizes > 1) | longer, sizes))
+            for batch in rows.select(["key", "rep"]).filter(keep).combine_chunks().to_batches():
+                yield batch
 
     return run
 
@@ -269,13 +241,13 @@ def embedding_groups(
     vectors = cut(own.mapInArrow(_usable, "vec_id long, v binary"))
     good = vectors.where("vec_id is not null and v is not null")
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    hashed = classes.select("rep", "n", "v").mapInArrow(_hashed(tables, axes, probes), "rep long, n long, v binary, codes binary, s0 long, s1 long")
+    hashed = classes.select("rep", "n", "v").mapInArrow(_hashed(tables, axes, probes), "rep long, n long, v binary, codes binary")
     hashed = cut(hashed)
-    slim = hashed.select("rep", F.length("v").cast("long").alias("bytes"), "codes", "s0", "s1")
-    keyed = slim.mapInArrow(_keyed(tables, axes, probes), "key long, rep long, s0 long, s1 long")
+    slim = hashed.select("rep", F.length("v").cast("long").alias("bytes"), "codes")
+    keyed = slim.mapInArrow(_keyed(tables, axes, probes), "key long, rep long")
     mates = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_with_mates(tile), "key long, rep long"))
     held = mates.groupBy("key").count().withColumn("tiles", F.expr(f"cast(ceil(count / {tile}) as long)")).select("key", "tiles")
-    rows2 = mates.join(held, "key").join(hashed.drop("s0", "s1"), "rep").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    rows2 = mates.join(held, "key").join(hashed, "rep").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     pairs = rows2.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
     pairs = pairs.select(
         F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))).alias("key"),

@@ -3,7 +3,8 @@
 A page is read as a stream of tags and text, in one pass. Elements that are no article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments; by tag, role, or the words of class and id) are skipped. Text inside
 <article> or <main> is the article. A page without either is open: its blocks may hold boilerplate that only its host gives
-away.
+away. So may blocks of an article in elements whose class (search, legal, alert...) can name a part of it as well. End tags
+that may be missing are implied as browsers do.
 
 Host suffix array. The token streams of a host's open pages are taken together; a suffix is a place in them with the words that
 follow in its block. Suffixes are sorted by host and tokens, neighbours are compared token by token, and equal ones stand
@@ -11,8 +12,8 @@ together; what stands on enough distinct pages is a repeated passage. Longer rep
 after another, so the order needs a depth of `run` words and no more. Covered words go, and the unique runs between them stay.
 A block of fewer than `run` words is a suffix of its own, ends included. A passage is boilerplate on at
 least `least_pages` pages and at least `least_share` of its host's open pages. Pages of one host with equal blocks are one page
-here, so that an article copied to several open pages stays. The text of <article> and <main> is not judged by repeats: copies
-of an article on one host are still articles.
+here, so that an article copied to several open pages stays, and a repeated run of more than half of a page's words stays, so that
+near copies do. Other text of <article> and <main> is not judged by repeats: copies of an article on one host are still articles.
 
 Scale. Suffixes that occur too rarely are sieved out before the sort by counts of 64-bit hashes (map-side sums; a collision can
 only let one through, and the sort compares tokens). The rest are dealt by ranges of (host, tokens, page), so a host with a
@@ -61,6 +62,26 @@ WORDS = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
     "commentlist disqus reply replies respond pagination pager copyright legal toolbar search skip".split()
 )
+#: Words that inside of an article may as well name a part of it; there the host's repeats decide.
+DOUBTFUL = frozenset("alert copyright legal overlay search skip toolbar".split())
+#: Words before `reviews` that tell of reader comments, and words of an article's class that tell of another page's article.
+READERS, TEASERS = frozenset("customer reader readers user users visitor".split()), frozenset("excerpt preview teaser".split())
+#: Elements that an open element's missing end tag gives way to, and those beyond which none is looked for.
+CLOSES = {
+    **dict.fromkeys(
+        "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split(),
+        frozenset("p"),
+    ),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
+    "tr": frozenset(["tr"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tbody": frozenset(["tbody", "thead", "tr"]), "tfoot": frozenset(["tbody", "thead", "tr"]),
+}
+BARRIERS = {
+    "p": frozenset("html body table td th caption object button template".split()),
+    "li": frozenset("html body ul ol menu dir table td th section article aside nav header footer main form".split()),
+    "dt": frozenset("html body dl table td th section article aside nav header footer main form".split()),
+    "option": frozenset("select".split()), "td": frozenset("table tr".split()), "tr": frozenset("table".split()), "tbody": frozenset("table".split()),
+}
+BARRIERS |= {"dd": BARRIERS["dt"], "th": BARRIERS["td"], "tfoot": BARRIERS["tbody"]}
 #: Words that may follow one of those, as in comment-list.
 NEUTRAL = frozenset(
     "area article articles bar block box button buttons container content form group inner item items label link links list "
@@ -93,7 +114,7 @@ def names_boilerplate(value: str, among: frozenset[str]) -> bool:
             continue
         while len(words) > 1 and words[-1] in NEUTRAL:
             words.pop()
-        if words[-1] in among:
+        if words[-1] in among or words[-1] == "reviews" and words[0] in READERS:
             return True
     return False
 
@@ -111,37 +132,64 @@ def is_skipped(tag: str, rest: str, in_main: bool) -> bool:
         return False
     if not in_main:
         return names_boilerplate(found.get("class", ""), WORDS) or names_boilerplate(found.get("id", ""), WORDS)
-    return names_boilerplate(found.get("class", ""), WORDS - {"header"}) or tag != "section" and names_boilerplate(found.get("id", ""), SURE)
+    return names_boilerplate(found.get("class", ""), WORDS - DOUBTFUL - {"header"}) or tag != "section" and names_boilerplate(found.get("id", ""), SURE)
+
+
+def is_doubtful(tag: str, rest: str) -> bool:
+    """Whether an element inside of an article may be none of it by its class."""
+    return tag in CONTAINERS and "class" in rest.lower() and names_boilerplate(attributes_of(rest).get("class", ""), DOUBTFUL)
 
 
 class Page:
-    """Reads one page into the blocks inside of <article> and <main>, and those outside, both without what is skipped."""
+    """Reads one page into the blocks inside of <article> and <main>, and those outside, both without what is skipped. `doubts` says
+    of each block inside whether it stands in an element whose class leaves that open."""
 
     def __init__(self) -> None:
         self.inside: list[str] = []
         self.outside: list[str] = []
         self.parts: list[str] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, skipped, in the article
+        self.doubts: list[bool] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, skipped, in the article, doubtful
         self.open: Counter[str] = Counter()
-        self.skipped = self.in_main = False
+        self.skipped = self.in_main = self.doubtful = False
 
     def flush(self) -> None:
         if self.parts:
-            text = " ".join(unescape("".join(self.parts)).split())
+            text = " ".join("".join(self.parts).split())
             self.parts.clear()
             if text:
                 (self.inside if self.in_main else self.outside).append(text)
+                if self.in_main:
+                    self.doubts.append(self.doubtful)
 
     def text(self, piece: str) -> None:
         if piece and not self.skipped:
-            self.parts.append(piece)
+            self.parts.append(unescape(piece))  # a reference does not go on behind a tag
 
     def leave(self, depth: int) -> None:
         """Close all but the first `depth` open elements."""
-        for tag, _, _ in self.stack[depth:]:
+        for tag, *_ in self.stack[depth:]:
             self.open[tag] -= 1
         del self.stack[depth:]
-        self.skipped, self.in_main = self.stack[-1][1:] if self.stack else (False, False)
+        self.skipped, self.in_main, self.doubtful = self.stack[-1][1:] if self.stack else (False, False, False)
+
+    def imply_end(self, tag: str) -> None:
+        """Close an open element whose end tag may be missing before this one."""
+        closing = CLOSES.get(tag)
+        if closing is None or not any(self.open[c] for c in closing):
+            return
+        stop = BARRIERS["p"] if "p" in closing else BARRIERS[tag]
+        found = None
+        for depth in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[depth][0]
+            if name in closing:
+                found = depth
+                if tag not in ("tbody", "tfoot"):
+                    break
+            elif name in stop:
+                break
+        if found is not None:
+            self.leave(found)
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -164,17 +212,17 @@ class Page:
             self.flush()
         if tag == "body" and self.open["head"]:  # <head> may be left open
             self.leave(0)
+        self.imply_end(tag)
         if tag in VOID or rest.endswith("/") and tag in ("svg", "path"):
             return
-        if tag == "p" and self.stack and self.stack[-1][0] == "p":
-            self.leave(len(self.stack) - 1)
         skipped = self.skipped or is_skipped(tag, rest, self.in_main)
-        in_main = self.in_main or tag in MAIN and not skipped
-        if skipped != self.skipped or in_main != self.in_main:
+        in_main = self.in_main or tag in MAIN and not skipped and not (rest and names_boilerplate(attributes_of(rest).get("class", ""), TEASERS))
+        doubtful = self.doubtful or bool(in_main and rest and not skipped) and is_doubtful(tag, rest)
+        if skipped != self.skipped or in_main != self.in_main or doubtful != self.doubtful:
             self.flush()
-        self.stack.append((tag, skipped, in_main))
+        self.stack.append((tag, skipped, in_main, doubtful))
         self.open[tag] += 1
-        self.skipped, self.in_main = skipped, in_main
+        self.skipped, self.in_main, self.doubtful = skipped, in_main, doubtful
 
     def read(self, page: str) -> tuple[list[str], list[str]]:
         at, size, last, whole = 0, len(page), page.rfind(">"), True
@@ -185,7 +233,8 @@ class Page:
                 break
             if page.startswith("<!--", begin):
                 self.text(page[at:begin])
-                stop = page.find("-->", begin + 4)
+                empty = 5 if page.startswith(">", begin + 4) else 6 if page.startswith("->", begin + 4) else 0
+                stop = begin + empty - 3 if empty else page.find("-->", begin + 4)
                 at = stop + 3 if stop >= 0 else size
                 continue
             if page.startswith(("<!", "<?"), begin):
@@ -227,6 +276,14 @@ def blocks_of(page: str | None) -> tuple[list[str], list[str]]:
     return Page().read(page or "")
 
 
+def judged_blocks(page: str | None) -> tuple[list[str], list[bool]]:
+    """The blocks that may be the article, and of each whether the host's repeats are to judge it: what is doubtful inside of the
+    article, or all of a page without one."""
+    read = Page()
+    inside, outside = read.read(page or "")
+    return (inside, read.doubts) if inside else (outside, [True] * len(outside))
+
+
 def host_of(url: str | None) -> str:
     found = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", url or "", re.I)
     return found[1].rpartition("@")[2].partition(":")[0].lower() if found else ""
@@ -236,13 +293,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            texts, opens, hosts = [], [], []
+            texts, judged, hosts = [], [], []
             for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                inside, outside = blocks_of(page)
-                texts.append("\n\n".join(inside) if inside else None)
-                opens.append([] if inside else outside)
+                blocks, open_ = judged_blocks(page)
+                texts.append(blocks)
+                judged.append(open_)
                 hosts.append(host_of(url))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hosts), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))], names=["page_id", "url", "host", "text", "open"])
+            arrays = [part.column(0), part.column(1), pa.array(hosts), pa.array(texts, pa.list_(pa.string())), pa.array(judged, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "blocks", "judged"])
 
 
 def suffixes_of(blocks: list[str], run: int) -> Iterator[tuple[int, int, str]]:
@@ -315,12 +373,25 @@ def _counts(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
 
-def unique_runs(blocks: list[str], covered: list[tuple[int, int]]) -> str:
-    """The words of the blocks that no (first word, number of words) covers."""
+def unique_runs(blocks: list[str], judged: list[bool], covered: list[tuple[int, int]]) -> str:
+    """The words of the blocks without those that are covered, (first word, number of words) among the judged blocks; on an open page
+    a covered run of more than half of all words is the page itself, as near copies of one are, and stays."""
     gone = {i + k for i, n in covered for k in range(n)}
+    words_of = [b.split(" ") for b in blocks]
+    total, runs = sum(map(len, words_of)), []
+    for i in sorted(gone):
+        if runs and runs[-1][1] == i:
+            runs[-1][1] = i + 1
+        else:
+            runs.append([i, i + 1])
+    for a, b in runs:
+        if all(judged) and 2 * (b - a) > total:
+            gone.difference_update(range(a, b))
     at, kept = 0, []
-    for block in blocks:
-        words = block.split(" ")
+    for words, own in zip(words_of, judged, strict=True):
+        if not own:
+            kept.append(" ".join(words))
+            continue
         if left := " ".join(w for k, w in enumerate(words, at) if k not in gone):
             kept.append(left)
         at += len(words)
@@ -329,8 +400,8 @@ def unique_runs(blocks: list[str], covered: list[tuple[int, int]]) -> str:
 
 def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        covered = [[(c["i"], c["n"]) for c in cover or ()] for cover in batch.column(3).to_pylist()]
-        texts = [unique_runs(blocks, cover) for blocks, cover in zip(batch.column(2).to_pylist(), covered, strict=True)]
+        covered = [[(c["i"], c["n"]) for c in cover or ()] for cover in batch.column(4).to_pylist()]
+        texts = [unique_runs(*row) for row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), covered, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -355,10 +426,12 @@ def repeated(streams: DataFrame, run: int, least_pages: int, least_share: float)
 def main_text(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, least_share: float = SHARE) -> DataFrame:
     """(page_id, url, text) of each page."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    read = written(own.mapInArrow(_read, "page_id long, url string, host string, text string, open array<string>"))
-    closed = read.where("text is not null").select("page_id", "url", "text")
-    opened = read.where("text is null").withColumn("page", F.xxhash64("host", "open"))
-    streams = opened.where("size(open) > 0").dropDuplicates(["page"]).select("page", "host", "open")
-    covered = repeated(streams, run, least_pages, least_share).withColumnRenamed("page", "judged")
-    rest = opened.join(covered, opened["page"] == covered["judged"], "left").select("page_id", "url", "open", "covered")
+    read = written(own.mapInArrow(_read, "page_id long, url string, host string, blocks array<string>, judged array<boolean>"))
+    some = F.array_contains("judged", True)
+    closed = read.where(~some).select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
+    opened = read.where(some).withColumn("page", F.xxhash64("host", "blocks", "judged"))
+    stream = F.transform(F.filter(F.arrays_zip("blocks", "judged"), lambda z: z["judged"]), lambda z: z["blocks"])
+    streams = opened.dropDuplicates(["page"]).select("page", "host", stream.alias("open"))
+    covered = repeated(streams, run, least_pages, least_share).withColumnRenamed("page", "same")
+    rest = opened.join(covered, opened["page"] == covered["same"], "left").select("page_id", "url", "blocks", "judged", "covered")
     return closed.unionByName(rest.mapInArrow(_uncovered, "page_id long, url string, text string"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import text_bytes
+from sparkwright.llm.common import fresh, text_bytes
 
 CHUNK, OVERLAP, WIDTH, STRIDE, DIM, FILTERS = 512, 32, 6, 2, 6, 16
 SAMPLE_ROWS, EPOCHS, BATCH, SEED = 3000, 12, 64, 7
@@ -210,4 +210,5 @@ def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score is at least 0.5, with their own columns."""
-    return with_score(docs, fit(docs, labels), "_quality").where("_quality >= 0.5").drop("_quality")
+    (name,) = fresh(docs, "_quality")
+    return with_score(docs, fit(docs, labels), name).where(F.col(name) >= 0.5).drop(name)

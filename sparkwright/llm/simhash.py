@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import components, cut, int_column, join_lookup, runs, text_bytes, whole_runs
+from sparkwright.llm.common import components, cut, fresh, int_column, join_lookup, runs, text_bytes, whole_runs
 
 SEED = 42
 #: Fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the (23, 12) Golay code.
@@ -399,7 +399,8 @@ def near_groups(docs: DataFrame, words: int = 5, most: int = 4, similar: int = P
 def keep_one(docs: DataFrame, words: int = 5, most: int = 4) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, whole and once; rows that share a
     doc_id are told apart by their texts; rows whose doc_id is null stay."""
-    kept = near_groups(docs, words, most).where("kept").select(F.col("doc_id").alias("_kept"), F.col("t").alias("_kept_t"))
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
-    named = named.join(kept, (F.col("doc_id").cast("long") == F.col("_kept")) & (F.col("_t") == F.col("_kept_t")), "left_semi")
-    return named.dropDuplicates(["doc_id", "_t"]).drop("_t").unionByName(docs.where(F.col("doc_id").isNull()))
+    text, kept_id, kept_text = fresh(docs, "_t", "_kept", "_kept_t")
+    kept = near_groups(docs, words, most).where("kept").select(F.col("doc_id").alias(kept_id), F.col("t").alias(kept_text))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(text, F.xxhash64(F.col("text").cast("string")))
+    named = named.join(kept, (F.col("doc_id").cast("long") == F.col(kept_id)) & (F.col(text) == F.col(kept_text)), "left_semi")
+    return named.dropDuplicates(["doc_id", text]).drop(text).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -337,12 +337,28 @@ def test_hot_chunks(spark):
         assert got == want
 
 
-def test_clashing_names(spark, odd_docs):
+def helper_names():
+    """Every quoted name with a leading underscore in the subpackage: names of helper columns."""
+    import pathlib
+    import re
+
+    folder = pathlib.Path(linededup.__file__).parent
+    return sorted({n for f in folder.glob("*.py") for n in re.findall(r'"(_[a-z_]+)"', f.read_text())})
+
+
+def test_clashing_names(spark, odd_docs, monkeypatch):
     docs = odd_docs
-    for name in ("_lines", "_removed_lines", "_domain", "_epoch", "n_tokens", "ids_sha256", "decoded_sha256", "key", "tag", "h", "row"):
+    helpers = helper_names()
+    assert {"_t", "_kept", "_quality", "_lines"} <= set(helpers)
+    for name in (*helpers, "n_tokens", "ids_sha256", "decoded_sha256", "key", "tag", "h", "row", "s", "t", "c", "fp", "w", "keys", "first"):
         docs = docs.withColumn(name, F.lit("own"))
-    for out in (linededup.dedup_lines(docs), mixing.mix_documents(docs), simhash.keep_one(docs)):
-        assert out.columns == docs.columns and {r["_lines"] for r in out.collect()} <= {"own"}
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "fit", lambda *_: {"share": 0.9})
+    for out in (linededup.dedup_lines(docs), mixing.mix_documents(docs), simhash.keep_one(docs), quality.keep_good(docs, labels)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert {r[n] for r in rows for n in helpers} <= {"own"} and (rows or out is None)
+    assert quality.keep_good(docs, labels).count() == odd_docs.count()
     assert linededup.remove_repeated_chunks(docs).columns.count("_lines") == 1
     assert mixing.mix(docs).columns.count("_epoch") == 1
     assert queries.token_digests(docs).columns.count("n_tokens") == 1 and queries.token_digests(docs).count() == odd_docs.count()

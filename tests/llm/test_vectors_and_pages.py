@@ -153,6 +153,16 @@ def test_repeated_articles_stay(spark):
         ("<article><pre><code><span class='comment'># x</span></code></pre></article>", "# x"),
         ("<article><p>1 < 2 > 0</p><p>y <abc never ends</article", "1 < 2 > 0\n\ny <abc never ends</article"),
         ('<article><a title="x>y</a> z</article>', "y z"),
+        ('<article><ul><li class="ad">x<li>real text</ul></article>', "real text"),
+        ('<article><p class="promo">Ad<h2>Heading</h2><p>Real</article>', "Heading\n\nReal"),
+        ('<article><p class="share">Share<div>body text</div></article>', "body text"),
+        ('<article><p class="notice"><b>Ad<p>Real</article>', "Real"),
+        ('<article><table><tr><td hidden>x<td>y<tr><td>z</table><dl><dt hidden>a<dd>b</dl></article>', "y\n\nz\n\nb"),
+        ('<article><ul><li class="ad">x<ul><li>y</ul>z<li>w</ul></article>', "w"),
+        ("<article><p>z<!--></p><p>w<!---></p><p>v</p></article>", "z\n\nw\n\nv"),
+        ("<article>A &lt<b>;</b> B &am<i>p;</i> C &amp;amp; D</article>", "A <; B &amp; C &amp; D"),
+        ('<article><section class="search"><h2>Search algorithms</h2></section><div class="legal">Law</div><div class="alert alert-info">Care</div></article>', "Search algorithms\n\nLaw\n\nCare"),
+        ('<article><p>x</p><div class="user-reviews">y</div><div class="reviews">z</div></article>', "x\n\nz"),
     ],
 )
 def test_structure(page, text):
@@ -182,6 +192,12 @@ def plain_uniques(pages, run, least_pages, least_share):
             if len(words) < run and sum(block in o for o in others) >= need:
                 cover |= set(range(at, at + len(words)))
             at += len(words)
+        for a in range(at):  # a covered run of more than half of the page stays
+            b = a
+            while b in cover:
+                b += 1
+            if a - 1 not in cover and 2 * (b - a) > at:
+                cover -= set(range(a, b))
         left = [" ".join(w for k, (w, own) in enumerate(marked) if own == i and k not in cover) for i in range(len(blocks))]
         out.append("\n\n".join(x for x in left if x))
     return out
@@ -216,7 +232,7 @@ def test_copied_open_pages_stay_and_odd_tables(spark):
 
 
 def test_recall_of_whole_operator(spark):
-    """Pairs at a cosine of just 0.9 among many others: signs, buckets and probes together find most of them, and nothing below."""
+    """Pairs at a cosine of just 0.9 among many others: buckets and probes together find most of them, and nothing below."""
     rng = np.random.default_rng(2)
     a = rng.normal(size=(700, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -240,3 +256,37 @@ def test_repeated_ids_and_empty_tables_of_vectors(spark):
     assert set(found) == {0, 20} and all([k for k, _ in sorted(x)] == list(range(1, 21)) for x in found.values())
     assert not {50, 51, 52, None} & {v for x in found.values() for _, v in x}
     assert ann.nearest(df.limit(0), df, 20).count() == 0 and ann.nearest(df, df.limit(0), 20).count() == 0
+
+
+def test_links_do_not_depend_on_the_size_of_tiles(spark):
+    """Dense clusters, some in buckets of many tiles: the same links and components for every tile, and those of brute force."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(12, 32))
+    rows = [centers[i % 12] + rng.normal(size=32) * rng.choice([0.05, 0.16]) for i in range(400)]
+    v = np.array(rows)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>").cache()
+    found = []
+    for tile in (4, 50, 4096):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.embedding_groups(df, tile=tile).collect()}
+        found.append(got)
+    assert found[0] == found[1] == found[2]
+    assert sum(found[0][i][0] for i in range(400)) >= 0.98 * sum(links) and all(found[0][i][0] <= links[i] for i in range(400))
+    assert all(found[0][i][1] == i % 12 for i in range(400) if links[i] > 20)
+
+
+def test_doubtful_parts_teasers_and_near_copies(spark):
+    """A search box inside of each article goes by the host's repeats, a section on search stays; a teaser is not the article; near
+    copies of a text on open pages stay."""
+    box = "type here what you are looking for on this great site of ours"
+    rng = random.Random(8)
+    body = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(i, f"http://a/{i}", f'<article><p>own text {i} of this page</p><div class="search">{box}</div></article>') for i in range(6)]
+    rows += [(10, "http://a/10", '<article><p>about</p><section class="search"><p>Search algorithms are old and many of them are still in use</p></section></article>')]
+    rows += [(20 + i, f"http://b/{i}", f"<div>{body} end{i}</div>") for i in range(3)] + [(30 + i, f"http://b/x{i}", f"<div>one page {rng.random()} apart from others</div>") for i in range(20)]
+    rows += [(60, "http://c/1", '<article class="teaser">Read more elsewhere</article><div><p>The text itself</p></div>')]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"own text {i} of this page" for i in range(6)]
+    assert got[10].endswith("still in use") and [got[20 + i] for i in range(3)] == [f"{body} end{i}" for i in range(3)]
+    assert got[60] == "Read more elsewhere\n\nThe text itself"
