@@ -6,13 +6,15 @@ text is parsed alike and the dictionary of distinct chunks, with the number of t
 n-grams inside of distinct chunks, weighted. An n-gram belongs to the chunk in which it starts before the closing window, so what
 lies in an overlap counts once; the last chunk of a piece has no closing window and all starts count.
 
-Phrases of up to two words are counted first. Longer ones can reach the threshold only if all pairs of neighbours in them do, so
-others are not even built: pairs that reach it stand in a filter of `FILTER` bits, broadcast at a fixed size whatever the corpus. Phrases that
-the filter passes by chance are counted and dropped by their count; only the work depends on it, not the result.
+Words and pairs are counted by a 64-bit hash first, as numbers. Those whose hash reaches the threshold stand in a filter of `FILTER` bits,
+broadcast at a fixed size whatever the corpus. A phrase can reach the threshold only if all pairs of neighbours in it do, so the
+second pass builds and counts, as text, only phrases that the filter passes. What it passes by chance or by a collision is dropped by
+its exact count; only the work depends on the filter, not the result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import text_bytes, written
 
 ORDER = 4
-#: Bits of the filter of frequent pairs: 16 MB.
+#: Bits of the filter of frequent words and pairs: 16 MB.
 FILTER = 1 << 27
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -38,26 +40,21 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _chunks(modulus: int, size: int = 16_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (lang, text) into (lang, chunk, closed, weight), equal chunks of a part of the batch summed."""
+def _chunks(modulus: int, size: int = 8_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (lang, text) into (lang, chunk, weight), equal chunks of a part of the batch summed."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, dict[bytes, int]] = {}
+        found: dict[str, list[bytes]] = {}
         held = 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("text"))):
-                counts = found.setdefault(lang, {})
+                keys = found.setdefault(lang, [])
                 for piece in text.translate(_SPLIT).split(b"\n"):
-                    words = piece.split(b" ")
-                    if b"" in words:
-                        words = [w for w in words if w]
-                    if len(words) <= 2 * ORDER:  # too short for a window that would save anything
-                        if words:
-                            key = b" ".join(words)
-                            counts[key] = counts.get(key, 0) + 1
-                        continue
-                    for key in _parse(words, modulus):
-                        counts[key] = counts.get(key, 0) + 1
+                    words = piece.split()
+                    if len(words) > 2 * ORDER:
+                        keys.extend(_parse(words, modulus))
+                    elif words:  # too short for a window that would save anything
+                        keys.append(b" ".join(words))
                 held += len(text)
                 if held >= size:
                     yield from _flush(found)
@@ -81,89 +78,102 @@ def _window(words: list[bytes], at: int) -> int:
     return xxhash.xxh32_intdigest(b" ".join(words[at : at + ORDER - 1]))
 
 
-def _flush(found: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-    for lang, counts in found.items():
-        if counts:
-            keys = pa.array(list(counts), pa.binary()).cast(pa.string())
-            arrays = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int32))), keys, pa.array(list(counts.values()), pa.int64())]
+def _flush(found: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    for lang, keys in found.items():
+        if counts := Counter(keys):
+            arrays = [_repeated(lang, len(counts)), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "chunk", "weight"])
 
 
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return _mixed(hashes) & np.uint64(bits - 1)
+def _repeated(value: str | None, n: int) -> pa.Array:
+    return pa.array([value], pa.string()).take(pa.array(np.zeros(n, np.int32)))
 
 
-def _pair_hash(lang: np.ndarray | np.uint64, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mixed(_mixed(first + lang) + second)
-
-
-def _counter(orders: range, frequent, bits: int, size: int = 12_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Distinct chunks into (lang, size, phrase, f): weighted counts of n-grams of the given sizes, summed over parts of a batch.
-
-    frequent: broadcast words of the filter of pairs, or None to count everything.
-    """
+class Part:
+    """Chunks of one language: words as numbers, their hashes, which places count, how much room a phrase has from each place on."""
 
-    def count(lang: str | None, chunks: list[bytes], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def __init__(self, lang: str | None, chunks: list[bytes], weights: list[int]):
         numbers: dict[bytes, int] = {}
-        closed = np.fromiter((c.endswith(b" ") for c in chunks), bool, len(chunks))
         parts = [c.split() for c in chunks]
-        flat = [numbers.setdefault(w, len(numbers)) for words in parts for w in words]
-        names = list(numbers)
-        ids = np.array(flat, np.int64)
+        self.flat = [numbers.setdefault(w, len(numbers)) for words in parts for w in words]
+        self.words, self.ids = list(numbers), np.array(self.flat, np.int64)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(lengths)
-        owner = np.repeat(np.arange(len(parts)), lengths)
-        counted = np.arange(len(ids)) < (ends - np.where(closed, ORDER - 1, 0))[owner]
-        room = ends[owner] - np.arange(len(ids))
-        pair_ok = None
-        if frequent is not None:
-            with np.errstate(over="ignore"):
-                h = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[ids]
-                seed = np.uint64(xxhash.xxh64_intdigest((lang or "").encode()))
-                slots = _slots(_pair_hash(seed, h[:-1], h[1:]), bits)
-            bitmap = frequent.value
-            pair_ok = (bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
-            pair_ok = np.append(pair_ok, np.zeros(ORDER, bool))
-        base = len(names) + 1
-        for n in orders:
-            ok = counted & (room >= n)
-            if pair_ok is not None:
-                for k in range(n - 1):
-                    ok &= pair_ok[k : k + len(ok)]
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            key = ids[at]
-            for k in range(1, n):  # numbers of the distinct prefixes stay small, so a key is two of them
-                if k > 1:
-                    key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-                key = key * base + ids[at + k]
-            _, where, back = np.unique(key, return_index=True, return_inverse=True)
-            f = np.zeros(len(where), np.int64)
-            np.add.at(f, back, weights[owner[at]])
-            spots = at[where].tolist()
-            phrases = [names[flat[p]] for p in spots] if n == 1 else [b" ".join([names[i] for i in flat[p : p + n]]) for p in spots]
-            zeros = pa.array(np.zeros(len(f), np.int32))
-            arrays = [pa.array([lang], pa.string()).take(zeros), pa.array([n], pa.int32()).take(zeros), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "size", "phrase", "f"])
+        closed = np.fromiter((c.endswith(b" ") for c in chunks), bool, len(chunks))
+        ends, owner, at = np.cumsum(lengths), np.repeat(np.arange(len(parts)), lengths), np.arange(len(self.ids))
+        self.counts = at < (ends - np.where(closed, ORDER - 1, 0))[owner]
+        self.room, self.weight = ends[owner] - at, np.array(weights, np.int64)[owner]
+        with np.errstate(over="ignore"):
+            own = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+            self.hash = _mixed(own + np.uint64(xxhash.xxh64_intdigest((lang or "").encode())))[self.ids]
+            self.pair = _mixed(self.hash[:-1] * np.uint64(3) + self.hash[1:])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str | None, Part]]:
+    held: dict[str | None, tuple[list[bytes], list[int]]] = {}
+    total = 0
+    for batch in batches:
+        for lang, chunk, weight in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("chunk")), batch.column("weight").to_pylist()):
+            chunks, weights = held.setdefault(lang, ([], []))
+            chunks.append(chunk)
+            weights.append(weight)
+            total += len(chunk)
+            if total >= size:
+                yield from ((name, Part(name, *both)) for name, both in held.items())
+                held, total = {}, 0
+    yield from ((name, Part(name, *both)) for name, both in held.items())
+
+
+def _hash_counter(size: int = 12_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct chunks into (h, f): weighted counts of the hashes of words and pairs, summed over parts of a batch."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, tuple[list[bytes], list[int]]] = {}
-        total = 0
-        for batch in batches:
-            columns = batch.column("lang").to_pylist(), text_bytes(batch.column("chunk")), batch.column("weight").to_pylist()
-            for lang, chunk, weight in zip(*columns):
-                chunks, weights = held.setdefault(lang, ([], []))
-                chunks.append(chunk)
-                weights.append(weight)
-                total += len(chunk)
-                if total >= size:
-                    for name, (c, w) in held.items():
-                        yield from count(name, c, np.array(w, np.int64))
-                    held, total = {}, 0
-        for name, (c, w) in held.items():
-            yield from count(name, c, np.array(w, np.int64))
+        for _, part in _parts(batches, size):
+            two = part.counts & (part.room >= 2)
+            h = np.concatenate([part.hash[part.counts], part.pair[two[:-1]]])
+            w = np.concatenate([part.weight[part.counts], part.weight[two]])
+            order = np.argsort(h)
+            h, w = h[order], w[order]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, int)
+            if len(start):
+                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(np.add.reduceat(w, start))], names=["h", "f"])
+
+    return counted
+
+
+def _phrase_counter(frequent, bits: int, size: int = 12_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct chunks into (lang, size, phrase, f): weighted counts of the phrases that the filter passes."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = frequent.value
+
+        def passes(h: np.ndarray) -> np.ndarray:
+            at = _slots(h, bits)
+            return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+        for lang, part in _parts(batches, size):
+            pairs = np.append(passes(part.pair), np.zeros(ORDER, bool))
+            names, flat, base = part.words, part.flat, len(part.words) + 1
+            for n in range(1, ORDER + 1):
+                ok = part.counts & (part.room >= n)
+                if n == 1:
+                    ok &= passes(part.hash)
+                for k in range(n - 1):
+                    ok &= pairs[k : k + len(ok)]
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                key = part.ids[at]
+                for k in range(1, n):  # numbers of the distinct prefixes stay small, so a key is two of them
+                    if k > 1:
+                        key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+                    key = key * base + part.ids[at + k]
+                _, where, back = np.unique(key, return_index=True, return_inverse=True)
+                f = np.zeros(len(where), np.int64)
+                np.add.at(f, back, part.weight[at])
+                spots = at[where].tolist()
+                phrases = [names[flat[p]] for p in spots] if n == 1 else [b" ".join([names[i] for i in flat[p : p + n]]) for p in spots]
+                arrays = [_repeated(lang, len(f)), pa.array(np.full(len(f), n, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "size", "phrase", "f"])
 
     return counted
 
@@ -176,38 +186,34 @@ def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", modulus:
     return parsed.groupBy("lang", "chunk").agg(F.sum("weight").alias("weight"))
 
 
-def _summed(chunks: DataFrame, orders: range, frequent, bits: int, least: int) -> DataFrame:
-    parts = chunks.mapInArrow(_counter(orders, frequent, bits), "lang string, size int, phrase string, f long")
-    return parts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed(h) & np.uint64(bits - 1)
 
 
-def _pair_filter(pairs: DataFrame, bits: int):
-    """Broadcast bitmap of the slots of frequent pairs: at most bits / 64 rows of one number each reach the driver."""
+def _filter(hashes: DataFrame, bits: int):
+    """Broadcast bitmap of the slots of hashes (column h): at most bits / 64 rows of one number each reach the driver."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [p.split(b" ") for p in text_bytes(batch.column("phrase"))]
-            h = [np.fromiter((xxhash.xxh64_intdigest(p[k]) for p in both), np.uint64, len(both)) for k in (0, 1)]
-            seed = np.fromiter((xxhash.xxh64_intdigest(x) for x in text_bytes(batch.column("lang"))), np.uint64, len(both))
-            with np.errstate(over="ignore"):
-                at = _slots(_pair_hash(seed, *h), bits)
+            at = _slots(batch.column("h").to_numpy().view(np.uint64), bits)
             bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bit)], names=["at", "bit"])
 
-    found = pairs.mapInArrow(slots, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    found = hashes.mapInArrow(slots, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     bitmap = np.zeros(bits // 64, np.uint64)
     bitmap[found["at"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
-    return pairs.sparkSession.sparkContext.broadcast(bitmap)
+    return hashes.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def phrase_counts(chunks: DataFrame, least: int, bits: int = FILTER) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, f) of all phrases of up to ORDER words with f >= least, and (lang, n), the words of each language."""
     inside = F.size(F.split(F.rtrim("chunk"), " ")) - F.when(F.endswith("chunk", F.lit(" ")), ORDER - 1).otherwise(0)
     totals = chunks.groupBy("lang").agg(F.sum(inside * F.col("weight")).alias("n"))
-    short = written(_summed(chunks, range(1, 3), None, bits, least))
-    pairs = _pair_filter(short.where("size = 2"), bits)
-    long = written(_summed(chunks, range(3, ORDER + 1), pairs, bits, least))
-    return short.unionByName(long), totals
+    hashes = chunks.mapInArrow(_hash_counter(), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    frequent = _filter(hashes.where(F.col("f") >= least).select("h"), bits)
+    phrases = chunks.mapInArrow(_phrase_counter(frequent, bits), "lang string, size int, phrase string, f long")
+    return written(phrases.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)), totals
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, covered: int = 80, text: str = "text", lang: str = "lang", modulus: int = 16, bits: int = FILTER) -> DataFrame:

@@ -52,7 +52,7 @@ def evaluate(components: DataFrame, rules: list[Rule] | None = None) -> DataFram
     """(rec, one boolean column for each rule): whether enough leads (in a row, where the rule asks that) pass."""
     rules = RULES if rules is None else rules
     hits = [
-        F.array_distinct(F.collect_list(F.when((F.col("wave") == r.wave) & F.col("lead").isin(list(r.leads)) & F.expr(r.test), F.array_position(F.lit(LEADS), F.col("lead"))))).alias(r.name)
+        F.collect_set(F.when((F.col("wave") == r.wave) & F.col("lead").isin(list(r.leads)) & F.expr(r.test), F.array_position(F.lit(LEADS), F.col("lead")))).alias(r.name)
         for r in rules
     ]
     found = components.groupBy("rec").agg(*hits)  # at most twelve numbers for each rule and recording
@@ -429,15 +429,25 @@ def artery_fractions(leads: DataFrame) -> DataFrame:
 def diffuseness(leads: DataFrame) -> DataFrame:
     """(rec, reciprocal_index, abnormal_leads, abnormal_territories, diffuseness, contrast) from (rec, lead, dev, abnormal): a third
     for each pair of territories whose mean deviations have opposite signs, the share of abnormal leads, and the inferior
-    mean less the anterior one (a territory without leads counts 0 there)."""
+    mean less the anterior one (a territory without leads counts 0 there).
+
+    Deviations count in whole millionths, so that signs and the rounding of the contrast to 4 digits are exact.
+    """
     names = {"inferior": INFERIOR_LEADS, "anterior": ANTERIOR, "lateral": LATERAL}
-    mean = lambda x: F.avg(F.when(F.col("lead").isin(list(x)), F.col("dev")))
-    some = lambda x: F.count_if(F.col("abnormal") & F.col("lead").isin(list(x)))
-    wide = leads.groupBy("rec").agg(*[mean(x).alias(k) for k, x in names.items()], *[some(x).alias(f"{k}_n") for k, x in names.items()], F.count_if("abnormal").alias("abnormal_leads"), F.count("*").alias("leads"))
-    opposite = sum((F.coalesce((F.col(a) * F.col(b) < 0).cast("int"), F.lit(0)) for a, b in (("inferior", "lateral"), ("anterior", "lateral"))), F.coalesce((F.col("inferior") * F.col("anterior") < 0).cast("int"), F.lit(0)))
-    territories_hit = sum(((F.col(f"{k}_n") > 0).cast("int") for k in ("anterior", "lateral")), (F.col("inferior_n") > 0).cast("int"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return wide.select("rec", F.round(opposite / 3, 4).alias("reciprocal_index"), "abnormal_leads", territories_hit.alias("abnormal_territories"), F.round(F.col("abnormal_leads") / F.col("leads"), 4).alias("diffuseness"), F.round(zero("inferior") - zero("anterior"), 4).alias("contrast"))
+    of = lambda x: F.col("lead").isin(list(x)) & F.col("dev").isNotNull()
+    whole = F.round(F.col("dev") * 1_000_000).cast("long")
+    sums = [F.coalesce(F.sum(F.when(of(x), whole)), F.lit(0)).alias(k) for k, x in names.items()]
+    counts = [F.greatest(F.count_if(of(x)), F.lit(1)).alias(f"{k}_of") for k, x in names.items()]
+    hits = [F.count_if(F.col("abnormal") & F.col("lead").isin(list(x))).alias(f"{k}_n") for k, x in names.items()]
+    wide = leads.groupBy("rec").agg(*sums, *counts, *hits, F.count_if("abnormal").alias("abnormal_leads"), F.count("*").alias("leads"))
+    pairs = (("inferior", "anterior"), ("inferior", "lateral"), ("anterior", "lateral"))
+    opposite = sum((F.signum(a) * F.signum(b) < 0).cast("int") for a, b in pairs)
+    territories_hit = sum((F.col(f"{k}_n") > 0).cast("int") for k in names)
+    over = F.expr("inferior * anterior_of - anterior * inferior_of")
+    under = F.expr("100 * inferior_of * anterior_of")
+    wide = wide.withColumn("over", over).withColumn("under", under)
+    contrast = F.expr("cast(sign(over) as int) * ((2 * abs(over) + under) div (2 * under)) / 10000D")
+    return wide.select("rec", F.round(opposite / 3, 4).alias("reciprocal_index"), "abnormal_leads", territories_hit.alias("abnormal_territories"), F.round(F.col("abnormal_leads") / F.col("leads"), 4).alias("diffuseness"), contrast.alias("contrast"))
 
 
 def variant_mechanism(amp: Column, ref_amp: Column, angle: Column, ref_angle: Column, phase: Column, rr: Column) -> tuple[Column, Column, Column, Column]:

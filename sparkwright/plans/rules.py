@@ -241,8 +241,7 @@ def artery_fractions(spark, d):
 
 
 def st_diffuseness(spark, d):
-    out = U.diffuseness(_flags(spark, d).withColumn("abnormal", F.col("up") | F.col("down")))
-    return out.withColumn("contrast", _plain("contrast"))
+    return U.diffuseness(_flags(spark, d).withColumn("abnormal", F.col("up") | F.col("down")))
 
 
 def p_variants(spark, d):
@@ -326,8 +325,8 @@ ORACLES = {
     "lead_extractor_rows": _MEAS + f" SELECT a.rec, coalesce(string_agg(rule, ',' ORDER BY list_position({_ORDER!r}, rule)), '') AS rules FROM (SELECT DISTINCT rec FROM lm) a LEFT JOIN h ON a.rec = h.rec GROUP BY a.rec",
     "recording_extractors": _WIN + f", {_OTHER}, d AS (SELECT key, rr, rr - lag(rr) OVER (PARTITION BY key ORDER BY i) AS d FROM rr), hv AS (SELECT key, count(*) AS n, avg(rr) AS mean, stddev_pop(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, 100 * avg(CASE WHEN d IS NOT NULL THEN (abs(d) >= 50)::INT END) AS pnn50, stddev_pop(rr) / avg(rr) AS cv, min(rr) / avg(rr) AS shortest, max(rr) / avg(rr) AS longest FROM d GROUP BY key), wv AS (SELECT rec AS key, max(amp / 10) FILTER (wave = 'P') AS p_amp, max(4 * sigma) FILTER (wave = 'QRS') AS qrs_ms FROM dn GROUP BY rec), ca AS (SELECT hv.key AS rec, n, 60000 / mean AS bpm, cv, pnn50, rmssd, sdnn, shortest, longest, regular::DOUBLE / windows AS regular, p_amp, qrs_ms FROM hv JOIN reg ON hv.key = reg.key LEFT JOIN wv ON wv.key = hv.key) SELECT rec, concat_ws(',', " + ", ".join(f"CASE WHEN ({t})" + (f" AND NOT coalesce(({U.RECORDING_RULES['absolute_arrhythmia']}), false)" if n == "low_variability" else "") + f" THEN '{n}' END" for n, t in U.RECORDING_RULES.items()) + ") AS rules FROM ca",
     "amplitude_alternans": f"WITH {C}, {_DENSE}, s AS (SELECT rec, lead, wave, i AS beat, arg_max(amp, (abs(amp), amp)) AS amp FROM dn WHERE wave IN ('T', 'QRS') GROUP BY rec, lead, wave, i), o AS (SELECT *, row_number() OVER w AS pos, amp - lag(amp) OVER w AS d FROM s WINDOW w AS (PARTITION BY rec, lead, wave ORDER BY beat)), p AS (SELECT *, lag(d) OVER (PARTITION BY rec, lead, wave ORDER BY beat) AS d0 FROM o), a AS (SELECT rec, lead, wave, count(*) AS n, avg(CASE WHEN d0 IS NOT NULL THEN (d * d0 < 0)::INT END) AS f, abs(stddev_pop(amp) / nullif(avg(amp), 0)) AS v, abs((avg(amp) FILTER (pos % 2 = 0) - avg(amp) FILTER (pos % 2 = 1)) / nullif(avg(amp), 0)) AS g FROM p GROUP BY rec, lead, wave HAVING count(*) >= 8) SELECT rec, lead, wave, n, round(f, 6) AS flip_share, round(v, 6) AS cv, round(g, 6) AS half_gap, coalesce(f >= 0.7 AND v > 0.15, false) AS by_flips, coalesce(g > 0.15, false) AS by_halves FROM a",
-    "artery_fractions": f"WITH {C}, {_ST}, f AS (SELECT rec, lead, a80 >= 0.1 AS up, a80 <= -0.05 AND lead <> 'aVR' AS down FROM st), a AS (" + " UNION ALL ".join(f"SELECT rec, '{a}' AS artery, {_CNT('up', own)} AS up, {_CNT('down', own)} AS down, {_CNT('down', other)} AS opposite_down, {len(own)} AS n, {len(other)} AS m FROM f GROUP BY rec" for a, (own, other) in U.ARTERIES.items()) + "), r AS (SELECT rec, up AS rca FROM a WHERE artery = 'RCA'), x AS (SELECT a.*, CASE artery WHEN 'Posterior' THEN opposite_down >= 1 WHEN 'RV' THEN up >= 1 AND rca >= 2 ELSE up >= 1 AND opposite_down >= 1 END AS reciprocal, CASE artery WHEN 'Posterior' THEN opposite_down >= 2 WHEN 'RV' THEN up >= 1 AND rca >= 2 ELSE up >= 2 END AS involved FROM a JOIN r ON a.rec = r.rec) SELECT rec, artery, up, down, round(coalesce(up / nullif(n, 0), 0), 6) AS up_share, opposite_down, round(coalesce(opposite_down / nullif(m, 0), 0), 6) AS opposite_share, reciprocal, involved, round(coalesce(greatest(up, down) / nullif(n, 0), 0), 6) AS concordance FROM x",
-    "st_diffuseness": f"WITH {C}, {_ST}, f AS (SELECT rec, lead, a80 AS dev, a80 >= 0.1 OR a80 <= -0.05 AND lead <> 'aVR' AS b FROM st), w AS (SELECT rec, avg(dev) FILTER (lead IN ('II', 'III', 'aVF')) AS i, avg(dev) FILTER (lead IN ('V1', 'V2', 'V3', 'V4')) AS a, avg(dev) FILTER (lead IN ('I', 'aVL', 'V5', 'V6')) AS l, count(*) FILTER (b) AS n, count(*) AS k, (count(*) FILTER (b AND lead IN ('II', 'III', 'aVF')) > 0)::INT + (count(*) FILTER (b AND lead IN ('V1', 'V2', 'V3', 'V4')) > 0)::INT + (count(*) FILTER (b AND lead IN ('I', 'aVL', 'V5', 'V6')) > 0)::INT AS t FROM f GROUP BY rec), o AS (SELECT rec, round((coalesce((i * a < 0)::INT, 0) + coalesce((i * l < 0)::INT, 0) + coalesce((a * l < 0)::INT, 0)) / 3.0::DOUBLE, 4) AS reciprocal_index, n AS abnormal_leads, t AS abnormal_territories, round(n::DOUBLE / k, 4) AS diffuseness, round(coalesce(i, 0) - coalesce(a, 0), 4) AS contrast FROM w) SELECT * REPLACE (CASE WHEN contrast = 0 THEN 0 ELSE contrast END AS contrast) FROM o",
+    "artery_fractions": f"WITH {C}, {_ST}, f AS MATERIALIZED (SELECT rec, lead, a80 >= 0.1 AS up, a80 <= -0.05 AND lead <> 'aVR' AS down FROM st), w AS MATERIALIZED (SELECT rec, " + ", ".join(f"{_CNT('up', own)} AS u{k}, {_CNT('down', own)} AS d{k}, {_CNT('down', other)} AS o{k}" for k, (own, other) in enumerate(U.ARTERIES.values())) + f" FROM f GROUP BY rec), a AS (" + " UNION ALL ".join(f"SELECT rec, '{a}' AS artery, u{k} AS up, d{k} AS down, o{k} AS opposite_down, {len(own)} AS n, {len(other)} AS m, u{list(U.ARTERIES).index('RCA')} AS rca FROM w" for k, (a, (own, other)) in enumerate(U.ARTERIES.items())) + "), x AS (SELECT *, CASE artery WHEN 'Posterior' THEN opposite_down >= 1 WHEN 'RV' THEN up >= 1 AND rca >= 2 ELSE up >= 1 AND opposite_down >= 1 END AS reciprocal, CASE artery WHEN 'Posterior' THEN opposite_down >= 2 WHEN 'RV' THEN up >= 1 AND rca >= 2 ELSE up >= 2 END AS involved FROM a) SELECT rec, artery, up, down, round(coalesce(up / nullif(n, 0), 0), 6) AS up_share, opposite_down, round(coalesce(opposite_down / nullif(m, 0), 0), 6) AS opposite_share, reciprocal, involved, round(coalesce(greatest(up, down) / nullif(n, 0), 0), 6) AS concordance FROM x",
+    "st_diffuseness": f"WITH {C}, {_ST}, f AS MATERIALIZED (SELECT rec, CASE WHEN lead IN ('II', 'III', 'aVF') THEN 'i' WHEN lead IN ('V1', 'V2', 'V3', 'V4') THEN 'a' WHEN lead IN ('I', 'aVL', 'V5', 'V6') THEN 'l' END AS t, round(a80 * 1000000)::BIGINT AS m, a80 >= 0.1 OR a80 <= -0.05 AND lead <> 'aVR' AS b FROM st), w AS (SELECT rec, " + ", ".join(f"coalesce(sum(m) FILTER (t = '{k}'), 0)::BIGINT AS {k}, greatest(count(*) FILTER (t = '{k}'), 1) AS n{k}, count(*) FILTER (b AND t = '{k}') AS h{k}" for k in "ial") + ", count(*) FILTER (b) AS n, count(*) AS k FROM f GROUP BY rec), o AS (SELECT *, i * na - a * ni AS ov, 100 * ni * na AS un FROM w) SELECT rec, round(((sign(i) * sign(a) < 0)::INT + (sign(i) * sign(l) < 0)::INT + (sign(a) * sign(l) < 0)::INT) / 3.0::DOUBLE, 4) AS reciprocal_index, n AS abnormal_leads, (hi > 0)::INT + (ha > 0)::INT + (hl > 0)::INT AS abnormal_territories, round(n::DOUBLE / k, 4) AS diffuseness, sign(ov)::BIGINT * ((2 * abs(ov) + un) // (2 * un)) / 10000.0::DOUBLE AS contrast FROM o",
     "p_variants": f"WITH {C}, p AS (SELECT center, (i % 360)::DOUBLE AS angle, abs(amp) + 0.05 AS size FROM c WHERE wave = 'P'), m AS (SELECT avg(size) AS rs, avg(angle) AS ra, avg(center) AS rc FROM p), v AS (SELECT exp(-abs(ln((size + 1e-6) / (rs + 1e-6)))) * cos(radians(abs(angle - ra))) AS s, abs(size - rs) / (rs + 1e-6) AS r, abs(center - rc) / 400 AS h FROM p, m) SELECT CASE WHEN s >= 0.85 AND r >= 0.3 AND h > 0.4 THEN 'coexistent' WHEN s < 0.7 AND r < 0.3 AND h < 0.3 THEN 'ectopic' ELSE 'indeterminate' END AS mechanism, count(*) AS n, round(avg(s), 6) AS similarity, round(avg(r), 6) AS residual, round(avg(h), 6) AS phase FROM v GROUP BY 1",
     "st_pattern_rows": _PAT + " SELECT * FROM pat",
     "reciprocal_patterns": f"WITH {C}, {_ST}, w AS (SELECT rec, count(*) FILTER (u AND lead IN ('V1', 'V2', 'V3', 'V4')) AS au, count(*) FILTER (d AND lead IN ('V1', 'V2', 'V3', 'V4')) AS ad, count(*) FILTER (u AND lead IN ('I', 'aVL', 'V5', 'V6')) AS lu, count(*) FILTER (d AND lead IN ('I', 'aVL', 'V5', 'V6')) AS ld, count(*) FILTER (u AND lead IN ('II', 'III', 'aVF')) AS iu, count(*) FILTER (d AND lead IN ('II', 'III', 'aVF')) AS id FROM (SELECT rec, lead, a80 >= 0.1 AS u, a80 <= -0.05 AND lead <> 'aVR' AS d FROM st) GROUP BY rec) SELECT rec, 'anterior' AS elevated, 'inferior' AS depressed FROM w WHERE au > 0 AND id > 0 UNION ALL SELECT rec, 'inferior', 'anterior' FROM w WHERE iu > 0 AND ad > 0 UNION ALL SELECT rec, 'lateral', 'inferior' FROM w WHERE lu > 0 AND id > 0 UNION ALL SELECT rec, 'inferior', 'lateral' FROM w WHERE iu > 0 AND ld > 0",
