@@ -283,32 +283,37 @@ def territory_shapes(leads: DataFrame) -> DataFrame:
 LEAD_RULES = [
     Rule("t_flattened", "", "abs(t_amp) < greatest(0.08, 0.12 * qrs_size)", 3, tuple(LEADS), True),
     Rule("t_biphasic", "", "t_pos > 0 and t_neg < 0 and least(t_pos, -t_neg) >= greatest(0.15, 0.3 * abs(t_amp)) and least(t_pos, -t_neg) >= 0.3 * greatest(t_pos, -t_neg) and abs(t_pos_at - t_neg_at) >= 35"),
-    Rule("t_prolonged", "", "t_end - t_start > 360"),
-    Rule("t_early_end", "", "t_end - t_start < 0.12 * rr and abs(t_amp) >= 0.10"),
-    Rule("t_asymmetric", "", "t_widest > 3 * t_narrowest"),
+    Rule("t_prolonged", "", "t_end - t_start > 360 and abs(t_amp) >= 0.10", 2, tuple(LEADS), True),
+    Rule("t_early_end", "", "t_end - t_start < 0.12 * rr and abs(t_amp) >= 0.10", 2, tuple(x for x in LEADS if x not in ("aVR", "V1")), True),
+    Rule("t_asymmetric", "", "t_n >= 2 and greatest(1, t_widest) > 3 * greatest(1, t_narrowest)", 2, tuple(LEADS), True),
     Rule("t_discordant", "", "t_amp * qrs_amp < 0 and abs(t_amp) >= 0.20 and qrs_size >= 0.7"),
     Rule("t_fused", "", "t_end > 0.65 * rr"),
     Rule("t_hidden", "", "rr <= 800 and t_start < qrs_end + 10", 3),
-    Rule("long_st", "", "t_start - qrs_end > 200", 1, ("V2", "V3", "V4", "V5")),
+    Rule("long_st", "", "coalesce(rr, 800) >= 800 and t_start - qrs_end_near > 200 and abs(t_amp) >= 0.10", 2, ("V2", "V3", "V4", "V5"), True),
     Rule("left_atrial", "", "p_end - p_start >= 110 or p_n >= 2"),
     Rule("interatrial_block", "", "p_end - p_start >= 120 and lead = 'V1' and p_pos > 0 and p_neg < -0.02"),
     Rule("p_split", "", "p_pos > 0 and p_neg > 0 and p_last_at - p_first_at between 40 and 120 or p_pos < 0 and p_last_at - p_first_at between 40 and 120"),
     Rule("flutter_waves", "", "p_n >= 2", 2),
-    Rule("av_block_1", "", "qrs_start - p_start >= 230"),
-    Rule("short_pr", "", "qrs_start - p_start < 100"),
+    Rule("av_block_1", "", "qrs_start - p_start >= 230", 1, ("I", "II", "V1")),
+    Rule("short_pr", "", "qrs_start - p_start < 100", 1, ("I", "II", "V1")),
     Rule("qrs_wide", "", "qrs_end - qrs_start > 120"),
     Rule("pathological_q", "", "qrs_first < 0 and -qrs_first > 0.25 * r and 4 * qrs_first_sigma > 40"),
-    Rule("fragmented", "", "qrs_n >= 3 and (qrs_last_at - qrs_first_at) > 15 * (qrs_n - 1)"),
-    Rule("poor_r_progression", "", "lead = 'V3' and r < 0.3 or lead = 'V4' and r < 0.5"),
-    Rule("epsilon", "", "qrs_last_at > 80 and qrs_last > 0 and qrs_last < 0.2"),
-    Rule("qrs_notched", "", "qrs_n >= 2", 2),
+    Rule("fragmented", "", "qrs_n >= 3 and qrs_peaks >= 3 and qrs_size >= 0.20", 2, tuple(LEADS), True),
+    Rule("epsilon", "", "qrs_late_low >= 1", 1, ("V1", "V2", "V3")),
+    Rule("qrs_notched", "", "qrs_high >= 2 or qrs_low >= 2", 2),
     Rule("rsr_pattern", "", "qrs_up >= 2 and qrs_down >= 1"),
     Rule("qs_pattern", "", "r <= 0.05 and s < -0.2"),
     Rule("absent_r", "", "r <= 0.05", 2, ("V1", "V2", "V3")),
-    Rule("delayed_peak", "", "r_at - qrs_start > 45"),
-    Rule("delta_wave", "", "qrs_first_sigma > 20 and qrs_start - p_start < 120"),
+    Rule("delayed_peak", "", "r_last_at > 45", 1, ("V5", "V6")),
     Rule("s_dominant", "", "s < -0.3 and -s > r", 2),
+    Rule("early_slur", "", "qrs_early_wide >= 1"),
+    Rule("pr_below_120", "", "qrs_start - p_start < 120", 1, ("II",)),
+    Rule("chest_r", "", "r > 0", 4, CHEST),
+    Rule("r_of_v3", "", "r >= 0.3", 1, ("V3",)),
+    Rule("r_of_v4", "", "r >= 0.5", 1, ("V4",)),
 ]
+#: Rules on what several leads say together, over the names above.
+JOINT_RULES = {"delta_wave": "early_slur and pr_below_120", "poor_r_progression": "chest_r and not (r_of_v3 and r_of_v4)"}
 
 
 def lead_measures(components: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -324,46 +329,65 @@ def lead_measures(components: DataFrame, intervals: DataFrame) -> DataFrame:
         F.max_by(of("T", at), of("T", F.struct(amp.alias("first"), *tail))).alias("t_pos_at"), F.min_by(of("T", at), of("T", F.struct(amp.alias("first"), *tail))).alias("t_neg_at"),
         F.min(of("T", at - 2 * sigma)).alias("t_start"), F.max(of("T", at + 2 * sigma)).alias("t_end"), F.max(of("T", sigma)).alias("t_widest"), F.min(of("T", sigma)).alias("t_narrowest"),
         F.count(of("P", amp)).alias("p_n"), F.max(of("P", amp)).alias("p_pos"), F.min(of("P", amp)).alias("p_neg"), F.min(of("P", at)).alias("p_first_at"), F.max(of("P", at)).alias("p_last_at"),
+        F.count(of("T", amp)).alias("t_n"), F.max(q(at + sigma)).alias("qrs_end_near"), F.sort_array(F.collect_list(q(at))).alias("qrs_centers"),
+        F.count_if((F.col("wave") == "QRS") & (at > 80) & (amp > 0) & (amp < 0.2)).alias("qrs_late_low"), F.count_if((F.col("wave") == "QRS") & (at < -20) & (sigma > 20)).alias("qrs_early_wide"),
+        F.count_if((F.col("wave") == "QRS") & (amp > 0.1)).alias("qrs_high"), F.count_if((F.col("wave") == "QRS") & (amp < -0.1)).alias("qrs_low"), F.max(F.when(amp > 0.1, q(at))).alias("r_last_at"),
         F.min(of("P", at - 2 * sigma)).alias("p_start"), F.max(of("P", at + 2 * sigma)).alias("p_end"),
         F.count(q(amp)).alias("qrs_n"), F.count_if((F.col("wave") == "QRS") & (amp > 0)).alias("qrs_up"), F.count_if((F.col("wave") == "QRS") & (amp < 0)).alias("qrs_down"),
         F.max_by(q(amp), q(F.struct(F.abs(amp).alias("first"), *tail))).alias("qrs_amp"), F.max(q(F.abs(amp))).alias("qrs_size"), F.max(q(amp)).alias("r"), F.min(q(amp)).alias("s"), F.max_by(q(at), q(F.struct(amp.alias("first"), *tail))).alias("r_at"),
         F.min_by(amp, first).alias("qrs_first"), F.min_by(sigma, first).alias("qrs_first_sigma"), F.min(q(at)).alias("qrs_first_at"), F.max_by(amp, last).alias("qrs_last"), F.max(q(at)).alias("qrs_last_at"),
         F.min(q(at - 2 * sigma)).alias("qrs_start"), F.max(q(at + 2 * sigma)).alias("qrs_end"),
     )
+    gaps = F.expr("size(filter(zip_with(slice(qrs_centers, 2, size(qrs_centers)), qrs_centers, (b, a) -> b - a), d -> d > 15))")  # components of one lead
+    out = out.withColumn("qrs_peaks", F.when(F.size("qrs_centers") > 0, gaps + 1).otherwise(0)).drop("qrs_centers")
     return out.join(intervals.select("rec", "rr"), "rec", "left")
 
 
 def evaluate_leads(measures: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(rec, one boolean column for each rule on the measures of leads)."""
+    """(rec, one boolean column for each rule on the measures of leads and, with the full table, for each joint one)."""
     rules = LEAD_RULES if rules is None else rules
     place = F.array_position(F.lit(LEADS), F.col("lead"))
     hits = [F.collect_set(F.when(F.col("lead").isin(list(r.leads)) & F.expr(r.test), place)).alias(r.name) for r in rules]
     found = measures.groupBy("rec").agg(*hits)  # at most twelve numbers for each rule and recording
-    return found.select("rec", *[F.coalesce(quorum(F.col(r.name), r.least, r.contiguous), F.lit(False)).alias(r.name) for r in rules])
+    out = found.select("rec", *[F.coalesce(quorum(F.col(r.name), r.least, r.contiguous), F.lit(False)).alias(r.name) for r in rules])
+    return out.select("*", *[F.expr(t).alias(n) for n, t in JOINT_RULES.items()]) if rules is LEAD_RULES else out
 
 
-#: Rules on a recording: bpm, cv, pnn50, shortest (interval over the mean), regular (share of windows), p_amp (largest P),
-#: qrs_ms (widest QRS), n (intervals).
+#: Rules on a recording: bpm, cv, pnn50, shortest (interval over the mean), regular and irregular (shares of windows), p_amp
+#: (largest P), qrs_ms (widest QRS), n (intervals), of lead II has_ii, p_ii_n and p_ii_low (number and lowest amplitude of P), p_beats,
+#: p_amp_cv and p_dur_cv (beats with P and how much P varies over them), p_share (of beats with P), dominant (share of the largest
+#: QRS cluster) and ectopy (beats outside of it), short_st (leads of V2-V4 with an ST segment under 60 ms).
 RECORDING_RULES = {
     "sinus": "bpm between 60 and 100 and regular > 0.8 and p_amp > 0.05",
     "bradycardia": "bpm < 60",
     "tachycardia": "bpm > 100",
-    "irregular": "n >= 12 and (cv >= 0.40 or cv >= 0.12)",
-    "supraventricular_tachycardia": "bpm > 150 and cv < 0.1",
+    "irregular": "n >= 12 and (cv >= 0.12 or irregular >= 0.40)",
+    "supraventricular_tachycardia": "bpm > 150 and cv < 0.1 and qrs_ms > 0 and qrs_ms < 120",
     "ventricular_tachycardia": "bpm > 120 and qrs_ms > 120",
     "accelerated_idioventricular": "bpm between 60 and 120 and qrs_ms > 120 and coalesce(p_amp, 0) <= 0.05",
-    "junctional": "bpm between 40 and 60 and coalesce(p_amp, 0) <= 0.05",
+    "junctional": "bpm between 40 and 60 and has_ii and (p_ii_n = 0 or p_ii_low < -0.05)",
     "escape": "bpm < 40",
     "early_beat": "shortest < 0.4",
     "fibrillation": "coalesce(p_amp, 0) <= 0.05 and cv > 0.15",
-    "absolute_arrhythmia": "(1 - regular > 0.5 or cv > 0.12 and pnn50 > 20) and coalesce(p_amp, 0) < 0.4",
-    "atrial_multifocal": "bpm >= 100 and cv > 0.15 and n >= 5",
+    "absolute_arrhythmia": "(irregular > 0.50 or cv > 0.12 and pnn50 > 20) and coalesce(p_share, 0) < 0.4 and (coalesce(dominant, 1) < 0.70 or coalesce(ectopy, 0) < 0.15)",
+    "atrial_multifocal": "n >= 3 and bpm >= 100 and p_beats >= 5 and (p_amp_cv > 0.15 or p_dur_cv > 0.15)",
     "low_variability": "n >= 60 and regular > 0.5 and rmssd < 20 and sdnn < 30",
     "pause": "longest > 2",
-    "critical": "bpm > 150 or bpm < 40 or qrs_ms > 120",
+    "critical": "bpm > 150 and coalesce(qrs_ms, 80) > 120 or bpm < 40 or short_st >= 2",
 }
 
 
+def p_variation(components: DataFrame, most: int = 15) -> DataFrame:
+    """(rec, p_beats, p_amp_cv, p_dur_cv) over the first `most` beats of lead II: beats with P and the coefficients of variation of
+    P's summed amplitudes and of its summed widths (four sigmas), 0 where a mean is 0."""
+    first = components.where("lead = 'II'").groupBy("rec", "beat").agg(
+        F.count_if(F.col("wave") == "P").alias("n"), F.sum(F.when(F.col("wave") == "P", F.abs("amp"))).alias("amp"), F.sum(F.when(F.col("wave") == "P", 4 * F.col("sigma"))).alias("dur")
+    )
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("rec").orderBy("beat"))).where((F.col("place") <= most) & (F.col("n") > 0))
+    cv = lambda c: F.round(F.coalesce(F.try_divide(F.stddev_pop(c), F.avg(c)), F.lit(0.0)), 6)
+    return first.groupBy("rec").agg(F.count("*").alias("p_beats"), cv("amp").alias("p_amp_cv"), cv("dur").alias("p_dur_cv"))
+
+
 def evaluate_recordings(cases: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """(rec, one boolean column for each rule on a recording); where absolute arrhythmia holds, low variability doesn't."""
     rules = RECORDING_RULES if rules is None else rules

@@ -133,10 +133,11 @@ def value_runs(rows: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def long_pause(rows: DataFrame) -> DataFrame:
-    """The longest interval against twice the mean or 2000 ms, with its grade."""
+    """The longest interval against twice the mean or 2000 ms, with the grade of a pause (none without one)."""
     out = rows.groupBy("key").agg(F.max("rr").alias("longest"), F.avg("rr").alias("mean"))
-    grade = F.when(F.col("longest") > 3000, "severe").when(F.col("longest") > 2500, "moderate").when(F.col("longest") > 2000, "mild").otherwise("none")
-    return out.select("key", "longest", ((F.col("longest") > 2 * F.col("mean")) | (F.col("longest") > 2000)).alias("present"), grade.alias("grade"))
+    out = out.withColumn("present", (F.col("longest") > 2 * F.col("mean")) | (F.col("longest") > 2000))
+    grade = F.when(~F.col("present"), "none").when(F.col("longest") > 3000, "critical").when(F.col("longest") > 2500, "severe").when(F.col("longest") > 2000, "significant").otherwise("moderate")
+    return out.select("key", "longest", "present", grade.alias("grade"))
 
 
 def return_map(rows: DataFrame, label: str) -> DataFrame:

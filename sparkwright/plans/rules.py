@@ -190,8 +190,8 @@ def alternation_regression(spark, d):
 
 
 def dense(spark, d: str) -> DataFrame:
-    """components of which many share a recording: the order's number modulo 500."""
-    return components(spark, d).withColumn("i", F.col("i") * 100_000 + F.col("rec")).withColumn("rec", F.col("rec") % 500)
+    """components of which those of thirty orders in a row share a recording."""
+    return components(spark, d).withColumn("i", F.col("i") * 100_000 + F.col("rec")).withColumn("rec", F.expr("rec div 30"))
 
 
 def _measures(spark, d) -> DataFrame:
@@ -199,26 +199,39 @@ def _measures(spark, d) -> DataFrame:
     return U.lead_measures(dense(spark, d), rr_of)
 
 
+LEAD_NAMES = [*(r.name for r in U.LEAD_RULES), *U.JOINT_RULES]
+
+
 def lead_extractors(spark, d):
     out = U.evaluate_leads(_measures(spark, d))
-    return out.agg(*[F.count_if(r.name).alias(r.name) for r in U.LEAD_RULES], F.count("*").alias("n"))
+    return out.agg(*[F.count_if(n).alias(n) for n in LEAD_NAMES], F.count("*").alias("n"))
 
 
 def lead_extractor_rows(spark, d):
     """Which rules each recording meets, as one list."""
     out = U.evaluate_leads(_measures(spark, d))
-    return out.select("rec", F.array_join(F.array_compact(F.array(*[F.when(F.col(r.name), F.lit(r.name)) for r in U.LEAD_RULES])), ",").alias("rules"))
+    return out.select("rec", F.array_join(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in LEAD_NAMES])), ",").alias("rules"))
 
 
 def recording_extractors(spark, d):
     """Rhythm rules: intervals of a user with the P and QRS components of the recording of that number."""
     h = Q.hrv(rr(spark, d))
     more = rr(spark, d).groupBy("key").agg(F.min("rr").alias("low"), F.max("rr").alias("high"))
-    regular, _ = Q.regularity(F.col("cv"), F.col("pnn50"))
-    windows = Q.sliding_windows(rr(spark, d)).groupBy("key").agg(F.avg(regular.cast("int")).alias("regular"))
-    waves = dense(spark, d).groupBy(F.col("rec").alias("key")).agg(F.max(F.when(F.col("wave") == "P", F.col("amp") / 10)).alias("p_amp"), F.max(F.when(F.col("wave") == "QRS", 4 * F.col("sigma"))).alias("qrs_ms"))
-    both = h.join(more, "key").join(windows, "key").join(waves, "key", "left")
-    cases = both.select(F.col("key").alias("rec"), "n", (60000 / F.col("mean")).alias("bpm"), "cv", "pnn50", "rmssd", "sdnn", "regular", "p_amp", "qrs_ms", (F.col("low") / F.col("mean")).alias("shortest"), (F.col("high") / F.col("mean")).alias("longest"))
+    regular, irregular = Q.regularity(F.col("cv"), F.col("pnn50"))
+    windows = Q.sliding_windows(rr(spark, d)).groupBy("key").agg(F.avg(regular.cast("int")).alias("regular"), F.avg(irregular.cast("int")).alias("irregular"))
+    parts = dense(spark, d)
+    p, ii = F.col("wave") == "P", F.col("lead") == "II"
+    waves = parts.groupBy(F.col("rec").alias("key")).agg(
+        F.max(F.when(p, F.col("amp") / 10)).alias("p_amp"), F.max(F.when(F.col("wave") == "QRS", 4 * F.col("sigma"))).alias("qrs_ms"), (F.count_if(ii) > 0).alias("has_ii"),
+        F.count_if(p & ii).alias("p_ii_n"), F.min(F.when(p & ii, F.col("amp"))).alias("p_ii_low"), (F.count_distinct(F.when(p & ii, F.col("beat"))) / F.count_distinct("beat")).alias("p_share"),
+    )
+    st = U.lead_measures(parts, rr(spark, d).select(F.col("key").alias("rec"), "rr").limit(0)).where("lead in ('V2', 'V3', 'V4')")
+    st = st.groupBy(F.col("rec").alias("key")).agg(F.count_if(F.expr("t_start - qrs_end < 60")).alias("short_st"))
+    both = h.join(more, "key").join(windows, "key").join(waves, "key", "left").join(st, "key", "left").join(U.p_variation(parts).withColumnRenamed("rec", "key"), "key", "left")
+    cases = both.select(
+        F.col("key").alias("rec"), "n", (60000 / F.col("mean")).alias("bpm"), "cv", "pnn50", "rmssd", "sdnn", "regular", "irregular", "p_amp", "qrs_ms", (F.col("low") / F.col("mean")).alias("shortest"), (F.col("high") / F.col("mean")).alias("longest"),
+        "has_ii", "p_ii_n", "p_ii_low", "p_share", "short_st", "p_beats", "p_amp_cv", "p_dur_cv", (F.col("key") % 10 / 10).alias("dominant"), (F.col("key") % 7 / 20).alias("ectopy"),
+    )
     out = U.evaluate_recordings(cases)
     return out.select("rec", F.array_join(F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in U.RECORDING_RULES])), ",").alias("rules"))
 
@@ -283,19 +296,21 @@ _ALT = f"""WITH {E}, s AS (SELECT key, i, CASE WHEN key % 3 = 0 THEN (800 + rr %
  w AS ({" UNION ALL ".join(f"SELECT a.key, a.i, {k} AS size, (avg(b.hp) FILTER (b.i % 2 = 0) - avg(b.hp) FILTER (b.i % 2 = 1)) / 2 AS b1, var_pop(b.hp) AS v, avg(b.norm) FILTER (b.i % 2 = 0) - avg(b.norm) FILTER (b.i % 2 = 1) AS dd, median(b.norm) AS mm FROM y a JOIN y b ON a.key = b.key AND b.i BETWEEN a.i AND a.i + {k - 1} WHERE a.sd >= 0.02 GROUP BY a.key, a.i HAVING count(*) = {k}" for k in (12, 10, 8))}),
  r AS (SELECT key, size, round(abs(b1) / (sqrt(greatest(0, v - b1 * b1)) + 1e-9), 6) AS ratio, round(100 * abs(dd) / (abs(mm) + 1e-9), 6) AS delta FROM w)"""
 _TERR = ", ".join(f"('{t}', '{role}', '{lead}')" for t, pair in U.TERRITORIES.items() for role, leads in zip(("primary", "reciprocal"), pair, strict=True) for lead in leads)
-_DENSE = "dn AS (SELECT rec % 500 AS rec, lead, wave, amp, center, sigma, i * 100000 + rec AS i FROM c)"
+_DENSE = "dn AS (SELECT rec // 30 AS rec, lead, beat, wave, amp, center, sigma, i * 100000 + rec AS i FROM c)"
 _W = lambda f, w: f"{f} FILTER (wave = '{w}')"
 _MEAS = f"""WITH {C}, {E}, {_DENSE}, m AS (SELECT key AS rec, avg(rr) AS rr FROM rr GROUP BY key), x AS (SELECT rec, lead,
  {_W("arg_max(amp, (abs(amp), i, amp, center, sigma))", "T")} AS t_amp, {_W("max(amp)", "T")} AS t_pos, {_W("min(amp)", "T")} AS t_neg, {_W("arg_max(center, (amp, i, center, sigma))", "T")} AS t_pos_at, {_W("arg_min(center, (amp, i, center, sigma))", "T")} AS t_neg_at,
- {_W("min(center - 2 * sigma)", "T")} AS t_start, {_W("max(center + 2 * sigma)", "T")} AS t_end, {_W("max(sigma)", "T")} AS t_widest, {_W("min(sigma)", "T")} AS t_narrowest,
+ {_W("count(*)", "T")} AS t_n, {_W("max(center + sigma)", "QRS")} AS qrs_end_near, list_sort({_W("list(center)", "QRS")}) AS qc, count(*) FILTER (wave = 'QRS' AND center > 80 AND amp > 0 AND amp < 0.2) AS qrs_late_low, count(*) FILTER (wave = 'QRS' AND center < -20 AND sigma > 20) AS qrs_early_wide,
+ count(*) FILTER (wave = 'QRS' AND amp > 0.1) AS qrs_high, count(*) FILTER (wave = 'QRS' AND amp < -0.1) AS qrs_low, max(center) FILTER (wave = 'QRS' AND amp > 0.1) AS r_last_at, {_W("min(center - 2 * sigma)", "T")} AS t_start, {_W("max(center + 2 * sigma)", "T")} AS t_end, {_W("max(sigma)", "T")} AS t_widest, {_W("min(sigma)", "T")} AS t_narrowest,
  {_W("count(*)", "P")} AS p_n, {_W("max(amp)", "P")} AS p_pos, {_W("min(amp)", "P")} AS p_neg, {_W("min(center)", "P")} AS p_first_at, {_W("max(center)", "P")} AS p_last_at, {_W("min(center - 2 * sigma)", "P")} AS p_start, {_W("max(center + 2 * sigma)", "P")} AS p_end,
  {_W("count(*)", "QRS")} AS qrs_n, count(*) FILTER (wave = 'QRS' AND amp > 0) AS qrs_up, count(*) FILTER (wave = 'QRS' AND amp < 0) AS qrs_down, {_W("arg_max(amp, (abs(amp), i, amp, center, sigma))", "QRS")} AS qrs_amp, {_W("max(abs(amp))", "QRS")} AS qrs_size,
  {_W("max(amp)", "QRS")} AS r, {_W("min(amp)", "QRS")} AS s, {_W("arg_max(center, (amp, i, center, sigma))", "QRS")} AS r_at, {_W("arg_min(amp, (center, i, amp, sigma))", "QRS")} AS qrs_first, {_W("arg_min(sigma, (center, i, amp, sigma))", "QRS")} AS qrs_first_sigma,
  {_W("min(center)", "QRS")} AS qrs_first_at, {_W("arg_max(amp, (center, i, amp, sigma))", "QRS")} AS qrs_last, {_W("max(center)", "QRS")} AS qrs_last_at, {_W("min(center - 2 * sigma)", "QRS")} AS qrs_start, {_W("max(center + 2 * sigma)", "QRS")} AS qrs_end FROM dn GROUP BY rec, lead),
- lm AS (SELECT x.*, rr FROM x LEFT JOIN m ON x.rec = m.rec),
+ lm AS (SELECT x.*, CASE WHEN len(qc) > 0 THEN 1 + len(list_filter(range(2, len(qc) + 1), lambda k: qc[k] - qc[k - 1] > 15)) ELSE 0 END AS qrs_peaks, rr FROM x LEFT JOIN m ON x.rec = m.rec),
  hit AS ({" UNION ALL ".join(f"SELECT rec, '{r.name}' AS rule FROM (SELECT DISTINCT rec, list_position({LEADS!r}, lead) AS p FROM lm WHERE lead IN ({', '.join(repr(x) for x in r.leads)}) AND ({r.test})) " + (f"GROUP BY rec HAVING count(*) >= {r.least}" if not r.contiguous else f"QUALIFY p = lag(p, {r.least - 1}) OVER (PARTITION BY rec ORDER BY p) + {r.least - 1}") for r in U.LEAD_RULES)}),
- h AS (SELECT DISTINCT rec, rule FROM hit)"""
-_ORDER = [r.name for r in U.LEAD_RULES]
+ h0 AS (SELECT DISTINCT rec, rule FROM hit), hw AS (SELECT rec, {", ".join(f"bool_or(rule = '{r.name}') AS {r.name}" for r in U.LEAD_RULES)} FROM h0 GROUP BY rec),
+ h AS (SELECT * FROM h0 {" ".join(f"UNION ALL SELECT rec, '{n}' FROM hw WHERE {t}" for n, t in U.JOINT_RULES.items())})"""
+_ORDER = [*(r.name for r in U.LEAD_RULES), *U.JOINT_RULES]
 _CNT = lambda flag, leads: f"count(*) FILTER ({flag} AND lead IN ({', '.join(repr(x) for x in leads)}))" if leads else "0::BIGINT"
 _OTHER = f"{C}, {_DENSE}".replace("c AS (SELECT l_orderkey", "cc AS (SELECT l_orderkey").replace("FROM c GROUP", "FROM cc GROUP").replace("FROM c)", "FROM cc)")
 _Q = "CASE WHEN {s} < 1 THEN 'none' WHEN {s} < 2 THEN 'mild' WHEN {s} < 3 THEN 'moderate' ELSE 'severe' END"
@@ -323,7 +338,7 @@ ORACLES = {
     "risk_composite": "WITH c AS (SELECT l_returnflag, least(1, greatest(0, l_quantity / 40)) * 0.5::DOUBLE + least(1, greatest(0, l_discount * 12)) * 0.3::DOUBLE + least(1, greatest(0, 1 - l_tax * 20)) * 0.2::DOUBLE AS c FROM lineitem) SELECT l_returnflag, round(avg(c), 6) AS mean, round(max(c), 6) AS top FROM c GROUP BY 1",
     "lead_extractors": _MEAS + " SELECT " + ", ".join(f"(SELECT count(*) FROM h WHERE rule = '{n}') AS {n}" for n in _ORDER) + ", (SELECT count(DISTINCT rec) FROM lm) AS n",
     "lead_extractor_rows": _MEAS + f" SELECT a.rec, coalesce(string_agg(rule, ',' ORDER BY list_position({_ORDER!r}, rule)), '') AS rules FROM (SELECT DISTINCT rec FROM lm) a LEFT JOIN h ON a.rec = h.rec GROUP BY a.rec",
-    "recording_extractors": _WIN + f", {_OTHER}, d AS (SELECT key, rr, rr - lag(rr) OVER (PARTITION BY key ORDER BY i) AS d FROM rr), hv AS (SELECT key, count(*) AS n, avg(rr) AS mean, stddev_pop(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, 100 * avg(CASE WHEN d IS NOT NULL THEN (abs(d) >= 50)::INT END) AS pnn50, stddev_pop(rr) / avg(rr) AS cv, min(rr) / avg(rr) AS shortest, max(rr) / avg(rr) AS longest FROM d GROUP BY key), wv AS (SELECT rec AS key, max(amp / 10) FILTER (wave = 'P') AS p_amp, max(4 * sigma) FILTER (wave = 'QRS') AS qrs_ms FROM dn GROUP BY rec), ca AS (SELECT hv.key AS rec, n, 60000 / mean AS bpm, cv, pnn50, rmssd, sdnn, shortest, longest, regular::DOUBLE / windows AS regular, p_amp, qrs_ms FROM hv JOIN reg ON hv.key = reg.key LEFT JOIN wv ON wv.key = hv.key) SELECT rec, concat_ws(',', " + ", ".join(f"CASE WHEN ({t})" + (f" AND NOT coalesce(({U.RECORDING_RULES['absolute_arrhythmia']}), false)" if n == "low_variability" else "") + f" THEN '{n}' END" for n, t in U.RECORDING_RULES.items()) + ") AS rules FROM ca",
+    "recording_extractors": _WIN + f", {_OTHER}, d AS (SELECT key, rr, rr - lag(rr) OVER (PARTITION BY key ORDER BY i) AS d FROM rr), hv AS (SELECT key, count(*) AS n, avg(rr) AS mean, stddev_pop(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, 100 * avg(CASE WHEN d IS NOT NULL THEN (abs(d) >= 50)::INT END) AS pnn50, stddev_pop(rr) / avg(rr) AS cv, min(rr) / avg(rr) AS shortest, max(rr) / avg(rr) AS longest FROM d GROUP BY key), wv AS (SELECT rec AS key, max(amp / 10) FILTER (wave = 'P') AS p_amp, max(4 * sigma) FILTER (wave = 'QRS') AS qrs_ms, count(*) FILTER (lead = 'II') > 0 AS has_ii, count(*) FILTER (wave = 'P' AND lead = 'II') AS p_ii_n, min(amp) FILTER (wave = 'P' AND lead = 'II') AS p_ii_low, count(DISTINCT beat) FILTER (wave = 'P' AND lead = 'II') / count(DISTINCT beat) AS p_share FROM dn GROUP BY rec), sl AS (SELECT rec AS key, lead, min(center - 2 * sigma) FILTER (wave = 'T') - max(center + 2 * sigma) FILTER (wave = 'QRS') AS st FROM dn WHERE lead IN ('V2', 'V3', 'V4') GROUP BY rec, lead), ss AS (SELECT key, count(*) FILTER (st < 60) AS short_st FROM sl GROUP BY key), pb AS (SELECT rec AS key, beat, count(*) FILTER (wave = 'P') AS n, sum(abs(amp)) FILTER (wave = 'P') AS amp, sum(4 * sigma) FILTER (wave = 'P') AS dur, row_number() OVER (PARTITION BY rec ORDER BY beat) AS place FROM dn WHERE lead = 'II' GROUP BY rec, beat), pv AS (SELECT key, count(*) AS p_beats, round(coalesce(stddev_pop(amp) / nullif(avg(amp), 0), 0), 6) AS p_amp_cv, round(coalesce(stddev_pop(dur) / nullif(avg(dur), 0), 0), 6) AS p_dur_cv FROM pb WHERE place <= 15 AND n > 0 GROUP BY key), ca AS (SELECT has_ii, p_ii_n, p_ii_low, p_share, short_st, p_beats, p_amp_cv, p_dur_cv, hv.key % 10 / 10 AS dominant, hv.key % 7 / 20 AS ectopy, irregular::DOUBLE / windows AS irregular, hv.key AS rec, n, 60000 / mean AS bpm, cv, pnn50, rmssd, sdnn, shortest, longest, regular::DOUBLE / windows AS regular, p_amp, qrs_ms FROM hv JOIN reg ON hv.key = reg.key LEFT JOIN wv ON wv.key = hv.key LEFT JOIN ss ON ss.key = hv.key LEFT JOIN pv ON pv.key = hv.key) SELECT rec, concat_ws(',', " + ", ".join(f"CASE WHEN ({t})" + (f" AND NOT coalesce(({U.RECORDING_RULES['absolute_arrhythmia']}), false)" if n == "low_variability" else "") + f" THEN '{n}' END" for n, t in U.RECORDING_RULES.items()) + ") AS rules FROM ca",
     "amplitude_alternans": f"WITH {C}, {_DENSE}, s AS (SELECT rec, lead, wave, i AS beat, arg_max(amp, (abs(amp), amp)) AS amp FROM dn WHERE wave IN ('T', 'QRS') GROUP BY rec, lead, wave, i), o AS (SELECT *, row_number() OVER w AS pos, amp - lag(amp) OVER w AS d FROM s WINDOW w AS (PARTITION BY rec, lead, wave ORDER BY beat)), p AS (SELECT *, lag(d) OVER (PARTITION BY rec, lead, wave ORDER BY beat) AS d0 FROM o), a AS (SELECT rec, lead, wave, count(*) AS n, avg(CASE WHEN d0 IS NOT NULL THEN (d * d0 < 0)::INT END) AS f, abs(stddev_pop(amp) / nullif(avg(amp), 0)) AS v, abs((avg(amp) FILTER (pos % 2 = 0) - avg(amp) FILTER (pos % 2 = 1)) / nullif(avg(amp), 0)) AS g FROM p GROUP BY rec, lead, wave HAVING count(*) >= 8) SELECT rec, lead, wave, n, round(f, 6) AS flip_share, round(v, 6) AS cv, round(g, 6) AS half_gap, coalesce(f >= 0.7 AND v > 0.15, false) AS by_flips, coalesce(g > 0.15, false) AS by_halves FROM a",
     "artery_fractions": f"WITH {C}, {_ST}, f AS MATERIALIZED (SELECT rec, lead, a80 >= 0.1 AS up, a80 <= -0.05 AND lead <> 'aVR' AS down FROM st), w AS MATERIALIZED (SELECT rec, " + ", ".join(f"{_CNT('up', own)} AS u{k}, {_CNT('down', own)} AS d{k}, {_CNT('down', other)} AS o{k}" for k, (own, other) in enumerate(U.ARTERIES.values())) + f" FROM f GROUP BY rec), a AS (" + " UNION ALL ".join(f"SELECT rec, '{a}' AS artery, u{k} AS up, d{k} AS down, o{k} AS opposite_down, {len(own)} AS n, {len(other)} AS m, u{list(U.ARTERIES).index('RCA')} AS rca FROM w" for k, (a, (own, other)) in enumerate(U.ARTERIES.items())) + "), x AS (SELECT *, CASE artery WHEN 'Posterior' THEN opposite_down >= 1 WHEN 'RV' THEN up >= 1 AND rca >= 2 ELSE up >= 1 AND opposite_down >= 1 END AS reciprocal, CASE artery WHEN 'Posterior' THEN opposite_down >= 2 WHEN 'RV' THEN up >= 1 AND rca >= 2 ELSE up >= 2 END AS involved FROM a) SELECT rec, artery, up, down, round(coalesce(up / nullif(n, 0), 0), 6) AS up_share, opposite_down, round(coalesce(opposite_down / nullif(m, 0), 0), 6) AS opposite_share, reciprocal, involved, round(coalesce(greatest(up, down) / nullif(n, 0), 0), 6) AS concordance FROM x",
     "st_diffuseness": f"WITH {C}, {_ST}, f AS MATERIALIZED (SELECT rec, CASE WHEN lead IN ('II', 'III', 'aVF') THEN 'i' WHEN lead IN ('V1', 'V2', 'V3', 'V4') THEN 'a' WHEN lead IN ('I', 'aVL', 'V5', 'V6') THEN 'l' END AS t, round(a80 * 1000000)::BIGINT AS m, a80 >= 0.1 OR a80 <= -0.05 AND lead <> 'aVR' AS b FROM st), w AS (SELECT rec, " + ", ".join(f"coalesce(sum(m) FILTER (t = '{k}'), 0)::BIGINT AS {k}, greatest(count(*) FILTER (t = '{k}'), 1) AS n{k}, count(*) FILTER (b AND t = '{k}') AS h{k}" for k in "ial") + ", count(*) FILTER (b) AS n, count(*) AS k FROM f GROUP BY rec), o AS (SELECT *, i * na - a * ni AS ov, 100 * ni * na AS un FROM w) SELECT rec, round(((sign(i) * sign(a) < 0)::INT + (sign(i) * sign(l) < 0)::INT + (sign(a) * sign(l) < 0)::INT) / 3.0::DOUBLE, 4) AS reciprocal_index, n AS abnormal_leads, (hi > 0)::INT + (ha > 0)::INT + (hl > 0)::INT AS abnormal_territories, round(n::DOUBLE / k, 4) AS diffuseness, sign(ov)::BIGINT * ((2 * abs(ov) + un) // (2 * un)) / 10000.0::DOUBLE AS contrast FROM o",

@@ -92,7 +92,9 @@ def label_runs(spark, d):
 
 
 def long_pause(spark, d):
-    return Q.long_pause(rr(spark, d))
+    """Pauses of intervals of which every fifth user's are half as long again and every seventh user's twice as long."""
+    longer = F.when(F.col("key") % 5 == 0, 1.5).when(F.col("key") % 7 == 0, 2.0).otherwise(1.0)
+    return Q.long_pause(rr(spark, d).withColumn("rr", F.col("rr") * longer))
 
 
 def true_runs(spark, d):
@@ -247,7 +249,7 @@ ORACLES = {
     "bigeminy_pairs": f"WITH {E}, p AS (SELECT a.key, a.rr AS a, b.rr AS b FROM rr a JOIN rr b ON a.key = b.key AND b.i = a.i + 1 WHERE a.i % 2 = 0) SELECT key, count(*) AS pairs, count(*) FILTER (a < 0.8 * b) AS hits, count(*) >= 3 AND count(*) FILTER (a < 0.8 * b) >= 0.75 * count(*) AS present FROM p GROUP BY key",
     "trigeminy_triples": f"WITH {E}, p AS (SELECT a.key, (a.rr + b.rr) / 2 AS m, c.rr AS c FROM rr a JOIN rr b ON a.key = b.key AND b.i = a.i + 1 JOIN rr c ON a.key = c.key AND c.i = a.i + 2 WHERE a.i % 3 = 0) SELECT key, count(*) AS triples, count(*) FILTER (c < 0.8 * m) AS hits, count(*) >= 2 AND count(*) FILTER (c < 0.8 * m) >= 0.67 * count(*) AS present FROM p GROUP BY key",
     "label_runs": f"WITH {V}, r AS {_RUNS.format(v='event_type', t='v')} SELECT key, count(*) AS runs, max(n) AS longest, round((count(*) - 1)::DOUBLE / (sum(n) - 1), 6) AS change_rate FROM r GROUP BY key",
-    "long_pause": f"WITH {E} SELECT key, max(rr) AS longest, max(rr) > 2 * avg(rr) OR max(rr) > 2000 AS present, CASE WHEN max(rr) > 3000 THEN 'severe' WHEN max(rr) > 2500 THEN 'moderate' WHEN max(rr) > 2000 THEN 'mild' ELSE 'none' END AS grade FROM rr GROUP BY key",
+    "long_pause": f"WITH {E.replace('rr AS (', 'rr0 AS (', 1)}, rr AS (SELECT key, i, rr * CASE WHEN key % 5 = 0 THEN 1.5::DOUBLE WHEN key % 7 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS rr FROM rr0) SELECT key, max(rr) AS longest, max(rr) > 2 * avg(rr) OR max(rr) > 2000 AS present, CASE WHEN max(rr) <= 2 * avg(rr) AND max(rr) <= 2000 THEN 'none' WHEN max(rr) > 3000 THEN 'critical' WHEN max(rr) > 2500 THEN 'severe' WHEN max(rr) > 2000 THEN 'significant' ELSE 'moderate' END AS grade FROM rr GROUP BY key",
     "true_runs": f"WITH {E}, f AS (SELECT *, rr > 1000 AS hit FROM rr), r AS {_RUNS.format(v='hit', t='f')} SELECT key, start, start + n - 1 AS \"end\" FROM r WHERE hit AND n >= 3",
     "transition_dominance": f"WITH {V}, p AS (SELECT key, event_type AS a, lead(event_type) OVER (PARTITION BY key ORDER BY i) AS b FROM v), c AS (SELECT key, a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, a, b) AS r FROM c) SELECT key, sum(n)::BIGINT AS pairs, round(sum(n) FILTER (r <= 2)::DOUBLE / sum(n), 6) AS share FROM r GROUP BY key",
     "histogram_peaks": f"WITH {E}, {_HIST.format(w='100.0')} SELECT * FROM peaks",

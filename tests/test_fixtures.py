@@ -254,6 +254,85 @@ def test_lead_rules_by_hand(spark):
     assert {"pathological_q", "short_pr"} <= got[4] and "pathological_q" not in got[5] and "av_block_1" not in got[4]
 
 
+def lead_rules(spark, rows, rr):
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "rec int, lead string, wave string, amp double, center double, sigma double, i int")
+    known = spark.createDataFrame(list(rr.items()), "rec int, rr double")
+    return {r["rec"]: {k for k, v in r.asDict().items() if v is True} for r in U.evaluate_leads(U.lead_measures(df, known)).collect()}
+
+
+def test_lead_rules_need_their_leads_and_heights(spark):
+    rows = []
+    add = lambda rec, leads, *waves: rows.extend((rec, x, *w) for x in leads for w in waves)
+    long_t, low_t = ("T", 0.2, 300.0, 95.0), ("T", 0.09, 300.0, 95.0)
+    add(1, ("V2", "V3"), long_t)  # 380 ms in two neighbours
+    add(2, ("V2", "V5"), long_t)  # no neighbours
+    add(3, ("V2", "V3"), low_t)  # below 0.10
+    add(4, ("V3", "V4"), ("T", 0.2, 300.0, 26.0))  # 104 ms, under 0.12 of 900
+    add(5, ("aVR", "V1"), ("T", 0.2, 300.0, 26.0))  # leads that do not count
+    add(6, ("II", "III"), ("T", 0.2, 300.0, 10.0), ("T", 0.2, 300.0, 31.0))
+    add(7, ("II", "III"), ("T", 0.2, 300.0, 0.2), ("T", 0.2, 300.0, 2.9))  # sigmas below 1 count as 1
+    add(8, ("V3", "V4"), ("QRS", 1.0, 0.0, 20.0), ("T", 0.2, 330.0, 50.0))  # 230 - 20 = 210
+    add(9, ("V3", "V4"), ("QRS", 1.0, 0.0, 20.0), ("T", 0.2, 330.0, 50.0))  # the same with a short interval
+    add(10, ("V3", "V4"), ("QRS", 0.3, -20.0, 5.0), ("QRS", 0.2, 0.0, 5.0), ("QRS", -0.1, 20.0, 5.0))
+    add(11, ("V3", "V4"), ("QRS", 0.3, -14.0, 5.0), ("QRS", 0.2, 0.0, 5.0), ("QRS", -0.1, 20.0, 5.0))  # a gap of 14
+    add(12, ("V1",), ("QRS", 1.0, 0.0, 10.0), ("QRS", 0.1, 90.0, 5.0), ("QRS", -0.1, 99.0, 5.0))
+    add(13, ("V4",), ("QRS", 1.0, 0.0, 10.0), ("QRS", 0.1, 90.0, 5.0))
+    add(14, ("I", "V6"), ("QRS", 0.2, 0.0, 10.0), ("QRS", 0.15, 20.0, 5.0))
+    add(15, ("I", "V6"), ("QRS", 0.2, 0.0, 10.0), ("QRS", -0.15, 20.0, 5.0))
+    add(16, ("V5",), ("QRS", 0.9, 10.0, 8.0), ("QRS", 0.2, 46.0, 8.0), ("QRS", 0.09, 60.0, 8.0))
+    add(17, ("V4",), ("QRS", 0.9, 60.0, 8.0))
+    pr = lambda gap: (("P", 0.1, -200.0, 10.0), ("QRS", 1.0, gap - 220 + 20.0, 10.0))
+    add(18, ("V1",), *pr(235.0))
+    add(19, ("V6",), *pr(235.0))
+    add(20, ("V6",), ("QRS", 0.3, -21.0, 21.0))
+    add(20, ("II",), *pr(110.0))
+    add(21, ("V6",), ("QRS", 0.3, -21.0, 21.0))
+    add(21, ("III",), *pr(110.0))
+    r = lambda amp: ("QRS", amp, 0.0, 10.0)
+    add(22, ("V1", "V2", "V5", "V6"), r(0.4))  # V3 and V4 without R count as 0
+    for lead, amp in zip(("V1", "V3", "V4", "V5"), (0.2, 0.3, 0.5, 0.9), strict=True):
+        add(23, (lead,), r(amp))
+    add(24, ("V1", "V3", "V4"), r(0.1))  # three leads only
+    got = lead_rules(spark, rows, {i: 700.0 if i == 9 else 900.0 for i in range(1, 25)})
+    has = lambda name: {k for k, v in got.items() if name in v}
+    assert has("t_prolonged") == {1} and has("t_early_end") == {4, 7} and has("t_asymmetric") == {6}
+    assert has("long_st") == {8} and has("fragmented") == {10} and has("epsilon") == {12} and has("qrs_notched") == {10, 11, 14}
+    assert has("delayed_peak") == {16} and has("av_block_1") == {18} and has("delta_wave") == {20} and has("short_pr") == set()
+    assert has("poor_r_progression") == {22}
+
+
+def test_recording_rules_by_hand(spark):
+    base = dict(n=20, bpm=80.0, cv=0.05, pnn50=1.0, rmssd=30.0, sdnn=40.0, regular=0.5, irregular=0.1, p_amp=0.1, qrs_ms=90.0, shortest=0.9, longest=1.1, has_ii=True, p_ii_n=1, p_ii_low=0.1, p_share=0.9, short_st=0, p_beats=9, p_amp_cv=0.1, p_dur_cv=0.1, dominant=0.9, ectopy=0.0)  # noqa: C408
+    cases = [
+        ({"cv": 0.12}, "irregular", True), ({"irregular": 0.4}, "irregular", True), ({"n": 11, "cv": 0.5}, "irregular", False), ({}, "irregular", False),
+        ({"bpm": 160.0}, "supraventricular_tachycardia", True), ({"bpm": 160.0, "qrs_ms": 120.0}, "supraventricular_tachycardia", False), ({"bpm": 160.0, "qrs_ms": None}, "supraventricular_tachycardia", False),
+        ({"bpm": 50.0, "p_ii_n": 0, "p_ii_low": None}, "junctional", True), ({"bpm": 50.0, "p_ii_low": -0.06}, "junctional", True), ({"bpm": 50.0, "p_ii_low": -0.05}, "junctional", False), ({"bpm": 50.0, "has_ii": False, "p_ii_n": 0}, "junctional", False),
+        ({"irregular": 0.6, "p_share": 0.3, "dominant": 0.6, "ectopy": 0.5}, "absolute_arrhythmia", True), ({"irregular": 0.6, "p_share": 0.3, "ectopy": 0.2}, "absolute_arrhythmia", False), ({"irregular": 0.6, "p_share": 0.4}, "absolute_arrhythmia", False),
+        ({"bpm": 100.0, "p_dur_cv": 0.16}, "atrial_multifocal", True), ({"bpm": 100.0, "p_dur_cv": 0.16, "p_beats": 4}, "atrial_multifocal", False), ({"bpm": 100.0, "cv": 0.9}, "atrial_multifocal", False),
+        ({"bpm": 151.0, "qrs_ms": 121.0}, "critical", True), ({"bpm": 151.0}, "critical", False), ({"qrs_ms": 121.0}, "critical", False), ({"bpm": 39.0}, "critical", True), ({"short_st": 2}, "critical", True), ({"bpm": 151.0, "qrs_ms": None}, "critical", False),
+    ]
+    schema = "rec int, " + ", ".join(f"{k} {'boolean' if k == 'has_ii' else 'int' if isinstance(v, int) else 'double'}" for k, v in base.items())
+    df = spark.createDataFrame([(i, *(base | change).values()) for i, (change, _, _) in enumerate(cases)], schema)
+    got = {r["rec"]: r for r in U.evaluate_recordings(df).collect()}
+    assert [got[i][name] for i, (_, name, _) in enumerate(cases)] == [want for _, _, want in cases]
+
+
+def test_p_variation_by_hand(spark):
+    rows = [(1, "II", b, "P", 0.1 + 0.1 * (b % 2), 10.0) for b in range(20)] + [(1, "II", 3, "P", -0.1, 5.0), (1, "V1", 3, "P", 9.0, 9.0), (1, "II", 5, "T", 9.0, 9.0), (2, "II", 1, "T", 0.1, 5.0)]
+    got = {r["rec"]: r for r in U.p_variation(spark.createDataFrame(rows, "rec int, lead string, beat int, wave string, amp double, sigma double")).collect()}
+    amps = [0.1 + 0.1 * (b % 2) + (0.1 if b == 3 else 0) for b in range(15)]
+    durs = [40.0 + (20 if b == 3 else 0) for b in range(15)]
+    cv = lambda x: (sum((v - sum(x) / 15) ** 2 for v in x) / 15) ** 0.5 / (sum(x) / 15)
+    assert set(got) == {1} and got[1]["p_beats"] == 15
+    assert got[1]["p_amp_cv"] == pytest.approx(cv(amps), abs=1e-6) and got[1]["p_dur_cv"] == pytest.approx(cv(durs), abs=1e-6)
+
+
+def test_pause_grades_by_hand(spark):
+    rows = [(k, i, float(v)) for k, x in enumerate([[800, 800, 3001], [800, 800, 2501], [1500, 1500, 2001], [300, 300, 1900], [1900, 1900, 2000], [1500, 1500, 3000]]) for i, v in enumerate(x)]
+    got = {r["key"]: r["grade"] for r in Q.long_pause(spark.createDataFrame(rows, "key int, i int, rr double")).collect()}
+    assert got == {0: "critical", 1: "severe", 2: "significant", 3: "moderate", 4: "none", 5: "severe"}
+
+
 def test_alternans_by_hand(spark):
     rows = [(1, "II", b, 0.2 if b % 2 else 0.4) for b in range(8)] + [(2, "II", b, 0.3) for b in range(8)] + [(3, "II", b, 0.2 if b % 2 else 0.4) for b in range(7)]
     got = {r["rec"]: r for r in U.alternans(spark.createDataFrame(rows, "rec int, lead string, beat int, amp double")).collect()}
