@@ -117,14 +117,34 @@ def case_rules(scores: DataFrame, rates: DataFrame) -> DataFrame:
     return cases.select("rec", F.inline(F.array_compact(F.array(*found))))
 
 
-def affected_records(affected: DataFrame, rows: DataFrame, reports: DataFrame) -> DataFrame:
+def affected_records(affected: DataFrame, rows: DataFrame, reports: DataFrame, order: str = "i") -> DataFrame:
     """(cohort, study, id, labels, predictions, lines) of affected records (cohort, study, id): rows (id, labels, predictions) by
-    id and reports (study, lines) by study, empty where either is missing. The last row of an id and study counts."""
+    id and reports (study, lines) by study, empty where either is missing. Of rows with one id, and of reports with one study, the
+    last in `order` counts (where a table has that column, else the largest), so no record multiplies; an affected record that repeats stays."""
     none = F.array().cast("array<string>")
-    out = affected.join(rows, "id", "left").join(reports, "study", "left")
+
+    def last(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+        value = F.struct(*columns)
+        return df.groupBy(key).agg((F.max_by(value, F.struct(order, value)) if order in df.columns else F.max(value)).alias("v")).select(key, "v.*")
+
+    out = affected.join(last(rows, "id", ["labels", "predictions"]), "id", "left").join(last(reports, "study", ["lines"]), "study", "left")
     return out.select("cohort", "study", "id", *[F.coalesce(c, none).alias(c) for c in ("labels", "predictions", "lines")])
 
 
+def indexed(rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """One row for each key, the last in `order`, with its columns: an index by key. Rows without a key are not in it."""
+    value = F.struct(order, *columns)
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, value).alias("v")).select(key, "v.*")
+
+
+def unexpected_values(rows: DataFrame, keep: list[str], drop: list[str]) -> DataFrame:
+    """(name, n, filled) of the columns that are neither kept nor dropped: how many rows there are and in how many the column has a
+    value, in one pass over the rows."""
+    names = sorted(set(rows.columns) - set(keep) - set(drop))
+    counts = rows.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)])
+    return counts.select("rows", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"c{i}").alias("filled")) for i, n in enumerate(names)]))).select("name", F.col("rows").alias("n"), "filled")
+
+
 def wave_differences(beats: DataFrame, reference: DataFrame, *keys: str) -> DataFrame:
     """Each beat's wave (keys, amp, duration, angle, area) against the reference wave of its keys; a difference is null if a
     side is; angles differ by -180 to 180 degrees."""

@@ -66,9 +66,9 @@ def case_rules(spark, d):
 
 
 def affected_join(spark, d):
-    """Affected orders with the flags of their lines and the names of their customers' nations; some are missing."""
+    """Affected orders with the flags of their last line and their customers' segments; every fifth order has no lines."""
     o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("cohort"), F.col("o_custkey").alias("study"), F.col("o_orderkey").alias("id"))
-    li = table(spark, d, "lineitem").where("l_linenumber <> 1").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set("l_returnflag")).alias("labels"), F.array_sort(F.collect_set("l_linestatus")).alias("predictions"))
+    li = table(spark, d, "lineitem").where("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("id"), F.array("l_returnflag", F.col("l_linenumber").cast("string")).alias("labels"), F.array("l_linestatus").alias("predictions"), F.col("l_linenumber").alias("i"))
     rep = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("study"), F.array("c_mktsegment").alias("lines"))
     j = lambda c: F.array_join(c, ";").alias(c)
     return K.affected_records(o, li, rep).select("cohort", "study", "id", j("labels"), j("predictions"), j("lines"))
@@ -209,8 +209,8 @@ def rounded_payload(spark, d):
 
 
 def unexpected_columns(spark, d):
-    names = G.unexpected_columns(table(spark, d, "orders"), ["o_orderkey", "o_custkey"], ["o_orderstatus"])
-    return spark.createDataFrame([(n,) for n in names], "name string")  # names of columns: a fixed few
+    """Columns of orders that publication neither keeps nor drops, with how many rows hold a value in them."""
+    return K.unexpected_values(table(spark, d, "orders"), ["o_orderkey", "o_custkey"], ["o_orderstatus"])
 
 
 def ordered_counts(spark, d):
@@ -224,10 +224,10 @@ def ordered_counts(spark, d):
 def double_index(spark, d):
     """Orders found by customer or by key, the last row of each customer counting."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    by_customer = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
+    by_customer = K.indexed(o, "o_custkey", "o_orderkey")
     asked = table(spark, d, "customer").select("c_custkey")
     first = asked.join(by_customer, asked["c_custkey"] == by_customer["o_custkey"], "left").select("c_custkey", "o_orderkey")
-    return first.join(o.select("o_orderkey", "o_totalprice"), "o_orderkey", "left").select("c_custkey", "o_orderkey", "o_totalprice")
+    return first.join(K.indexed(o, "o_orderkey", "o_totalprice"), "o_orderkey", "left").select("c_custkey", "o_orderkey", "o_totalprice")
 
 
 def path_index(spark, d):
@@ -302,7 +302,7 @@ ORACLES = {
  UNION ALL SELECT rec, 'rule::rhythm-coverage', 90, '' FROM has WHERE len(list_filter(names, lambda x: x IN {_IN(K.RHYTHMS)})) = 0
  UNION ALL SELECT h.rec, 'rule::rate-consistency', CASE WHEN rate > 100 AND (list_contains(names, 'sinus tachycardia') OR list_contains(names, 'tachycardia')) OR rate BETWEEN 60 AND 100 AND len(list_filter(names, lambda x: x IN ('sinus tachycardia', 'tachycardia'))) = 0 THEN 60 ELSE 95 END,
  array_to_string(list_filter(['sinus tachycardia', 'tachycardia'], lambda x: list_contains(names, x)), ';') FROM has h JOIN rt ON h.rec = rt.rec WHERE len(list_filter(names, lambda x: x IN ('sinus tachycardia', 'tachycardia'))) > 0""",
-    "affected_join": f"WITH l AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_returnflag)) AS labels, list_sort(list(DISTINCT l_linestatus)) AS predictions FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1) SELECT o_orderstatus AS cohort, o_custkey AS study, o_orderkey AS id, coalesce({_JS('labels')}, '') AS labels, coalesce({_JS('predictions')}, '') AS predictions, coalesce(c_mktsegment, '') AS lines FROM orders LEFT JOIN l ON id = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0",
+    "affected_join": "WITH l AS (SELECT l_orderkey AS id, l_returnflag || ';' || l_linenumber AS labels, l_linestatus AS predictions FROM lineitem WHERE l_orderkey % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_returnflag DESC, l_linestatus DESC) = 1) SELECT o_orderstatus AS cohort, o_custkey AS study, o_orderkey AS id, coalesce(labels, '') AS labels, coalesce(predictions, '') AS predictions, coalesce(c_mktsegment, '') AS lines FROM orders LEFT JOIN l ON id = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0",
     "wave_variability": "WITH w AS (SELECT l_returnflag AS wave, l_quantity / 25 - 1 AS amp, CASE WHEN l_tax > 0.01 THEN l_discount * 1000 END AS duration, (l_partkey % 360 - 180)::DOUBLE AS angle, l_quantity * l_tax AS area FROM lineitem), m AS (SELECT wave, avg(amp) AS a, avg(duration) AS du, avg(angle) AS an, avg(area) AS ar FROM w GROUP BY wave), x AS (SELECT w.wave, amp - a AS amp, duration - du AS duration, angle - an + 180 - 360 * floor((angle - an + 180) / 360) - 180 AS angle, area - ar AS area, (amp * a < 0)::INT AS flip FROM w JOIN m ON w.wave = m.wave), o AS (SELECT wave, count(*) AS n_beats, round(avg(amp), 6) AS amp_mean, round(stddev_pop(amp), 6) AS amp_sd, round(stddev_pop(duration), 6) AS duration_sd, round(stddev_pop(angle), 6) AS axis_sd, round(stddev_pop(area), 6) AS area_sd, round(avg(flip), 6) AS flip_share FROM x GROUP BY wave) SELECT * REPLACE (CASE WHEN amp_mean = 0 THEN 0 ELSE amp_mean END AS amp_mean) FROM o",
     "energy_bimodality": f"WITH {V}, x AS (SELECT key, rr, event_type IN ('purchase', 'error') AS e FROM v), s AS (SELECT key, count(*) FILTER (e) AS n_ectopic, count(*) FILTER (NOT e) AS n_normal, avg(rr) FILTER (e) AS me, avg(rr) FILTER (NOT e) AS mn, sqrt(var_pop(rr) FILTER (e) + var_pop(rr) FILTER (NOT e)) AS sd FROM x GROUP BY key) SELECT key, n_ectopic, n_normal, round(CASE WHEN n_ectopic >= 2 AND n_normal >= 2 AND sd > 1e-9 THEN abs(mn - me) / sd ELSE 0 END, 6) AS ashman FROM s",
     "histogram_modes": f"WITH {E}, own AS (SELECT *, avg(rr) OVER (PARTITION BY key) AS mean FROM rr), {_MODES} SELECT key, c, round(center, 6) AS center FROM modes",
@@ -336,7 +336,7 @@ ORACLES = {
     "spacing_prune": "WITH RECURSIVE s AS (SELECT l_orderkey AS k, max(l_partkey) AS p FROM lineitem GROUP BY 1 UNION ALL SELECT s.k, max(l.l_partkey) AS p FROM s JOIN lineitem l ON l.l_orderkey = s.k AND l.l_partkey <= s.p - 300 GROUP BY s.k, s.p) SELECT k AS l_orderkey, count(*)::INT AS n, string_agg(p::VARCHAR, ',' ORDER BY p) AS kept FROM s GROUP BY k",
     "generic_counts": "SELECT lang, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'private' ELSE source END AS source, count(*) AS n FROM documents GROUP BY 1, 2",
     "rounded_payload": "WITH s AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x, 4)) AS s FROM embeddings) SELECT vec_id, len(s)::INT AS n, round(list_sum(s), 4) AS total, s[1] AS first FROM s",
-    "unexpected_columns": "SELECT column_name AS name FROM information_schema.columns WHERE table_name = 'orders' AND column_name NOT IN ('o_orderkey', 'o_custkey', 'o_orderstatus')",
+    "unexpected_columns": " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count({c}) AS filled FROM orders" for c in ("o_orderdate", "o_orderpriority", "o_totalprice")),
     "ordered_counts": "WITH c AS (SELECT CASE WHEN source IN ('src5', 'src6') THEN 'unmapped' ELSE source END AS source, count(*) AS n FROM documents GROUP BY 1) SELECT row_number() OVER (ORDER BY source = 'unmapped', n DESC, source) AS place, source, n FROM c",
     "double_index": "WITH b AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) SELECT c_custkey, b.o_orderkey, o.o_totalprice FROM customer LEFT JOIN b ON b.o_custkey = c_custkey LEFT JOIN orders o ON o.o_orderkey = b.o_orderkey",
     "path_index": "SELECT doc_id, coalesce(url, '') AS path, url IS NULL AS missing FROM documents LEFT JOIN pages ON page_id = doc_id WHERE source IN ('src0', 'src1')",
