@@ -112,13 +112,58 @@ def lead_names(spark, d):
     return table(spark, d, "part").groupBy(S.lead_name(raw).alias("lead")).agg(F.count("*").alias("n"))
 
 
+def matrix_round_trip(spark, d):
+    """Vectors with their ids written as NPY files by the tasks, read again by ranges of rows."""
+    path = scratch_folder(spark)
+    v = table(spark, d, "embeddings").where("embedding is not null")
+    S.write_matrices(v.select(F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("values")), path)
+    rows = S.read_matrices(spark, path)
+    return rows.select(F.element_at("values", 1).cast("long").alias("vec_id"), F.round(F.element_at("values", 2), 6).alias("first"), F.round(F.element_at("values", -1), 6).alias("last"), (F.size("values") - 1).cast("long").alias("n"))
+
+
+def _suppliers(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    lead = lambda k: F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: ((F.col("s_suppkey") * k + i * 13) % 2001 - 1000) / F.lit(1000.0))
+    stem = F.concat(F.lit("n"), F.col("s_nationkey"), F.lit("/r"), F.col("s_suppkey"))
+    return s.select(stem.alias("stem"), F.lit(500.0).alias("fs"), F.array(F.lit("aVR"), F.lit("I")).alias("names"), F.array(lead(7), lead(11)).alias("leads"))
+
+
+def recording_round_trip(spark, d):
+    """Recordings written as headers and matrices, found by both files, and read again in lead order."""
+    path = scratch_folder(spark)
+    S.write_recordings(_suppliers(spark, d), path)
+    found = S.discover_recordings(spark, path).select("base")
+    total = lambda k: F.round(F.aggregate(F.element_at("leads", k), F.lit(0.0), lambda a, x: a + x), 6)
+    rows = S.read_recordings(spark, path).join(found, "base")
+    return rows.select(F.expr("cast(substring(stem, 2) as long)").alias("s_suppkey"), "fs", total(1).alias("one"), total(4).alias("avr"), F.size(F.element_at("leads", 2)).cast("long").alias("two"))
+
+
+def uploads(spark, d):
+    """Each order as an upload of files named after its lines: what is wrong with it."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".hea", ".MAT", ".dat", ".exe")]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    name = F.concat(F.lit("C:\\up load\\f"), F.col("l_suppkey") % 3, suffix)
+    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("upload"), name.alias("name"), (F.col("l_partkey") * 20000).cast("long").alias("bytes"))
+    return S.upload_problems(files).select("upload", "files", F.array_join("problems", "; ").alias("problems"))
+
+
+def variant_paths(spark, d):
+    """Names of projections by method and parameter; unknown methods have none."""
+    o = table(spark, d, "orders").select(F.element_at(F.array(*[F.lit(x) for x in ("pca", "tsne", "umap", "other")]), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("method"), (F.col("o_custkey") % 5 * 10).cast("int").alias("p"))
+    return o.groupBy(F.coalesce(S.variant_of(F.col("method"), F.col("p"), F.col("p") + 5), F.lit("none")).alias("variant")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
+    matrix_round_trip, recording_round_trip, uploads, variant_paths,
     json_lines, swapped_sink, appended_sink, manifest_csv, map_of_lists, report_sink, exported_points, copied_tables, lead_table, header_fields,
     header_problems, lead_names,
 )}
 
 _NAMED = "'r' || p_partkey || CASE WHEN p_partkey % 7 = 0 THEN '/x' ELSE '' END || '.mat'"
 ORACLES = {
+    "matrix_round_trip": "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[len(embedding)]::DOUBLE, 6) AS last, len(embedding) AS n FROM embeddings WHERE embedding IS NOT NULL",
+    "recording_round_trip": "SELECT s_suppkey, 500.0::DOUBLE AS fs, round(list_sum(list_transform(range(0, 40), lambda i: (s_suppkey * 11 + i * 13) % 2001 - 1000)) / 1000.0::DOUBLE, 6) AS one, round(list_sum(list_transform(range(0, 40), lambda i: (s_suppkey * 7 + i * 13) % 2001 - 1000)) / 1000.0::DOUBLE, 6) AS avr, 0::BIGINT AS two FROM supplier",
+    "uploads": "WITH f AS (SELECT l_orderkey AS upload, 'f' || l_suppkey % 3 || ['.hea', '.MAT', '.dat', '.exe'][l_partkey % 4 + 1] AS name, l_partkey * 20000 AS b FROM lineitem), n AS (SELECT upload, name, count(*) AS k, sum(b) AS b FROM f GROUP BY ALL), u AS (SELECT upload, sum(k)::BIGINT AS files, sum(b) AS b, list_sort(list(name) FILTER (name LIKE '%.exe')) AS w, list_sort(list(name) FILTER (k > 1)) AS t FROM n GROUP BY upload) SELECT upload, files, concat_ws('; ', CASE WHEN files > 4 THEN 'more than 4 files' END, CASE WHEN len(w) > 0 THEN array_to_string(list_transform(w, lambda x: 'suffix of ' || x || ' is not allowed'), '; ') END, CASE WHEN len(t) > 0 THEN array_to_string(list_transform(t, lambda x: x || ' comes twice'), '; ') END, CASE WHEN b > 67108864 THEN 'too many bytes' END) AS problems FROM u",
+    "variant_paths": "WITH o AS (SELECT o_orderkey % 4 AS m, o_custkey % 5 * 10 AS p FROM orders) SELECT CASE m WHEN 0 THEN 'pca' WHEN 1 THEN 'tsne_p' || p WHEN 2 THEN 'umap_n' || (p + 5) ELSE 'none' END AS variant, count(*) AS n FROM o GROUP BY 1",
     "json_lines": "SELECT n_nationkey, n_name FROM nation",
     "swapped_sink": "SELECT r_regionkey, r_name, 'new' AS at FROM region WHERE r_regionkey < 3 UNION ALL SELECT r_regionkey, r_name, 'old' FROM region",
     "appended_sink": "SELECT c_mktsegment, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer GROUP BY 1",

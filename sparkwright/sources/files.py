@@ -278,3 +278,72 @@ def variant_path(base: str, method: str, perplexity: int = 30, n_neighbors: int
     if method not in names:
         raise ValueError(f"unknown method {method}")
     return f"{base}/{names[method]}"
+
+
+def variant_of(method, perplexity, n_neighbors):
+    """variant_path's name as a column; null for an unknown method."""
+    return F.when(method == "pca", "pca").when(method == "tsne", F.concat(F.lit("tsne_p"), perplexity.cast("string"))).when(method == "umap", F.concat(F.lit("umap_n"), n_neighbors.cast("string")))
+
+
+def upload_problems(files: DataFrame) -> DataFrame:
+    """(upload, files, problems array<string>) of uploads from (upload, name, bytes), as `check_upload` finds them for one: names are made
+    safe first, problems stand in its order."""
+    safe = F.regexp_replace(F.substring_index(F.replace("name", F.lit("\\"), F.lit("/")), "/", -1), "[^A-Za-z0-9._-]", "_")
+    allowed = F.lower("safe").rlike("(" + "|".join(re.escape(x) for x in SUFFIXES) + ")$")
+    each = files.withColumn("safe", safe).withColumn("ok", allowed).groupBy("upload", "safe", "ok").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    names = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("safe"))))
+    whole = each.groupBy("upload").agg(F.sum("n").alias("files"), F.sum("bytes").alias("bytes"), names(~F.col("ok")).alias("wrong"), names(F.col("n") > 1).alias("twice"))
+    told = F.concat(
+        F.array_compact(F.array(F.when(F.col("files") > MOST_FILES, f"more than {MOST_FILES} files"))), F.transform("wrong", lambda n: F.concat(F.lit("suffix of "), n, F.lit(" is not allowed"))),
+        F.transform("twice", lambda n: F.concat(n, F.lit(" comes twice"))), F.array_compact(F.array(F.when(F.col("bytes") > MOST_BYTES, "too many bytes"))),
+    )
+    return whole.select("upload", "files", told.alias("problems"))
+
+
+def _put(folder: str, name: str, content: bytes) -> int:
+    """Write a file below a folder that all tasks share: beside its place first, so that a task that runs twice leaves one whole file."""
+    import uuid
+
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    system.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+    place = f"{base}/{name}"
+    beside = f"{place}.{uuid.uuid4().hex}"
+    with system.open_output_stream(beside, compression=None) as out:
+        out.write(content)
+    system.move(beside, place)
+    return len(content)
+
+
+def write_matrices(rows: DataFrame, folder: str, values: str = "values") -> int:
+    """One NPY file of each Arrow batch of an array column, by the tasks themselves; the number of rows written. Arrays have one length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        for k, batch in enumerate(batches):
+            if len(batch):
+                out = io.BytesIO()
+                np.save(out, np.stack(batch[values].to_list()))
+                _put(folder, f"m-{TaskContext.get().partitionId():05d}-{k:05d}.npy", out.getvalue())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return int(rows.select(values).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0)
+
+
+def write_recordings(rows: DataFrame, folder: str, gain: float = 1000.0) -> int:
+    """A header and a 16-bit matrix for each row (stem, fs, names, leads array<array<double>> in mV), by the tasks; the number of records.
+    Samples are rounded to 1/gain mV and kept within 16 bits; leads have one length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                x = np.clip(np.rint(np.stack(r.leads) * gain), -32768, 32767).astype("<i2")
+                lines = [f"{r.stem.rsplit('/', 1)[-1]} {len(x)} {r.fs:g} {x.shape[1]}"]
+                lines += [f"{r.stem.rsplit('/', 1)[-1]}.mat 16 {gain:g}(0)/mV 16 0 0 0 0 {name}" for name in r.names]
+                _put(folder, f"{r.stem}.mat", np.ascontiguousarray(x.T).tobytes())
+                _put(folder, f"{r.stem}.hea", ("\n".join(lines) + "\n").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return int(rows.select("stem", "fs", "names", "leads").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0)
