@@ -89,6 +89,25 @@ def wandering_pacemaker(components: DataFrame, series: DataFrame, most: int = 15
     return found.where(f"n >= {least} and width > {AXIS_RANGE} and changes >= 3").select("rec", F.round("width", 6).alias("width"), "changes")
 
 
+def t_axis_wandering(components: DataFrame, most: int = 20, least: int = 5) -> DataFrame:
+    """(rec, spread) of recordings whose T axis, over the first `most` beats with T in I and in aVF (`least` or more), deviates by over 45 degrees."""
+    one, foot = (F.sum(F.when(F.col("lead") == x, F.col("amp"))) for x in ("I", "aVF"))
+    sums = components.where(F.col("beat").between(0, most - 1) & (F.col("wave") == "T")).groupBy("rec", "beat").agg(one.alias("one"), foot.alias("foot"))
+    axes = sums.where("one is not null and foot is not null").withColumn("axis", F.degrees(F.atan2("foot", "one")))
+    found = axes.groupBy("rec").agg(F.round(F.stddev_pop("axis"), 6).alias("spread"), F.count("*").alias("n"))
+    return found.where(f"n >= {least} and spread > 45").select("rec", "spread")
+
+
+def p_notching(components: DataFrame, low: float = 40.0, high: float = 120.0, least: int = 3) -> DataFrame:
+    """(rec, notches) of recordings with a lead of II, V1, I in which in `least` beats two neighbouring P components of one sign stand `low` to `high`
+    ms apart: the number of such beats of such leads."""
+    order = Window.partitionBy("rec", "lead", "beat").orderBy("center", "amp")
+    p = components.where((F.col("wave") == "P") & (F.col("beat") >= 0) & F.col("lead").isin(*P_LEADS))
+    p = p.withColumn("gap", F.col("center") - F.lag("center").over(order)).withColumn("same", F.col("amp") * F.lag("amp").over(order) > 0)
+    beats = p.where(F.col("gap").between(low, high) & F.col("same")).select("rec", "lead", "beat").distinct()
+    return beats.groupBy("rec", "lead").agg(F.count("*").alias("n")).where(f"n >= {least}").groupBy("rec").agg(F.sum("n").alias("notches"))
+
+
 def next_qrs(events: DataFrame) -> DataFrame:
     """(rec, at, qrs_at) of each P event with the next QRS event of its recording, from (rec, wave, at): an as-of join as one window over both
     kinds, without pairs; null if none follows. A QRS at the same time counts as following."""

@@ -31,14 +31,12 @@ RULES = [
     Rule("t_hyperacute", "T", "amp > 1.2 and sigma < 50", 2, CHEST),
     Rule("t_peaked", "T", "amp > 0.5 and sigma < 40"),
     Rule("t_abrupt", "T", "sigma < 20"),
-    Rule("t_plateau", "T", "amp >= 0.12 and sigma >= 50"),
     Rule("pr_depression", "P", "amp < -0.04", 2),
     Rule("p_tall", "P", "amp >= 0.20"),
     Rule("p_low", "P", "abs(amp) < 0.05", 8),
     Rule("p_retrograde", "P", "amp < -0.03", 2, INFERIOR),
     Rule("qrs_low_limb", "QRS", "abs(amp) < 0.5", 3, LIMB),
     Rule("qrs_low_chest", "QRS", "abs(amp) < 1.0", 3, CHEST),
-    Rule("deep_s", "QRS", "amp < -0.3", 2),
     Rule("tall_r", "QRS", "lead = 'aVR' and amp > 0.5 or lead in ('V1', 'V2') and amp > 0.7 or lead in ('V5', 'V6') and amp > 2.5"),
     Rule("micro_qrs", "QRS", "abs(amp) < 0.1", 6),
     Rule("slurred", "QRS", "sigma > 25", 2),
@@ -301,7 +299,6 @@ LEAD_RULES = [
     Rule("fragmented", "", "qrs_n >= 3 and qrs_peaks >= 3 and qrs_size >= 0.20", 2, tuple(LEADS), True),
     Rule("epsilon", "", "qrs_late_low >= 1", 1, ("V1", "V2", "V3")),
     Rule("qrs_notched", "", "qrs_high >= 2 or qrs_low >= 2", 2),
-    Rule("rsr_pattern", "", "qrs_up >= 2 and qrs_down >= 1"),
     Rule("qs_pattern", "", "r <= 0.05 and s < -0.2"),
     Rule("absent_r", "", "r <= 0.05", 2, ("V1", "V2", "V3")),
     Rule("delayed_peak", "", "r_last_at > 45", 1, ("V5", "V6")),

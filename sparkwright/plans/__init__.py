@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["metrics", "sequences", "neighbours", "records", "kernels", "rules", "cases", "sources", "components", "beats", "publication"]
+TOPICS = ["metrics", "sequences", "neighbours", "records", "kernels", "rules", "cases", "sources", "components", "beats", "publication", "shapes"]
 
 
 def catalogue() -> tuple[dict, dict]:
