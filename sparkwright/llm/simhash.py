@@ -36,6 +36,8 @@ SEED = 42
 GENERATOR = 0b101011100011
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 SMALL = 12
+#: Keys of two indices with more fingerprints are divided by the third segment; only the way depends on it.
+DIVIDED = 256
 
 
 def fingerprint(text: bytes, words: int, step: int = 1 << 16) -> int:
@@ -139,23 +141,43 @@ def links_within(fps: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.
     return left, right
 
 
+def linked_pairs(keys: np.ndarray, bits: np.ndarray, most: int, third: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links among the fingerprints of each key (sorted): all pairs of a small key, a spanning forest of a larger one.
+
+    Keys of two indices have 24 bits only. As they stand for pairs with at most two errors in every segment, a large one is
+    divided by the indices of the last segment, which such a pair shares as well; so the work of a key does not grow with the
+    square of its fingerprints. Pairs without an error in some segment meet in the other keys.
+    """
+    left, right = [], []
+    edges = runs(keys)
+    sizes = np.diff(edges)
+    small = np.repeat(sizes <= SMALL, sizes)
+    few, these = bits[small], keys[small]
+    for offset in range(1, min(SMALL, len(these))):
+        hit = (these[:-offset] == these[offset:]) & (np.bitwise_count(few[:-offset] ^ few[offset:]) <= most)
+        left.append(few[:-offset][hit])
+        right.append(few[offset:][hit])
+    for k in np.flatnonzero(sizes > SMALL):
+        own = bits[edges[k] : edges[k + 1]]
+        if third and keys[edges[k]] >> 40 == 9 and len(own) > DIVIDED:
+            at, n = SEGMENTS[2]
+            near = indices(((own >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64))
+            row, column = np.nonzero(near >= 0)
+            index = near[row, column]
+            order = np.argsort(index, kind="stable")
+            a, b = linked_pairs(index[order], own[row[order]], most, False)
+        else:
+            a, b = links_within(own.view(np.int64), most)
+        left += a
+        right += b
+    return left, right
+
+
 def _linked(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_runs(batches, "key"):
             keys, fps = (int_column(rows[c].combine_chunks()) for c in ("key", "fp"))
-            edges = runs(keys)
-            sizes = np.diff(edges)
-            left, right = [], []
-            small = np.repeat(sizes <= SMALL, sizes)
-            bits, these = fps.view(np.uint64)[small], keys[small]
-            for offset in range(1, min(SMALL, len(these))):
-                hit = (these[:-offset] == these[offset:]) & (np.bitwise_count(bits[:-offset] ^ bits[offset:]) <= most)
-                left.append(bits[:-offset][hit])
-                right.append(bits[offset:][hit])
-            for k in np.flatnonzero(sizes > SMALL):
-                a, b = links_within(fps[edges[k] : edges[k + 1]], most)
-                left += a
-                right += b
+            left, right = linked_pairs(keys, fps.view(np.uint64), most)
             if left:
                 pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]).view(np.int64), axis=1)
                 if pairs.shape[1]:

@@ -337,6 +337,57 @@ def test_hot_chunks(spark):
         assert got == want
 
 
+def sharing_two_indices(rng, n):
+    """Fingerprints whose first two segments have one error each, so that all share a key of two indices; the third is random."""
+    flip = lambda base, width: base ^ (1 << rng.integers(0, width, n))
+    return (flip(0x2ABCDE, 22).astype(np.uint64) << np.uint64(42)) | (flip(0x155AA5, 21).astype(np.uint64) << np.uint64(21)) | rng.integers(0, 1 << 21, n).astype(np.uint64)
+
+
+def groups_of(pairs, n):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("limit", [16, 256, 10**9])
+def test_divided_keys_lose_no_link(monkeypatch, limit):
+    monkeypatch.setattr(simhash, "DIVIDED", limit)
+    rng = np.random.default_rng(4)
+    fps = sharing_two_indices(rng, 900)
+    close = fps[:300].copy()
+    for _ in range(2):  # up to two more errors in the third segment, and one moved error in the others
+        close ^= np.uint64(1) << rng.integers(0, 21, 300).astype(np.uint64)
+    fps = np.unique(np.concatenate([fps, close, close[:50] ^ np.uint64(1 << 25)]))
+    rows, keys = simhash.keys_of(fps.view(np.int64))
+    order = np.argsort(keys, kind="stable")
+    left, right = simhash.linked_pairs(keys[order], fps[rows[order]], 4)
+    at = {int(f): i for i, f in enumerate(fps)}
+    got = {(at[int(a)], at[int(b)]) for x, y in zip(left, right) for a, b in zip(x, y)}
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4, 1))
+    assert all(np.bitwise_count(fps[a] ^ fps[b]) <= 4 for a, b in got)
+    want, have = groups_of(near, len(fps)), groups_of(got, len(fps))
+    assert len({(a, b) for a, b in zip(want, have)}) == len(set(want)) == len(set(have)) and len(near) > 300
+
+
+def test_work_of_a_large_key_is_not_quadratic(monkeypatch):
+    seen = []
+    plain = simhash.links_within
+    monkeypatch.setattr(simhash, "links_within", lambda fps, most: seen.append(len(fps)) or plain(fps, most))
+    for n in (5_000, 20_000):
+        seen.clear()
+        fps = np.unique(sharing_two_indices(np.random.default_rng(1), n))
+        simhash.linked_pairs(np.full(len(fps), 9 << 40), fps, 4)
+        assert sum(x * x for x in seen) < 0.02 * n * n
+
+
 def helper_names():
     """Every quoted name with a leading underscore in the subpackage: names of helper columns."""
     import pathlib
