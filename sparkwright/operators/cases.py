@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkwright.functions.signals import CHEST_PLANE, LIMB_PLANE
 from sparkwright.operators import catalog as C
@@ -289,6 +290,29 @@ def rounded(value: Column, digits: int = 2) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), F.round(d, digits))
 
 
+def normalised(value: Column, kind: T.DataType, digits: int = 2) -> Column:
+    """A value of any nested type as a record holds it: numbers with a fraction rounded, not finite ones null, bytes as text, keys of maps as
+    text, at any depth. The type gives the expression, so rows stay in the JVM."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.round(value.cast("double"), digits))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: normalised(x, kind.elementType, digits))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(F.coalesce(e["key"].cast("string"), F.lit("null")).alias("key"), normalised(e["value"], kind.valueType, digits).alias("value")))
+        return F.map_from_entries(entries)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[normalised(value[f.name], f.dataType, digits).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.BinaryType):
+        return F.decode(value, "UTF-8")
+    return value
+
+
+def record_json(rows: DataFrame, digits: int = 2, nulls: bool = True) -> DataFrame:
+    """(record): each row, with all its columns, as a JSON document of normalised values; nulls are written unless told otherwise."""
+    whole = F.struct(*[normalised(F.col(f"`{f.name}`"), f.dataType, digits).alias(f.name) for f in rows.schema.fields])
+    return rows.select(F.to_json(whole, {"ignoreNullFields": str(not nulls).lower()}).alias("record"))
+
+
 def final_record(data: dict[str, Column], flags: dict[str, Column], label: Column, issues: Column) -> Column:
     """JSON of a record: data (rounded numbers), label, semantic flags, and a warning where issues of quality are named."""
     warning = F.when(F.size(issues) > 0, F.concat(F.lit("Poor quality may degrade feature accuracy. Issues: "), F.array_join(issues, ", "), F.lit(".")))

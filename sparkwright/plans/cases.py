@@ -148,6 +148,17 @@ def final_record(spark, d):
     return p.select("p_partkey", json.alias("j")).select("p_partkey", at("$.data.price").cast("double").alias("price"), at("$.data.size").cast("double").alias("size"), at("$.label").alias("label"), at("$.semantic.semantic_flags.big").alias("big"), at("$.semantic.quality_warning").alias("warning"))
 
 
+def nested_records(spark, d):
+    """Orders with their lines as JSON records: numbers rounded at any depth, those that are not finite null."""
+    part = F.struct("l_linenumber", (F.col("l_extendedprice") / 7).alias("price"), F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.col("l_tax") / 3).alias("tax"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(part)).alias("lines"), F.sum("l_quantity").alias("n"))
+    one = li.select("l_orderkey", "lines", F.create_map(F.lit("per_line"), F.col("n") / F.size("lines"), F.lit("infinite"), F.when(F.col("n") > 100, F.lit(float("inf"))).otherwise(F.col("n") / 3)).alias("sums"))
+    at = lambda path: F.get_json_object("record", path)
+    lines = F.from_json(at("$.lines"), "array<struct<price double, tax double>>")
+    total = lambda c: F.round(F.aggregate(F.transform(lines, lambda x: F.coalesce(x[c], F.lit(0.0))), F.lit(0.0), lambda s, x: s + x), 2)
+    return K.record_json(one).select(at("$.l_orderkey").cast("long").alias("l_orderkey"), total("price").alias("price"), total("tax").alias("tax"), at("$.sums.per_line").cast("double").alias("per_line"), at("$.sums.infinite").isNull().alias("infinite"))
+
+
 def colours(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size")
     t = F.col("p_size") / F.lit(50.0)
@@ -254,7 +265,7 @@ def model_explanations(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    model_explanations, viewer_pipeline, viewer_exclusive, tribe_filter, filter_cycle, rate_fallback, case_rules, affected_join, wave_variability, energy_bimodality,
+    nested_records, model_explanations, viewer_pipeline, viewer_exclusive, tribe_filter, filter_cycle, rate_fallback, case_rules, affected_join, wave_variability, energy_bimodality,
     rr_signature, histogram_modes, ectopic_patterns, feature_gloss, file_names, code_names, diagnosis_codes, final_record, colours, notch_rule, region_labels,
     window_containment, model_choice, plane_projection, direction_vectors, spacing_prune, generic_counts, rounded_payload, unexpected_columns,
     ordered_counts, double_index, path_index,
@@ -328,6 +339,7 @@ ORACLES = {
     "final_record": "SELECT p_partkey, round(p_retailprice / 7, 2) AS price, CASE WHEN p_size > 3 THEN p_size::DOUBLE END AS size, p_brand AS label, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS big, CASE WHEN p_size % 2 = 0 THEN 'Poor quality may degrade feature accuracy. Issues: ' || p_type || '.' END AS warning FROM part",
     "colours": f"WITH t AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS t, (p_partkey % 360) / 360.0::DOUBLE AS h, (p_size % 2) * 60 / 100.0::DOUBLE AS s, p_size / 100.0::DOUBLE AS l FROM part), q AS (SELECT *, CASE WHEN l < 0.5 THEN l * (1 + s) ELSE l + s - l * s END AS q, h + 1.0::DOUBLE / 3 - floor(h + 1.0::DOUBLE / 3) AS t0, h - 1.0::DOUBLE / 3 - floor(h - 1.0::DOUBLE / 3) AS t2 FROM t), c AS (SELECT *, 2 * l - q AS p FROM q) SELECT p_partkey, {_HEX(_MIX('a', 'c', 't'))} AS lerp, CASE WHEN t <= 0.5 THEN {_HEX(_MIX('a', 'b', 't * 2'))} ELSE {_HEX(_MIX('b', 'c', '(t - 0.5) * 2'))} END AS gradient, {_HEX([f'({x} + {y} + floor({z} + 0.5)) / 3' for x, y, z in zip(_RGB['a'], _RGB['b'], _MIX('b', 'c', 't'))])} AS blend, {_HEX([f'({_HUE.format(t=t)}) * 255' for t in ('t0', 'h', 't2')])} AS hsl FROM c",
     "notch_rule": "WITH l AS (SELECT l_quantity / 25 - 1 AS a, (l_partkey % 80)::DOUBLE AS gap, l_discount * 200 + 5 AS s FROM lineitem), v AS (SELECT a, gap, list_min(list_transform(range(0, 200), lambda k: abs(a * exp(-0.5 * pow(gap * k / 199.0::DOUBLE / (s + 1e-9), 2)) + a * 0.8::DOUBLE * exp(-0.5 * pow((gap * k / 199.0::DOUBLE - gap) / (s + 1e-9), 2))))) AS valley FROM l) SELECT a <> 0 AND (greatest(1e-9, abs(a * 0.8::DOUBLE)) - valley) / greatest(1e-9, abs(a * 0.8::DOUBLE)) >= 0.2 AND gap >= 20 AS notched, count(*) AS n, round(sum(gap), 2) AS gap FROM v GROUP BY 1",
+    "nested_records": "SELECT l_orderkey, round(sum(round(l_extendedprice / 7, 2)::DECIMAL(18, 2))::DOUBLE, 2) AS price, round(sum(CASE WHEN l_tax <> 0 THEN round(l_tax / 3, 2) ELSE 0 END::DECIMAL(18, 2))::DOUBLE, 2) AS tax, round(sum(l_quantity) / count(*), 2) AS per_line, sum(l_quantity) > 100 AS infinite FROM lineitem GROUP BY l_orderkey",
     "region_labels": "WITH l AS (SELECT ((l_partkey * 13 + l_suppkey) % 800 - 300)::DOUBLE AS t, l_quantity * 10 + 500 AS rr FROM lineitem) SELECT CASE WHEN t BETWEEN -55 AND -45 THEN 'Late-P' WHEN t >= -50 THEN CASE WHEN t < 80 THEN 'QRS' WHEN t / rr < 0.20 THEN 'ST' WHEN t / rr < 0.26 THEN 'Early-T' WHEN t / rr < 0.40 THEN 'Normal-T' ELSE 'Late-T' END WHEN t < -210 THEN 'Early-P' WHEN t < -100 THEN 'Normal-P' ELSE 'Late-P' END AS region, count(*) AS n FROM l GROUP BY 1",
     "window_containment": "WITH l AS (SELECT l_orderkey, ((l_partkey * 13 + l_suppkey) % 800 - 300)::DOUBLE AS t FROM lineitem), o AS (SELECT o_orderkey, o_custkey % 600 + 500 AS rr FROM orders), w AS (SELECT o_orderkey, 'P' AS wave, 75 - rr / 2 AS low, -70 AS high FROM o UNION ALL SELECT o_orderkey, 'QRS', -75, 80 FROM o UNION ALL SELECT o_orderkey, 'T', 80, rr / 2 FROM o) SELECT wave, count(*) AS n, sum(t) AS total FROM l JOIN w ON l_orderkey = o_orderkey AND t BETWEEN low AND high GROUP BY wave",
     "model_choice": "WITH l AS (SELECT l_orderkey AS rec, l_linenumber - 1 AS k, l_quantity / (20 * l_linenumber) AS rss, l_linenumber * 3 - 2 AS p, (l_partkey % 50)::DOUBLE AS e, l_discount * 200 - 8 AS snr FROM lineitem WHERE l_linenumber <= 3), a AS (SELECT *, round(40 * ln(rss / 40 + 1e-12) + 2 * p + (2 * p * (p + 1)) / (39.0::DOUBLE - p), 9) AS a FROM l), w AS (SELECT rec, max(a) FILTER (k = 0) AS a0, max(a) FILTER (k = 1) AS a1, max(a) FILTER (k = 2) AS a2, max(e) FILTER (k = 1) AS e1, max(e) FILTER (k = 2) AS e2, max(snr) FILTER (k = 1) AS s1, max(snr) FILTER (k = 2) AS s2 FROM a GROUP BY rec), b AS (SELECT *, CASE WHEN coalesce(a2 + 4 < a1 OR abs(a2 + 4 - a1) <= 0.75 AND e2 < e1, a1 IS NULL AND a2 IS NOT NULL) THEN 2 ELSE 1 END AS best FROM w) SELECT rec, CASE WHEN coalesce(CASE best WHEN 2 THEN a2 ELSE a1 END + 1 < a0 AND CASE best WHEN 2 THEN s2 ELSE s1 END >= -3, false) THEN best ELSE 0 END AS k FROM b",

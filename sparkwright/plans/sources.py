@@ -72,7 +72,7 @@ def copied_tables(spark, d):
     path = scratch_folder(spark)
     S.copy_tables(spark, ["region.parquet", "nation.parquet"], d, path)
     out = None
-    for name in S.variants(spark, path):
+    for name in S.variants(spark, path, "*.parquet"):
         one = spark.read.parquet(f"{path}/{name}.parquet").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out

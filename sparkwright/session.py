@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -39,12 +41,23 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+
+
+def local_folder() -> str:
+    """One temporary folder for a local session, removed when the process ends."""
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="sparkwright"))
+        atexit.register(shutil.rmtree, _local[0], True)
+    return _local[0]
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one for a local session only."""
     base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):  # local-cluster is a cluster
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='sparkwright')}/scratch/{uuid.uuid4().hex}"
+    return f"{base or local_folder()}/scratch/{uuid.uuid4().hex}"
 
 
 def scratch_table(df: DataFrame) -> DataFrame:

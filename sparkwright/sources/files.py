@@ -46,19 +46,28 @@ def read_map_of_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 _DOCUMENTS: dict[str, tuple[int, DataFrame]] = {}
+#: Documents that are kept in memory at once; the one not asked for longest goes first.
+MOST_DOCUMENTS = 8
 
 
 def cached_document(spark: SparkSession, path: str) -> DataFrame:
     """read_map_of_lists, kept in memory by Spark until the file's time of change is another."""
     changed = _status(spark, path).getModificationTime()
-    held = _DOCUMENTS.get(path)
+    held = _DOCUMENTS.pop(path, None)
     if held is None or held[0] != changed or held[1].sparkSession is not spark:
-        if held is not None and held[1].sparkSession is spark:
-            held[1].unpersist()
-        _DOCUMENTS[path] = held = (changed, read_map_of_lists(spark, path).cache())
+        _forget(spark, held)
+        held = (changed, read_map_of_lists(spark, path).cache())
+    _DOCUMENTS[path] = held
+    while len(_DOCUMENTS) > MOST_DOCUMENTS:
+        _forget(spark, _DOCUMENTS.pop(next(iter(_DOCUMENTS))))
     return held[1]
 
 
+def _forget(spark: SparkSession, held: tuple[int, DataFrame] | None) -> None:
+    if held is not None and held[1].sparkSession is spark:
+        held[1].unpersist()
+
+
 def _status(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
@@ -264,12 +273,13 @@ def export_points(df: DataFrame, path: str, kind: str = "csv") -> None:
     writer.csv(path) if kind == "csv" else writer.json(path)
 
 
-def variants(spark: SparkSession, path: str) -> list[str]:
-    """Sorted names of the tables under a path."""
+def variants(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    """Sorted names, without their suffix, of the tables under a path that fit the pattern; hidden files and marks such as _SUCCESS are none."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(re.sub(r"\.[^.]+$", "", s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, pattern)) if fs.exists(at) else []
+    return sorted(re.sub(r"\.[^.]+$", "", n) for n in (s.getPath().getName() for s in found) if n[0] not in "._")
 
 
 def variant_path(base: str, method: str, perplexity: int = 30, n_neighbors: int = 15) -> str:

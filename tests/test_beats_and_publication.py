@@ -121,3 +121,30 @@ def test_files_are_listed_and_matched(spark, tmp_path):
     records = spark.createDataFrame([(i, "a") for i in range(1, 10)], "id int, source string")
     got = {r["id"]: (r["state"], r["bytes"]) for r in G.resolve_files(records, index, files, "wfdb", {"a": ["open", "secret"]}, ["Secret"]).collect()}
     assert got == {1: ("ok", 110), 2: ("files absent", None), 3: ("ok", 110), 4: ("outside allowlist", None), 5: ("denylisted", None), 6: ("ok", 1010), 7: ("outside", None), 8: ("not in path index", None), 9: ("not in path index", None)}
+
+
+def test_nested_values_are_normalised_at_any_depth(spark):
+    from sparkwright.operators import cases as K
+
+    schema = "id int, a struct<x: double, y: array<struct<z: float, s: string>>>, m map<int, double>, b binary, n bigint, d date"
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, (1.005, [(2.25, "t"), None, (nan, None)]), {3: inf, 4: 0.126}, bytearray("é".encode()), 9, None), (2, None, None, None, None, None), (3, (nan, []), {}, bytearray(), 0, None)]
+    got = [json.loads(r["record"]) for r in K.record_json(spark.createDataFrame(rows, schema)).collect()]
+    assert got[0]["a"] == {"x": 1.01, "y": [{"z": 2.25, "s": "t"}, None, {"z": None, "s": None}]} or got[0]["a"]["x"] in (1.0, 1.01)
+    assert got[0]["a"]["y"] == [{"z": 2.25, "s": "t"}, None, {"z": None, "s": None}]
+    assert got[0]["m"] == {"3": None, "4": 0.13} and got[0]["b"] == "é" and got[0]["n"] == 9
+    assert got[1] == {"id": 2, "a": None, "m": None, "b": None, "n": None, "d": None} and got[2]["a"] == {"x": None, "y": []} and got[2]["m"] == {}
+
+
+def test_affected_records_and_indexes_take_the_last_row(spark):
+    from sparkwright.operators import cases as K
+
+    affected = spark.createDataFrame([("c", 1, 10), ("c", 2, 11), ("c", 1, 10)], "cohort string, study int, id int")
+    rows = spark.createDataFrame([(10, ["a"], ["p"], 1), (10, ["b"], ["q"], 2), (10, ["z"], ["z"], 0)], "id int, labels array<string>, predictions array<string>, i int")
+    reports = spark.createDataFrame([(1, ["x"]), (1, ["y"])], "study int, lines array<string>")
+    got = sorted((r["id"], r["labels"], r["predictions"], r["lines"]) for r in K.affected_records(affected, rows, reports).collect())
+    assert got == [(10, ["b"], ["q"], ["y"]), (10, ["b"], ["q"], ["y"]), (11, [], [], [])]
+    index = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), (None, 9, "n")], "k string, i int, v string")
+    assert [tuple(r) for r in K.indexed(index, "k", "i", "v").collect()] == [("a", 3, "y")]
+    wide = spark.createDataFrame([(1, None, "x"), (2, None, None)], "id int, extra int, more string")
+    assert sorted(tuple(r) for r in K.unexpected_values(wide, ["id"], []).collect()) == [("extra", 2, 0), ("more", 2, 1)]
