@@ -12,8 +12,8 @@ together; what stands on enough distinct pages is a repeated passage. Longer rep
 after another, so the order needs a depth of `run` words and no more. Covered words go, and the unique runs between them stay.
 A block of fewer than `run` words is a suffix of its own, ends included. A passage is boilerplate on at
 least `least_pages` pages and at least `least_share` of its host's open pages. Pages of one host with equal blocks are one page
-here, so that an article copied to several open pages stays, and a repeated run of more than half of a page's words stays, so that
-near copies do. Other text of <article> and <main> is not judged by repeats: copies of an article on one host are still articles.
+here, so that an article copied to several open pages stays, and on open pages a repeated run of four fifths of a page's words stays,
+so that near copies do. Other text of <article> and <main> is not judged by repeats: copies of an article on one host are still articles.
 
 Scale. Suffixes that occur too rarely are sieved out before the sort by counts of 64-bit hashes (map-side sums; a collision can
 only let one through, and the sort compares tokens). The rest are dealt by ranges of (host, tokens, page), so a host with a
@@ -375,7 +375,7 @@ def _counts(rows: list[tuple]) -> pa.RecordBatch:
 
 def unique_runs(blocks: list[str], judged: list[bool], covered: list[tuple[int, int]]) -> str:
     """The words of the blocks without those that are covered, (first word, number of words) among the judged blocks; on an open page
-    a covered run of more than half of all words is the page itself, as near copies of one are, and stays."""
+    a covered run of four fifths of all words is the page itself, as near copies of one are, and stays."""
     gone = {i + k for i, n in covered for k in range(n)}
     words_of = [b.split(" ") for b in blocks]
     total, runs = sum(map(len, words_of)), []
@@ -385,7 +385,7 @@ def unique_runs(blocks: list[str], judged: list[bool], covered: list[tuple[int,
         else:
             runs.append([i, i + 1])
     for a, b in runs:
-        if all(judged) and 2 * (b - a) > total:
+        if all(judged) and 5 * (b - a) >= 4 * total:
             gone.difference_update(range(a, b))
     at, kept = 0, []
     for words, own in zip(words_of, judged, strict=True):

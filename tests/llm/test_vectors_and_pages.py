@@ -192,11 +192,11 @@ def plain_uniques(pages, run, least_pages, least_share):
             if len(words) < run and sum(block in o for o in others) >= need:
                 cover |= set(range(at, at + len(words)))
             at += len(words)
-        for a in range(at):  # a covered run of more than half of the page stays
+        for a in range(at):  # a covered run of four fifths of the page stays
             b = a
             while b in cover:
                 b += 1
-            if a - 1 not in cover and 2 * (b - a) > at:
+            if a - 1 not in cover and 5 * (b - a) >= 4 * at:
                 cover -= set(range(a, b))
         left = [" ".join(w for k, (w, own) in enumerate(marked) if own == i and k not in cover) for i in range(len(blocks))]
         out.append("\n\n".join(x for x in left if x))
