@@ -6,10 +6,10 @@ text is parsed alike and the dictionary of distinct chunks, with the number of t
 n-grams inside of distinct chunks, weighted. An n-gram belongs to the chunk in which it starts before the closing window, so what
 lies in an overlap counts once; the last chunk of a piece has no closing window and all starts count.
 
-Words and pairs are counted by a 64-bit hash first, as numbers. Those whose hash reaches the threshold stand in a filter of `FILTER` bits,
-broadcast at a fixed size whatever the corpus. A phrase can reach the threshold only if all pairs of neighbours in it do, so the
-second pass builds and counts, as text, only phrases that the filter passes. What it passes by chance or by a collision is dropped by
-its exact count; only the work depends on the filter, not the result.
+A phrase can reach the threshold only if all that it holds does, so phrases are sifted before they are built as text: words are
+counted while texts are parsed; pairs and triples of frequent words by a 64-bit hash, as numbers. What reaches the threshold stands in a
+filter of `FILTER` bits, broadcast at a fixed size whatever the corpus. The last pass counts, as text, the phrases that the filters
+pass, and drops by its exact count what they pass by chance or by a collision; only the work depends on them, not the result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import text_bytes, written
 
 ORDER = 4
-#: Bits of the filter of frequent words and pairs: 16 MB.
+#: Bits of a filter of frequent words or phrases: 16 MB.
 FILTER = 1 << 27
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -40,26 +40,33 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _chunks(modulus: int, size: int = 8_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (lang, text) into (lang, chunk, weight), equal chunks of a part of the batch summed."""
+def _chunks(modulus: int, size: int = 4_000_000, most: int = 200_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (lang, text) into (lang, word, chunk, weight): chunks, and words with `word` set; equal ones of a part of the batch summed."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[bytes]] = {}
+        chunks: dict[str, list[bytes]] = {}
+        words: dict[str, Counter[bytes]] = {}
         held = 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("text"))):
-                keys = found.setdefault(lang, [])
+                keys, seen = chunks.setdefault(lang, []), []
                 for piece in text.translate(_SPLIT).split(b"\n"):
-                    words = piece.split()
-                    if len(words) > 2 * ORDER:
-                        keys.extend(_parse(words, modulus))
-                    elif words:  # too short for a window that would save anything
-                        keys.append(b" ".join(words))
+                    found = piece.split()
+                    seen += found
+                    if len(found) > 2 * ORDER:
+                        keys.extend(_parse(found, modulus))
+                    elif found:  # too short for a window that would save anything
+                        keys.append(b" ".join(found))
+                words.setdefault(lang, Counter()).update(seen)
                 held += len(text)
                 if held >= size:
-                    yield from _flush(found)
-                    found, held = {}, 0
-        yield from _flush(found)
+                    yield from _flush({k: Counter(v) for k, v in chunks.items()}, False)
+                    chunks, held = {}, 0
+                if len(words[lang]) >= most:  # words are few beside chunks: they are held longer
+                    yield from _flush(words, True)
+                    words = {}
+        yield from _flush({k: Counter(v) for k, v in chunks.items()}, False)
+        yield from _flush(words, True)
 
     return parsed
 
@@ -78,11 +85,11 @@ def _window(words: list[bytes], at: int) -> int:
     return xxhash.xxh32_intdigest(b" ".join(words[at : at + ORDER - 1]))
 
 
-def _flush(found: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
-    for lang, keys in found.items():
-        if counts := Counter(keys):
-            arrays = [_repeated(lang, len(counts)), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "chunk", "weight"])
+def _flush(found: dict[str, Counter[bytes]], word: bool) -> Iterator[pa.RecordBatch]:
+    for lang, counts in found.items():
+        n = len(counts)
+        arrays = [_repeated(lang, n), pa.array(np.full(n, word)), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "word", "chunk", "weight"])
 
 
 def _repeated(value: str | None, n: int) -> pa.Array:
@@ -94,18 +101,29 @@ class Part:
 
     def __init__(self, lang: str | None, chunks: list[bytes], weights: list[int]):
         numbers: dict[bytes, int] = {}
-        parts = [c.split() for c in chunks]
-        self.flat = [numbers.setdefault(w, len(numbers)) for words in parts for w in words]
+        self.flat = [numbers.setdefault(w, len(numbers)) for w in b" ".join(chunks).split()]
         self.words, self.ids = list(numbers), np.array(self.flat, np.int64)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         closed = np.fromiter((c.endswith(b" ") for c in chunks), bool, len(chunks))
-        ends, owner, at = np.cumsum(lengths), np.repeat(np.arange(len(parts)), lengths), np.arange(len(self.ids))
+        lengths = np.fromiter((c.count(b" ") for c in chunks), np.int64, len(chunks)) + ~closed  # spaces stand between words and behind a closed chunk
+        ends, owner, at = np.cumsum(lengths), np.repeat(np.arange(len(chunks)), lengths), np.arange(len(self.ids))
         self.counts = at < (ends - np.where(closed, ORDER - 1, 0))[owner]
         self.room, self.weight = ends[owner] - at, np.array(weights, np.int64)[owner]
         with np.errstate(over="ignore"):
-            own = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-            self.hash = _mixed(own + np.uint64(xxhash.xxh64_intdigest((lang or "").encode())))[self.ids]
+            self.hash = _word_hashes(lang, self.words)[self.ids]
             self.pair = _mixed(self.hash[:-1] * np.uint64(3) + self.hash[1:])
+            self.triple = _mixed(self.pair[:-1] * np.uint64(5) + self.hash[2:])
+
+    def every(self, ok: np.ndarray, n: int) -> np.ndarray:
+        """Whether `ok`, told by place, holds for the n places from each place on; places beyond the end don't."""
+        padded = np.zeros(len(self.ids) + ORDER, bool)
+        padded[: len(ok)] = ok
+        return np.logical_and.reduce([padded[k : k + len(self.ids)] for k in range(n)])
+
+
+def _word_hashes(lang: str | None, words: list[bytes]) -> np.ndarray:
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        return _mixed(own + np.uint64(xxhash.xxh64_intdigest((lang or "").encode())))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str | None, Part]]:
@@ -123,43 +141,39 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str |
     yield from ((name, Part(name, *both)) for name, both in held.items())
 
 
-def _hash_counter(size: int = 12_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Distinct chunks into (h, f): weighted counts of the hashes of words and pairs, summed over parts of a batch."""
+def _passes(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _slots(h, len(bitmap) * 64)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _hash_counter(words, size: int = 3_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct chunks into (h, f): weighted counts of the hashes of pairs and triples of frequent words, summed over parts of a batch."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in _parts(batches, size):
-            two = part.counts & (part.room >= 2)
-            h = np.concatenate([part.hash[part.counts], part.pair[two[:-1]]])
-            w = np.concatenate([part.weight[part.counts], part.weight[two]])
+            frequent = _passes(words.value, part.hash)
+            two, three = (part.counts & (part.room >= n) & part.every(frequent, n) for n in (2, 3))
+            h = np.concatenate([part.pair[two[:-1]], part.triple[three[:-2]]])
+            w = np.concatenate([part.weight[two], part.weight[three]])
             order = np.argsort(h)
             h, w = h[order], w[order]
-            start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, int)
-            if len(start):
+            if len(h):
+                start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(np.add.reduceat(w, start))], names=["h", "f"])
 
     return counted
 
 
-def _phrase_counter(frequent, bits: int, size: int = 12_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Distinct chunks into (lang, size, phrase, f): weighted counts of the phrases that the filter passes."""
+def _phrase_counter(words, longer, size: int = 3_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct chunks into (lang, size, phrase, f): weighted counts of the phrases that the filters pass."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = frequent.value
-
-        def passes(h: np.ndarray) -> np.ndarray:
-            at = _slots(h, bits)
-            return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
         for lang, part in _parts(batches, size):
-            pairs = np.append(passes(part.pair), np.zeros(ORDER, bool))
             names, flat, base = part.words, part.flat, len(part.words) + 1
-            for n in range(1, ORDER + 1):
-                ok = part.counts & (part.room >= n)
-                if n == 1:
-                    ok &= passes(part.hash)
-                for k in range(n - 1):
-                    ok &= pairs[k : k + len(ok)]
-                at = np.flatnonzero(ok)
+            triples = _passes(longer.value, part.triple)
+            passed = {1: part.every(_passes(words.value, part.hash), 1), 2: part.every(_passes(longer.value, part.pair), 1), 3: part.every(triples, 1), 4: part.every(triples, 2)}
+            for n, frequent in passed.items():
+                at = np.flatnonzero(part.counts & (part.room >= n) & frequent)
                 if not len(at):
                     continue
                 key = part.ids[at]
@@ -179,11 +193,11 @@ def _phrase_counter(frequent, bits: int, size: int = 12_000_000) -> Callable[[It
 
 
 def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", modulus: int = 16) -> DataFrame:
-    """(lang, chunk, weight): the distinct chunks of the parse of all texts and how often each stands there. Chunks with a closing
-    window end in a space."""
+    """(lang, word, chunk, weight): the distinct chunks of the parse of all texts and how often each stands there, and, with `word` set,
+    the distinct words. Chunks with a closing window end in a space."""
     rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    parsed = rows.mapInArrow(_chunks(modulus), "lang string, chunk string, weight long")
-    return parsed.groupBy("lang", "chunk").agg(F.sum("weight").alias("weight"))
+    parsed = rows.mapInArrow(_chunks(modulus), "lang string, word boolean, chunk string, weight long")
+    return parsed.groupBy("lang", "word", "chunk").agg(F.sum("weight").alias("weight"))
 
 
 def _slots(h: np.ndarray, bits: int) -> np.ndarray:
@@ -207,12 +221,22 @@ def _filter(hashes: DataFrame, bits: int):
 
 
 def phrase_counts(chunks: DataFrame, least: int, bits: int = FILTER) -> tuple[DataFrame, DataFrame]:
-    """(lang, size, phrase, f) of all phrases of up to ORDER words with f >= least, and (lang, n), the words of each language."""
-    inside = F.size(F.split(F.rtrim("chunk"), " ")) - F.when(F.endswith("chunk", F.lit(" ")), ORDER - 1).otherwise(0)
-    totals = chunks.groupBy("lang").agg(F.sum(inside * F.col("weight")).alias("n"))
-    hashes = chunks.mapInArrow(_hash_counter(), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
-    frequent = _filter(hashes.where(F.col("f") >= least).select("h"), bits)
-    phrases = chunks.mapInArrow(_phrase_counter(frequent, bits), "lang string, size int, phrase string, f long")
+    """(lang, size, phrase, f) of all phrases of up to ORDER words with f >= least, and (lang, n), the words of each language, from what
+    `dictionary` gives."""
+    words, chunks = chunks.where("word").drop("word"), chunks.where("not word").drop("word")
+    totals = words.groupBy("lang").agg(F.sum("weight").alias("n"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            for lang in set(langs):
+                own = batch.filter(pa.array(langs == lang))
+                yield pa.RecordBatch.from_arrays([pa.array(_word_hashes(lang, text_bytes(own.column("chunk"))).view(np.int64))], names=["h"])
+
+    one = _filter(words.where(F.col("weight") >= least).mapInArrow(hashed, "h long"), bits)
+    hashes = chunks.mapInArrow(_hash_counter(one), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    longer = _filter(hashes.where(F.col("f") >= least).select("h"), bits)
+    phrases = chunks.mapInArrow(_phrase_counter(one, longer), "lang string, size int, phrase string, f long")
     return written(phrases.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)), totals
 
 

@@ -208,6 +208,8 @@ def test_collocations_sql_and_empty_table(spark, tmp_path):
 
 def test_scores_pass_64_bits(spark):
     """Counts near 2^62 through the exact arithmetic: one chunk with a huge weight."""
-    chunks = spark.createDataFrame([("en", "a b", 4 * 10**18), ("en", "a", 10**18)], "lang string, chunk string, weight long")
+    rows = [("en", False, "a b", 4 * 10**18), ("en", False, "a", 10**18), ("en", True, "a", 5 * 10**18), ("en", True, "b", 4 * 10**18)]
+    chunks = spark.createDataFrame(rows, "lang string, word boolean, chunk string, weight long")
     got = coll.rank_phrases(*coll.phrase_counts(chunks, 30, 64), top=5, covered=80).first()
-    assert (got["a"], got["l"], got["r"], got["score"]) == (4 * 10**18, 5 * 10**18, 4 * 10**18, 2_000_000 * 4 // 9)
+    # n itself, 9 * 10^18, still fits a long
+    assert got["n"] == 9 * 10**18 and (got["a"], got["l"], got["r"], got["score"]) == (4 * 10**18, 5 * 10**18, 4 * 10**18, 2_000_000 * 4 // 9)
