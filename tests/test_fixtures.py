@@ -12,6 +12,7 @@ from sparkwright.operators import metrics as M
 from sparkwright.operators import neighbours as N
 from sparkwright.operators import rules as U
 from sparkwright.operators import sequences as Q
+from sparkwright.plans import rules as P
 
 A = "array<string>"
 
@@ -230,6 +231,22 @@ def test_neighbours_with_ties(spark):
         assert [(d, i) for _, i, d in sorted(found)] == [(float(d), i) for d, i in order]
 
 
+def test_component_rules_of_broad_t_and_deep_s(spark):
+    rows = [
+        (1, "I", "T", 0.12, 50.0), (2, "I", "T", 0.11, 50.0), (3, "I", "T", 0.12, 49.0),  # one lead is enough; just too low, just too narrow
+        (4, "I", "QRS", -0.31, 10.0), (4, "V3", "QRS", -0.31, 10.0), (5, "I", "QRS", -0.31, 10.0), (5, "V3", "QRS", -0.3, 10.0), (6, "I", "QRS", -0.31, 10.0), (6, "I", "QRS", -0.4, 10.0),  # two leads, in no order
+    ]
+    df = spark.createDataFrame(rows, "rec int, lead string, wave string, amp double, sigma double").withColumn("center", F.lit(0.0))
+    got = U.evaluate(df).collect()
+    assert {r["rec"] for r in got if r["t_plateau"]} == {1} and {r["rec"] for r in got if r["deep_s"]} == {4}
+
+
+def test_extractor_rules_count_broad_t_and_deep_s(spark, sf):
+    """A rule that leaves the table leaves its SQL as well, so the two agree without it: the columns are named here."""
+    assert {"t_plateau", "deep_s"} <= set(P.extractor_rules(spark, sf).columns)
+    assert "AS t_plateau" in P.ORACLES["extractor_rules"] and "AS deep_s" in P.ORACLES["extractor_rules"]
+
+
 def test_lead_rules_by_hand(spark):
     def wave(rec, lead, kind, amp, center, sigma, i=0):
         return (rec, lead, kind, amp, center, sigma, i)
