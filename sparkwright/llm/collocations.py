@@ -7,23 +7,25 @@ n-grams inside of distinct chunks, weighted. An n-gram belongs to the chunk in w
 lies in an overlap counts once; the last chunk of a piece has no closing window and all starts count.
 
 A phrase can reach the threshold only if all that it holds does, so phrases are sifted before they are built as text: words are
-counted while texts are parsed; pairs and triples of frequent words by a 64-bit hash, as numbers. What reaches the threshold stands in a
-filter of `FILTER` bits, broadcast at a fixed size whatever the corpus. The last pass counts, as text, the phrases that the filters
-pass, and drops by its exact count what they pass by chance or by a collision; only the work depends on them, not the result.
+counted while texts are parsed; pairs and triples of frequent words by a hash, as numbers that are dealt out by their first bits, packed
+into one row for each group of them. What reaches the threshold stands in a filter of `FILTER` bits, broadcast at a fixed size whatever
+the corpus. The last pass counts, as text, the phrases that the filters pass, and drops by its exact count what they pass by chance or by
+a collision; only the work depends on them, not the result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import text_bytes, written
+from sparkwright.llm.common import int_column, runs, text_bytes, written
 
 ORDER = 4
 #: Bits of a filter of frequent words or phrases: 16 MB.
@@ -97,19 +99,19 @@ def _repeated(value: str | None, n: int) -> pa.Array:
 
 
 class Part:
-    """Chunks of one language: words as numbers, their hashes, which places count, how much room a phrase has from each place on."""
-
-    def __init__(self, lang: str | None, chunks: list[bytes], weights: list[int]):
-        numbers: dict[bytes, int] = {}
-        self.flat = [numbers.setdefault(w, len(numbers)) for w in b" ".join(chunks).split()]
-        self.words, self.ids = list(numbers), np.array(self.flat, np.int64)
-        closed = np.fromiter((c.endswith(b" ") for c in chunks), bool, len(chunks))
-        lengths = np.fromiter((c.count(b" ") for c in chunks), np.int64, len(chunks)) + ~closed  # spaces stand between words and behind a closed chunk
+    """Chunks of one language: their words, also as numbers and hashes, which places count, how much room a phrase has from each place on."""
+
+    def __init__(self, lang: str | None, chunks: pa.Array, weights: np.ndarray):
+        self.words = b" ".join(text_bytes(chunks)).split()
+        numbers = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
+        self.ids, self.distinct = np.fromiter(map(numbers.__getitem__, self.words), np.int64, len(self.words)), len(numbers)
+        closed = pc.ends_with(chunks, " ").to_numpy(zero_copy_only=False)
+        lengths = int_column(pc.count_substring(chunks, " ")).astype(np.int64) + ~closed  # spaces stand between words and behind a closed chunk
         ends, owner, at = np.cumsum(lengths), np.repeat(np.arange(len(chunks)), lengths), np.arange(len(self.ids))
         self.counts = at < (ends - np.where(closed, ORDER - 1, 0))[owner]
-        self.room, self.weight = ends[owner] - at, np.array(weights, np.int64)[owner]
+        self.room, self.weight = ends[owner] - at, weights[owner]
         with np.errstate(over="ignore"):
-            self.hash = _word_hashes(lang, self.words)[self.ids]
+            self.hash = _word_hashes(lang, numbers)[self.ids]
             self.pair = _mixed(self.hash[:-1] * np.uint64(3) + self.hash[1:])
             self.triple = _mixed(self.pair[:-1] * np.uint64(5) + self.hash[2:])
 
@@ -120,25 +122,34 @@ class Part:
         return np.logical_and.reduce([padded[k : k + len(self.ids)] for k in range(n)])
 
 
-def _word_hashes(lang: str | None, words: list[bytes]) -> np.ndarray:
+def _word_hashes(lang: str | None, words: Collection[bytes]) -> np.ndarray:
     own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         return _mixed(own + np.uint64(xxhash.xxh64_intdigest((lang or "").encode())))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str | None, Part]]:
-    held: dict[str | None, tuple[list[bytes], list[int]]] = {}
+    held: dict[str | None, list[pa.RecordBatch]] = {}
     total = 0
     for batch in batches:
-        for lang, chunk, weight in zip(batch.column("lang").to_pylist(), text_bytes(batch.column("chunk")), batch.column("weight").to_pylist()):
-            chunks, weights = held.setdefault(lang, ([], []))
-            chunks.append(chunk)
-            weights.append(weight)
-            total += len(chunk)
+        ends = np.cumsum(int_column(pc.binary_length(batch.column("chunk"))).astype(np.int64))
+        cuts = np.unique([0, *(np.searchsorted(ends, np.arange(size, ends[-1], size)) + 1), len(ends)]) if len(ends) else []
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            piece = batch.slice(start, end - start)
+            langs = piece.column("lang").dictionary_encode("encode")
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                held.setdefault(lang, []).append(piece.filter(pc.equal(langs.indices, k)))
+            total += ends[end - 1] - (ends[start - 1] if start else 0)
             if total >= size:
-                yield from ((name, Part(name, *both)) for name, both in held.items())
+                yield from _whole(held)
                 held, total = {}, 0
-    yield from ((name, Part(name, *both)) for name, both in held.items())
+    yield from _whole(held)
+
+
+def _whole(held: dict[str | None, list[pa.RecordBatch]]) -> Iterator[tuple[str | None, Part]]:
+    for lang, rows in held.items():
+        table = pa.Table.from_batches(rows).combine_chunks()
+        yield lang, Part(lang, table["chunk"].combine_chunks(), table["weight"].to_numpy())
 
 
 def _passes(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -146,32 +157,83 @@ def _passes(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _hash_counter(words, size: int = 3_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Distinct chunks into (h, f): weighted counts of the hashes of pairs and triples of frequent words, summed over parts of a batch."""
+def _hash_counter(words, groups: int, least: int, size: int = 3_000_000, most: int = 1_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct chunks into (part, keys, counts): pairs and triples of frequent words by the first `groups` bits of their hashes, each
+    with packed arrays of the next 32 bits and of weighted counts up to `least`, which is all that matters of larger ones."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, part in _parts(batches, size):
             frequent = _passes(words.value, part.hash)
             two, three = (part.counts & (part.room >= n) & part.every(frequent, n) for n in (2, 3))
             h = np.concatenate([part.pair[two[:-1]], part.triple[three[:-2]]])
-            w = np.concatenate([part.weight[two], part.weight[three]])
-            order = np.argsort(h)
-            h, w = h[order], w[order]
-            if len(h):
-                start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(np.add.reduceat(w, start))], names=["h", "f"])
+            held.append((_key(h, groups), np.minimum(np.concatenate([part.weight[two], part.weight[three]]), least)))
+            if sum(len(k) for k, _ in held) >= most:
+                yield _packed(held, groups, least)
+                held = []
+        yield _packed(held, groups, least)
 
     return counted
 
 
-def _phrase_counter(words, longer, size: int = 3_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _key(h: np.ndarray, groups: int) -> np.ndarray:
+    return h >> np.uint64(32 - groups)
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    start = runs(keys)[:-1]
+    return keys[start], np.add.reduceat(counts[order], start, dtype=np.int64) if len(keys) else counts
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], groups: int, least: int) -> pa.RecordBatch:
+    keys, counts = _summed([(np.zeros(0, np.uint64), np.zeros(0, np.int64)), *held])
+    ends = np.searchsorted(keys, np.arange((1 << groups) + 1, dtype=np.uint64) << np.uint64(32))
+    full = np.flatnonzero(np.diff(ends))
+    edges = np.append(ends[full], len(keys))
+    columns = [pa.array(full.astype(np.int32))]
+    for values in (keys.astype(np.uint32), np.minimum(counts, least).astype(np.min_scalar_type(least))):
+        offsets = (edges * values.itemsize).astype(np.int32)
+        columns.append(pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+    return pa.RecordBatch.from_arrays(columns, names=["part", "keys", "counts"])
+
+
+def _frequent_keys(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of `_hash_counter`, those of a part in a row, into the keys (h) that count up to `least`; one part is held."""
+    kind = np.min_scalar_type(least)
+
+    def kept(part: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, counts = _summed(held)
+        found = keys[counts >= least].astype(np.int64) | part << 32
+        return pa.RecordBatch.from_arrays([pa.array(found)], names=["h"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
+        for batch in batches:
+            for part, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "counts")), strict=True):
+                if held and part != last:
+                    yield kept(last, held)
+                    held = []
+                held.append((np.frombuffer(keys, np.uint32), np.frombuffer(counts, kind)))
+                last = part
+        if held:
+            yield kept(last, held)
+
+    return summed
+
+
+def _phrase_counter(words, longer, groups: int, size: int = 3_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Distinct chunks into (lang, size, phrase, f): weighted counts of the phrases that the filters pass."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, part in _parts(batches, size):
-            names, flat, base = part.words, part.flat, len(part.words) + 1
-            triples = _passes(longer.value, part.triple)
-            passed = {1: part.every(_passes(words.value, part.hash), 1), 2: part.every(_passes(longer.value, part.pair), 1), 3: part.every(triples, 1), 4: part.every(triples, 2)}
+            names, base = part.words, part.distinct + 1
+            pairs, triples = (_passes(longer.value, _key(h, groups)) for h in (part.pair, part.triple))
+            passed = {1: part.every(_passes(words.value, part.hash), 1), 2: part.every(pairs, 1), 3: part.every(triples, 1), 4: part.every(triples, 2)}
             for n, frequent in passed.items():
                 at = np.flatnonzero(part.counts & (part.room >= n) & frequent)
                 if not len(at):
@@ -185,7 +247,7 @@ def _phrase_counter(words, longer, size: int = 3_000_000) -> Callable[[Iterator[
                 f = np.zeros(len(where), np.int64)
                 np.add.at(f, back, part.weight[at])
                 spots = at[where].tolist()
-                phrases = [names[flat[p]] for p in spots] if n == 1 else [b" ".join([names[i] for i in flat[p : p + n]]) for p in spots]
+                phrases = [b" ".join(names[p : p + n]) for p in spots]
                 arrays = [_repeated(lang, len(f)), pa.array(np.full(len(f), n, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["lang", "size", "phrase", "f"])
 
@@ -234,9 +296,11 @@ def phrase_counts(chunks: DataFrame, least: int, bits: int = FILTER) -> tuple[Da
                 yield pa.RecordBatch.from_arrays([pa.array(_word_hashes(lang, text_bytes(own.column("chunk"))).view(np.int64))], names=["h"])
 
     one = _filter(words.where(F.col("weight") >= least).mapInArrow(hashed, "h long"), bits)
-    hashes = chunks.mapInArrow(_hash_counter(one), "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
-    longer = _filter(hashes.where(F.col("f") >= least).select("h"), bits)
-    phrases = chunks.mapInArrow(_phrase_counter(one, longer), "lang string, size int, phrase string, f long")
+    # Groups are as many as the partitions that the user has set for the size of the data, so one of them stays small.
+    groups = min(30, max(10, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length()))
+    packed = chunks.mapInArrow(_hash_counter(one, groups, least), "part int, keys binary, counts binary")
+    longer = _filter(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_frequent_keys(least), "h long"), bits)
+    phrases = chunks.mapInArrow(_phrase_counter(one, longer, groups), "lang string, size int, phrase string, f long")
     return written(phrases.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)), totals
 
 

@@ -5,9 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -206,6 +209,28 @@ def test_collocations_sql_and_empty_table(spark, tmp_path):
     assert coll.collocations(docs.limit(0)).count() == 0
 
 
+def test_hashes_leave_a_task_packed():
+    """Many pairs and triples are a row for each group, and the reader finds those that count up to the threshold, in whatever rows they lie."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    chunks = sorted({" ".join(rng.choices(words, k=rng.randint(1, 9))) + rng.choice(["", " "]) for _ in range(3000)})
+    weights = [rng.choice([1, 1, 1, 2, 300, 2**40]) for _ in chunks]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", None] * len(chunks))[: len(chunks)], pa.array(chunks), pa.array(weights, pa.int64())], names=["lang", "chunk", "weight"])
+    every = SimpleNamespace(value=np.full(1, 2**64 - 1, np.uint64))
+    for groups, least in ((2, 5), (10, 400), (10, 70_000)):
+        want = Counter()
+        for lang, part in coll._parts(iter([batch]), 10**9):
+            for n, h in ((2, part.pair), (3, part.triple)):
+                at = np.flatnonzero(part.counts & (part.room >= n))
+                for key, w in zip((h[at] >> np.uint64(32 - groups)).tolist(), part.weight[at].tolist(), strict=True):
+                    want[key] += w
+        for most in (3000, 10**6):
+            packed = pa.Table.from_batches(coll._hash_counter(every, groups, least, 5_000, most)(iter([batch]))).sort_by("part")
+            assert packed.num_rows <= 1 << groups or most == 3000
+            found = [h for b in coll._frequent_keys(least)(iter(packed.to_batches(max_chunksize=7))) for h in b.column("h").to_pylist()]
+            assert sorted(found) == sorted(k for k, w in want.items() if w >= least) and found
+
+
 def test_scores_pass_64_bits(spark):
     """Counts near 2^62 through the exact arithmetic: one chunk with a huge weight."""
     rows = [("en", False, "a b", 4 * 10**18), ("en", False, "a", 10**18), ("en", True, "a", 5 * 10**18), ("en", True, "b", 4 * 10**18)]
