@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_PARTS = 64
 
 
+def _parts(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of its upper and lower half of digits."""
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    return high, x - high
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once."""
+    (ah, al), (bh, bl), p = _parts(a), _parts(b), a * b
+    left = ((ah * bh - p) + ah * bl + al * bh) + al * bl  # a * b is p + left
+    s = p + c
+    off = (p - (s - (s - p))) + (c - (s - p))  # p + c is s + off
+    return s + (off + left)
+
+
+def interpolated(rows: DataFrame, value: str, share: float, by: list[str], name: str) -> DataFrame:
+    """rows with `name`: the quantile of `value` (nulls left out) in the groups of `by`, to the last digit as DuckDB interpolates it: lower * (1 - d)
+    + upper * d with one rounding of the sum, also between equal values, where Spark's percentile gives the value itself."""
+    whole = Window.partitionBy(*by)
+    rows = rows.withColumn("_r", F.row_number().over(whole.orderBy(F.col(value).asc_nulls_last()))).withColumn("_at", (F.count(value).over(whole) - 1) * F.lit(share))
+    pick = lambda k: F.max(F.when(F.col("_r") == k + 1, F.col(value))).over(whole)
+    d = F.col("_at") - F.floor("_at")
+    rows = rows.withColumn("_lo", pick(F.floor("_at"))).withColumn("_hi", pick(F.ceil("_at"))).withColumn("_d", d)
+    both = fused(F.col("_lo"), 1 - F.col("_d"), F.col("_hi") * F.col("_d"))
+    return rows.withColumn(name, F.when(F.col("_d") == 0, F.col("_lo")).otherwise(both)).drop("_r", "_at", "_lo", "_hi", "_d")
+
+
 def running_totals(rows: DataFrame, key: str, sums: list[str], descending: bool = False, by: list[str] | None = None, ties: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """rows with `<sum>_before`: the total of each of `sums` over rows of smaller `key`, a number (larger ones if descending),
     within the groups that the columns `by` make. Rows of equal key are put in order by `ties`.

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions.signals import LEADS
+from sparkwright.operators.ordering import interpolated
 
 
 @dataclass(frozen=True)
@@ -213,16 +214,16 @@ def atrial_energy(components: DataFrame) -> DataFrame:
     """(rec, kept, area, top, state) of the P components (rec, wave, amp, sigma) that are no artefacts: at most a quarter of the
     largest QRS amplitude (1 without any), not both wider than 25 ms and below a twentieth of it, 3 ms wide at least, and above
     0.008 and 1.2 times the tenth percentile of the P amplitudes. AF_LIKELY unless their area exceeds 0.5 and a peak passes."""
-    own = components.groupBy("rec").agg(
-        F.coalesce(F.max(F.when(F.col("wave") == "QRS", F.abs("amp"))), F.lit(1.0)).alias("qrs"),
-        F.coalesce(F.percentile(F.when(F.col("wave") == "P", F.abs("amp")), F.lit(0.1)), F.lit(0.0)).alias("floor"),
+    size, p, whole = F.abs("amp"), F.col("wave") == "P", Window.partitionBy("rec")
+    rows = interpolated(components.select("rec", "wave", "amp", "sigma", F.when(p, size).alias("size")), "size", 0.1, ["rec"], "floor")
+    rows = rows.withColumn("qrs", F.coalesce(F.max(F.when(F.col("wave") == "QRS", size)).over(whole), F.lit(1.0)))
+    rows = rows.withColumn("least", F.greatest(F.lit(0.008), 1.2 * F.coalesce("floor", F.lit(0.0))))
+    good = (F.col("amp") <= 0.25 * F.col("qrs")) & ~((F.col("sigma") > 25) & (F.col("amp") < 0.05 * F.col("qrs"))) & (F.col("sigma") >= 3) & (F.col("size") >= F.col("least"))
+    kept = lambda c: F.when(p & good & F.col("rec").isNotNull(), c)
+    out = rows.groupBy("rec").agg(
+        F.max("least").alias("least"), F.count(kept(F.lit(1))).alias("kept"),
+        F.coalesce(F.sum(kept(F.col("size") * F.col("sigma") * 2.5066)), F.lit(0.0)).alias("area"), F.coalesce(F.max(kept(F.col("size"))), F.lit(0.0)).alias("top"),
     )
-    own = own.withColumn("least", F.greatest(F.lit(0.008), 1.2 * F.col("floor")))
-    p = components.where("wave = 'P'").join(own.select("rec", "qrs", "least"), "rec")
-    size = F.abs("amp")
-    kept = p.where((F.col("amp") <= 0.25 * F.col("qrs")) & ~((F.col("sigma") > 25) & (F.col("amp") < 0.05 * F.col("qrs"))) & (F.col("sigma") >= 3) & (size >= F.col("least")))
-    sums = kept.groupBy("rec").agg(F.count("*").alias("kept"), F.sum(size * F.col("sigma") * 2.5066).alias("area"), F.max(size).alias("top"))
-    out = own.join(sums, "rec", "left").select("rec", "least", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("top", F.lit(0.0)).alias("top"))
     state = F.when((F.col("area") > 0.5) & (F.col("top") > F.col("least")), "P_ACTIVITY_PRESENT").otherwise("AF_LIKELY")
     return out.select("rec", "kept", "area", "top", state.alias("state"))
 
