@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwright.operators.ordering import interpolated
+
+
 def by_key() -> Window:
     return Window.partitionBy("key")
 
@@ -105,6 +108,14 @@ def short_long_short(rows: DataFrame) -> DataFrame:
     return flagged.where("hit").select("key", "i")
 
 
+def ratio_shares(rows: DataFrame, ratios: tuple[float, ...] = (1, 1.5, 2, 3, 4), near: float = 0.1) -> DataFrame:
+    """(key, r1, r1_5, ...): share of intervals within `near` of each ratio to the key's 10th percentile, to six digits as SQL rounds them: the
+    number times a million to the nearest whole, which may differ from rounding its decimals where they end in 5."""
+    base = interpolated(rows, "rr", 0.1, ["key"], "b")
+    share = lambda x: F.floor(F.avg((F.abs(F.col("rr") / F.col("b") - x) <= near).cast("int")) * 1e6 + 0.5) / 1e6
+    return base.groupBy("key").agg(*[share(x).alias(f"r{str(x).replace('.', '_')}") for x in ratios])
+
+
 def paired(rows: DataFrame, ratio: float = 0.8, least: int = 3, share: float = 0.75) -> DataFrame:
     """Bigeminy: even pairs whose first is shorter than ratio times the second."""
     pair = rows.groupBy("key", F.floor(F.col("i") / 2).alias("p")).agg(F.max_by("rr", -F.col("i")).alias("a"), F.max_by("rr", "i").alias("b"), F.count("*").alias("n"))

@@ -119,9 +119,7 @@ def nearest_center(spark, d):
 
 def integer_ratios(spark, d):
     """Share of intervals within 0.1 of 1, 1.5, 2, 3 and 4 times the key's 10th percentile."""
-    base = rr(spark, d).withColumn("b", F.percentile("rr", F.lit(0.1)).over(Q.by_key()))
-    near = lambda x: F.round(F.avg((F.abs(F.col("rr") / F.col("b") - x) <= 0.1).cast("int")), 6)
-    return base.groupBy("key").agg(*[near(x).alias(f"r{str(x).replace('.', '_')}") for x in (1, 1.5, 2, 3, 4)])
+    return Q.ratio_shares(rr(spark, d))
 
 
 def acf_lags(spark, d):

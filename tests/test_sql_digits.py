@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkwright.operators import rules as U
+from sparkwright.operators import sequences as Q
 from sparkwright.operators.ordering import interpolated
 
 COMPONENTS = "rec long, wave string, amp double, sigma double"
@@ -18,6 +19,11 @@ def test_component_filter_interpolates_equal_sizes(spark):
     assert got == {1: none, 2: none, 3: none, None: none}
 
 
+def test_integer_ratios_round_as_sql(spark):
+    rows = spark.createDataFrame([(1, i, 1000.0 if i < 323 else 1250.0) for i in range(640)], "key long, i long, rr double")
+    assert Q.ratio_shares(rows).select("r1", "r1_5", "r2").first()[:] == (0.504687, 0.0, 0.0)  # 323 of 640; its decimals alone would give 0.504688
+
+
 def test_quantiles_are_those_of_duckdb(spark):
     rng = np.random.default_rng(4)
     data = [(g, float(v)) for g in range(400) for v in rng.integers(1, 60, rng.integers(1, 12)) / 25 / 8] + [(400, 0.075), (400, 0.07500000000000001), (400, 0.09), (400, 0.115)]
