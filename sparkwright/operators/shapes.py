@@ -20,6 +20,8 @@ SHAPES = {
 }
 #: Step in ms at which the sum of bells is looked at between two of them.
 GRID = 2
+#: Smallest cosine over sine of an angle that a double of radians tells from a right one; Java's arctangent may be a digit off there.
+RIGHT_ANGLE = 4.979e-17
 
 
 def _parts(wave: str) -> Column:
@@ -87,7 +89,7 @@ def recording_shapes(leads: DataFrame) -> DataFrame:
     up = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))
     sokolow = F.greatest(-F.coalesce(F.col("s1"), F.lit(0.0)), F.lit(0.0)) + F.greatest(up("r5"), up("r6"))
     flags |= {
-        "t_dispersion": (F.col("t_n") >= 6) & (F.round("t_sd", 6) > 50), "high_voltage": F.round(sokolow, 6) > 3.5, "left_axis": axis < -30, "right_axis": axis > 90,
+        "t_dispersion": (F.col("t_n") >= 6) & (F.round("t_sd", 6) > 50), "high_voltage": F.round(sokolow, 6) > 3.5, "left_axis": axis < -30, "right_axis": (F.col("foot") >= 0) & (F.col("one") < -RIGHT_ANGLE * F.col("foot")),
         "m_shaped_v1": m, "wide_slurred_s": slurred, "broad_delay": (F.col("wide") >= 120) & ~m & ~slurred,
     }
     return found.select("rec", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.operators import rules as U
 from sparkwright.operators import sequences as Q
+from sparkwright.operators import shapes as S
 from sparkwright.operators.ordering import interpolated
 
 COMPONENTS = "rec long, wave string, amp double, sigma double"
@@ -30,3 +31,12 @@ def test_quantiles_are_those_of_duckdb(spark):
     theirs = duckdb.connect().execute("SELECT g, quantile_cont(x, 0.1) FROM (SELECT unnest(?::BIGINT[]) AS g, unnest(?::DOUBLE[]) AS x) GROUP BY g", [[g for g, _ in data], [x for _, x in data]]).fetchall()
     ours = interpolated(spark.createDataFrame(data, "g long, x double"), "x", 0.1, ["g"], "q").groupBy("g").agg(F.max("q")).collect()
     assert {g: q for g, q in ours} == dict(theirs)
+
+
+def test_an_axis_of_ninety_degrees_is_not_right(spark):
+    columns = "rec long, lead string, wave string, amp double, center double, sigma double"
+    almost = [(1, "I", "QRS", 21 / 25 - 1, 108.0, 5.0), (1, "I", "QRS", 29 / 25 - 1, 141.0, 44.0), (1, "aVF", "QRS", 2.32, 0.0, 10.0)]  # the sum of I is -1.1e-16
+    rows = [*almost, *[(rec, lead, "QRS", a, 0.0, 10.0) for rec, one, foot in ((2, -1e-12, 2.0), (3, -1.0, 0.0), (4, 0.0, 1.0), (5, -1.0, -1.0), (6, 1.0, -2.0)) for lead, a in (("I", one), ("aVF", foot))]]
+    assert rows[0][3] + rows[1][3] == -1.1102230246251565e-16
+    got = S.recording_shapes(S.lead_shapes(spark.createDataFrame(rows, columns))).collect()
+    assert {r["rec"]: (r["left_axis"], r["right_axis"]) for r in got} == {1: (False, False), 2: (False, True), 3: (False, True), 4: (False, False), 5: (True, False), 6: (True, False)}
