@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from sparkwright.operators import components as C
 from sparkwright.operators import rules as U
 from sparkwright.operators import sequences as Q
 from sparkwright.operators import shapes as S
@@ -40,3 +41,13 @@ def test_an_axis_of_ninety_degrees_is_not_right(spark):
     assert rows[0][3] + rows[1][3] == -1.1102230246251565e-16
     got = S.recording_shapes(S.lead_shapes(spark.createDataFrame(rows, columns))).collect()
     assert {r["rec"]: (r["left_axis"], r["right_axis"]) for r in got} == {1: (False, False), 2: (False, True), 3: (False, True), 4: (False, False), 5: (True, False), 6: (True, False)}
+
+
+def test_named_waves_take_the_narrowest_of_equal_bells(spark):
+    columns = "id long, center double, sigma double, amp double, angle double"
+    trace = [0.1] * 79 + [9.0]  # only a wide bell reaches the last sample, at 411 ms
+    own = spark.createDataFrame([(k, 800.0, -300.0, 9.0, trace, trace) for k in (1, 2, 3)] + [(4, 800.0, -300.0, 0.0, trace, trace), (5, 800.0, -300.0, 9.0, [], [])], "id long, rr double, start double, step double, vx array<double>, vy array<double>")
+    wide, narrow = (300.0, 60.0, 0.5, 0.1), (300.0, 10.0, 0.5, 0.1)
+    rows = [(1, *wide), (1, *narrow), (2, *narrow), (2, *wide), (3, *wide), (3, float("nan"), 10.0, 0.5, 0.1), (3, 300.0, float("inf"), 0.5, 0.1), (4, *wide), (5, *wide)]
+    got = {(r["id"], r["wave"]): r["amp"] for r in C.name_waves(spark.createDataFrame(rows, columns).repartition(4), own).collect()}
+    assert got == {(1, "T"): 0.141, (2, "T"): 0.141, (3, "T"): 12.728}
