@@ -77,7 +77,9 @@ def interval_mixtures(rows: DataFrame) -> DataFrame:
     def kernel(g: pd.DataFrame) -> dict:
         return K.interval_mixture(g["rr"].to_numpy(float)) if len(g) >= 12 else {"k": 1.0, "low": float(g["rr"].mean()), "high": float(g["rr"].mean())}
 
-    return per_key(rows, "k double, low double, high double", kernel)
+    # one partition more than shuffles have: an exchange by key that is there already would be kept, and being small made one task
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, "key")
+    return per_key(spread, "k double, low double, high double", kernel)
 
 
 def band_rhythms(rows: DataFrame) -> DataFrame:

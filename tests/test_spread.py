@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from sparkwright.operators import kernels as K
 from sparkwright.plans import components as C
 from sparkwright.plans.sequences import rr
 
@@ -25,3 +26,7 @@ def test_user_recordings_are_spread_and_as_defined(spark, sf):
     x = row["leads"][0]
     assert len(x) == int(at / 4 + 150) + 1
     assert all(abs(v - sum(math.exp(-(((s * 4 - a) / w) ** 2)) for a, w in want if abs(s * 4 - a) <= 200)) < 1e-12 for s, v in enumerate(x))
+
+
+def test_interval_mixtures_are_spread(spark, sf):
+    assert tasks(K.interval_mixtures(rr(spark, sf))) > 1
