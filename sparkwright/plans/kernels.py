@@ -64,8 +64,12 @@ def recording_features(spark, d):
     twelfth value."""
     t = F.sequence(F.lit(0), F.lit(1499))
     means = F.expr("transform(sequence(0, 11), k -> aggregate(filter(v, (x, j) -> j % 12 = k), 0D, (s, x) -> s + x) / ceil((size(v) - k) / 12D))")
-    lead = lambda k: F.transform(t, lambda i: F.exp(-F.pow((i % 250 - 120) / F.lit(6.0), 2)) + F.col("m")[k] * F.exp(-F.pow((i % 250 - 190) / F.lit(15.0), 2)) + 0.01 * F.sin(i * 0.11 + k))
-    spread = vectors(spark, d).select("id", means.alias("m")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # a recording is work
+    # what depends on the sample alone is made once
+    beat = lambda at, width: F.transform(t, lambda i: F.exp(-F.pow((i % 250 - at) / F.lit(width), 2)))
+    wave = lambda k: F.transform(t, lambda i: 0.01 * F.sin(i * 0.11 + k))
+    shape = F.broadcast(spark.range(1).select(beat(120, 6.0).alias("r"), beat(190, 15.0).alias("t"), F.array(*[wave(k) for k in range(12)]).alias("w")))  # one row
+    lead = lambda k: F.zip_with(F.zip_with("r", "t", lambda r, t: r + F.col("m")[k] * t), F.col("w")[k], lambda x, w: x + w)
+    spread = vectors(spark, d).select("id", means.alias("m")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").crossJoin(shape)  # a recording is work
     few = spread.select("id", F.lit(250.0).alias("fs"), F.array(*[lead(k) for k in range(12)]).alias("leads"))
     return K.recording_features(few).groupBy("lead", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.operators import kernels as K
 from sparkwright.plans import components as C
+from sparkwright.plans import kernels as S
 from sparkwright.plans.sequences import rr
 
 
@@ -30,3 +31,9 @@ def test_user_recordings_are_spread_and_as_defined(spark, sf):
 
 def test_interval_mixtures_are_spread(spark, sf):
     assert tasks(K.interval_mixtures(rr(spark, sf))) > 1
+
+
+def test_waves_of_twelve_leads_are_made_once(spark, sf):
+    plan = S.recording_features(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    made = next(x for x in plan.splitlines() if "AS leads" in x)
+    assert "zip_with" in made and "EXP" not in made and "SIN" not in made
