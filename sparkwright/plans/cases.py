@@ -168,8 +168,9 @@ def colours(spark, d):
 
 def notch_rule(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 25 - 1).alias("a"), (F.col("l_partkey") % 80).cast("double").alias("gap"), (F.col("l_discount") * 200 + 5).alias("s"))
+    alike = li.groupBy("a", "gap", "s").agg(F.count("*").alias("n"))  # a valley is sought once for equal pairs
     hit = K.notched(F.col("a"), F.lit(0.0), F.col("s"), F.col("a") * 0.8, F.col("gap"), F.col("s"))
-    return li.groupBy(hit.alias("notched")).agg(F.count("*").alias("n"), F.round(F.sum("gap"), 2).alias("gap"))
+    return alike.groupBy(hit.alias("notched")).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("gap") * F.col("n")), 2).alias("gap"))
 
 
 def region_labels(spark, d):

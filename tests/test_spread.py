@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from sparkwright.operators import kernels as K
+from sparkwright.plans import cases as N
 from sparkwright.plans import components as C
 from sparkwright.plans import kernels as S
 from sparkwright.plans.sequences import rr
@@ -37,3 +38,8 @@ def test_waves_of_twelve_leads_are_made_once(spark, sf):
     plan = S.recording_features(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     made = next(x for x in plan.splitlines() if "AS leads" in x)
     assert "zip_with" in made and "EXP" not in made and "SIN" not in made
+
+
+def test_notches_are_sought_once_for_equal_pairs(spark, sf):
+    plan = N.notch_rule(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Aggregate" in x for x in plan) == 2
